@@ -1,0 +1,66 @@
+"""Helpers shared by the corpus operators."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+#: The ASCII whitespace that separates words: space and \x09-\x0D.
+SPACES = " \t\n\x0b\x0c\r"
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session has none, a folder of our own is set; that is allowed on a local master only,
+    since executors on other machines could not see it.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"soukspark-{os.getuid()}"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept as a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once as Parquet in the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}-{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession, least: int = 1) -> int:
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def widened(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` with the columns of ``ddl`` after its own."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
