@@ -12,7 +12,6 @@ comes before file k + 1.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 
@@ -161,10 +160,11 @@ def segments(raw: bytes):
         at += 1
 
 
-#: Pieces whose ids a worker remembers; the longest one it does; bytes of text encoded at once.
-REMEMBERED, LONGEST, AT_ONCE = 600_000, 48, 1 << 23
-_BEFORE_WORD = re.compile(r" (?=\S)")
-_ODD = r" \s| $"
+#: Pieces whose ids a worker remembers; the longest one it does (characters); bytes of text encoded at once.
+REMEMBERED, LONGEST, AT_ONCE = 1_000_000, 32, 1 << 24
+#: Goes where a text may be split; no character.
+_CUT = "\U0010ffff"
+_SOLID = r"[^\s\x0b\x1c-\x1f\x85\pZ]"
 
 
 class PieceEncoder:
@@ -172,8 +172,9 @@ class PieceEncoder:
 
     Byte-level BPE splits text before every space that a non-space follows, between a letter and a comma or
     full stop, and around a line feed between non-spaces, and merges nothing over such places; ids of a text
-    are therefore those of its pieces one after another. Arrow finds the distinct pieces of a batch. The
-    library gets those not seen before joined into longer texts; byte lengths of the ids tell where each ends.
+    are therefore those of its pieces one after another. Arrow makes the cuts and finds the distinct pieces of
+    a batch. The library gets those not seen before, words joined into longer texts; byte lengths of the ids
+    tell where each ends.
     """
 
     def __init__(self, path: str, special_as_text: bool = True):
@@ -184,83 +185,55 @@ class PieceEncoder:
         self.library.encode_special_tokens = special_as_text
         self.special = [] if special_as_text else [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.bytes_of = np.array([len(self.library.id_to_token(k) or "") for k in range(self.library.get_vocab_size())])
-        #: Ids (as bytes) of pieces without and with a space before them.
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        groups = [pieces[k : k + 1000] for k in range(0, len(pieces), 1000)]
-        for group, raw in zip(groups, self.ask([" " + " ".join(g) for g in groups]), strict=True):
-            ends = np.cumsum([len(p.encode()) + 1 for p in group])
-            at = np.searchsorted(np.cumsum(self.bytes_of[np.frombuffer(raw, np.uint32)]), ends) + 1
+    def pieces(self, names: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known = self.known
+        got = list(map(known.get, names))
+        new = [k for k, x in enumerate(got) if x is None]
+        words = [k for k in new if names[k][:1] == " "]
+        for at in range(0, len(words), 1000):
+            group = [names[k] for k in words[at : at + 1000]]
+            (raw,) = self.ask(["".join(group)])
+            ends = np.cumsum([len(p.encode()) for p in group])
+            stops = ((np.searchsorted(np.cumsum(self.bytes_of[np.frombuffer(raw, np.uint32)]), ends) + 1) * 4).tolist()
             start = 0
-            for p, end in zip(group, (at * 4).tolist(), strict=True):
-                self.later[p] = raw[start:end]
-                start = end
-
-    @staticmethod
-    def _parts(piece: str) -> list[str]:
-        """A piece's parts, each of which the library may encode alone."""
-        lines = piece.split("\n")
-        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-            lines = [piece]
-        out = []
-        for x in lines:
-            if out:
-                out.append("\n")
-            out += [x[:-1], x[-1]] if x[-1:] in (",", ".") and x[-2:-1].isalpha() else [x]
-        return out
-
-    def pieces(self, first: list[str], later: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids of pieces without and with a space before them."""
-        if len(self.later) > REMEMBERED or len(self.first) > REMEMBERED:
-            self.first, self.later = {}, {}
-        known, spaced = self.first, self.later
-        cut = {p: self._parts(p) for p in later if p not in spaced}
-        heads = {p: self._parts(p) for p in first if p not in known}
-        self._learn([p for p in dict.fromkeys(x[0] for x in cut.values()) if p not in spaced])
-        alone = [x for v in cut.values() for x in v[1:]] + [x for v in heads.values() for x in v]
-        alone = [x for x in dict.fromkeys(alone) if x not in known]
-        known.update(zip(alone, self.ask(alone), strict=True))
-        for p, v in cut.items():
-            if len(v) > 1:
-                spaced[p] = spaced[v[0]] + b"".join([known[x] for x in v[1:]])
-        for p, v in heads.items():
-            if len(v) > 1:
-                known[p] = b"".join([known[x] for x in v])
-        out = [known[p] for p in first], [spaced[p] for p in later]
-        for p in [p for p in cut if len(p) > LONGEST]:
-            del spaced[p]
-        for p in [p for p in (*heads, *alone) if len(p) > LONGEST]:
-            known.pop(p, None)
-        return out
+            for k, stop in zip(words[at : at + 1000], stops, strict=True):
+                got[k] = raw[start:stop]
+                start = stop
+        others = [k for k in new if got[k] is None]
+        for k, raw in zip(others, self.ask([names[k] for k in others]), strict=True):
+            got[k] = raw
+        known.update((names[k], got[k]) for k in new if len(names[k]) <= LONGEST)
+        return got
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of non-null texts one after another, and how many each text has."""
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False).astype(bool)
-        split = pc.split_pattern(texts, " ")
-        if odd.any():  # some spaces are not the start of a word
-            split = pa.array([_BEFORE_WORD.split(t) if o else None for t, o in zip(texts.to_pylist(), odd, strict=True)], pa.list_(pa.string())) if odd.all() else pa.array([_BEFORE_WORD.split(texts[k].as_py()) if o else split[k].as_py() for k, o in enumerate(odd)], pa.list_(pa.string()))
-        offsets = np.asarray(split.offsets)
+        whole = pc.match_substring(texts, _CUT)
+        for x in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, x))
+        cut = pc.replace_with_mask(texts, whole, pa.scalar("", texts.type))
+        odd = pc.match_substring_regex(cut, r" [\s\x0b\x1c-\x1f\x85\pZ]| $")
+        simple = pc.replace_substring(cut, " ", _CUT + " ")
+        cut = pc.if_else(odd, pc.replace_substring_regex(cut, f" ({_SOLID})", _CUT + r" \1"), simple) if pc.any(odd).as_py() else simple
+        cut = pc.replace_substring_regex(cut, r"(\pL)([,.])", r"\1" + _CUT + r"\2")
+        cut = pc.replace_substring_regex(cut, f"({_SOLID})\n({_SOLID})", r"\1" + f"{_CUT}\n{_CUT}" + r"\2")
+        split = pc.split_pattern(cut, _CUT)
+        offsets = np.asarray(split.offsets).astype(np.int64)
         coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        offsets = offsets - offsets[0]
+        offsets -= offsets[0]
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        names = coded.dictionary.to_pylist()
-        starts = offsets[:-1]
-        head = code[starts].copy()
-        is_later = np.ones(len(code), bool)
-        is_later[starts] = False
-        used = np.flatnonzero(np.bincount(code[is_later], minlength=len(names)))
-        heads, head = np.unique(head, return_inverse=True)
-        a, b = self.pieces([names[k] for k in heads], [names[k] for k in used])
-        new = np.zeros(len(names), np.int64)
-        new[used] = len(a) + np.arange(len(used))
-        code = new[code]
-        code[starts] = head
-        held = [*a, *b]
+        held = self.pieces(coded.dictionary.to_pylist())
+        direct = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        if len(direct):  # their one piece is the empty one
+            code[offsets[direct]] = len(held) + np.arange(len(direct))
+            held += self.ask([texts[int(k)].as_py() for k in direct])
         if end_id is not None:
             code = np.insert(code, offsets[1:], len(held))
             offsets = offsets + np.arange(len(offsets))
@@ -270,12 +243,7 @@ class PieceEncoder:
         size = n[code]
         ends = np.cumsum(size)
         out = ids[np.repeat(at[code] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        sizes = np.diff(np.concatenate(([0], ends))[offsets])
-        for k in [k for k, t in enumerate(texts.to_pylist()) if any(x in t for x in self.special)] if self.special else []:
-            at = np.concatenate(([0], np.cumsum(sizes)))
-            own = np.frombuffer(self.ask([texts[k].as_py()])[0] + (b"" if end_id is None else np.uint32(end_id).tobytes()), np.uint32)
-            out, sizes[k] = np.concatenate((out[: at[k]], own, out[at[k + 1] :])), len(own)
-        return out, sizes
+        return out, np.diff(np.concatenate(([0], ends))[offsets])
 
 
 def by_bytes(texts: pa.Array, most: int = AT_ONCE):
