@@ -1 +1 @@
-
+"""Operators on catalogues, queues and listings."""

@@ -1 +1 @@
-
+"""Adapter views and plan rewrites."""

@@ -1 +1 @@
-
+"""Structured Streaming forms of the inbox and the queue."""
