@@ -62,8 +62,7 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sentencepieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), alpha=SP_ALPHA, seed=SP_SEED)
-    ids = F.transform("sp_ids", lambda x: F.lpad(F.hex(x.cast("long")), 4, "0"))
-    return out.select("doc_id", F.size("sp_ids").cast("long").alias("n_pieces"), F.crc32(F.unhex(F.array_join(ids, ""))).alias("ids_crc32"), F.col("sp_lossless").alias("lossless"))
+    return out.select("doc_id", F.size("sp_ids").cast("long").alias("n_pieces"), F.xxhash64("sp_ids").alias("ids_xxhash64"), F.col("sp_lossless").alias("lossless"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

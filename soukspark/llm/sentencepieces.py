@@ -23,8 +23,8 @@ MARK = "▁"
 _OWN_MARK = "\ud800"
 #: Characters of a word up to which words are handled together; longer ones go one by one.
 TOGETHER = 40
-#: Bytes of text handled at once, and words whose forward sums a worker remembers.
-AT_ONCE, REMEMBERED = 1 << 23, 400_000
+#: Bytes of text handled at once, words whose forward sums are made at once, and how many a worker remembers.
+AT_ONCE, LEARNED, REMEMBERED = 1 << 22, 40_000, 300_000
 
 
 class Lattice:
@@ -260,7 +260,9 @@ def encode(lattice: Lattice, texts: pa.Array, seeds: np.ndarray) -> tuple[np.nda
     row = seeds[text]
     if len(lattice.known) > REMEMBERED:
         lattice.forget()
-    lattice.learn([w for w in words if len(w) <= TOGETHER and w not in lattice.known])
+    new = [w for w in words if len(w) <= TOGETHER and w not in lattice.known]
+    for k in range(0, len(new), LEARNED):
+        lattice.learn(new[k : k + LEARNED])
     learned = np.array([lattice.known.get(w, -1) for w in words], np.int64)[code]
     short = np.flatnonzero(learned >= 0)
     steps = [(short[live], end, ids, k) for k, (live, end, ids) in enumerate(sample(lattice, learned[short], row[short], place[short]))]
