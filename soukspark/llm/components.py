@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star passes (Kiveris et al., 2014).
 
 All passes are joins and map-side combined aggregates. Nothing is gathered on the driver but one count
-and one checksum a pass. Hub nodes meet only in joins that adaptive execution may split.
+and one checksum a pass. Smallest neighbours are written before they are joined back, so that both sides of those
+joins are plain shuffles and adaptive execution may split a hub node's.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     out = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("a").agg(F.min("b").alias("m"))
+    low = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
     moved = edges.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(low.select("a", F.col("m").alias("b"))).distinct()
 
