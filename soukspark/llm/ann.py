@@ -26,6 +26,8 @@ SAMPLE, CALIBRATION = 20_000, 64
 CENTROIDS, ROUNDS = 64, 10
 #: Entries of a block and queries of a pack.
 ENTRIES, QUERIES = 1024, 256
+#: Queries whose nearest entries a task holds before it hands them on.
+HELD = 50_000
 
 
 def codebook(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -78,6 +80,33 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(1))
 
 
+class Nearest:
+    """The k nearest entries seen so far of each query seen so far."""
+
+    def __init__(self, k: int):
+        self.k, self.found = k, {}
+
+    def add(self, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        step = max(1, (1 << 20) // max(1, x.size))
+        for at in range(0, len(qid), step):
+            part = slice(at, at + step)
+            d = np.sqrt(((x[None] - q[part, None]) ** 2).sum(2))
+            d[qid[part, None] == ids[None]] = np.inf
+            limit = np.array([self.found[i][2] if i in self.found else np.inf for i in qid[part].tolist()])
+            for j in np.flatnonzero((d <= np.minimum(limit, np.finfo(float).max)[:, None]).any(1)).tolist():
+                use = np.flatnonzero(d[j] <= min(limit[j], np.finfo(float).max))
+                near, names, i = d[j, use], ids[use], int(qid[at + j])
+                if i in self.found:
+                    near, names = np.concatenate((self.found[i][0], near)), np.concatenate((self.found[i][1], names))
+                keep = best(near, names, self.k)
+                self.found[i] = near[keep], names[keep], near[keep[-1]] if len(keep) == self.k else np.inf
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(x[0]) for x in self.found.values()]
+        columns = [np.repeat(np.array(list(self.found), np.int64), n), *[np.concatenate([np.zeros(0, t), *[x[k] for x in self.found.values()]]) for k, t in ((1, np.int64), (0, np.float64))]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+
 def matrix(column) -> np.ndarray:
     """Rows of a column of equally long double arrays."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -184,20 +213,16 @@ def search(
     pairs = each.repartition(tasks, "cell", "block").join(blocks.repartition(tasks, "cell", "block"), ["cell", "block"]).select("asked", "entries")
 
     def rerank(batches):
+        held = Nearest(k)
         for batch in batches:
             for one, other in zip(batch.column(0), batch.column(1), strict=True):
                 qid, qv = one.values.flatten()
                 ids, v = other.values.flatten()
-                q, x, qid, ids = matrix(qv), matrix(v), qid.to_numpy(), ids.to_numpy()
-                out = [[], [], []]
-                for i in range(len(q)):
-                    rows = np.flatnonzero(ids != qid[i])
-                    d = exact(q[i], x[rows])
-                    keep = best(d, ids[rows], k)
-                    out[0].append(np.full(len(keep), qid[i]))
-                    out[1].append(ids[rows][keep])
-                    out[2].append(d[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
+                held.add(qid.to_numpy(), matrix(qv), ids.to_numpy(), matrix(v))
+                if len(held.found) > HELD:
+                    yield held.rows()
+                    held = Nearest(k)
+        yield held.rows()
 
     found = pairs.mapInArrow(rerank, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
