@@ -7,13 +7,14 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from soukspark.functions.num import col
 
 _TEXT_KEY = re.compile(r"^(text|content|paragraph|description)$", re.I)
 _IMAGE_KEY = re.compile(r"image|img|photo", re.I)
 _IMAGE = re.compile(r"^https?://|^[a-z0-9_-]{16,}$", re.I)
-RICH = "text string, images array<string>"
+RICH = T.StructType([T.StructField("text", T.StringType()), T.StructField("images", T.ArrayType(T.StringType()))])
 
 
 def rich_text(value, deepest: int = 8) -> tuple[str, list[str]]:
@@ -71,7 +72,7 @@ def copies(value, item: str, deepest: int = 10) -> list[dict]:
     return out
 
 
-@F.udf(returnType="array<string>", useArrow=True)
+@F.udf(returnType=T.ArrayType(T.StringType()), useArrow=True)
 def item_copies(x, item):
     """Each copy of an item in a JSON string, as JSON."""
     return [json.dumps(c, ensure_ascii=False) for c in copies(_load(x), str(item))]
@@ -91,7 +92,7 @@ def first_number(value, key: str, deepest: int = 6):
     return None
 
 
-@F.udf(returnType="long", useArrow=True)
+@F.udf(returnType=T.LongType(), useArrow=True)
 def shop_id_of(x):
     return first_number(_load(x), "shopid")
 

@@ -24,7 +24,7 @@ def attempts(rows: DataFrame, most: int = 3) -> DataFrame:
 def daily_counts(done: DataFrame, ts: str = "done_at", late: str = "1 hour") -> DataFrame:
     """Completions by worker and local day: days start at 16:00 UTC."""
     day = F.window(ts, "1 day", startTime="16 hours")
-    out = done.withWatermark(ts, late).groupBy("worker_id", day.alias("w")).agg(F.count("*").alias("n"))
+    out = done.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy("worker_id", day.alias("w")).agg(F.count("*").alias("n"))
     return out.select("worker_id", F.to_date(F.col("w.start") + F.expr("interval 8 hours")).alias("day"), "n")
 
 
