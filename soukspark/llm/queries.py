@@ -115,8 +115,64 @@ def _op5_sql() -> str:
         length, digest, case when h % 97 = 0 then 'changed' else 'ok' end as status from c"""
 
 
+def _op8_sql() -> str:
+    o, alpha = urlfilter.ORDER, urlfilter.ALPHABET
+    rules = sorted(RULES, key=lambda r: (-len(r[1]), r[1]))
+    fits = lambda h, p: f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}'))"
+    case = lambda k: "case " + " ".join(f"when {fits(*r[1].split('/', 1))} then '{r[k]}'" for r in rules) + " end"
+    marks = "".join(f"\\{c}" for c in urlfilter.MARKS)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    sql = [
+        f"b0 as (select page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}'), '') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path from pages)",
+        f"b as (select *, {case(1)} as rule, {case(0)} said from b0)",
+        f"d as (select url, any_value(said) said, '{'^' * o}' || regexp_replace(translate(translate(coalesce(url, ''), '{upper}', '{lower}'), '123456789', '000000000'), '(?s)[^a-z0{marks}]', '~', 'g') t, ('0x' || substr(md5(coalesce(url, '')), 1, 8))::bigint % {urlfilter.FOLDS} = 0 held from b group by url)",
+        f"e as (select url, said, held, t, unnest(range(1, length(t) - {o} + 1)) i from d where length(t) > {o})",
+        f"g as (select url, said, held, substr(t, i, {o + 1}) gram from e)",
+        "f as (select gram, count(*) filter (said = 'allow') a, count(*) filter (said = 'block') r from g where said is not null and not held group by gram)",
+        f"m0 as (select gram, 1.0::double / {alpha} pa, 1.0::double / {alpha} pr from f)",
+    ]
+    for k in range(o + 1):
+        part = f"substr(gram, {o + 1 - k}, {k + 1})"
+        sql.append(f"s{k} as (select g, a, r, {', '.join(f'sum({x}) over (partition by substr(g, 1, {k})) n{x}, count(*) filter ({x} > 0) over (partition by substr(g, 1, {k})) t{x}' for x in 'ar')} from (select {part} g, sum(a) a, sum(r) r from f group by 1))")
+        step = ", ".join(f"case when n{x} > 0 then (s.{x} + t{x} * p{x})::double / (n{x} + t{x}) else p{x} end p{x}" for x in "ar")
+        sql.append(f"m{k + 1} as (select gram, {step} from m{k} join s{k} s on g = {part})")
+    sql += [
+        f"z as (select url, any_value(said) said, avg(coalesce(ln(pa) - ln(pr), 0)) score from g left join m{o + 1} using (gram) where said is null or held group by url)",
+        "l as (select avg(score) filter (said = 'allow') ma, stddev_pop(score) filter (said = 'allow') sa, avg(score) filter (said = 'block') mb, stddev_pop(score) filter (said = 'block') sb from z)",
+        "h as (select case when sa + sb = 0 then (ma + mb) / 2 else (ma * sb + mb * sa) / (sa + sb) end t from l)",
+    ]
+    return "with " + ",\n".join(sql) + "\nselect page_id, host, path, rule, coalesce(b.said, case when coalesce(score, 0) < (select t from h) then 'block' else 'allow' end) verdict from b left join (select url u, score from z where said is null) on b.url is not distinct from u"
+
+
+def _op9_sql() -> str:
+    rules = quality.RepetitionRules()
+    full = "[^\\x09-\\x0D ]"
+    sql = [
+        f"a as (select doc_id, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE_CLASS}+'), lambda x: x <> '') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{full}')) l from documents)",
+        f"b as (select *, len(w) n, length(regexp_replace(t, '{_SPACE_CLASS}', '', 'g')) total from a)",
+        "j as (select doc_id, unnest(range(1, len(w) + 1)) j, unnest(list_transform(w, lambda x: length(x))) c from b)",
+        "ln as (select doc_id, row_number() over (partition by doc_id, x order by i) rn, x from (select doc_id, unnest(range(len(l))) i, unnest(l) x from b))",
+        f"dl as (select doc_id, count(*) k, sum(length(regexp_replace(x, '{_SPACE_CLASS}', '', 'g'))) c from ln where rn > 1 group by 1)",
+    ]
+    bad = ["coalesce(dl.k, 0) > 1 and dl.k > %r::double * len(l)" % rules.line_share, "coalesce(dl.c, 0) > %r::double * greatest(1, total)" % rules.line_chars]
+    joins = "left join dl on dl.doc_id = b.doc_id"
+    for n, limit in (*rules.top, *rules.repeated):
+        sql.append(f"g{n} as (select doc_id, i, s, row_number() over (partition by doc_id, s order by i) rn, count(*) over (partition by doc_id, s) c from (select doc_id, i, array_to_string(w[i:i + {n - 1}], ' ') s from (select doc_id, w, unnest(range(1, greatest(len(w) - {n - 2}, 1))) i from b)))")
+        if (n, limit) in rules.top:
+            sql.append(f"x{n} as (select doc_id, max(c * (length(s) - {n - 1})) c from (select *, max(c) over (partition by doc_id) m from g{n}) where c = m and c > 2 group by 1)")
+        else:
+            sql.append(f"x{n} as (select doc_id, sum(c) c from (select distinct g.doc_id, g.i + k j from g{n} g, range({n}) r(k) where rn > 1) join j using (doc_id, j) group by 1)")
+        joins += f" left join x{n} on x{n}.doc_id = b.doc_id"
+        bad.append(f"coalesce(x{n}.c, 0) > {limit!r}::double * total")
+    sql.append("r5 as (select doc_id, count(*) k from (select distinct g.doc_id, g.i + k j from g5 g, range(5) r(k) where c > 1) group by 1)")
+    base = "(n < 10 or 100 * coalesce(r5.k, 0) > 20 * n)"
+    return "with " + ",\n".join(sql) + f"""
+    select b.doc_id, n::bigint n_words, total::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, coalesce(dl.k, 0)::bigint n_dup_lines, coalesce(r5.k, 0)::bigint n_repeat_words,
+      {base} base_failed, not {base} and not coalesce({' or '.join(f'({x})' for x in bad)}, false) kept from b {joins} left join r5 on r5.doc_id = b.doc_id"""
+
+
 def oracle_sql() -> dict:
-    return {"op5_warc": _op5_sql(), "op10_mixing": _op10_sql()}
+    return {"op5_warc": _op5_sql(), "op8_url_filter": _op8_sql(), "op9_quality": _op9_sql(), "op10_mixing": _op10_sql()}
 
 
 def _op10_sql() -> str:
