@@ -237,3 +237,22 @@ def fill_template(template: str, values: dict) -> Column:
     for name, x in values.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(col(x).cast("string"), F.lit("")))
     return out
+
+
+def is_source_url(url, hosts: tuple[str, ...] = ("shopee.sg", "sg.shp.ee")) -> Column:
+    """Whether a URL names one of the source's hosts, anywhere in it."""
+    u = F.coalesce(col(url), F.lit(""))
+    out = F.lit(False)
+    for h in hosts:
+        out = out | u.contains(h)
+    return out
+
+
+def is_proxied_image(url, suffixes: tuple[str, ...] = ("shopee.sg", "susercontent.com", "shopeemobile.com"), own: str | None = None) -> Column:
+    """Whether an image may be fetched for a worker: its host ends in one of the suffixes (as text: ``evilshopee.sg``
+    ends in the first, too), or is one's own."""
+    host = F.regexp_extract(F.coalesce(col(url), F.lit("")), r"^https?://([^/?#:]+)", 1)
+    out = F.lit(False)
+    for s in suffixes:
+        out = out | host.endswith(s)
+    return out | (host == own) if own else out

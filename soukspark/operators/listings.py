@@ -139,3 +139,42 @@ def link_faults(listings: DataFrame) -> DataFrame:
 def valid_link(url) -> F.Column:
     u = num.col(url)
     return u.rlike(r"(?i)carousell\.") & u.rlike("(?i)/p/|/sell/|app.link")
+
+
+def resolved(urls: DataFrame, links: DataFrame) -> DataFrame:
+    """``url`` with short links replaced by where they lead (``short, target``); unknown ones stay."""
+    return urls.join(links, urls["url"] == links["short"], "left").withColumn("url", F.coalesce("target", "url")).drop("short", "target")
+
+
+def extra_warnings(products: DataFrame, categories: list[str], least_rating: float = 4.0, low: float = 15, high: float = 150) -> DataFrame:
+    """``warnings`` by rules that are off unless asked for: category, seller's place, rating, cost. Fields that were not
+    captured raise none. In: ``category, shop_location, rating, cost``."""
+    found = F.array(
+        F.when(~F.col("category").isin(categories), "category"), F.when(~F.lower("shop_location").contains("singapore"), "seller"),
+        F.when(F.col("rating") < least_rating, "rating"), F.when(~F.col("cost").between(low, high), "cost"),
+    )
+    return products.withColumn("warnings", F.filter(found, lambda x: x.isNotNull()))
+
+
+def duplicate_log(found: DataFrame, products: DataFrame, now: str) -> DataFrame:
+    """Rows for the log of near duplicates: the product, the listing it is like, and how much. In: pairs of
+    ``fuzzy.best_match``; products ``id, title, listing_url``."""
+    rows = found.join(products.select(F.col("id").alias("probe_id"), "title", "listing_url"), "probe_id")
+    return rows.select("probe_id", "title", "listing_url", F.col("id").alias("matched_id"), "score", F.to_timestamp(F.lit(now)).alias("logged_at"))
+
+
+def search(listings: DataFrame, words: str, assigned: bool | None = None) -> DataFrame:
+    """Listings whose title or AI title holds the words, in any case; assigned to a worker or not, if asked."""
+    w = words.lower()
+    hit = F.lower(F.coalesce("title", F.lit(""))).contains(w) | F.lower(F.coalesce("ai_title", F.lit(""))).contains(w)
+    out = listings.where(hit)
+    return out if assigned is None else out.where(F.col("assigned_worker_id").isNotNull() == assigned)
+
+
+def to_regenerate(listings: DataFrame, n: int = 2) -> DataFrame:
+    """The first listings, by age, that still lack an AI title."""
+    return listings.where(F.coalesce("ai_title", F.lit("")) == "").orderBy("created_at", "id").limit(n)
+
+
+def oldest_pending(inbox: DataFrame, n: int = 3) -> DataFrame:
+    return inbox.where(~F.coalesce("consumed", F.lit(False))).orderBy("id").limit(n)

@@ -315,3 +315,33 @@ def test_daily_counts_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = queue.daily(done.withColumn("day", queue.local_day("done_at"))).select("worker_id", "day", "n")
     assert {tuple(r) for r in spark.table("daily").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_small_operators(spark):
+    urls = spark.createDataFrame([("https://sg.shp.ee/x",), ("https://evilshopee.sg/i.jpg",), ("https://a.susercontent.com/f",), (None,)], "url string")
+    from soukspark.functions import text
+
+    got = urls.select(text.is_source_url("url"), text.is_proxied_image("url")).collect()
+    assert [tuple(r) for r in got] == [(True, False), (True, True), (False, True), (False, False)]
+    links = spark.createDataFrame([("https://sg.shp.ee/x", "https://m/product/1/2")], "short string, target string")
+    assert [r.url for r in listings.resolved(urls.limit(2), links).orderBy("url").collect()] == ["https://evilshopee.sg/i.jpg", "https://m/product/1/2"]
+    rows = spark.createDataFrame([("desk", "Singapore", 4.5, 20.0), ("toy", "China", 3.0, 500.0), (None, None, None, None)], "category string, shop_location string, rating double, cost double")
+    assert [r.warnings for r in listings.extra_warnings(rows, ["desk"]).collect()] == [[], ["category", "seller", "rating", "cost"], []]
+    t = datetime(2024, 6, 1)
+    held = spark.createDataFrame([(1, "Blue desk", None, "w", t, "done", "https://m.carousell.sg/p/1"), (2, "x", "Big DESK", None, t, "done", None), (3, "y", "", "w", t, "active", None)], "id long, title string, ai_title string, assigned_worker_id string, created_at timestamp, status string, sold_url string")
+    assert sorted(r.id for r in listings.search(held, "desk").collect()) == [1, 2] and [r.id for r in listings.search(held, "desk", True).collect()] == [1]
+    assert [r.id for r in listings.to_regenerate(held, 2).collect()] == [1, 3]
+    assert [r.id for r in listings.link_faults(held).collect()] == [2]
+    inboxes = spark.createDataFrame([(3, False), (1, True), (2, None)], "id long, consumed boolean")
+    assert [r.id for r in listings.oldest_pending(inboxes).collect()] == [2, 3]
+    found = spark.createDataFrame([(1, 2, 0.7)], "probe_id long, id long, score double")
+    assert listings.duplicate_log(found, held.withColumn("listing_url", F.lit("u")), NOW).first().matched_id == 2
+
+
+def test_regeneration_and_copy(spark):
+    rows = spark.createDataFrame([("Title one\nmore", 3, 4, ["a"], ""), ("T", None, None, None, "kept")], "title string, edt_min int, edt_max int, variant_names array<string>, ai_title string")
+    assert [r.ai_title for r in hooks.regenerate(rows).collect()] == ["Title one", "kept"]
+    made = hooks.copy_text(rows).collect()
+    assert made[0].ai_title == "Title one" and made[0].ai_description.startswith("🚚 Free Doorstep Delivery | 4-5 Working Days")
+    shots = spark.createDataFrame([(1, "u"), (1, None)], "id long, shot_url string")
+    assert tuple(hooks.shot_counts(shots, 3).first()) == (1, 1, 2)
