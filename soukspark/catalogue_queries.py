@@ -68,18 +68,18 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"with {_judged(Flags())} select ord, pid product_id, price, sold, reviews, rating, {_SELL.format('price')} sell from judged where reason is null")
-def sourcing_kept(spark: SparkSession, d: str) -> DataFrame:
+def p1_sourcing_kept(spark: SparkSession, d: str) -> DataFrame:
     out = sourcing.cascade(_items(spark, d)).where("reason is null").orderBy(F.desc("sold"), F.desc("reviews_n"), "ord")
     return out.select("ord", "product_id", "price", "sold", "reviews", "rating", "sell")
 
 
 @query(f"with {_judged(PRICED)} select ord, pid product_id, reason from judged where reason is not null")
-def sourcing_rejects(spark: SparkSession, d: str) -> DataFrame:
+def o2_sourcing_rejects(spark: SparkSession, d: str) -> DataFrame:
     return sourcing.rejects(sourcing.cascade(_items(spark, d), PRICED)).select("ord", "product_id", "reason")
 
 
 @query(f"with {_judged(PRICED)} select reason, count(*) n, min(ord) first_ord from judged where reason is not null group by 1")
-def reason_histogram(spark: SparkSession, d: str) -> DataFrame:
+def a3_reason_histogram(spark: SparkSession, d: str) -> DataFrame:
     return reports.reasons(sourcing.cascade(_items(spark, d), PRICED))
 
 
@@ -88,13 +88,13 @@ _BANDS = ", ".join(f"({k}, {a}::double, {b}::double, {min(b, a * 2 + 50)}::doubl
 
 @query(f"""with {_judged(PRICED)}, bands(band, lo, hi, top) as (values {_BANDS}) select band::int band, count(*) n, lo low, {_SELL.format('lo')} sell_low, {_SELL.format('top')} sell_high,
   lo >= {PRICED.min_price} and hi <= {PRICED.max_price} + 1 in_queue from judged join bands on price >= lo and price < hi where good group by band, lo, hi, top""")
-def price_spread(spark: SparkSession, d: str) -> DataFrame:
+def a4_price_spread(spark: SparkSession, d: str) -> DataFrame:
     return reports.cost_bands(sourcing.cascade(_items(spark, d), PRICED), PRICED)
 
 
 @query(f"""with {_judged(PRICED)} select count(*) filter (price < 20 or price > 300) excluded, count(*) total,
   cast(floor(coalesce(count(*) filter (price < 20 or price > 300) * 100.0 / nullif(count(*), 0), 0) + 0.5) as bigint) percent from judged where good""")
-def price_band_excluded(spark: SparkSession, d: str) -> DataFrame:
+def a7_price_band_excluded(spark: SparkSession, d: str) -> DataFrame:
     return reports.excluded_by_band(sourcing.cascade(_items(spark, d), PRICED), 20, 300)
 
 
@@ -104,7 +104,7 @@ _FIT = "count(*) filter (sold >= {} and reviews >= {} and rating >= {} and price
 
 
 @query(f"with {_COPIES} " + " union all ".join(f"select '{p[0]}' preset, {_FIT.format(*p[1:])} n from copies" for p in reports.presets(Flags())))
-def threshold_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+def a8_threshold_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return reports.sensitivity(sourcing.first_copies(_items(spark, d)))
 
 
@@ -112,12 +112,12 @@ _LOOSE = [("current", 100, 50, 3.8, 0, 1e9), ("sold -> 500", 500, 50, 3.8, 0, 1e
 
 
 @query(f"with {_COPIES} " + " union all ".join(f"select '{p[0]}' setting, {_FIT.format(*p[1:])} n, {_FIT.format(*p[1:])} - {_FIT.format(*_LOOSE[0][1:])} delta from copies" for p in _LOOSE))
-def threshold_loosened(spark: SparkSession, d: str) -> DataFrame:
+def a9_threshold_loosened(spark: SparkSession, d: str) -> DataFrame:
     return reports.loosened(sourcing.first_copies(_items(spark, d)))
 
 
 @query(f"with {_COPIES} select pid product_id, sold, reviews::double reviews, rating, price from copies")
-def first_copy_of_each(spark: SparkSession, d: str) -> DataFrame:
+def ad2_first_copy_of_each(spark: SparkSession, d: str) -> DataFrame:
     return sourcing.first_copies(_items(spark, d))
 
 
@@ -137,7 +137,7 @@ _SHOP_BANDS = ", ".join(f"({k}, {a}::double, {b}::double, '{c}')" for k, (a, b,
 
 @query(f"""with {_SHOP}, bands(k, lo, hi, label) as (values {_SHOP_BANDS}) select k::int k, label, count(ord) n_all, count(*) filter (ord is not null and {_WIN}) n_winners
   from bands left join shop on price >= lo and price < hi group by 1, 2""")
-def shop_band_tally(spark: SparkSession, d: str) -> DataFrame:
+def a5_shop_band_tally(spark: SparkSession, d: str) -> DataFrame:
     return reports.band_tally(_shop(spark, d))
 
 
@@ -146,7 +146,7 @@ def shop_band_tally(spark: SparkSession, d: str) -> DataFrame:
     count(*) filter (win and price between 15 and 300) sweet, count(*) filter (price < 15) ca, count(*) filter (win and price < 15) cw from m)
   select n, n_win, {_MED.format('lp')} median_all, {_MED.format('lw')} median_win, {_MED.format('lm')} median_markup, over_3x, sweet,
     cast(floor(ca * 100.0::double / greatest(n, 1) + 0.5) as bigint) cheap_pct, cast(floor(cw * 100.0::double / greatest(n_win, 1) + 0.5) as bigint) cheap_pct_win from g""")
-def shop_summary(spark: SparkSession, d: str) -> DataFrame:
+def a10_shop_summary(spark: SparkSession, d: str) -> DataFrame:
     return reports.shop_summary(_shop(spark, d))
 
 
@@ -155,18 +155,18 @@ def _top(n: int, extra: str = "") -> str:
 
 
 @query(_top(20))
-def shop_top_sold(spark: SparkSession, d: str) -> DataFrame:
+def o3_shop_top_sold(spark: SparkSession, d: str) -> DataFrame:
     return reports.top_sold(_shop(spark, d))
 
 
 @query(_top(12, "and price between 15 and 300"))
-def shop_sweet_spot(spark: SparkSession, d: str) -> DataFrame:
+def p9_shop_sweet_spot(spark: SparkSession, d: str) -> DataFrame:
     return reports.top_sold(_shop(spark, d), 12, True)
 
 
 @query(f"""with {_SHOP}, g as (select count(*) n, min(price) least, list(price) l from shop) select n, least, {_MED.format('l')} median,
   greatest(greatest(least - 1, 0.0), ceil(greatest(60.0 * 1.5, 60.0 + 24) / 5) * 5)::double undercut from g""")
-def competitor_stats(spark: SparkSession, d: str) -> DataFrame:
+def a17_competitor_stats(spark: SparkSession, d: str) -> DataFrame:
     return reports.competitor_stats(_shop(spark, d), 60.0)
 
 
@@ -188,29 +188,29 @@ def _load(spark: SparkSession, d: str, only: bool) -> DataFrame:
 
 
 @query(_load_sql(False))
-def load_catalogue(spark: SparkSession, d: str) -> DataFrame:
+def j1_load_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return load.ordered(_load(spark, d, False)).withColumn("images", F.array_join("images", ","))
 
 
 @query(_load_sql(True))
-def load_ranked_only(spark: SparkSession, d: str) -> DataFrame:
+def j7_load_ranked_only(spark: SparkSession, d: str) -> DataFrame:
     return load.ordered(_load(spark, d, True)).withColumn("images", F.array_join("images", ","))
 
 
 @query(f"with x as ({_load_sql(False)}) select * from x order by times_listed desc, ord limit 50")
-def load_top(spark: SparkSession, d: str) -> DataFrame:
+def o4_load_top(spark: SparkSession, d: str) -> DataFrame:
     return load.ordered(_load(spark, d, False), 50).withColumn("images", F.array_join("images", ","))
 
 
 @query(f"""with x as ({_load_sql(False)}) select (select count(*) from x) total, (select count(*) from ({plain(adapters.CATALOG)}) where trim(title) = '' or trim(listing_url) = '') skipped,
   (select count(*) from x where times_listed > 1) covered, (select count(*) from x where images = '') without_images""")
-def load_summary(spark: SparkSession, d: str) -> DataFrame:
+def a13_load_summary(spark: SparkSession, d: str) -> DataFrame:
     return load.summary(view(spark, d, adapters.CATALOG), _load(spark, d, False))
 
 
 @query(f"""with cat as ({plain(adapters.CATALOG)}), t as (select listing_url from cat where ord % 2 = 0), f as (select *, row_number() over (partition by listing_url order by ord) r from cat)
   select ord, listing_url, title from f where r = 1 and not exists (select 1 from t where t.listing_url = f.listing_url)""")
-def load_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
+def k3_load_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, adapters.CATALOG)
     return load.insert_ignore(rows.where("ord % 2 = 0"), rows, ["listing_url"]).select("ord", "listing_url", "title")
 
@@ -220,17 +220,17 @@ _REPRICED = f"""{_RANKED}, q as (select id, listing_url, price have, row_number(
 
 
 @query(f"with {_REPRICED} select * from ch")
-def reprice(spark: SparkSession, d: str) -> DataFrame:
+def j8_reprice(spark: SparkSession, d: str) -> DataFrame:
     return load.repriced(view(spark, d, adapters.QUEUE), view(spark, d, adapters.RANKED))
 
 
 @query(f"with {_REPRICED} select * from ch order by abs(want - have) desc, id limit 6")
-def reprice_largest(spark: SparkSession, d: str) -> DataFrame:
+def o10_reprice_largest(spark: SparkSession, d: str) -> DataFrame:
     return load.largest_changes(load.repriced(view(spark, d, adapters.QUEUE), view(spark, d, adapters.RANKED)))
 
 
 @query(f"with {_REPRICED} select q0.id, coalesce(want, q0.price) price from ({plain(adapters.QUEUE)}) q0 left join ch using (id)")
-def reprice_applied(spark: SparkSession, d: str) -> DataFrame:
+def k4_reprice_applied(spark: SparkSession, d: str) -> DataFrame:
     q = view(spark, d, adapters.QUEUE)
     return load.update_prices(q, load.repriced(q, view(spark, d, adapters.RANKED))).select("id", "price")
 
@@ -258,12 +258,12 @@ _STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 @query(f"""with {_Q}, {_W}, best as (select id from q where account = (select account_name from w where id = '{WORKER}') and {_FREE} order by times_listed desc, id limit 20)
   select q.id, case when b.id is null then state else 'claimed' end state, case when b.id is null then claimed_by else '{WORKER}' end claimed_by,
     {_STAMP.format(f'case when b.id is null then claimed_at else {_TS} end')} claimed_at, attempts + (b.id is not null)::int attempts, reject_reason, {_STAMP.format('done_at')} done_at, b.id is not null taken from q left join best b on q.id = b.id""")
-def queue_claim(spark: SparkSession, d: str) -> DataFrame:
+def t2_queue_claim(spark: SparkSession, d: str) -> DataFrame:
     return _shown(queue.claim(_q(spark, d), view(spark, d, adapters.WORKERS), WORKER, 20, NOW), "taken")
 
 
 @query(f"with {_Q} select id, account, r::int \"rank\" from (select *, row_number() over (partition by account order by times_listed desc, id) r from q where {_FREE}) where r <= 10")
-def queue_claim_each_account(spark: SparkSession, d: str) -> DataFrame:
+def w4_queue_claim_each_account(spark: SparkSession, d: str) -> DataFrame:
     return queue.claim_all(_q(spark, d), 10, NOW).select("id", "account", "rank")
 
 
@@ -279,26 +279,26 @@ _HIT = f"(id % 997 = 5 and state = 'claimed' and claimed_by = '{WORKER}')"
 
 @query(f"""with {_Q}, {_H} select id, case when {_HIT} then 'done' else state end state, claimed_by, {_STAMP.format('claimed_at')} claimed_at, attempts, reject_reason,
   {_STAMP.format(f'case when {_HIT} then {_TS} else done_at end')} done_at, case when {_HIT} then 'https://m.example/p/1' else done_url end done_url, coalesce({_HIT}, false) changed from h""")
-def queue_complete(spark: SparkSession, d: str) -> DataFrame:
+def t3_queue_complete(spark: SparkSession, d: str) -> DataFrame:
     return _shown(queue.complete(*_held_by(spark, d), NOW, "https://m.example/p/1"), "done_url", "changed")
 
 
 @query(f"""with {_Q}, {_H}, mine as (select distinct listing_url from h where {_HIT}), m as (select *, coalesce({_HIT}, false) changed, state = 'pending' and listing_url in (select * from mine) other from h)
   select id, case when changed or other then 'rejected' else state end state, claimed_by, {_STAMP.format('claimed_at')} claimed_at, attempts,
   case when changed then 'no margin' when other then 'no margin [via another account]' else reject_reason end reject_reason, {_STAMP.format(f'case when changed or other then {_TS} else done_at end')} done_at, changed from m""")
-def queue_reject(spark: SparkSession, d: str) -> DataFrame:
+def t4_queue_reject(spark: SparkSession, d: str) -> DataFrame:
     return _shown(queue.reject(*_held_by(spark, d), NOW, "no margin"), "changed")
 
 
 @query(f"""with {_Q}, m as (select *, coalesce(claimed_by = '{WORKER}' and state = 'claimed', false) changed from q) select id, case when changed then 'pending' else state end state,
   case when not changed then claimed_by end claimed_by, {_STAMP.format('case when not changed then claimed_at end')} claimed_at, attempts, reject_reason, {_STAMP.format('done_at')} done_at, changed from m""")
-def queue_release(spark: SparkSession, d: str) -> DataFrame:
+def t5_queue_release(spark: SparkSession, d: str) -> DataFrame:
     return _shown(queue.release(_q(spark, d), WORKER), "changed")
 
 
 @query(f"""with {_Q} select listing_url, title, times_listed, 'acct1' account, 'pending' state, 0::int attempts from q where account = 'acct0' and state <> 'rejected'
   and not exists (select 1 from q t where t.account = 'acct1' and t.listing_url = q.listing_url and t.id % 2 = 0)""")
-def queue_clone(spark: SparkSession, d: str) -> DataFrame:
+def t6_queue_clone(spark: SparkSession, d: str) -> DataFrame:
     q = _q(spark, d).where("account <> 'acct1' or id % 2 = 0")
     return queue.clone(q, "acct1", "acct0").select("listing_url", "title", "times_listed", "account", "state", "attempts")
 
@@ -307,40 +307,40 @@ _COUNTS = "count(*) total, " + ", ".join(f"count(*) filter (state = '{s}') {s}"
 
 
 @query(f"with {_Q} select {_COUNTS}, count(*) filter (state = 'claimed' and claimed_at < {_TS} - interval '4' hour) lease_expired, count(*) filter (attempts > 3 and state <> 'done') repeatedly_reclaimed from q")
-def queue_stats(spark: SparkSession, d: str) -> DataFrame:
+def a1_queue_stats(spark: SparkSession, d: str) -> DataFrame:
     return queue.stats(_q(spark, d), NOW)
 
 
 @query(f"with {_Q} select account, {_COUNTS} from q group by 1")
-def queue_by_account(spark: SparkSession, d: str) -> DataFrame:
+def a2_queue_by_account(spark: SparkSession, d: str) -> DataFrame:
     return queue.stats(_q(spark, d), NOW, True)
 
 
 @query(f"with {_Q}, {_W}, n as (select account, count(*) n from q where state = 'pending' group by 1) select id worker_id, coalesce(n, 0) depth from w left join n on account = account_name")
-def queue_depth(spark: SparkSession, d: str) -> DataFrame:
+def a12_queue_depth(spark: SparkSession, d: str) -> DataFrame:
     return queue.depth(_q(spark, d), view(spark, d, adapters.WORKERS))
 
 
 @query(f"with x as ({plain(adapters.DONE)}) select worker_id, count(*) count_today from x where day = date '2024-01-10' group by 1")
-def done_today(spark: SparkSession, d: str) -> DataFrame:
+def a11_done_today(spark: SparkSession, d: str) -> DataFrame:
     return queue.done_today(view(spark, d, adapters.DONE), "2024-01-10")
 
 
 @query(f"with x as ({plain(adapters.DONE)}) select worker_id, strftime(day, '%Y-%m-%d') as day, count(*) n from x group by 1, 2")
-def daily_progress(spark: SparkSession, d: str) -> DataFrame:
+def t14_daily_progress(spark: SparkSession, d: str) -> DataFrame:
     done = view(spark, d, adapters.DONE).withColumn("day", queue.local_day("done_at"))
     return queue.daily(done).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(f"""with {_W}, r as (select 'w' || user_id worker_id, user_id % 2 = 0 mode from (select distinct user_id from events) union all select 'nobody', false)
   select worker_id, case when w.id is null then 404 when not active then 403 else 200 end status, coalesce(mode, false) or coalesce(w.queue_mode, false) queue_mode from r left join w on worker_id = w.id""")
-def worker_gate(spark: SparkSession, d: str) -> DataFrame:
+def p10_worker_gate(spark: SparkSession, d: str) -> DataFrame:
     ids = view(spark, d, "select distinct user_id from {events}").select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("worker_id"), (F.col("user_id") % 2 == 0).alias("mode"))
     return queue.gate(ids.unionAll(spark.createDataFrame([("nobody", False)], "worker_id string, mode boolean")), view(spark, d, adapters.WORKERS))
 
 
 @query("select event_id id from events where not (event_type = 'view' and ts < timestamp '2024-02-05 00:00:00' - interval '30' day)")
-def inbox_retained(spark: SparkSession, d: str) -> DataFrame:
+def t7_inbox_retained(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "select event_id as id, event_type = 'view' as consumed, ts as created_at from {events}")
     return queue.retained(rows, "2024-02-05 00:00:00").select("id")
 
@@ -375,18 +375,18 @@ _MANY = f"{_M}, n as (select product, count(*) filter (price > 0) n from m group
     case when regexp_matches(name, '\\d+\\s*[x]\\s*\\d+') then regexp_extract(name, '\\d+\\s*[x]\\s*\\d+\\s*(cm)?') else name end ai_title, 'One' || chr(10) || 'Two' ai_description, price source_cost, {_SELL.format('price')} sell_price,
     case when own is null then 'g1,g2' else array_to_string(list_filter([own, list_filter(list_transform(range(1, len(pal) + 1), lambda s: pal[((k + s) % len(pal))::int + 1]), lambda x: x <> own)[1]], lambda x: x is not null), ',') end images
   from v left join f using (product, colour) left join p using (product)""")
-def listings_by_variant(spark: SparkSession, d: str) -> DataFrame:
+def l3_listings_by_variant(spark: SparkSession, d: str) -> DataFrame:
     return listings.by_variant(_products(spark, d)).withColumn("images", F.array_join("images", ",")).drop("title")
 
 
 @query(f"""with {_MANY}, c as (select product, max(price) cost from m group by 1) select product, 'https://shop.example/product/1/' || product listing_url, case when cost > 0 then cost end source_cost,
   case when cost > 0 then {_SELL.format('cost')} end sell_price, 'g1,r1,r2,g2,g3' images from n join c using (product) where n < 2""")
-def listings_single(spark: SparkSession, d: str) -> DataFrame:
+def l4_listings_single(spark: SparkSession, d: str) -> DataFrame:
     return listings.single(_products(spark, d)).select("product", "listing_url", "source_cost", "sell_price", F.array_join("images", ",").alias("images"))
 
 
 @query(f"with {_M} select product, count(*) n_variants, count(distinct {_COLOUR('name')}) n_colours from m group by 1")
-def variant_colours(spark: SparkSession, d: str) -> DataFrame:
+def a20_variant_colours(spark: SparkSession, d: str) -> DataFrame:
     return listings.colours(_models(spark, d))
 
 
@@ -394,7 +394,7 @@ def variant_colours(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with x as (select l_orderkey o, l_linenumber n, min(l_partkey) k from lineitem group by 1, 2), y as (select o, n, k, ['B', 'C', 'D'] t from x)
   select o product, n, ({list(config.TITLE_TAGS)!r})[(k % 10)::int + 1] || ' Item ' || o || ' | ' || array_to_string(t[(k % 3)::int + 1:] || t[:(k % 3)::int], ' | ') title from y""")
-def titles_rotated(spark: SparkSession, d: str) -> DataFrame:
+def fs10_titles_rotated(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "select l_orderkey as product, l_linenumber as n, min(l_partkey) as k from {lineitem} group by 1, 2")
     title = F.concat(F.lit("Item "), F.col("product").cast("string"), F.lit(" | B | C | D"))
     return rows.select("product", "n", text.rotate_title(title, F.col("k").cast("int")).alias("title"))
@@ -402,14 +402,14 @@ def titles_rotated(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with i as ({plain(adapters.ITEMS)}) select ord, case when url like '%/product/%' then split_part(url, '?', 1) else 'https://shop.example/product/1/' || regexp_extract(url, '-i\\.1\\.(\\d+)', 1) end listing_url,
   regexp_extract(url, '(\\d+)(\\?.*)?$', 1) item from i""")
-def urls_canonical(spark: SparkSession, d: str) -> DataFrame:
+def fs4_urls_canonical(spark: SparkSession, d: str) -> DataFrame:
     item = F.substring_index(text.loose_product_id("url"), ".", -1)
     return _items(spark, d).select("ord", text.canonical_url("url", "https://shop.example").alias("listing_url"), item.alias("item"))
 
 
 @query("""with x as (select l_orderkey o, l_linenumber n, l_partkey p, l_suppkey s, l_partkey % 33 a, l_partkey % 33 + l_suppkey % 5 - 1 b from lineitem) select o, n, p, s,
   case when a >= 1 and b >= a and b <= 30 then '🚚 Free Doorstep Delivery | ' || case when a = b then (b + 1)::varchar else (a + 1) || '-' || (b + 1) end || ' Working Days' else '🚚 Free Doorstep Delivery' end delivery from x""")
-def delivery_lines(spark: SparkSession, d: str) -> DataFrame:
+def fs13_delivery_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "select l_orderkey as o, l_linenumber as n, l_partkey as p, l_suppkey as s from {lineitem}")
     low = F.col("p") % 33
     return rows.withColumn("delivery", text.delivery_line(low, low + F.col("s") % 5 - 1))
@@ -417,7 +417,7 @@ def delivery_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {_W}, s as (select id, 'https://shop.example/product/1/' || substr(id, 2) || '#c0' url from w), b as (select id, split_part(url, '#', 1) base, unnest(range(12)) slot from s),
   f as (select *, row_number() over (partition by id order by slot) r from b where not (substr(id, 2)::int % 5 = slot)) select id, slot::int slot, (slot % 4)::int backdrop, (slot // 4 % 3)::int angle from f where r <= 6""")
-def backdrop_slots(spark: SparkSession, d: str) -> DataFrame:
+def j13_backdrop_slots(spark: SparkSession, d: str) -> DataFrame:
     w = view(spark, d, adapters.WORKERS).select("id", F.substring(F.col("id"), F.lit(2), F.length("id")).cast("int").alias("n"))
     base = F.concat(F.lit("https://shop.example/product/1/"), F.col("n").cast("string"))
     taken = w.select(F.concat(base, F.lit("#v"), F.col("id"), F.lit("-"), (F.col("n") % 5).cast("string")).alias("listing_url"), F.lit("active").alias("status"))
@@ -425,19 +425,19 @@ def backdrop_slots(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def classified_images(spark: SparkSession, d: str) -> DataFrame:
+def x5_classified_images(spark: SparkSession, d: str) -> DataFrame:
     pool = _models(spark, d).where("image is not null").select("product", (F.col("pos") % 100_000).cast("int").alias("i"), F.col("image").alias("url"))
     return hooks.classify(listings.batches(pool), hooks.stub_classifier)
 
 
 @query("""with x as (select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) title, url from pages) select page_id, title, split_part(split_part(url, '?', 1), '#', 1) base from x""")
-def page_titles(spark: SparkSession, d: str) -> DataFrame:
+def s10_page_titles(spark: SparkSession, d: str) -> DataFrame:
     pages = view(spark, d, "select * from {pages}")
     return pages.select("page_id", page.title("html").alias("title"), text.before(text.before("url", "?"), "#").alias("base"))
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as double) k from events")
-def event_props(spark: SparkSession, d: str) -> DataFrame:
+def fj5_event_props(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "select * from {events}").select("event_id", jsons.first_path("props", "$.missing", "$.k").try_cast("double").alias("k"))
 
 
@@ -450,13 +450,13 @@ _PAIRS = f"""t as (select *, {_GRAMS.format('title')} g from ({plain(adapters.TI
 
 
 @query(f"with {_PAIRS} select probe_id, count(*) n, round(max(score), 6) top from found group by 1")
-def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
+def j6_fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
     t = view(spark, d, adapters.TITLES)
     return fuzzy.pairs(t, t).groupBy("probe_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("top"))
 
 
 @query(f"with {_PAIRS} select probe_id, id, round(score, 6) score from (select *, row_number() over (partition by probe_id order by score desc, id) r from found where probe_id <> id) where r = 1")
-def fuzzy_best(spark: SparkSession, d: str) -> DataFrame:
+def o9_fuzzy_best(spark: SparkSession, d: str) -> DataFrame:
     t = view(spark, d, adapters.TITLES)
     best = fuzzy.best_match(fuzzy.pairs(t, t).where("probe_id <> id"))
     return best.select("probe_id", "id", F.round("score", 6).alias("score"))
@@ -465,7 +465,7 @@ def fuzzy_best(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_Q}, l as (select id, listing_url, case when state = 'claimed' then 'active' when state = 'rejected' then 'deleted' else state end status from q),
   x as (select listing_url, arg_min(id, id) id, arg_min(status, id) status from l where status <> 'deleted' group by 1), c as (select distinct listing_url from q)
   select listing_url, x.id existing_id, case when x.id is null then 'new' when x.status = 'active' then 'refresh' else 'block' end action from c left join x using (listing_url)""")
-def existing_listings(spark: SparkSession, d: str) -> DataFrame:
+def j5_existing_listings(spark: SparkSession, d: str) -> DataFrame:
     q = _q(spark, d)
     status = F.when(F.col("state") == "claimed", "active").when(F.col("state") == "rejected", "deleted").otherwise(F.col("state"))
     return fuzzy.existing(q.select("listing_url").distinct(), q.withColumn("status", status))
@@ -475,7 +475,7 @@ def existing_listings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with s as (select e.event_id, e.user_id % 20 listing_id, round(e.value * 100) cents from events e where event_type = 'purchase')
   select case when listing_id < 15 then 'w' || listing_id % 4 end worker_id, count(*) sold, cast(sum(cents) as bigint) revenue from s group by 1""")
-def worker_attribution(spark: SparkSession, d: str) -> DataFrame:
+def j17_worker_attribution(spark: SparkSession, d: str) -> DataFrame:
     sales = view(spark, d, "select user_id % 20 as listing_id, cast(round(value * 100) as bigint) as price from {events} where event_type = 'purchase'")
     own = spark.range(15).select(F.col("id"), F.concat(F.lit("w"), (F.col("id") % 4).cast("string")).alias("assigned_worker_id"))
     return reports.attribution(sales, own)
@@ -483,11 +483,96 @@ def worker_attribution(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with s as (select strftime(cast(ts + interval '8' hour as date), '%Y-%m-%d') as day, 'c' || user_id % 3 category, cast(round(value * 100) as bigint) p from events where event_type = 'purchase')
   select day, category, cast(sum(p) as bigint) revenue, cast(sum(p - 5) as bigint) profit from s group by 1, 2""")
-def revenue_by_day(spark: SparkSession, d: str) -> DataFrame:
+def a22_revenue_by_day(spark: SparkSession, d: str) -> DataFrame:
     sales = view(spark, d, "select ts, concat('c', cast(user_id % 3 as string)) as category, cast(round(value * 100) as bigint) as price, 5L as source_cost from {events} where event_type = 'purchase'")
     return reports.revenue(sales.withColumn("day", F.date_format(queue.local_day("ts"), "yyyy-MM-dd")))
 
 
 @query(f"""with {_SHOP}, g as (select name template, count(*) times_listed, list(price) l from shop group by 1) select template, times_listed, {_MED.format('l')} price from g""")
-def template_medians(spark: SparkSession, d: str) -> DataFrame:
+def a23_template_medians(spark: SparkSession, d: str) -> DataFrame:
     return reports.template_medians(_shop(spark, d).withColumnRenamed("name", "template"))
+
+
+# -- single functions ----------------------------------------------------------------------------------------------
+
+
+@query(f"""with i as ({plain(adapters.ITEMS)}) select ord, {_SOLD} sold, {_SELL.format('price')} sell, cast(ceil(greatest(price * 1.5, price + 24) / 5) * 5 as bigint) floor_price,
+  {_SELL.format('price')} / greatest(price, 0.01) markup, repeat('#', floor(reviews / 400.0::double * 30 + 0.5)::int) bar from i where reviews >= 0""")
+def fn1_fn9_numbers(spark: SparkSession, d: str) -> DataFrame:
+    rows = _items(spark, d).where("reviews >= 0")
+    return rows.select("ord", num.sold_to_number("sold_text").alias("sold"), num.sell_price("price").alias("sell"), num.margin_floor("price").alias("floor_price"), num.markup("price").alias("markup"), num.text_bar("reviews", F.lit(400), 30).alias("bar"))
+
+
+@query(rf"""with {_judged(Flags())} select ord, abroad, claims, local_shop, proven, bs::int bar_sold, br::int bar_reviews, bg::double bar_rating, need::bigint needed from d""")
+def p2_p6_bars_and_places(spark: SparkSession, d: str) -> DataFrame:
+    rows = sourcing.prepared(_items(spark, d), Flags()).withColumn("bar", sourcing.bar(Flags()))
+    return rows.select("ord", "abroad", "claims", "local_shop", F.col("proven_shop").alias("proven"), F.col("bar.sold").alias("bar_sold"), F.col("bar.reviews").alias("bar_reviews"), F.col("bar.rating").alias("bar_rating"), sourcing.reviews_needed(F.col("rating_n"), F.col("bar.reviews")).cast("long").alias("needed"))
+
+
+@query(f"""with {_M} select product, pos, case when regexp_matches(name, '\\d+ x \\d+') then regexp_extract(name, '\\d+ x \\d+ cm') else name end as label, {_COLOUR('name')} colour from m""")
+def fs8_fs9_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _models(spark, d).select("product", "pos", text.variant_label("name").alias("label"), text.colour_key("name").alias("colour"))
+
+
+@query(f"""with {_M} select product, max(price) cost, cast(ceil(greatest(max(price) * 1.5, max(price) + 25) / 10) * 10 as bigint) sell, min(price) least from m group by 1""")
+def a15_a16_costs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _products(spark, d)
+    return rows.select("product", "cost", num.sell_price("cost").alias("sell"), F.array_min(F.transform("models", lambda m: m["price"])).alias("least"))
+
+
+@query("""with x as (select doc_id, list_transform(string_split(text, '. '), lambda s: trim(s)) s from documents), y as (select doc_id, array_to_string(s[1:12], ' | ') t from x),
+  z as (select doc_id, t, list_filter(list_transform(string_split(t, '|'), lambda s: trim(s)), lambda s: s <> '') g from y)
+  select doc_id, len(g)::int segs, length(t)::int chars, regexp_matches(t, '(?i)\\d+\\s*(cm|mm|x\\s*\\d+)') has_dim, (len(g) - len(list_distinct(list_transform(g, lambda s: lower(s)))))::int repeated from z""")
+def fs26_title_lint(spark: SparkSession, d: str) -> DataFrame:
+    docs = view(spark, d, "select doc_id, text from {documents}")
+    title = F.array_join(F.slice(F.transform(F.split("text", r"\. "), lambda s: F.trim(s)), 1, 12), " | ")
+    seg = F.filter(F.transform(F.split("t", r"\|"), lambda s: F.trim(s)), lambda s: s != "")
+    out = docs.select("doc_id", title.alias("t")).select("doc_id", text.title_issues("t").alias("x"), (F.size(seg) - F.size(F.array_distinct(F.transform(seg, F.lower)))).alias("repeated"))
+    return out.select("doc_id", "x.segs", "x.chars", "x.has_dim", "repeated")
+
+
+@query(f"""with {_M}, s as (select product, 'src' || (product % 11) src from m group by 1), a as (select product, pos % 100000 i, case when pos % 3 = 0 then 'skip' else 'cover' end as role, pos % 4 = 0 needs_clean, image url from m),
+  c as (select product, url, bool_or(needs_clean) needs_clean, min(i) ord from a where role = 'cover' and url is not null group by 1, 2)
+  select product, url, needs_clean, ord::int ord, case when needs_clean then case when ord % 2 = 0 then url || '-clean' end else url end cover from c where not needs_clean or ord % 2 = 0""")
+def a18_p25_covers(spark: SparkSession, d: str) -> DataFrame:
+    answers = _models(spark, d).select("product", (F.col("pos") % 100_000).cast("int").alias("i"), F.when(F.col("pos") % 3 == 0, "skip").otherwise("cover").alias("role"), (F.col("pos") % 4 == 0).alias("needs_clean"), F.col("image").alias("url"))
+    covers = listings.cover_map(answers)
+    cleaned = covers.where("needs_clean").select("product", "url", F.when(F.col("ord") % 2 == 0, F.concat("url", F.lit("-clean"))).alias("cleaned_url"))
+    return listings.clean_gate(covers, cleaned).select("product", "url", "needs_clean", "ord", "cover")
+
+
+@query(f"""with i as ({plain(adapters.ITEMS)}) select ord, split_part(url, '?', 1) base, {_ID.replace("else url", "else split_part(url, '?', 1)")} pid from i""")
+def fs1_fs2_product_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d).select("ord", text.before("url", "?").alias("base"), text.product_id("url").alias("pid"))
+
+
+@query(f"""with {_M}, p as (select product, max(price) cost, ['g1', 'g2'] g from m group by 1), k as (select *, unnest(range(3)) k from p)
+  select product, 'u#c' || k listing_url, ({list(config.TITLE_TAGS)!r})[(k % 10)::int + 1] || ' T | ' || case k % 2 when 0 then 'x | y' else 'y | x' end ai_title, cost source_cost, {_SELL.format('cost')} sell_price,
+  array_to_string(['c' || k] || ['r1', 'r2'] || ['dim'], ',') images from k""")
+def l2_listings_by_cover(spark: SparkSession, d: str) -> DataFrame:
+    products = _products(spark, d).select("product", F.lit("u").alias("url"), F.lit("t").alias("title"), F.lit("T | x | y").alias("ai_title"), F.lit("d").alias("ai_description"), "cost", F.array(F.lit("r1"), F.lit("r2"), F.lit("r3")).alias("review_images"))
+    covers = products.select("product", F.explode(F.array(*[F.struct(F.lit(f"c{k}").alias("cover"), F.lit(k * 5).alias("ord")) for k in range(3)])).alias("x")).select("product", "x.*")
+    out = listings.by_cover(products, covers, products.select("product", F.lit("dim").alias("dims_url")))
+    return out.select("product", "listing_url", "ai_title", "source_cost", "sell_price", F.array_join("images", ",").alias("images"))
+
+
+@query("""select event_id, strftime(cast(ts + interval '8' hour as date), '%Y-%m-%d') as day from events""")
+def fd1_local_days(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "select * from {events}").select("event_id", F.date_format(queue.local_day("ts"), "yyyy-MM-dd").alias("day"))
+
+
+@query(f"""with {_M}, x as (select product, (pos % 100000)::int i, count(*) over (partition by product) n from m) select product, i, (i % greatest(ceil(n / 2.0)::int, 1))::int batch from x""")
+def w6_batches(spark: SparkSession, d: str) -> DataFrame:
+    pool = _models(spark, d).select("product", (F.col("pos") % 100_000).cast("int").alias("i"))
+    return listings.batches(pool, 2)
+
+
+@query(f"""with {_Q}, l as (select id, state, listing_url, 'w' || (id % 5) worker, case when state = 'claimed' then 'active' else state end status from q), r as (select id, 'w' || (id % 4) w, id % 6 = 0 skip from q where id % 2 = 0)
+  select l.id, case when r.id is null then null when worker <> w then '403' when status <> 'active' then '409' when skip then 'deleted' else '200' end outcome,
+    case when r.id is not null and worker = w and status = 'active' and not skip then 'done' else status end status from l left join r on l.id = r.id""")
+def t8_finished_listings(spark: SparkSession, d: str) -> DataFrame:
+    who = lambda n: F.concat(F.lit("w"), (F.col("id") % n).cast("string"))
+    q = _q(spark, d)
+    rows = q.select("id", F.when(F.col("state") == "claimed", "active").otherwise(F.col("state")).alias("status"), who(5).alias("assigned_worker_id"), F.lit(None).cast("string").alias("sold_url"))
+    asked = q.where("id % 2 = 0").select(F.col("id").alias("listing_id"), who(4).alias("worker_id"), (F.col("id") % 6 == 0).alias("skip"), F.lit("x").alias("url"))
+    return queue.finish_listings(rows, asked).select("id", "outcome", "status")
