@@ -24,7 +24,7 @@ _OWN_MARK = "\ud800"
 #: Characters of a word up to which words are handled together; longer ones go one by one.
 TOGETHER = 40
 #: Bytes of text handled at once, words whose forward sums are made at once, and how many a worker remembers.
-AT_ONCE, LEARNED, REMEMBERED = 1 << 22, 40_000, 300_000
+AT_ONCE, LEARNED, REMEMBERED = 1 << 21, 10_000, 250_000
 
 
 class Lattice:
@@ -56,7 +56,7 @@ class Lattice:
         self.weights = np.array([self.unknown, *[self.weight.get(k, 0.0) for k in range(n)]])
         self.spelling = [bytes([self.byte.index(k)]) if sp.is_byte(k) else x.encode().replace(MARK.encode(), b" ") for k, x in enumerate(self.names)]
         self.spelled = np.frombuffer(b"".join(self.spelling), np.uint8)
-        self.spelled_size = np.fromiter(map(len, self.spelling), np.int64, n)
+        self.spelled_size = np.fromiter(map(len, self.spelling), np.int32, n)
         self._tree()
         self.forget()
 
@@ -64,8 +64,8 @@ class Lattice:
         """Words learned so far: where their places start, their sizes; of each place the first arc and how many
         end there; of each arc the cumulative probability among those of its place, and its size and id."""
         self.known: dict[str, int] = {}
-        self.base, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.base, self.size = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.chance, self.arc = np.zeros(0, np.float32), np.zeros(0, np.int32)
 
     def _tree(self) -> None:
@@ -78,7 +78,7 @@ class Lattice:
                     piece.append(0)
                     edges.append((nodes[name[: m - 1]], kinds.setdefault(name[m - 1], len(kinds) + 1), nodes[name[:m]]))
             piece[nodes[name]] = k + 1
-        self.kind = np.zeros(0x110000, np.int64)
+        self.kind = np.zeros(0x110000, np.int32)
         for c, k in kinds.items():
             self.kind[ord(c)] = k
         self.piece, self.kinds = np.array(piece, np.int64), len(kinds) + 1
@@ -136,7 +136,21 @@ class Lattice:
         return place[order], code[order]
 
     def learn(self, words: list[str]) -> None:
-        """Forward sums of new words, filled for all of them together, one end after another."""
+        """Adds the forward sums of new words."""
+        if not words:
+            return
+        places, arcs = len(self.first), len(self.arc)
+        got = [[self.base], [self.size], [self.first], [self.count], [self.chance], [self.arc]]
+        for k in range(0, len(words), LEARNED):
+            base, size, first, count, chance, arc = self._sums(words[k : k + LEARNED])
+            for held, x in zip(got, (base + places, size, first + arcs, count, chance, arc), strict=True):
+                held.append(x.astype(held[0].dtype))
+            places, arcs = places + len(first), arcs + len(arc)
+        self.known.update(zip(words, range(len(self.base), len(self.base) + len(words)), strict=True))
+        self.base, self.size, self.first, self.count, self.chance, self.arc = map(np.concatenate, got)
+
+    def _sums(self, words: list[str]) -> tuple:
+        """Forward sums of words, filled for all of them together, one end after another."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         base = np.cumsum(size + 1) - size - 1
         place, code = self._found(words, size)
@@ -157,11 +171,7 @@ class Lattice:
         share /= total[place]
         run = np.cumsum(share)
         chance = run - np.concatenate(([0.0], run))[first][place]
-        self.known.update(zip(words, range(len(self.base), len(self.base) + len(words)), strict=True))
-        self.base = np.concatenate((self.base, base + len(self.first)))
-        self.first = np.concatenate((self.first, first + len(self.arc)))
-        self.size, self.count = np.concatenate((self.size, size)), np.concatenate((self.count, count))
-        self.chance, self.arc = np.concatenate((self.chance, chance.astype(np.float32))), np.concatenate((self.arc, code))
+        return base, size, first, count, chance, code
 
     def arcs(self, word: str) -> tuple[list, list, list]:
         """End, length and id of each piece in a word; id -1: the character in bytes."""
@@ -195,7 +205,7 @@ def seed_of(key, seed: int) -> int:
 def sample(lattice: Lattice, word: np.ndarray, row: np.ndarray, place: np.ndarray) -> list[tuple]:
     """Backward draws for occurrences of learned words, of which row's hash, starting where in its text. For
     each step the occurrences that still had a piece, its end within them, and its id (-1: bytes)."""
-    live, end = np.arange(len(word)), lattice.size[word]
+    live, end = np.arange(len(word), dtype=np.int32), lattice.size[word].astype(np.int32)
     base = lattice.base[word]
     out = []
     while len(live):
@@ -250,32 +260,31 @@ def encode(lattice: Lattice, texts: pa.Array, seeds: np.ndarray) -> tuple[np.nda
     offsets = np.asarray(split.offsets).astype(np.int64)
     coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets -= offsets[0]
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    code = coded.indices.to_numpy(zero_copy_only=False)
     words = [MARK + w.replace("\0" + MARK, _OWN_MARK) for w in coded.dictionary.to_pylist()]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    sizes = np.fromiter(map(len, words), np.int32, len(words))
     n = np.diff(offsets)
-    text = np.repeat(np.arange(len(n)), n)
-    place = np.cumsum(sizes[code]) - sizes[code]
+    text = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    place = np.cumsum(sizes[code], dtype=np.int32) - sizes[code]
     place -= np.repeat(place[offsets[:-1]], n)
     row = seeds[text]
     if len(lattice.known) > REMEMBERED:
         lattice.forget()
-    new = [w for w in words if len(w) <= TOGETHER and w not in lattice.known]
-    for k in range(0, len(new), LEARNED):
-        lattice.learn(new[k : k + LEARNED])
-    learned = np.array([lattice.known.get(w, -1) for w in words], np.int64)[code]
+    lattice.learn([w for w in words if len(w) <= TOGETHER and w not in lattice.known])
+    learned = np.fromiter((lattice.known.get(w, -1) for w in words), np.int32, len(words))[code]
     short = np.flatnonzero(learned >= 0)
     steps = [(short[live], end, ids, k) for k, (live, end, ids) in enumerate(sample(lattice, learned[short], row[short], place[short]))]
     for k in np.flatnonzero(learned < 0):
         ends, ids = sample_long(lattice, words[code[k]], row[k], int(place[k]))
         steps.append((np.full(len(ids), k), np.array(ends, np.int64), np.array(ids, np.int64), np.arange(len(ids))))
-    pieces = np.zeros(len(code), np.int64)
-    for at, _, _, _ in steps:
-        pieces += np.bincount(at, minlength=len(code)) if len(at) * 8 > len(code) else 0
-        if len(at) * 8 <= len(code):
-            np.add.at(pieces, at, 1)
-    after = np.cumsum(pieces)
-    out, spelled = np.zeros(int(after[-1]) if len(after) else 0, np.int64), []
+    pieces = np.zeros(len(code), np.int32)
+    for at, _, _, step in steps:
+        if np.ndim(step):
+            pieces[at[0]] += len(at)
+        else:
+            pieces[at] += 1
+    after = np.cumsum(pieces, dtype=np.int32)
+    out, spelled = np.zeros(int(after[-1]) if len(after) else 0, np.int32), []
     for at, end, ids, step in steps:
         to = after[at] - 1 - step
         out[to] = ids
@@ -299,9 +308,11 @@ def encode(lattice: Lattice, texts: pa.Array, seeds: np.ndarray) -> tuple[np.nda
 def spell(lattice: Lattice, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of ids, marks as spaces, and how many each id has."""
     size = lattice.spelled_size[ids]
-    ends = np.cumsum(size)
+    ends = np.cumsum(size, dtype=np.int64)
     start = (np.cumsum(lattice.spelled_size) - lattice.spelled_size)[ids]
-    return lattice.spelled[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+    at = np.repeat((start - (ends - size)).astype(np.int32), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return lattice.spelled[at], size
 
 
 def decode(lattice: Lattice, ids) -> str:
