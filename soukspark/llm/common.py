@@ -24,10 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     Where the session has none, a folder of our own is set; that is allowed on a local master only,
     since executors on other machines could not see it.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if where:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(where)
         return where
-    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

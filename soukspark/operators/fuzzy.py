@@ -11,16 +11,32 @@ from soukspark.plans.ratio_band import within_share
 SHARE, THRESHOLD = 0.1, 0.6
 
 
+def _sets(probe: DataFrame, listings: DataFrame) -> DataFrame:
+    """``side, id, cost, grams, rare``: trigram sets of both sides, and of each set its rarest grams, as many as must
+    hold one that a similar set's rarest grams hold too (prefix filtering)."""
+    one = lambda df, k: df.select(F.lit(k).alias("side"), "id", "cost", trigrams("title").alias("grams"))
+    rows = one(probe, 0).unionAll(one(listings, 1)).where(F.size("grams") > 0)
+    each = rows.select("side", "id", "cost", "grams", F.explode("grams").alias("gram"))
+    often = each.groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = each.join(often, "gram").groupBy("side", "id", "cost", "grams").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("by"))
+    return ranked.select("side", "id", "cost", "grams", F.transform("by", lambda x: x["gram"]).alias("by"))
+
+
 def pairs(probe: DataFrame, listings: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
     """``probe_id, id, score`` of listings within a share of the probe's cost whose title is similar enough.
 
-    In: ``id, title, cost``. Costs meet in a hash join on logarithmic buckets; trigram sets are made once a row, and
-    sizes that rule a pair out are compared before the sets.
+    In: ``id, title, cost``. Rows meet in a hash join on a rare trigram and a logarithmic bucket of the cost, and a
+    pair counts at the first rare trigram that both have; sizes that rule it out are compared before the sets. Rows
+    that repeat an id count as one of them a title and cost. Null or empty titles and costs not above 0 match none.
     """
-    side = lambda df, a: df.select(F.col("id").alias(f"{a}_id"), F.col("cost").alias(f"{a}_cost"), trigrams("title").alias(f"{a}_grams"))
-    met = within_share(side(probe, "probe"), side(listings, "other"), "probe_cost", "other_cost", share)
+    size = F.size("by")
+    least = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
+    sets = _sets(probe, listings).withColumn("rare", F.slice("by", F.lit(1), least))
+    side = lambda k, a: sets.where(F.col("side") == k).select(*[F.col(c).alias(f"{a}_{c}") for c in ("id", "cost", "grams", "rare")], F.explode("rare").alias(f"{a}_gram"))
+    met = within_share(side(0, "probe"), side(1, "other"), "probe_cost", "other_cost", share, [("probe_gram", "other_gram")])
     a, b = F.size("probe_grams"), F.size("other_grams")
-    met = met.where(F.least(a, b) >= F.greatest(a, b) * threshold)
+    first = F.element_at(F.array_intersect("probe_rare", "other_rare"), 1)
+    met = met.where((F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9) & (F.col("probe_gram") == first))
     score = similarity("probe_grams", "other_grams")
     return met.select("probe_id", F.col("other_id").alias("id"), score.alias("score")).where(F.col("score") >= threshold)
 
