@@ -208,11 +208,10 @@ def a13_load_summary(spark: SparkSession, d: str) -> DataFrame:
     return load.summary(view(spark, d, adapters.CATALOG), _load(spark, d, False))
 
 
-@query(f"""with cat as ({plain(adapters.CATALOG)}), t as (select listing_url from cat where ord % 2 = 0), f as (select *, row_number() over (partition by listing_url order by ord) r from cat)
+@query(f"""with cat as ({plain(adapters.CATALOG)}), t as (select listing_url from ({plain(adapters.RANKED)})), f as (select *, row_number() over (partition by listing_url order by ord) r from cat)
   select ord, listing_url, title from f where r = 1 and not exists (select 1 from t where t.listing_url = f.listing_url)""")
 def k3_load_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, adapters.CATALOG)
-    return load.insert_ignore(rows.where("ord % 2 = 0"), rows, ["listing_url"]).select("ord", "listing_url", "title")
+    return load.insert_ignore(view(spark, d, adapters.RANKED), view(spark, d, adapters.CATALOG), ["listing_url"]).select("ord", "listing_url", "title")
 
 
 _REPRICED = f"""{_RANKED}, q as (select id, listing_url, price have, row_number() over (partition by listing_url order by id) r from ({plain(adapters.QUEUE)})),
@@ -240,7 +239,7 @@ def k4_reprice_applied(spark: SparkSession, d: str) -> DataFrame:
 _Q, _W = f"q as ({plain(adapters.QUEUE)})", f"w as ({plain(adapters.WORKERS)})"
 _TS = f"timestamp '{NOW}'"
 _FREE = f"(state = 'pending' or state = 'claimed' and claimed_at < {_TS} - interval '4' hour)"
-WORKER, HELD = "w8", [k for k in range(0, 100_000) if k % 997 == 5]
+WORKER = "w8"
 
 
 def _q(spark: SparkSession, d: str) -> DataFrame:
@@ -267,14 +266,15 @@ def w4_queue_claim_each_account(spark: SparkSession, d: str) -> DataFrame:
     return queue.claim_all(_q(spark, d), 10, NOW).select("id", "account", "rank")
 
 
-def _held_by(spark: SparkSession, d: str) -> tuple[DataFrame, str, list[int]]:
-    """The queue as one worker sees it who holds every claimed row, and some of those rows."""
+def _held_by(spark: SparkSession, d: str) -> tuple[DataFrame, str, DataFrame]:
+    """The queue as one worker sees it who holds every claimed row, and the rows handed out to it most often."""
     q = _q(spark, d)
-    return q.withColumn("claimed_by", F.when(F.col("state") == "claimed", WORKER).otherwise(F.col("claimed_by"))), WORKER, HELD
+    held = q.withColumn("claimed_by", F.when(F.col("state") == "claimed", WORKER).otherwise(F.col("claimed_by")))
+    return held, WORKER, q.where("attempts = 5").select("id")
 
 
 _H = f"h as (select * exclude (claimed_by), case when state = 'claimed' then '{WORKER}' else claimed_by end claimed_by from q)"
-_HIT = f"(id % 997 = 5 and state = 'claimed' and claimed_by = '{WORKER}')"
+_HIT = f"(attempts = 5 and state = 'claimed' and claimed_by = '{WORKER}')"
 
 
 @query(f"""with {_Q}, {_H} select id, case when {_HIT} then 'done' else state end state, claimed_by, {_STAMP.format('claimed_at')} claimed_at, attempts, reject_reason,
@@ -297,9 +297,9 @@ def t5_queue_release(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_Q} select listing_url, title, times_listed, 'acct1' account, 'pending' state, 0::int attempts from q where account = 'acct0' and state <> 'rejected'
-  and not exists (select 1 from q t where t.account = 'acct1' and t.listing_url = q.listing_url and t.id % 2 = 0)""")
+  and not exists (select 1 from q t where t.account = 'acct1' and t.listing_url = q.listing_url and t.state = 'done')""")
 def t6_queue_clone(spark: SparkSession, d: str) -> DataFrame:
-    q = _q(spark, d).where("account <> 'acct1' or id % 2 = 0")
+    q = _q(spark, d).where("account <> 'acct1' or state = 'done'")
     return queue.clone(q, "acct1", "acct0").select("listing_url", "title", "times_listed", "account", "state", "attempts")
 
 
@@ -449,17 +449,17 @@ _PAIRS = f"""t as (select *, {_GRAMS.format('title')} g from ({plain(adapters.TI
   found as (select * from pr where score >= 0.6)"""
 
 
-@query(f"with {_PAIRS} select probe_id, count(*) n, round(max(score), 6) top from found group by 1")
-def j6_fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    t = view(spark, d, adapters.TITLES)
-    return fuzzy.pairs(t, t).groupBy("probe_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("top"))
+@query(f"""with {_PAIRS}, o as (select probe_id, count(*) n, round(max(score), 6) top from found where probe_id <> id group by 1)
+  select x.id, min(y.id) class_id, coalesce(any_value(n), 0) n_links, any_value(top) top from ({plain(adapters.TITLES)}) x
+  left join t tx on x.id = tx.id and len(tx.g) > 0 left join t y on tx.cost = y.cost and list_sort(tx.g) = list_sort(y.g) left join o on x.id = probe_id group by 1""")
+def j6_fuzzy_links(spark: SparkSession, d: str) -> DataFrame:
+    return fuzzy.links(view(spark, d, adapters.TITLES)).select("id", "class_id", "n_links", F.round("best_score", 6).alias("top"))
 
 
 @query(f"with {_PAIRS} select probe_id, id, round(score, 6) score from (select *, row_number() over (partition by probe_id order by score desc, id) r from found where probe_id <> id) where r = 1")
 def o9_fuzzy_best(spark: SparkSession, d: str) -> DataFrame:
-    t = view(spark, d, adapters.TITLES)
-    best = fuzzy.best_match(fuzzy.pairs(t, t).where("probe_id <> id"))
-    return best.select("probe_id", "id", F.round("score", 6).alias("score"))
+    rows = fuzzy.links(view(spark, d, adapters.TITLES)).where("n_links > 0")
+    return rows.select(F.col("id").alias("probe_id"), F.col("best_id").alias("id"), F.round("best_score", 6).alias("score"))
 
 
 @query(f"""with {_Q}, l as (select id, listing_url, case when state = 'claimed' then 'active' when state = 'rejected' then 'deleted' else state end status from q),
@@ -520,12 +520,12 @@ def a15_a16_costs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("product", "cost", num.sell_price("cost").alias("sell"), F.array_min(F.transform("models", lambda m: m["price"])).alias("least"))
 
 
-@query("""with x as (select doc_id, list_transform(string_split(text, '. '), lambda s: trim(s)) s from documents), y as (select doc_id, array_to_string(s[1:12], ' | ') t from x),
+@query("""with x as (select doc_id, list_transform(string_split(text, '. '), lambda s: trim(s)) s from documents), y as (select doc_id, array_to_string(s, ' | ') t from x),
   z as (select doc_id, t, list_filter(list_transform(string_split(t, '|'), lambda s: trim(s)), lambda s: s <> '') g from y)
   select doc_id, len(g)::int segs, length(t)::int chars, regexp_matches(t, '(?i)\\d+\\s*(cm|mm|x\\s*\\d+)') has_dim, (len(g) - len(list_distinct(list_transform(g, lambda s: lower(s)))))::int repeated from z""")
 def fs26_title_lint(spark: SparkSession, d: str) -> DataFrame:
     docs = view(spark, d, "select doc_id, text from {documents}")
-    title = F.array_join(F.slice(F.transform(F.split("text", r"\. "), lambda s: F.trim(s)), 1, 12), " | ")
+    title = F.array_join(F.transform(F.split("text", r"\. "), lambda s: F.trim(s)), " | ")
     seg = F.filter(F.transform(F.split("t", r"\|"), lambda s: F.trim(s)), lambda s: s != "")
     out = docs.select("doc_id", title.alias("t")).select("doc_id", text.title_issues("t").alias("x"), (F.size(seg) - F.size(F.array_distinct(F.transform(seg, F.lower)))).alias("repeated"))
     return out.select("doc_id", "x.segs", "x.chars", "x.has_dim", "repeated")

@@ -11,11 +11,8 @@ from soukspark.plans.ratio_band import within_share
 SHARE, THRESHOLD = 0.1, 0.6
 
 
-def _sets(probe: DataFrame, listings: DataFrame) -> DataFrame:
-    """``side, id, cost, grams, rare``: trigram sets of both sides, and of each set its rarest grams, as many as must
-    hold one that a similar set's rarest grams hold too (prefix filtering)."""
-    one = lambda df, k: df.select(F.lit(k).alias("side"), "id", "cost", trigrams("title").alias("grams"))
-    rows = one(probe, 0).unionAll(one(listings, 1)).where(F.size("grams") > 0)
+def _sets(rows: DataFrame) -> DataFrame:
+    """``side, id, cost, grams`` with ``by``: each set's grams, rarest first."""
     each = rows.select("side", "id", "cost", "grams", F.explode("grams").alias("gram"))
     often = each.groupBy("gram").agg(F.count("*").alias("n"))
     ranked = each.join(often, "gram").groupBy("side", "id", "cost", "grams").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("by"))
@@ -25,13 +22,23 @@ def _sets(probe: DataFrame, listings: DataFrame) -> DataFrame:
 def pairs(probe: DataFrame, listings: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
     """``probe_id, id, score`` of listings within a share of the probe's cost whose title is similar enough.
 
-    In: ``id, title, cost``. Rows meet in a hash join on a rare trigram and a logarithmic bucket of the cost, and a
-    pair counts at the first rare trigram that both have; sizes that rule it out are compared before the sets. Rows
-    that repeat an id count as one of them a title and cost. Null or empty titles and costs not above 0 match none.
+    In: ``id, title, cost``. Rows that repeat an id count as one of them a title and cost. Null or empty titles and
+    costs not above 0 match none. Equal titles give all their pairs; ``links`` does not.
+    """
+    one = lambda df, k: df.select(F.lit(k).alias("side"), "id", "cost", trigrams("title").alias("grams"))
+    return _pairs(one(probe, 0).unionAll(one(listings, 1)).where(F.size("grams") > 0), threshold, share)
+
+
+def _pairs(rows: DataFrame, threshold: float, share: float) -> DataFrame:
+    """``probe_id, id, score`` between rows of side 0 and 1 (``side, id, cost, grams``).
+
+    Of each set, as many of its rarest grams are taken as must hold one that a similar set's hold too (prefix
+    filtering). Rows meet in a hash join on such a gram and a logarithmic bucket of the cost, and a pair counts at the
+    first one that both have; sizes that rule it out are compared before the sets.
     """
     size = F.size("by")
     least = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
-    sets = _sets(probe, listings).withColumn("rare", F.slice("by", F.lit(1), least))
+    sets = _sets(rows).withColumn("rare", F.slice("by", F.lit(1), least))
     side = lambda k, a: sets.where(F.col("side") == k).select(*[F.col(c).alias(f"{a}_{c}") for c in ("id", "cost", "grams", "rare")], F.explode("rare").alias(f"{a}_gram"))
     met = within_share(side(0, "probe"), side(1, "other"), "probe_cost", "other_cost", share, [("probe_gram", "other_gram")])
     a, b = F.size("probe_grams"), F.size("other_grams")
@@ -41,6 +48,38 @@ def pairs(probe: DataFrame, listings: DataFrame, threshold: float = THRESHOLD, s
     return met.select("probe_id", F.col("other_id").alias("id"), score.alias("score")).where(F.col("score") >= threshold)
 
 
+def links(rows: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
+    """One row for each of ``rows`` (``id, title, cost``): ``id, class_id, n_links, best_id, best_score``.
+
+    A class is the rows of one cost and trigram set (``class_id``: its least id). Only classes are paired, so a title
+    that a third of all rows share costs one row there; no link is lost. n_links: how many other rows are similar at a
+    like cost; of the most similar ones the least id is best_id. Rows without a title or a cost above 0 have no class
+    and no links; rows that repeat an id each count, and an id is never its own best.
+    """
+    grams = F.array_sort(trigrams("title"))
+    rows = rows.select("id", "cost", grams.alias("grams"))
+    real = rows.where((F.size("grams") > 0) & (F.col("cost") > 0))
+    key = F.md5(F.concat_ws("\n", F.col("cost").cast("string"), F.array_join("grams", "\n")).cast("binary"))  # grams hold no line feed
+    real = real.withColumn("key", key)
+    classes = real.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("members"), F.first("cost").alias("cost"), F.first("grams").alias("grams"))
+    sides = classes.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.col("key").alias("id"), "cost", "grams")
+    found = _pairs(sides, threshold, share).join(classes.select(F.col("key").alias("id"), "least", "members"), "id")
+    other = F.col("probe_id") != F.col("id")
+    most = F.max(F.when(other, F.struct("score", (-F.col("least")).alias("neg"))))
+    per = found.groupBy(F.col("probe_id").alias("key")).agg(F.sum("members").alias("n"), most.alias("most"))
+    # the least id of a class after its first, for that first
+    at = real.select("id", "key").join(classes.select("key", "least"), "key")
+    second = at.groupBy("key").agg(F.min(F.when(F.col("id") > F.col("least"), F.col("id"))).alias("second"))
+    out = at.join(per.join(second, "key"), "key")
+    own = F.when(F.col("id") > F.col("least"), F.col("least")).otherwise(F.col("second"))
+    best = F.greatest(F.when(own.isNotNull(), F.struct(F.lit(1.0).alias("score"), (-own).alias("neg"))), F.col("most"))
+    linked = out.select("id", F.col("least").alias("class_id"), (F.col("n") - 1).alias("n_links"), (-best["neg"]).alias("best_id"), best["score"].alias("best_score"))
+    null = lambda t: F.lit(None).cast(t)
+    kind = dict(rows.dtypes)["id"]
+    rest = rows.where(~F.coalesce((F.size("grams") > 0) & (F.col("cost") > 0), F.lit(False)))
+    return linked.unionAll(rest.select("id", null(kind), F.lit(0).cast("long"), null(kind), null("double")))
+
+
 def best_match(found: DataFrame) -> DataFrame:
     """The most similar listing of each probe; of equals the least id."""
     best = F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id")))

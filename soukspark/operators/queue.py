@@ -48,24 +48,28 @@ def _claimed(rows: DataFrame, worker: Column, now: str) -> DataFrame:
     return rows.withColumns({"taken": taken, "state": put("state", F.lit("claimed")), "claimed_by": put("claimed_by", worker), "claimed_at": put("claimed_at", at(now)), "attempts": put("attempts", F.col("attempts") + 1)})
 
 
-def _own(worker: str, ids: list[int]) -> Column:
-    return F.col("id").isin(ids) & (F.col("claimed_by") == worker) & (F.col("state") == "claimed")
+def _own(queue: DataFrame, worker: str, ids: list[int] | DataFrame) -> DataFrame:
+    """``queue`` with ``changed``: rows named in ``ids`` (a list, or a table of any size with ``id``) that the worker holds."""
+    own = (F.col("claimed_by") == worker) & (F.col("state") == "claimed")
+    if not isinstance(ids, DataFrame):
+        return queue.withColumn("changed", F.coalesce(own & F.col("id").isin(ids), F.lit(False)))
+    rows = queue.join(ids.select("id").distinct().withColumn("_asked", F.lit(True)), "id", "left")
+    return rows.withColumn("changed", F.coalesce(own & F.col("_asked"), F.lit(False))).drop("_asked")
 
 
-def complete(queue: DataFrame, worker: str, ids: list[int], now: str, url: str | None = None) -> DataFrame:
+def complete(queue: DataFrame, worker: str, ids: list[int] | DataFrame, now: str, url: str | None = None) -> DataFrame:
     """The snapshot after a worker finished rows that it holds; those carry ``changed``."""
-    hit = F.coalesce(_own(worker, ids), F.lit(False))
-    rows = queue.withColumn("changed", hit)
+    rows = _own(queue, worker, ids)
     put = lambda c, v: F.when(F.col("changed"), v).otherwise(F.col(c))
     return rows.withColumns({"state": put("state", F.lit("done")), "done_at": put("done_at", at(now)), "done_url": put("done_url", F.coalesce(F.lit(url).cast("string"), "done_url"))})
 
 
-def reject(queue: DataFrame, worker: str, ids: list[int], now: str, why: str | None = None) -> DataFrame:
+def reject(queue: DataFrame, worker: str, ids: list[int] | DataFrame, now: str, why: str | None = None) -> DataFrame:
     """The snapshot after a worker rejected rows that it holds (``changed``), and with them pending rows of the same
     URLs. Rows without a URL have no such others."""
-    mine = F.coalesce(_own(worker, ids), F.lit(False))
-    urls = queue.where(mine).select("listing_url").where("listing_url is not null").distinct().withColumn("_sibling", F.lit(True))
-    rows = queue.join(urls, "listing_url", "left").withColumn("changed", mine)
+    rows = _own(queue, worker, ids)
+    urls = rows.where("changed and listing_url is not null").select("listing_url").distinct().withColumn("_sibling", F.lit(True))
+    rows = rows.join(urls, "listing_url", "left")
     other = ~F.col("changed") & (F.col("state") == "pending") & F.coalesce("_sibling", F.lit(False))
     reason = F.when(F.col("changed"), F.lit(why).cast("string")).when(other, F.lit(f"{why if why is not None else 'rejected'} [via another account]")).otherwise(F.col("reject_reason"))
     hit = F.col("changed") | other

@@ -36,7 +36,7 @@ RANKED = """
 select o_orderkey as ord, concat('u', cast(o_orderkey % 1500 * 2 as string)) as listing_url,
   cast(o_orderkey % 193 + 2 as string) as times_listed,
   case when o_orderkey % 7 = 0 then '?' else cast(o_orderkey % 500 as string) end as price
-from {orders} where o_orderkey % 4 = 0"""
+from {orders}"""
 
 QUEUE = f"""
 select id, source, listing_url, title, price, times_listed, state, account, attempts,
@@ -62,8 +62,8 @@ select event_id as id, concat('w', cast(user_id as string)) as worker_id, ts as
   cast(ts + interval '8' hour as date) as day
 from {events} where event_type = 'purchase'"""
 
-#: Short titles with a cost, for near-duplicate pairs.
-TITLES = "select doc_id as id, substr(text, 1, 80) as title, cast(n_chars as double) as cost from {documents}"
+#: Page titles with a cost, for near-duplicate pairs.
+TITLES = "select page_id as id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, cast(length(html) as double) as cost from {pages}"
 
 #: Variants of a product: one model a line of an order.
 MODELS = """

@@ -103,6 +103,25 @@ def test_fuzzy_best(spark):
     assert {(r.probe_id, r.id) for r in best} == {(1, 2), (2, 1)}
 
 
+def test_fuzzy_links_lose_none(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choices(["blue", "wooden", "desk", "desks", "chair", "Ü"], k=rng.choice([1, 2, 3, 4]))), rng.choice([100.0, 105.0, 109.0, 111.0, 300.0])) for k in range(120)]
+    rows += [(200 + k, "the same long title", 100.0) for k in range(30)] + [(300, None, 100.0), (301, "", 1.0), (302, "blue", 0.0), (303, "blue", None)]
+    df = spark.createDataFrame(rows, "id long, title string, cost double")
+    found = [tuple(r) for r in fuzzy.pairs(df, df).where("probe_id <> id").collect()]
+    got = {r.id: r for r in fuzzy.links(df).collect()}
+    assert len(got) == len(rows)
+    for k, title, cost in rows:
+        mine = [(-s, i) for p, i, s in found if p == k]
+        assert got[k].n_links == len(mine)
+        assert (got[k].best_id, got[k].best_score) == ((min(mine)[1], -min(mine)[0]) if mine else (None, None))
+        same = [i for i, t, c in rows if c == cost and cost and t and sorted(set(t.lower().split())) == sorted(set(title.lower().split()))] if title and cost else []
+        assert got[k].class_id == (min(same) if same else None)
+    assert fuzzy.links(df.limit(0)).count() == 0
+
+
 # -- the queue -----------------------------------------------------------------------------------------------------
 
 NOW = "2024-06-01 12:00:00"
@@ -138,6 +157,8 @@ def test_queue_changes(spark):
     got = state(queue.reject(q, "w", [1, 5], NOW))
     assert got == {1: ("rejected", None), 2: ("rejected", "rejected [via another account]"), 3: ("done", None), 4: ("claimed", None), 5: ("rejected", None), 6: ("pending", None)}
     assert queue.reject(q, "z", [1], NOW).where("changed").count() == 0
+    ids = spark.createDataFrame([(1,), (4,), (4,), (None,)], "id long")
+    assert state(queue.complete(q, "w", ids, NOW, "link")) == state(queue.complete(q, "w", [1, 4], NOW, "link"))
     done = queue.complete(q, "w", [1, 4], NOW, "link")
     assert [(r.id, r.state, r.done_url) for r in done.where("changed").collect()] == [(1, "done", "link")]
     freed = queue.release(q, "w").where("changed").collect()
