@@ -182,7 +182,8 @@ def links(items: DataFrame, bits: int, radius: int, similarity: float | None = N
         def near(i, j, d):
             n, m = sizes[i], sizes[j]
             both = np.cos(math.pi * d / bits) * np.sqrt(n * m)
-            return both >= similarity * (n + m - both) - 1e-9
+            # sets whose sizes differ by more cannot be so similar
+            return (both >= similarity * (n + m - both) - 1e-9) & (np.minimum(n, m) >= similarity * np.maximum(n, m))
 
         label = compare(wa, wb, radius, near if similarity else None)
         moved = np.flatnonzero(label != np.arange(len(label)))

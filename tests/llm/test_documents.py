@@ -1,5 +1,6 @@
 """Text operators against brute force and on the odd cases that each docstring defines."""
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -141,6 +142,43 @@ def test_keep_one(spark):
     assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == ["4", "5", "6", "None"]
 
 
+def plain_wide(text, n=5, bits=256):
+    """The fingerprint of distinct shingles and how many there are."""
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    grams = {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    full = 2**64 - 1
+
+    def spread(h, k):
+        z = h + k * 0x9E3779B97F4A7C15 & full
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & full
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & full
+        return z ^ z >> 31
+
+    wide = []
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g.encode(), 42)
+        wide.append(sum((spread(h, k) if k else h) << (bits - 64 - 64 * k) for k in range(bits // 64)))
+    return sum(1 << b for b in range(bits) if 2 * sum(x >> b & 1 for x in wide) > len(wide)), len(grams)
+
+
+def test_similar_texts_equal_brute_force(spark):
+    texts = near_texts(150)
+    keys = [1000 - k for k in range(len(texts))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string")).collect()}
+    prints = [plain_wide(t) for t in texts]
+    size = {}
+    for p, n in prints:
+        size[p] = max(n, size.get(p, 0))
+    pairs = []
+    for i, (p, _) in enumerate(prints):
+        for j, (q, _) in enumerate(prints[:i]):
+            n, m = size[p], size[q]
+            both = math.cos(math.pi * (p ^ q).bit_count() / 256) * math.sqrt(n * m)
+            if p == q or both >= 0.8 * (n + m - both) - 1e-9 and min(n, m) >= 0.8 * max(n, m):
+                pairs.append((i, j))
+    assert got == dict(zip(keys, plain_components(pairs, keys), strict=True)) and len(set(got.values())) < len(texts) - 40
+
+
 def test_simhash_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one(docs).count() == 0

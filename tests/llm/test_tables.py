@@ -1,12 +1,15 @@
 """Sharding, neighbours, URLs, WARC files, components and the pipeline."""
 
+import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from soukspark.llm import ann, components, queries, sharding, urlfilter, warc
+import public_tokenizers
+from soukspark.llm import ann, components, queries, sentencepieces, sharding, urlfilter, warc
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -251,8 +254,42 @@ def test_pipeline(spark):
         assert any(len(sets[d] & sets[o]) >= 0.7 * len(sets[d] | sets[o]) for o in good if o < d)
     for d in unique:
         assert not any(len(sets[d] & sets[o]) >= 0.9 * len(sets[d] | sets[o]) for o in unique if o < d)
+    want = plain_sample([r for r in docs.collect() if r.doc_id in unique])
     out = corpus_pipeline.run(spark, SMALL).collect()
-    assert {r.doc_id for r in out} <= unique and out and all(r.sp_lossless for r in out)
+    assert {r.doc_id for r in out} == want and want < unique
+    lattice = sentencepieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"), queries.SP_ALPHA)
+    assert all(r.sp_lossless and sentencepieces.decode(lattice, r.sp_ids) == text[r.doc_id] for r in out)
+
+
+def plain_sample(rows):
+    """Keys that mixing keeps: raking over a full array of cells, sampling by the hash of each key."""
+    kinds = [[*t, None] for t in queries.TARGETS]
+
+    def topic(t):
+        return "legal" if re.search("licen[sc]e", t, re.I) else "contact" if re.search("[A-Za-z0-9.]@[A-Za-z0-9]", t) else "table" if "|" in t else "prose"
+
+    cell = {r.doc_id: tuple(k.index(v if v in k else None) for k, v in zip(kinds, (r.source, r.lang, topic(r.text)), strict=True)) for r in rows}
+    n = np.zeros([len(k) for k in kinds])
+    for r in rows:
+        n[cell[r.doc_id]] += len(r.text.encode().split())
+    w = np.ones(n.shape)
+    for _ in range(30):
+        for k, (names, target) in enumerate(zip(kinds, queries.TARGETS, strict=True)):
+            over = tuple(x for x in range(3) if x != k)
+            own, now = n.sum(over), (n * w).sum(over)
+            aim = np.array([target.get(v, own[j] / n.sum()) if own[j] else 0 for j, v in enumerate(names)])
+            shape = [-1 if x == k else 1 for x in range(3)]
+            w = w * np.divide(aim / aim.sum() * n.sum(), now, out=np.ones(len(now)), where=now > 0).reshape(shape)
+    full = np.zeros(n.shape, bool)
+    while True:
+        factor = max(0, 0.7 * n.sum() - n[full].sum()) / (n * w)[~full].sum()
+        more = ~full & (w * factor >= 1) & (n > 0)
+        if not more.any():
+            break
+        full |= more
+    p = np.where(full, 1, np.minimum(1, w * factor))
+    unit = lambda d: int(hashlib.md5(f"{queries.MIX_SEED}:{d}".encode()).hexdigest()[:8], 16) / 2**32
+    return {d for d, c in cell.items() if unit(d) < p[c]}
 
 
 def test_queries_over_small_tables(spark):
