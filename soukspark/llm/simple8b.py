@@ -1,7 +1,7 @@
 """Token-id files in Simple-8b: as many ids as fit in each 64-bit word.
 
 The top 4 bits of a word select how many ids of how many bits it holds. Ids of more than 60 bits go to a table of
-escapes. A segment holds whole documents, a few million ids, with a table of documents and, for each block of
+escapes. A segment holds whole documents, about a million ids, with a table of documents and, for each block of
 1024 ids, the offset of its first word, so that blocks are coded and decoded together in numpy.
 
 Files are written by Spark's text writer (segments are binary rows, each ended by a line feed) and read as binary
@@ -161,7 +161,7 @@ def segments(raw: bytes):
 
 
 #: Pieces whose ids a worker remembers; the longest one it does (characters); bytes of text encoded at once.
-REMEMBERED, LONGEST, AT_ONCE = 1_000_000, 32, 1 << 24
+REMEMBERED, LONGEST, AT_ONCE = 1_000_000, 32, 1 << 22
 #: Goes where a text may be split; no character.
 _CUT = "\U0010ffff"
 _SOLID = r"[^\s\x0b\x1c-\x1f\x85\pZ]"
