@@ -179,6 +179,34 @@ def test_similar_texts_equal_brute_force(spark):
     assert got == dict(zip(keys, plain_components(pairs, keys), strict=True)) and len(set(got.values())) < len(texts) - 40
 
 
+def plain_similar(texts, keys):
+    """Smallest keys of groups by true Jaccard similarity of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * len(a & b) >= 4 * len(a | b)]
+    return plain_components(pairs, keys)
+
+
+def test_keep_one_links_by_true_similarity(spark, monkeypatch):
+    texts = []
+    for k in range(40):
+        # 90 shingles of which 10 or 11 change: 80/100 and 79/101; 4 shingles of 5, and 7 of 9
+        w = [f"a{k}x{i}" for i in range(94)]
+        texts += [" ".join(w), " ".join(w[:84] + ["p"] * 10), " ".join(["q"] * 11 + w[11:])]
+        texts += [" ".join(f"b{k}x{i}" for i in range(n)) for n in (8, 9)]
+        texts += [" ".join(f"c{k}x{i}" for i in range(11)), " ".join(f"c{k}x{i}" for i in range(2, 13))]
+    texts += [*near_texts(150), *(" ".join(f"d{i}" for i in range(k, k + 120)) for k in range(60))]
+    keys = [None if k == 9 else 5000 - k for k in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string")
+    least = plain_similar(texts, keys)
+    want = Counter(k for k, x in zip(keys, least, strict=True) if k is None or k == x)
+    for block in (simhash.BLOCK_SHINGLES, 300):
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+        assert Counter(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+
+
 def test_simhash_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one(docs).count() == 0
