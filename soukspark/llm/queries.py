@@ -55,7 +55,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = simple8b.scratch(spark, "token-ids")
-    simple8b.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    simple8b.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False)
     return simple8b.index(spark, path)
 
 

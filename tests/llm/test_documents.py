@@ -255,6 +255,21 @@ def test_files_round_trip(spark, tmp_path):
     assert simple8b.index(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_token_ids_of_special_strings_are_the_librarys(spark, tmp_path):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from soukspark.llm import queries
+
+    texts = ["a<|endoftext|> b", "plain text"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(BPE)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.op6_token_ids(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(want)}
+
+
 # -- sentencepieces ------------------------------------------------------------------------------------------------
 
 
