@@ -236,9 +236,9 @@ def k4_reprice_applied(spark: SparkSession, d: str) -> DataFrame:
 
 # -- the work queue ------------------------------------------------------------------------------------------------
 
-_Q, _W = f"q as ({plain(adapters.QUEUE)})", f"w as ({plain(adapters.WORKERS)})"
+_Q, _W = f"q as ({plain(adapters.QUEUE)})", f"w as ({plain(adapters.STAFF)})"
 _TS = f"timestamp '{NOW}'"
-_FREE = f"(state = 'pending' or state = 'claimed' and claimed_at < {_TS} - interval '4' hour)"
+_FREE = f"(state = 'pending' or state = 'claimed' and held_since < {_TS} - interval '4' hour)"
 WORKER = "w8"
 
 
@@ -248,17 +248,17 @@ def _q(spark: SparkSession, d: str) -> DataFrame:
 
 def _shown(df: DataFrame, *more: str) -> DataFrame:
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return df.select("id", "state", "claimed_by", stamp("claimed_at"), "attempts", "reject_reason", stamp("done_at"), *more)
+    return df.select("id", "state", "holder", stamp("held_since"), "attempts", "refusal", stamp("done_at"), *more)
 
 
 _STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
 
-@query(f"""with {_Q}, {_W}, best as (select id from q where account = (select account_name from w where id = '{WORKER}') and {_FREE} order by times_listed desc, id limit 20)
-  select q.id, case when b.id is null then state else 'claimed' end state, case when b.id is null then claimed_by else '{WORKER}' end claimed_by,
-    {_STAMP.format(f'case when b.id is null then claimed_at else {_TS} end')} claimed_at, attempts + (b.id is not null)::int attempts, reject_reason, {_STAMP.format('done_at')} done_at, b.id is not null taken from q left join best b on q.id = b.id""")
+@query(f"""with {_Q}, {_W}, best as (select id from q where account = (select own_account from w where id = '{WORKER}') and {_FREE} order by times_listed desc, id limit 20)
+  select q.id, case when b.id is null then state else 'claimed' end state, case when b.id is null then holder else '{WORKER}' end holder,
+    {_STAMP.format(f'case when b.id is null then held_since else {_TS} end')} held_since, attempts + (b.id is not null)::int attempts, refusal, {_STAMP.format('done_at')} done_at, b.id is not null taken from q left join best b on q.id = b.id""")
 def t2_queue_claim(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(queue.claim(_q(spark, d), view(spark, d, adapters.WORKERS), WORKER, 20, NOW), "taken")
+    return _shown(queue.claim(_q(spark, d), view(spark, d, adapters.STAFF), WORKER, 20, NOW), "taken")
 
 
 @query(f"with {_Q} select id, account, r::int \"rank\" from (select *, row_number() over (partition by account order by times_listed desc, id) r from q where {_FREE}) where r <= 10")
@@ -269,29 +269,29 @@ def w4_queue_claim_each_account(spark: SparkSession, d: str) -> DataFrame:
 def _held_by(spark: SparkSession, d: str) -> tuple[DataFrame, str, DataFrame]:
     """The queue as one worker sees it who holds every claimed row, and the rows handed out to it most often."""
     q = _q(spark, d)
-    held = q.withColumn("claimed_by", F.when(F.col("state") == "claimed", WORKER).otherwise(F.col("claimed_by")))
+    held = q.withColumn("holder", F.when(F.col("state") == "claimed", WORKER).otherwise(F.col("holder")))
     return held, WORKER, q.where("attempts = 5").select("id")
 
 
-_H = f"h as (select * exclude (claimed_by), case when state = 'claimed' then '{WORKER}' else claimed_by end claimed_by from q)"
-_HIT = f"(attempts = 5 and state = 'claimed' and claimed_by = '{WORKER}')"
+_H = f"h as (select * exclude (holder), case when state = 'claimed' then '{WORKER}' else holder end holder from q)"
+_HIT = f"(attempts = 5 and state = 'claimed' and holder = '{WORKER}')"
 
 
-@query(f"""with {_Q}, {_H} select id, case when {_HIT} then 'done' else state end state, claimed_by, {_STAMP.format('claimed_at')} claimed_at, attempts, reject_reason,
+@query(f"""with {_Q}, {_H} select id, case when {_HIT} then 'done' else state end state, holder, {_STAMP.format('held_since')} held_since, attempts, refusal,
   {_STAMP.format(f'case when {_HIT} then {_TS} else done_at end')} done_at, case when {_HIT} then 'https://m.example/p/1' else done_url end done_url, coalesce({_HIT}, false) changed from h""")
 def t3_queue_complete(spark: SparkSession, d: str) -> DataFrame:
     return _shown(queue.complete(*_held_by(spark, d), NOW, "https://m.example/p/1"), "done_url", "changed")
 
 
 @query(f"""with {_Q}, {_H}, mine as (select distinct listing_url from h where {_HIT}), m as (select *, coalesce({_HIT}, false) changed, state = 'pending' and listing_url in (select * from mine) other from h)
-  select id, case when changed or other then 'rejected' else state end state, claimed_by, {_STAMP.format('claimed_at')} claimed_at, attempts,
-  case when changed then 'no margin' when other then 'no margin [via another account]' else reject_reason end reject_reason, {_STAMP.format(f'case when changed or other then {_TS} else done_at end')} done_at, changed from m""")
+  select id, case when changed or other then 'rejected' else state end state, holder, {_STAMP.format('held_since')} held_since, attempts,
+  case when changed then 'no margin' when other then 'no margin [via another account]' else refusal end refusal, {_STAMP.format(f'case when changed or other then {_TS} else done_at end')} done_at, changed from m""")
 def t4_queue_reject(spark: SparkSession, d: str) -> DataFrame:
     return _shown(queue.reject(*_held_by(spark, d), NOW, "no margin"), "changed")
 
 
-@query(f"""with {_Q}, m as (select *, coalesce(claimed_by = '{WORKER}' and state = 'claimed', false) changed from q) select id, case when changed then 'pending' else state end state,
-  case when not changed then claimed_by end claimed_by, {_STAMP.format('case when not changed then claimed_at end')} claimed_at, attempts, reject_reason, {_STAMP.format('done_at')} done_at, changed from m""")
+@query(f"""with {_Q}, m as (select *, coalesce(holder = '{WORKER}' and state = 'claimed', false) changed from q) select id, case when changed then 'pending' else state end state,
+  case when not changed then holder end holder, {_STAMP.format('case when not changed then held_since end')} held_since, attempts, refusal, {_STAMP.format('done_at')} done_at, changed from m""")
 def t5_queue_release(spark: SparkSession, d: str) -> DataFrame:
     return _shown(queue.release(_q(spark, d), WORKER), "changed")
 
@@ -306,7 +306,7 @@ def t6_queue_clone(spark: SparkSession, d: str) -> DataFrame:
 _COUNTS = "count(*) total, " + ", ".join(f"count(*) filter (state = '{s}') {s}" for s in ("pending", "claimed", "done", "rejected"))
 
 
-@query(f"with {_Q} select {_COUNTS}, count(*) filter (state = 'claimed' and claimed_at < {_TS} - interval '4' hour) lease_expired, count(*) filter (attempts > 3 and state <> 'done') repeatedly_reclaimed from q")
+@query(f"with {_Q} select {_COUNTS}, count(*) filter (state = 'claimed' and held_since < {_TS} - interval '4' hour) lease_expired, count(*) filter (attempts > 3 and state <> 'done') repeatedly_reclaimed from q")
 def a1_queue_stats(spark: SparkSession, d: str) -> DataFrame:
     return queue.stats(_q(spark, d), NOW)
 
@@ -316,9 +316,9 @@ def a2_queue_by_account(spark: SparkSession, d: str) -> DataFrame:
     return queue.stats(_q(spark, d), NOW, True)
 
 
-@query(f"with {_Q}, {_W}, n as (select account, count(*) n from q where state = 'pending' group by 1) select id worker_id, coalesce(n, 0) depth from w left join n on account = account_name")
+@query(f"with {_Q}, {_W}, n as (select account, count(*) n from q where state = 'pending' group by 1) select id worker_id, coalesce(n, 0) depth from w left join n on account = own_account")
 def a12_queue_depth(spark: SparkSession, d: str) -> DataFrame:
-    return queue.depth(_q(spark, d), view(spark, d, adapters.WORKERS))
+    return queue.depth(_q(spark, d), view(spark, d, adapters.STAFF))
 
 
 @query(f"with x as ({plain(adapters.DONE)}) select worker_id, count(*) count_today from x where day = date '2024-01-10' group by 1")
@@ -333,10 +333,10 @@ def t14_daily_progress(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_W}, r as (select 'w' || user_id worker_id, user_id % 2 = 0 mode from (select distinct user_id from events) union all select 'nobody', false)
-  select worker_id, case when w.id is null then 404 when not active then 403 else 200 end status, coalesce(mode, false) or coalesce(w.queue_mode, false) queue_mode from r left join w on worker_id = w.id""")
+  select worker_id, case when w.id is null then 404 when not active then 403 else 200 end status, coalesce(mode, false) or coalesce(w.by_queue, false) by_queue from r left join w on worker_id = w.id""")
 def p10_worker_gate(spark: SparkSession, d: str) -> DataFrame:
     ids = view(spark, d, "select distinct user_id from {events}").select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("worker_id"), (F.col("user_id") % 2 == 0).alias("mode"))
-    return queue.gate(ids.unionAll(spark.createDataFrame([("nobody", False)], "worker_id string, mode boolean")), view(spark, d, adapters.WORKERS))
+    return queue.gate(ids.unionAll(spark.createDataFrame([("nobody", False)], "worker_id string, mode boolean")), view(spark, d, adapters.STAFF))
 
 
 @query("select event_id id from events where not (event_type = 'view' and ts < timestamp '2024-02-05 00:00:00' - interval '30' day)")
@@ -418,7 +418,7 @@ def fs13_delivery_lines(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_W}, s as (select id, 'https://shop.example/product/1/' || substr(id, 2) || '#c0' url from w), b as (select id, split_part(url, '#', 1) base, unnest(range(12)) slot from s),
   f as (select *, row_number() over (partition by id order by slot) r from b where not (substr(id, 2)::int % 5 = slot)) select id, slot::int slot, (slot % 4)::int backdrop, (slot // 4 % 3)::int angle from f where r <= 6""")
 def j13_backdrop_slots(spark: SparkSession, d: str) -> DataFrame:
-    w = view(spark, d, adapters.WORKERS).select("id", F.substring(F.col("id"), F.lit(2), F.length("id")).cast("int").alias("n"))
+    w = view(spark, d, adapters.STAFF).select("id", F.substring(F.col("id"), F.lit(2), F.length("id")).cast("int").alias("n"))
     base = F.concat(F.lit("https://shop.example/product/1/"), F.col("n").cast("string"))
     taken = w.select(F.concat(base, F.lit("#v"), F.col("id"), F.lit("-"), (F.col("n") % 5).cast("string")).alias("listing_url"), F.lit("active").alias("status"))
     return listings.free_slots(w.select("id", F.concat(base, F.lit("#c0")).alias("url")), taken, 4, 3, 6)

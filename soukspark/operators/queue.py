@@ -1,6 +1,6 @@
 """The work queue as snapshots: each operation is a function from a snapshot to the next one.
 
-A row's states: pending, claimed, done, rejected. ``now`` is always given. Where many workers run at once, one writer
+A row's states: pending, claimed, done, rejected. ``now`` is always given. Where many people work at once, one writer
 an account applies the operations (``streaming.leases`` keeps the same rules as state).
 """
 
@@ -17,22 +17,22 @@ def at(now: str | Column) -> Column:
 
 
 def expired(now: str | Column, hours: int = LEASE_HOURS) -> Column:
-    return (F.col("state") == "claimed") & (F.col("claimed_at") < at(now) - F.make_dt_interval(hours=F.lit(hours)))
+    return (F.col("state") == "claimed") & (F.col("held_since") < at(now) - F.make_dt_interval(hours=F.lit(hours)))
 
 
 def claimable(queue: DataFrame, now: str) -> DataFrame:
     return queue.where((F.col("state") == "pending") | expired(now))
 
 
-def best(queue: DataFrame, workers: DataFrame, worker: str, n: int, now: str) -> DataFrame:
+def best(queue: DataFrame, staff: DataFrame, worker: str, n: int, now: str) -> DataFrame:
     """Ids of the first n rows that a worker may claim: of its account, most listed first."""
-    own = workers.where(F.col("id") == worker).select(F.col("account_name").alias("account"))
+    own = staff.where(F.col("id") == worker).select(F.col("own_account").alias("account"))
     return claimable(queue, now).join(own, "account", "left_semi").orderBy(F.desc("times_listed"), "id").limit(n).select("id")
 
 
-def claim(queue: DataFrame, workers: DataFrame, worker: str, n: int, now: str) -> DataFrame:
+def claim(queue: DataFrame, staff: DataFrame, worker: str, n: int, now: str) -> DataFrame:
     """The snapshot after a claim; the rows it took carry ``taken``. A worker without an account takes none."""
-    got = best(queue, workers, worker, n, now).withColumn("taken", F.lit(True))
+    got = best(queue, staff, worker, n, now).withColumn("taken", F.lit(True))
     return _claimed(queue.join(got, "id", "left"), F.lit(worker), now)
 
 
@@ -45,12 +45,12 @@ def claim_all(queue: DataFrame, n: int, now: str) -> DataFrame:
 def _claimed(rows: DataFrame, worker: Column, now: str) -> DataFrame:
     taken = F.coalesce("taken", F.lit(False))
     put = lambda c, v: F.when(taken, v).otherwise(F.col(c))
-    return rows.withColumns({"taken": taken, "state": put("state", F.lit("claimed")), "claimed_by": put("claimed_by", worker), "claimed_at": put("claimed_at", at(now)), "attempts": put("attempts", F.col("attempts") + 1)})
+    return rows.withColumns({"taken": taken, "state": put("state", F.lit("claimed")), "holder": put("holder", worker), "held_since": put("held_since", at(now)), "attempts": put("attempts", F.col("attempts") + 1)})
 
 
 def _own(queue: DataFrame, worker: str, ids: list[int] | DataFrame) -> DataFrame:
     """``queue`` with ``changed``: rows named in ``ids`` (a list, or a table of any size with ``id``) that the worker holds."""
-    own = (F.col("claimed_by") == worker) & (F.col("state") == "claimed")
+    own = (F.col("holder") == worker) & (F.col("state") == "claimed")
     if not isinstance(ids, DataFrame):
         return queue.withColumn("changed", F.coalesce(own & F.col("id").isin(ids), F.lit(False)))
     rows = queue.join(ids.select("id").distinct().withColumn("_asked", F.lit(True)), "id", "left")
@@ -71,17 +71,17 @@ def reject(queue: DataFrame, worker: str, ids: list[int] | DataFrame, now: str,
     urls = rows.where("changed and listing_url is not null").select("listing_url").distinct().withColumn("_sibling", F.lit(True))
     rows = rows.join(urls, "listing_url", "left")
     other = ~F.col("changed") & (F.col("state") == "pending") & F.coalesce("_sibling", F.lit(False))
-    reason = F.when(F.col("changed"), F.lit(why).cast("string")).when(other, F.lit(f"{why if why is not None else 'rejected'} [via another account]")).otherwise(F.col("reject_reason"))
+    reason = F.when(F.col("changed"), F.lit(why).cast("string")).when(other, F.lit(f"{why if why is not None else 'rejected'} [via another account]")).otherwise(F.col("refusal"))
     hit = F.col("changed") | other
-    return rows.withColumns({"reject_reason": reason, "done_at": F.when(hit, at(now)).otherwise(F.col("done_at")), "state": F.when(hit, "rejected").otherwise(F.col("state"))}).drop("_sibling")
+    return rows.withColumns({"refusal": reason, "done_at": F.when(hit, at(now)).otherwise(F.col("done_at")), "state": F.when(hit, "rejected").otherwise(F.col("state"))}).drop("_sibling")
 
 
 def release(queue: DataFrame, worker: str) -> DataFrame:
     """The snapshot after a worker gave back all it holds (``changed``); attempts stay."""
-    hit = F.coalesce((F.col("claimed_by") == worker) & (F.col("state") == "claimed"), F.lit(False))
+    hit = F.coalesce((F.col("holder") == worker) & (F.col("state") == "claimed"), F.lit(False))
     rows = queue.withColumn("changed", hit)
     gone = lambda c: F.when(~F.col("changed"), F.col(c))
-    return rows.withColumns({"state": F.when(F.col("changed"), "pending").otherwise(F.col("state")), "claimed_by": gone("claimed_by"), "claimed_at": gone("claimed_at")})
+    return rows.withColumns({"state": F.when(F.col("changed"), "pending").otherwise(F.col("state")), "holder": gone("holder"), "held_since": gone("held_since")})
 
 
 def clone(queue: DataFrame, account: str, source: str) -> DataFrame:
@@ -111,22 +111,22 @@ def local_day(ts: str | Column, zone: str = "Asia/Singapore") -> Column:
     return F.to_date(F.from_utc_timestamp(ts, zone))
 
 
-def depth(queue: DataFrame, workers: DataFrame) -> DataFrame:
+def depth(queue: DataFrame, staff: DataFrame) -> DataFrame:
     """Pending rows of each worker's account; none without one."""
-    n = queue.where("state = 'pending'").groupBy(F.col("account").alias("account_name")).agg(F.count("*").alias("n"))
-    return workers.join(n, "account_name", "left").select(F.col("id").alias("worker_id"), F.coalesce("n", F.lit(0)).alias("depth"))
+    n = queue.where("state = 'pending'").groupBy(F.col("account").alias("own_account")).agg(F.count("*").alias("n"))
+    return staff.join(n, "own_account", "left").select(F.col("id").alias("worker_id"), F.coalesce("n", F.lit(0)).alias("depth"))
 
 
-def gate(requests: DataFrame, workers: DataFrame) -> DataFrame:
+def gate(requests: DataFrame, staff: DataFrame) -> DataFrame:
     """Requests (``worker_id``, ``mode`` asked for) with ``status`` (200, 403 inactive, 404 unknown) and queue mode."""
-    known = workers.select(F.col("id").alias("worker_id"), "active", "queue_mode", F.lit(True).alias("_known"))
+    known = staff.select(F.col("id").alias("worker_id"), "active", "by_queue", F.lit(True).alias("_known"))
     out = requests.join(known, "worker_id", "left")
     status = F.when(F.col("_known").isNull(), 404).when(~F.coalesce("active", F.lit(False)), 403).otherwise(200)
-    return out.select("worker_id", status.alias("status"), (F.coalesce("mode", F.lit(False)) | F.coalesce("queue_mode", F.lit(False))).alias("queue_mode"))
+    return out.select("worker_id", status.alias("status"), (F.coalesce("mode", F.lit(False)) | F.coalesce("by_queue", F.lit(False))).alias("by_queue"))
 
 
 def public(queue: DataFrame) -> DataFrame:
-    """What workers may see: nothing about costs, in the order to work in."""
+    """What staff may see: nothing about costs, in the order to work in."""
     return queue.orderBy(F.desc("times_listed"), "id").select("id", "listing_url", "title", "price", "times_listed", "attempts")
 
 

@@ -40,9 +40,9 @@ from {orders}"""
 
 QUEUE = f"""
 select id, source, listing_url, title, price, times_listed, state, account, attempts,
-  case when state <> 'pending' then concat('w', cast(worker as string)) end as claimed_by,
-  case when state <> 'pending' then timestamp '{NOW}' - interval '1' minute * (id % 600) end as claimed_at,
-  cast(null as timestamp) as done_at, cast(null as string) as done_url, cast(null as string) as reject_reason
+  case when state <> 'pending' then concat('w', cast(worker as string)) end as holder,
+  case when state <> 'pending' then timestamp '{NOW}' - interval '1' minute * (id % 600) end as held_since,
+  cast(null as timestamp) as done_at, cast(null as string) as done_url, cast(null as string) as refusal
 from (select o_orderkey as id, 'import' as source, concat('u', cast(o_orderkey - o_orderkey % 3 as string)) as listing_url,
     concat('Item ', cast(o_orderkey as string)) as title, o_totalprice as price,
     cast(cast(substr(o_orderpriority, 1, 1) as int) * 10 + o_orderkey % 50 as int) as times_listed,
@@ -50,10 +50,10 @@ from (select o_orderkey as id, 'import' as source, concat('u', cast(o_orderkey -
     concat('acct', cast(o_orderkey % 3 as string)) as account, cast(o_orderkey % 6 as int) as attempts, o_custkey as worker
   from {{orders}}) q"""
 
-WORKERS = """
+STAFF = """
 select concat('w', cast(c_custkey as string)) as id, c_name as name, c_custkey % 10 <> 0 as active,
-  case c_custkey % 3 when 0 then true when 1 then false end as queue_mode,
-  case when c_custkey % 7 = 0 then null else concat('acct', cast(c_custkey % 3 as string)) end as account_name
+  case c_custkey % 3 when 0 then true when 1 then false end as by_queue,
+  case when c_custkey % 7 = 0 then null else concat('acct', cast(c_custkey % 3 as string)) end as own_account
 from {customer}"""
 
 #: Completions, with the local day eight hours ahead of UTC.

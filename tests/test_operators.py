@@ -125,7 +125,7 @@ def test_fuzzy_links_lose_none(spark):
 # -- the queue -----------------------------------------------------------------------------------------------------
 
 NOW = "2024-06-01 12:00:00"
-QUEUE = "id long, source string, listing_url string, title string, price double, times_listed int, state string, account string, attempts int, claimed_by string, claimed_at timestamp, done_at timestamp, done_url string, reject_reason string"
+QUEUE = "id long, source string, listing_url string, title string, price double, times_listed int, state string, account string, attempts int, holder string, held_since timestamp, done_at timestamp, done_url string, refusal string"
 
 
 def queue_of(spark, n, account="A"):
@@ -134,26 +134,26 @@ def queue_of(spark, n, account="A"):
 
 def test_claims_take_the_most_listed_and_never_twice(spark):
     q = queue_of(spark, 100)
-    workers = spark.createDataFrame([("w0", "A"), ("w1", "A"), ("w2", "B"), ("w3", None)], "id string, account_name string")
+    staff = spark.createDataFrame([("w0", "A"), ("w1", "A"), ("w2", "B"), ("w3", None)], "id string, own_account string")
     taken = []
     for w in ("w0", "w1", "w0"):
-        got = queue.claim(q, workers, w, 10, NOW)
+        got = queue.claim(q, staff, w, 10, NOW)
         taken += [r.id for r in got.where("taken").collect()]
         q = spark.createDataFrame(got.drop("taken").collect(), got.drop("taken").schema)
     assert set(taken[:10]) == set(range(91, 101)) and len(set(taken)) == 30 == len(taken)
     assert q.count() == 100 and q.where("attempts = 1").count() == 30
     for w in ("w2", "w3", "nobody"):
-        assert queue.claim(q, workers, w, 10, NOW).where("taken").count() == 0
-    late = queue.claim(q, workers, "w1", 100, "2024-06-01 16:00:01").where("taken")
+        assert queue.claim(q, staff, w, 10, NOW).where("taken").count() == 0
+    late = queue.claim(q, staff, "w1", 100, "2024-06-01 16:00:01").where("taken")
     assert late.count() == 100
-    assert queue.claim(q, workers, "w1", 100, "2024-06-01 16:00:00").where("taken").count() == 70
+    assert queue.claim(q, staff, "w1", 100, "2024-06-01 16:00:00").where("taken").count() == 70
 
 
 def test_queue_changes(spark):
     rows = [(1, "A", "claimed", "w"), (2, "B", "pending", None), (3, "C", "done", "x"), (4, "D", "claimed", "y"), (5, "A", "claimed", "w")]
     urls = {1: "p", 2: "p", 3: "p", 4: "p", 5: None}
     q = spark.createDataFrame([(i, "s", urls[i], "t", 1.0, 1, s, a, 2, w, datetime(2024, 6, 1, 11), None, None, None) for i, a, s, w in rows] + [(6, "s", None, "t", 1.0, 1, "pending", "B", 0, None, None, None, None, None)], QUEUE)
-    state = lambda df: {r.id: (r.state, r.reject_reason) for r in df.collect()}
+    state = lambda df: {r.id: (r.state, r.refusal) for r in df.collect()}
     got = state(queue.reject(q, "w", [1, 5], NOW))
     assert got == {1: ("rejected", None), 2: ("rejected", "rejected [via another account]"), 3: ("done", None), 4: ("claimed", None), 5: ("rejected", None), 6: ("pending", None)}
     assert queue.reject(q, "z", [1], NOW).where("changed").count() == 0
@@ -162,7 +162,7 @@ def test_queue_changes(spark):
     done = queue.complete(q, "w", [1, 4], NOW, "link")
     assert [(r.id, r.state, r.done_url) for r in done.where("changed").collect()] == [(1, "done", "link")]
     freed = queue.release(q, "w").where("changed").collect()
-    assert {(r.id, r.state, r.claimed_by, r.attempts) for r in freed} == {(1, "pending", None, 2), (5, "pending", None, 2)}
+    assert {(r.id, r.state, r.holder, r.attempts) for r in freed} == {(1, "pending", None, 2), (5, "pending", None, 2)}
     first = queue.clone(q, "E", "A")
     assert first.count() == 2
     again = q.unionByName(first.withColumn("id", F.lit(9)), allowMissingColumns=True)
@@ -174,9 +174,9 @@ def test_public_rows_hide_costs(spark):
 
 
 def test_queue_mode_table(spark):
-    workers = spark.createDataFrame([("t", True, True), ("f", True, False), ("n", True, None), ("off", False, True)], "id string, active boolean, queue_mode boolean")
+    staff = spark.createDataFrame([("t", True, True), ("f", True, False), ("n", True, None), ("off", False, True)], "id string, active boolean, by_queue boolean")
     asked = spark.createDataFrame([("t", False), ("f", False), ("t", True), ("f", True), ("n", False), ("off", False), ("gone", True)], "worker_id string, mode boolean")
-    got = [(r.worker_id, r.status, r.queue_mode) for r in queue.gate(asked, workers).collect()]
+    got = [(r.worker_id, r.status, r.by_queue) for r in queue.gate(asked, staff).collect()]
     assert sorted(got) == sorted([("t", 200, True), ("f", 200, False), ("t", 200, True), ("f", 200, True), ("n", 200, False), ("off", 403, True), ("gone", 404, True)])
 
 
