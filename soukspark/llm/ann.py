@@ -5,8 +5,10 @@ under its pair of centroids. A query walks centroid pairs by summed distance wit
 entries, and those are reranked by exact distance. How many are enough is measured: a bounded number of calibration
 queries is answered by brute force, and the walk goes as far as their neighbours need for the recall asked for.
 
-Entries of a cell are packed into blocks and queries that probe it into packs, both of bounded size, so a cell that
-holds a third of all vectors is many tasks' work.
+Codebooks grow with the root of the number of vectors, so a pair of centroids holds about as many entries at every
+size. Cells lie in groups of consecutive cells; a cell that holds more than a group is dealt over several. A task is
+one group and one pack of queries: entries are shipped once for each pack, and a query once for each group that its
+walk enters, with the cells of the walk there.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,15 +26,16 @@ from soukspark.llm.common import cut, partitions
 
 #: Vectors that codebooks are fitted on, and queries that the length of the walk is fitted on, at most.
 SAMPLE, CALIBRATION = 20_000, 64
-CENTROIDS, ROUNDS = 64, 10
-#: Entries of a block and queries of a pack.
-ENTRIES, QUERIES = 1024, 256
-#: Queries whose nearest entries a task holds before it hands them on.
-HELD = 50_000
+#: Centroids of a half, at least and at most, and entries of a pair that they are chosen for.
+CENTROIDS, OCCUPANCY, ROUNDS = (16, 512), 16, 10
+#: Entries of a group, queries of a pack, and of both compared at once.
+GROUP, PACK, ENTRIES, QUERIES = 1 << 20, 1 << 13, 1024, 1024
 
 
 def codebook(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """k-means centroids; fewer if there are fewer distinct rows."""
+    if not x.shape[1]:
+        return np.zeros((1, 0))
     x = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
@@ -45,7 +49,10 @@ def codebook(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.maximum((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1), 0)
+    """Squared distances up to rounding; where they leave the range of numbers, the largest one."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)
+    return np.nan_to_num(np.maximum(d, 0), nan=np.finfo(float).max)
 
 
 def halves(x: np.ndarray, books: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -56,55 +63,73 @@ def halves(x: np.ndarray, books: tuple) -> tuple[np.ndarray, np.ndarray]:
 def walk(d1: np.ndarray, d2: np.ndarray, held: np.ndarray, enough: float) -> list[tuple[int, int]]:
     """Centroid pairs by ascending summed distance, empty ones left out, until they hold enough entries."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    heap, out, total = [(d1[o1[0]] + d2[o2[0]], 0, 0)], [], 0
+    s1, s2 = d1[o1].tolist(), d2[o2].tolist()
+    table = held[o1][:, o2].tolist()
+    o1, o2 = o1.tolist(), o2.tolist()
+    heap, out, total = [(s1[0] + s2[0], 0, 0)], [], 0
     while heap and total < enough:
         _, i, j = heapq.heappop(heap)
-        a, b = int(o1[i]), int(o2[j])
-        if held[a, b]:
-            out.append((a, b))
-            total += int(held[a, b])
+        if n := table[i][j]:
+            out.append((o1[i], o2[j]))
+            total += n
         if j + 1 < len(o2):
-            heapq.heappush(heap, (d1[o1[i]] + d2[o2[j + 1]], i, j + 1))
+            heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
         if j == 0 and i + 1 < len(o1):
-            heapq.heappush(heap, (d1[o1[i + 1]] + d2[o2[0]], i + 1, 0))
+            heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
     return out
 
 
-def best(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest (distance, id)."""
-    rows = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-    return rows[np.lexsort((ids[rows], d[rows]))][:k]
-
-
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.sqrt(((x - q) ** 2).sum(1))
-
-
 class Nearest:
-    """The k nearest entries seen so far of each query seen so far."""
-
-    def __init__(self, k: int):
-        self.k, self.found = k, {}
-
-    def add(self, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        step = max(1, (1 << 20) // max(1, x.size))
-        for at in range(0, len(qid), step):
-            part = slice(at, at + step)
-            d = np.sqrt(((x[None] - q[part, None]) ** 2).sum(2))
-            d[qid[part, None] == ids[None]] = np.inf
-            limit = np.array([self.found[i][2] if i in self.found else np.inf for i in qid[part].tolist()])
-            for j in np.flatnonzero((d <= np.minimum(limit, np.finfo(float).max)[:, None]).any(1)).tolist():
-                use = np.flatnonzero(d[j] <= min(limit[j], np.finfo(float).max))
-                near, names, i = d[j, use], ids[use], int(qid[at + j])
-                if i in self.found:
-                    near, names = np.concatenate((self.found[i][0], near)), np.concatenate((self.found[i][1], names))
-                keep = best(near, names, self.k)
-                self.found[i] = near[keep], names[keep], near[keep[-1]] if len(keep) == self.k else np.inf
-
-    def rows(self) -> pa.RecordBatch:
-        n = [len(x[0]) for x in self.found.values()]
-        columns = [np.repeat(np.array(list(self.found), np.int64), n), *[np.concatenate([np.zeros(0, t), *[x[k] for x in self.found.values()]]) for k, t in ((1, np.int64), (0, np.float64))]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+    """The k nearest entries seen so far of each of a pack of queries, with a number that comes with each entry."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        with np.errstate(over="ignore"):
+            self.square = (q**2).sum(1)
+        self.limit = np.full(len(q), np.inf)
+        #: query, distance and id of what is held, and the number; by query, nearest first
+        self.row, self.near, self.name, self.mark = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, x: np.ndarray, mark: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Entries; ``asked``: which queries (rows) want which of them."""
+        for at in range(0, len(self.q), QUERIES):
+            part = slice(at, at + QUERIES)
+            want = self.ids[part, None] != ids[None]
+            if asked is not None:
+                want &= asked[part]
+            self._add(at, want, ids, x, mark)
+
+    def _add(self, at: int, want: np.ndarray, ids: np.ndarray, x: np.ndarray, mark: np.ndarray) -> None:
+        q, k = self.q[at : at + QUERIES], self.k
+        # a product of matrices leaves few pairs, which are measured exactly
+        with np.errstate(over="ignore", invalid="ignore"):
+            square = (x**2).sum(1)
+            rough = square[None] - 2 * q @ x.T + self.square[at : at + QUERIES, None]
+            slack = 1e-9 * (self.square[at : at + QUERIES] + square.max(initial=0)) + 1e-290
+            limit = self.limit[at : at + QUERIES] ** 2
+        tame = np.isfinite(rough).all()
+        rough[~np.isfinite(rough)] = -np.inf  # out of range: to be measured
+        rough[~want] = np.inf
+        if want.shape[1] > k and tame:
+            limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
+        r, c = np.nonzero(want & ~(rough > (limit + slack)[:, None]))
+        if not len(r):
+            return
+        d = np.empty(len(r))
+        step = max(1, (1 << 20) // max(1, x.shape[1]))
+        with np.errstate(over="ignore"):
+            for a in range(0, len(r), step):
+                d[a : a + step] = np.sqrt(((x[c[a : a + step]] - q[r[a : a + step]]) ** 2).sum(1))
+        row, near, name, mark = r + at, d, ids[c], mark[c]
+        ok = near <= self.limit[row]
+        row, near, name, mark = (np.concatenate(p) for p in ((self.row, row[ok]), (self.near, near[ok]), (self.name, name[ok]), (self.mark, mark[ok])))
+        order = np.lexsort((name, near, row))
+        row, near, name, mark = row[order], near[order], name[order], mark[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < k
+        last = rank == k - 1
+        self.limit[row[last]] = near[last]
+        self.row, self.near, self.name, self.mark = row[keep], near[keep], name[keep], mark[keep]
 
 
 def matrix(column) -> np.ndarray:
@@ -113,67 +138,86 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """``id, v`` of the vectors that take part: key not null, of the commonest length (of equally common ones
-    the longest), all components finite, not all zero."""
+def usable(vectors: DataFrame, key: str, embedding: str, dim: int | None = None) -> tuple[DataFrame, int, int]:
+    """``id, v`` of the vectors that take part, their length and number: key not null, of the length given (None: the
+    commonest one; of equally common ones the longest), all components finite, not all zero."""
     v = F.col(embedding).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0")
-    size = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    return rows.where((F.size("v") == (size.n if size else 0)) & good)
+    # one row for each length that occurs
+    sizes = rows.where(F.size("v") == dim) if dim else rows
+    size = sizes.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c"), F.count_if(good).alias("good")).orderBy(F.desc("c"), F.desc("n")).first()
+    dim = size.n if size else dim or 0
+    return rows.where((F.size("v") == dim) & good), dim, size.good if size else 0
 
 
-def _sample(rows: DataFrame, n: int, salt: int) -> DataFrame:
-    return rows.orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(n)
+def _sample(rows: DataFrame, total: int, most: int, seed: int) -> list:
+    """Some ``most`` of ``total`` rows, or all of fewer: each row is drawn by itself, so that no task orders any."""
+    rows = rows if total <= most else rows.sample(0.95 * most / total, seed)
+    return rows.collect()[:most]  # bounded: a binomial number about a twentieth below ``most``
 
 
-def _brute(rows: DataFrame, queries: list, k: int) -> dict[int, list[int]]:
-    """The k nearest ids of a bounded number of queries, by comparison with every row in blocks."""
-    qid, q = np.array([r.id for r in queries]), np.array([r.v for r in queries], np.float64)
+def _brute(entries: DataFrame, queries: list, k: int) -> dict[int, list[int]]:
+    """Cells of the k nearest entries of a bounded number of queries, by comparison with every entry in blocks."""
+    qid, q = np.array([r.id for r in queries], np.int64), np.array([r.v for r in queries], np.float64)
 
     def of(batches):
-        got: dict[int, tuple] = {}
+        got = Nearest(qid, q, k)
         for batch in batches:
             for at in range(0, batch.num_rows, ENTRIES):
                 part = batch.slice(at, ENTRIES)
-                ids, x = part.column(0).to_numpy(), matrix(part.column(1))
-                for i in range(len(qid)):
-                    other = ids != qid[i]
-                    d, n = exact(q[i], x[other]), ids[other]
-                    if i in got:
-                        d, n = np.concatenate((got[i][0], d)), np.concatenate((got[i][1], n))
-                    keep = best(d, n, k)
-                    got[i] = d[keep], n[keep]
-        for i, (d, n) in got.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), i)), pa.array(n), pa.array(d)], ["q", "id", "d"])
-
-    near = rows.mapInArrow(of, "q long, id long, d double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
+                got.add(part.column(0).to_numpy(), matrix(part.column(1)), part.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (got.row, got.name, got.near, got.mark)], ["q", "id", "d", "cell"])
+
+    near = entries.select("id", "v", F.col("cell").cast("long")).mapInArrow(of, "q long, id long, d double, cell long")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))  # k rows of each task
     out: dict[int, list[int]] = {}
     for r in near.withColumn("r", rank).where(F.col("r") <= k).collect():  # calibration queries times k
-        out.setdefault(r.q, []).append(r.id)
+        out.setdefault(r.q, []).append(r.cell)
+    return out
+
+
+def grouped(counts: dict[int, int], per: int) -> list[tuple[int, int, int]]:
+    """``(cell, first group, groups)`` of cells in ascending order, groups holding about so many entries; a cell of more
+    has groups of its own."""
+    out, group, held = [], 0, 0
+    for cell in sorted(counts):
+        n = counts[cell]
+        if held and held + n > per:
+            group, held = group + 1, 0
+        span = -(-n // per)
+        out.append((cell, group, span))
+        group, held = (group + span, 0) if span > 1 else (group, held + n)
     return out
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", embedding: str = "embedding", recall: float = 0.95, centroids: int = CENTROIDS, seed: int = 7
+    vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", embedding: str = "embedding", recall: float = 0.95, centroids: int | None = None, seed: int = 7
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each query row the k nearest of ``vectors`` that were found, but
-    rows of the query's own key; score is the Euclidean distance, ties go to the smaller key.
+    """``query_id, rank, vec_id, score``: for each query the k nearest of ``vectors`` that were found, but rows of the
+    query's own key; score is the Euclidean distance, ties go to the smaller key.
 
-    Vectors and queries with a null key, null, of another length than the commonest, all zero, or with null or
-    non-finite components take no part. Rows that repeat a key each count. Fewer than k other rows: all of them.
+    Vectors with a null key, null, of another length than the commonest, all zero, or with null or non-finite components
+    take no part, nor do queries of another length than theirs. Vectors that repeat a row each count; query rows of
+    equal key and vector are one query, of equal key and other vectors queries of their own. Fewer than k other rows:
+    all of them. No vectors or no queries: no rows. Other columns are not read.
+
+    ``centroids``: of each half; None: the root of a ``OCCUPANCY``-th of the number of vectors, within ``CENTROIDS``.
+    The work is queries times the share of entries that a walk needs: where vectors have no structure, recall asks for a
+    share of all entries, and the work of a share of the rows as queries grows with the square of the rows.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, asked = usable(vectors, key, embedding), usable(queries, key, embedding)
-    fitted = _sample(rows, SAMPLE, seed).collect()
-    if not fitted or len(fitted[0].v) < 2:
-        if not fitted:
-            return empty
-        raise ValueError("vectors need two components at least")
-    x = np.array([r.v for r in fitted], np.float64)
-    h = x.shape[1] // 2
+    rows, dim, n = usable(vectors, key, embedding)
+    if not n:
+        return empty
+    asked, _, asked_n = usable(queries, key, embedding, dim)
+    if not asked_n:
+        return empty
+    x = np.array([r.v for r in _sample(rows, n, SAMPLE, seed)], np.float64)
+    least, most = CENTROIDS
+    centroids = centroids or min(max(least, math.ceil(math.sqrt(n / OCCUPANCY))), most)
+    h = -(-dim // 2)
     books = codebook(x[:, :h], centroids, seed), codebook(x[:, h:], centroids, seed + 1)
     shape = len(books[0]), len(books[1])
 
@@ -187,64 +231,109 @@ def search(
     # one row for each pair of centroids at most: bounded by the codebooks
     counts = {r.cell: r.n for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     held = np.zeros(shape, np.int64)
-    for cell, n in counts.items():
-        held[cell // shape[1], cell % shape[1]] = n
-    enough = _enough(entries, _sample(asked, CALIBRATION, seed).collect(), k, recall, books, held)
+    for cell, m in counts.items():
+        held[cell // shape[1], cell % shape[1]] = m
+    asked = cut(asked.distinct())
+    enough = _enough(entries, _sample(asked, asked_n, CALIBRATION, seed), k, recall, books, held)
+    packs, tasks = -(-asked_n // PACK), partitions(spark)
+    groups = grouped(counts, max(1, min(GROUP, -(-n * packs // tasks))))
+    n_groups = groups[-1][1] + groups[-1][2]
+    spans = np.zeros((2, shape[0] * shape[1]), np.int64)  # of each cell its first group and their number
+    for cell, first, span in groups:
+        spans[:, cell] = first, span
 
     def probes(batches):
+        """A query's rows: one for each group that its walk enters, with the cells there."""
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                d1, d2 = halves(matrix(part.column(1)), books)
-                cells = [[a * shape[1] + b for a, b in walk(d1[i], d2[i], held, enough)] for i in range(len(d1))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.list_(pa.int32()))], ["id", "v", "cells"])
-
-    blocks_of = spark.createDataFrame([(c, -(-n // ENTRIES)) for c, n in counts.items()], "cell int, blocks int")
-    salted = F.pmod(F.xxhash64("id", "v"), "blocks").cast("int")
-    blocks = entries.join(F.broadcast(blocks_of), "cell").withColumn("block", salted).groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("entries"))
-    tasks = partitions(spark)
-    numbered = asked.repartition(tasks).mapInArrow(probes, "id long, v array<double>, cells array<int>")
-    n_queries = asked.count()
-    packs = max(1, -(-n_queries // QUERIES))
-    packed = numbered.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int")).select("id", "v", "pack", F.explode("cells").alias("cell"))
-    packed = packed.groupBy("cell", "pack").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    # every block of a cell meets the cell's packs in a task of its own
-    each = packed.join(F.broadcast(blocks_of), "cell").select("cell", "asked", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    pairs = each.repartition(tasks, "cell", "block").join(blocks.repartition(tasks, "cell", "block"), ["cell", "block"]).select("asked", "entries")
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                d1, d2 = halves(matrix(one.column(1)), books)
+                cells = np.array([a * shape[1] + b for a, b in walk(d1[0], d2[0], held, enough)], np.int32)
+                span, first = spans[1][cells], spans[0][cells]
+                cells, group = np.repeat(cells, span), np.repeat(first - np.cumsum(span) + span, span) + np.arange(span.sum())
+                order = np.argsort(group, kind="stable")
+                cells, group = cells[order], group[order]
+                into, starts = np.unique(group, return_index=True)
+                out = one.take(pa.array(np.zeros(len(into), np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array([*starts.tolist(), len(cells)], pa.int32()), pa.array(cells))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(into.astype(np.int32)), lists], ["id", "v", "grp", "cells"])
+
+    sent = asked.repartition(tasks, "id", "v").mapInArrow(probes, "id long, v array<double>, grp int, cells array<int>")
+    query = F.xxhash64("id", "v")
+    sent = sent.select("grp", F.pmod(query, F.lit(packs)).cast("int").alias("pack"), F.lit(0).alias("side"), "id", "v", "cells", query.alias("query"))
+    where = spark.createDataFrame(groups, "cell int, first int, span int")  # bounded by the codebooks
+    # rows of a checkpoint, whose numbers stay the same if a task runs again
+    placed = entries.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(where), "cell")
+    salt = F.pmod(F.xxhash64("row"), F.col("span")).cast("int")
+    placed = placed.select((F.col("first") + salt).alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack"), F.lit(1).alias("side"), "id", "v", F.array("cell").alias("cells"), F.lit(0).cast("long").alias("query"))
+    met = sent.unionAll(placed).withColumn("task", F.expr(f"grp * {packs} + pack"))
+    met = met.repartitionById(n_groups * packs, F.col("task")).sortWithinPartitions("task", "side", "cells")
 
     def rerank(batches):
-        held = Nearest(k)
+        task, near, asked = None, None, []
+
+        def rows_of(near):
+            columns = [near.ids[near.row], names[near.row], near.name, near.near]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "query", "vec_id", "score"])
+
         for batch in batches:
-            for one, other in zip(batch.column(0), batch.column(1), strict=True):
-                qid, qv = one.values.flatten()
-                ids, v = other.values.flatten()
-                held.add(qid.to_numpy(), matrix(qv), ids.to_numpy(), matrix(v))
-                if len(held.found) > HELD:
-                    yield held.rows()
-                    held = Nearest(k)
-        yield held.rows()
-
-    found = pairs.mapInArrow(rerank, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+            of_task, side = batch.column(7).to_numpy(), batch.column(2).to_numpy()
+            edges = np.flatnonzero(np.diff(of_task * 2 + side)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                if of_task[a] != task:
+                    if near is not None:
+                        yield rows_of(near)
+                    task, near, asked = of_task[a], None, []
+                if not side[a]:
+                    asked.append(part)
+                    continue
+                if near is None and asked:
+                    held_rows = pa.Table.from_batches(asked).combine_chunks()
+                    near = Nearest(held_rows.column("id").to_numpy(), matrix(held_rows.column("v")), k)
+                    names, wanted = held_rows.column("query").to_numpy(), by_cell(held_rows.column("cells"))
+                    asked = []
+                if near is None:
+                    continue  # no walk enters this group
+                for at in range(0, part.num_rows, ENTRIES):
+                    some = part.slice(at, ENTRIES)
+                    cell = some.column(5).flatten().to_numpy()
+                    mask = np.zeros((len(near.q), len(cell)), bool)
+                    for c in np.unique(cell).tolist():
+                        if c in wanted:
+                            mask[np.ix_(wanted[c], np.flatnonzero(cell == c))] = True
+                    if mask.any():
+                        near.add(some.column(3).to_numpy(), matrix(some.column(4)), np.zeros(len(cell), np.int64), mask)
+        if near is not None:
+            yield rows_of(near)
+
+    found = met.mapInArrow(rerank, "query_id long, query long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("score", "vec_id"))  # k rows of each group
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def by_cell(cells: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """The queries (rows) that want each cell."""
+    row = np.repeat(np.arange(len(cells)), pc.list_value_length(cells).to_numpy())
+    flat = pc.list_flatten(cells).to_numpy().astype(np.int64)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    names, starts = np.unique(flat, return_index=True)
+    return dict(zip(names.tolist(), np.split(row, starts[1:]), strict=True))
+
+
 def _enough(entries: DataFrame, queries: list, k: int, recall: float, books: tuple, held: np.ndarray) -> float:
     """How many entries the walks must hold so that calibration queries find so much of their neighbours."""
     if not queries:
         return 0
-    near = _brute(entries.select("id", "v"), queries, k)
-    ids = sorted({n for x in near.values() for n in x})
-    at = {r.id: r.cell for r in entries.where(F.col("id").isin(ids)).select("id", "cell").collect()}
     need = []
-    q = np.array([r.v for r in queries], np.float64)
-    d1, d2 = halves(q, books)
-    for i, found in near.items():
+    d1, d2 = halves(np.array([r.v for r in queries], np.float64), books)
+    for i, found in _brute(entries, queries, k).items():
         passed, total = {}, 0
         for a, b in walk(d1[i], d2[i], held, math.inf):
             passed[a * held.shape[1] + b] = total + 1  # the walk stops once it holds as many as before and one
             total += int(held[a, b])
-        need += [passed[at[n]] for n in found]
+        need += [passed[c] for c in found]
     if not need:
         return k + 1
     need.sort()

@@ -83,13 +83,17 @@ def test_neighbours_recall_and_scores(spark):
     assert [v for _, v, _ in sorted(got[100])] == list(range(101, 111))
 
 
-def test_neighbours_recall_on_the_given_vectors(spark):
-    df = spark.read.parquet(f"{SMALL}/embeddings.parquet")
-    rows = df.orderBy("vec_id").collect()
-    ids, x = [r.vec_id for r in rows], [r.embedding for r in rows]
-    got = {(r.query_id, r.vec_id) for r in queries.op3_ann(spark, SMALL).collect()}
-    want = {(ids[i], v) for i in range(len(ids)) if ids[i] % 100 == 0 for _, v in plain_search(ids, x, i, 10)}
-    assert len(got & want) >= 0.9 * len(want)
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_neighbours_recall_on_the_given_vectors(spark, sf):
+    where = f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"{where}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {(r.query_id, r.vec_id) for r in queries.op3_ann(spark, where).collect()}
+    want = set()
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want |= {(ids[i], v) for v in ids[[j for j in np.lexsort((ids, d)) if j != i][:10]]}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
 
 
 def test_neighbours_odd_vectors(spark):
@@ -100,6 +104,49 @@ def test_neighbours_odd_vectors(spark):
     assert ann.search(df.limit(0), df).count() == 0 and ann.search(df, df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_queries(spark):
+    """Equal query rows are one query; each candidate row counts once; another vector under a key is another query."""
+    rows = [(0, [0.0, 1.0])] * 2 + [(k, [float(k), 1.0]) for k in range(1, 30)] + [(100, [5.0, 1.0]), (100, [20.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("query", F.lit("clash")).withColumn("cell", F.lit(1))
+    got = sorted(tuple(r) for r in ann.search(df, df.where("vec_id = 0")).collect())
+    assert got == [(0, k, k, float(k)) for k in (1, 2, 3, 4)] + [(0, 5, 5, 5.0), (0, 6, 100, 5.0)] + [(0, k + 1, k, float(k)) for k in (6, 7, 8, 9)]
+    two = sorted((r.rank, r.vec_id) for r in ann.search(df, df.where("vec_id = 100"), 2).collect())
+    assert two == [(1, 5), (1, 20), (2, 4), (2, 19)]
+
+
+def test_neighbours_of_one_component_and_of_huge_ones(spark):
+    one = spark.createDataFrame([(k, [float(k * k)]) for k in range(1, 8)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.search(one, one.where("vec_id = 3"), 3).collect())
+    assert got == [(3, 1, 2, 5.0), (3, 2, 4, 7.0), (3, 3, 1, 8.0)]
+    huge = spark.createDataFrame([(k, [1e308 * (-1) ** k, float(k)]) for k in range(6)] + [(9, [1e-200, 0.0]), (10, [2e-200, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.search(huge, huge.where("vec_id in (0, 9)"), 3).collect())
+    assert got == [(0, 1, 2, 2.0), (0, 2, 4, 4.0), (0, 3, 1, math.inf), (9, 1, 10, 0.0), (9, 2, 0, math.inf), (9, 3, 1, math.inf)]
+
+
+def test_neighbours_over_many_groups_and_packs(spark, monkeypatch):
+    """A cell with a third of all vectors is dealt over groups; queries are dealt over packs."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate((np.tile(rng.normal(size=6), (300, 1)), rng.normal(size=(600, 6))))
+    df = spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "GROUP", 50)
+    monkeypatch.setattr(ann, "PACK", 30)
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 7 = 0"), recall=1.0, centroids=6).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    right = 0
+    for q in range(0, 900, 7):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [j for j in np.lexsort((np.arange(900), d)) if j != q][:10]
+        found = [v for _, v in sorted(got[q])]
+        assert len(found) == 10
+        right += len(set(found) & set(want))
+    assert right >= 0.98 * 10 * len(got)
+
+
+def test_cells_in_groups():
+    assert ann.grouped({0: 3, 2: 4, 5: 25, 6: 1, 7: 9, 8: 1}, 10) == [(0, 0, 1), (2, 0, 1), (5, 1, 3), (6, 4, 1), (7, 4, 1), (8, 5, 1)]
+
+
 def test_walk_goes_by_summed_distance():
     rng = np.random.default_rng(0)
     d1, d2 = rng.random(6), rng.random(7)
