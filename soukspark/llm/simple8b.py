@@ -1,12 +1,14 @@
 """Token-id files in Simple-8b: as many ids as fit in each 64-bit word.
 
 The top 4 bits of a word select how many ids of how many bits it holds. Ids of more than 60 bits go to a table of
-escapes. A segment holds whole documents, about a million ids, with a table of documents and, for each block of
+escapes. A segment holds whole documents, about half a million ids, with a table of documents and, for each block of
 1024 ids, the offset of its first word, so that blocks are coded and decoded together in numpy.
 
-Files are written by Spark's text writer (segments are binary rows, each ended by a line feed) and read as binary
-files, so both work on any store that Spark can reach. Documents are dealt by ranges of their key; file k holds what
-comes before file k + 1.
+Texts are encoded where they are read, and only ids are shuffled. Files are written by Spark's text writer (segments
+are binary rows, each ended by a line feed; it writes bytes of any value as they are, which a test holds) and read as
+binary files, so both work on any store that Spark can reach. Documents are dealt by ranges of their key; range k
+holds what comes before range k + 1, in files of a bounded size. Segments carry their range and how many ids come before
+them in it, so each file can be read by itself.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 1024
 _MAGIC = b"S8BT"
-#: magic, version, number of the file, documents, blocks, escapes, words, ids
-_HEAD = struct.Struct("<4sIIIIIQQ")
+#: magic, version, number of the range, documents, blocks, escapes, words, ids, ids before it in its range
+_HEAD = struct.Struct("<4sIIIIIQQQ")
 #: Window sizes in ascending order, each as the maximum of two windows of an earlier size.
 _WINDOWS = ((2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 4, 1), (6, 4, 2), (7, 4, 3), (8, 4, 4), (10, 8, 2), (12, 8, 4), (15, 8, 7), (20, 15, 5), (30, 15, 15), (60, 30, 30), (120, 60, 60))
 
@@ -127,21 +129,21 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
     return out
 
 
-def segment(number: int, keys: list, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+def segment(number: int, before: int, keys: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     words, offsets, escapes = pack(ids)
-    head = _HEAD.pack(_MAGIC, 1, number, len(keys), len(offsets) - 1, len(escapes), len(words), len(ids))
-    key = np.array([0 if k is None else k for k in keys], "<i8")
-    null = np.array([k is None for k in keys], np.uint8)
+    head = _HEAD.pack(_MAGIC, 2, number, len(keys), len(offsets) - 1, len(escapes), len(words), len(ids), before)
+    key = pc.fill_null(keys, 0).to_numpy(zero_copy_only=False).astype("<i8")
+    null = keys.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
     parts = (key, null, sizes.astype("<u8"), offsets.astype("<u4"), escapes.astype("<u8"), words.astype("<u8"))
     return head + b"".join(x.tobytes() for x in parts)
 
 
 def segments(raw: bytes):
-    """``(file number, keys, ids of each document)`` of each segment of a file."""
+    """``(range, ids before it there, keys, ids of each document)`` of each segment of a file."""
     at = 0
     while at < len(raw):
-        magic, version, number, n_docs, n_blocks, n_escapes, n_words, n_ids = _HEAD.unpack_from(raw, at)
-        if magic != _MAGIC or version != 1:
+        magic, version, number, n_docs, n_blocks, n_escapes, n_words, n_ids, before = _HEAD.unpack_from(raw, at)
+        if magic != _MAGIC or version != 2:
             raise ValueError(f"not a segment at byte {at}")
         at += _HEAD.size
 
@@ -154,7 +156,7 @@ def segments(raw: bytes):
         key, null, sizes = take("<i8", n_docs), take(np.uint8, n_docs), take("<u8", n_docs)
         offsets, escapes, words = take("<u4", n_blocks + 1), take("<u8", n_escapes), take("<u8", n_words)
         ids = unpack(words, offsets, escapes, n_ids)
-        yield number, [None if x else int(k) for k, x in zip(key, null, strict=True)], np.split(ids, np.cumsum(sizes.astype(np.int64))[:-1]) if n_docs else []
+        yield number, before, pa.array(key, pa.int64(), mask=null.astype(bool)), np.split(ids, np.cumsum(sizes.astype(np.int64))[:-1]) if n_docs else []
         if raw[at : at + 1] != b"\n":
             raise ValueError(f"no end of segment at byte {at}")
         at += 1
@@ -177,7 +179,7 @@ class PieceEncoder:
     tell where each ends.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -267,59 +269,146 @@ def encoder(path: str, special_as_text: bool) -> PieceEncoder:
     return _ENCODERS[path, special_as_text]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, text: str = "text", key: str = "doc_id", files: int | None = None, special_as_text: bool = True) -> None:
+#: Bytes of a file, about, and ids of a segment: what is held at once.
+FILE_BYTES, SEGMENT_IDS = 1 << 27, 1 << 19
+#: Rows that the bounds of ranges are drawn from, at most.
+SAMPLE = 200_000
+
+
+def sortable(keys: pa.Array, ties: np.ndarray) -> np.ndarray:
+    """Bytes that sort as (null first, key, tie) does."""
+    out = np.zeros((len(keys), 13), np.uint8)
+    out[:, 0] = ~keys.is_null().to_numpy(zero_copy_only=False)
+    key = pc.fill_null(keys, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out[:, 1:9] = (key.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 9:] = ties.astype(">u4").view(np.uint8).reshape(-1, 4)
+    return out.view("S13").ravel()
+
+
+def bounds(rows: DataFrame, file_bytes: int) -> np.ndarray:
+    """The first (key, tie) of each range but the first, from a bounded sample of ``key, text``; bounds may repeat where
+    many rows are equal."""
+    total = rows.count()
+    tie = F.crc32(F.col("text").cast("binary"))
+    drawn = rows.select("key", tie.alias("tie"), F.octet_length("text").alias("n"))
+    drawn = (drawn if 2 * total <= SAMPLE else drawn.sample(SAMPLE / 2 / total, 5)).toArrow()  # a binomial number of rows
+    if not len(drawn):
+        return np.zeros(0, "S13")
+    # an id stands for about two bytes of text at least and takes up two in a file
+    size = drawn.column("n").to_numpy().astype(np.float64) + 1
+    ranges = max(partitions(rows.sparkSession), int(size.sum() * total / len(drawn) / file_bytes))
+    order = np.argsort(names := sortable(drawn.column("key").combine_chunks(), drawn.column("tie").to_numpy()), kind="stable")
+    share = np.cumsum(size[order])
+    at = np.searchsorted(share, share[-1] * np.arange(1, ranges) / ranges)
+    return names[order][at]
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, special_as_text: bool, starts: np.ndarray) -> DataFrame:
+    """``range, key, tie, n, ids`` of ``key, text``: the ids of every row as little-endian bytes, two of an id where all
+    fit. Of ranges that could hold a row, its place in its task decides."""
+    names = ["range", "key", "tie", "n", "ids"]
+
+    def of(batches):
+        tool = encoder(tokenizer, special_as_text)
+        place = 0
+        for batch in batches:
+            for start, stop in by_bytes(batch.column(1)):
+                part = batch.slice(start, stop - start)
+                ids, sizes = tool.encode(part.column(1), end_id)
+                tie = np.array([zlib.crc32(x) for x in part.column(1).cast(pa.binary()).to_pylist()], np.int64)
+                own = sortable(part.column(0), tie)
+                low, high = np.searchsorted(starts, own), np.searchsorted(starts, own, "right")
+                number = low + np.arange(place, place + len(own)) % (high - low + 1)
+                place += len(own)
+                ends = np.concatenate(([0], np.cumsum(sizes))) * width
+                held = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(kind))])
+                columns = [pa.array(number.astype(np.int32)), part.column(0), pa.array(tie), pa.array(sizes.astype(np.int64)), held.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    kind = id_type(tokenizer, special_as_text, end_id)
+    width = np.dtype(kind).itemsize
+    return docs.mapInArrow(of, "range int, key long, tie long, n long, ids binary")
+
+
+def id_type(tokenizer: str, special_as_text: bool, end_id: int | None) -> str:
+    most = max(encoder(tokenizer, special_as_text).library.get_vocab_size(), (end_id or 0) + 1)
+    return "<u2" if most <= 1 << 16 else "<u4"
+
+
+def write(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, text: str = "text", key: str = "doc_id", file_bytes: int = FILE_BYTES, special_as_text: bool = False
+) -> None:
     """Encodes every text and writes the ids in ascending key order (nulls first; ties by the text's checksum).
 
-    A null or empty text has only ``end_id``. ``files``: how many at most, by default the session's shuffle
-    partitions. ``special_as_text``: special tokens' strings in a text are ordinary text. Keys are whole
+    A null or empty text has only ``end_id``. Files hold about ``file_bytes`` at most, or one segment; a segment is cut
+    once it has ``SEGMENT_IDS`` ids, so one of a very long text has more. ``special_as_text``: special tokens' strings in
+    a text are ordinary text; otherwise they are special tokens, as by the library's defaults. Rows that repeat a key and
+    text are written as often and may be dealt over several ranges. An empty table gives no documents. Keys are whole
     numbers; other columns are not read.
     """
-    tie = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), tie.alias("tie"))
-    rows = rows.repartitionByRange(files or partitions(docs.sparkSession), "key", "tie").sortWithinPartitions("key", "tie")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    starts, kind = bounds(rows, file_bytes), id_type(tokenizer, special_as_text, end_id)
+    dealt = encoded(rows, tokenizer, end_id, special_as_text, starts)
+    dealt = dealt.repartitionById(len(starts) + 1, F.col("range")).sortWithinPartitions("key", "tie")
+    # two bytes of an id in a file, about; a segment of them is a record of the writer
+    records = max(1, file_bytes // (2 * SEGMENT_IDS))
 
     def of(batches):
-        number = TaskContext.get().partitionId()
-        encode = encoder(tokenizer, special_as_text).encode
+        number, before = TaskContext.get().partitionId(), 0
+        held, n = [], 0
+
+        def put():
+            nonlocal before, held, n
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), kind)
+            raw = segment(number, before, rows.column("key").combine_chunks(), rows.column("n").to_numpy(), ids)
+            before, held, n = before + len(ids), [], 0
+            return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["segment"])
+
         for batch in batches:
-            for start, stop in by_bytes(batch.column(1)):
-                part = batch.slice(start, stop - start)
-                ids, sizes = encode(part.column(1), end_id)
-                raw = segment(number, part.column(0).to_pylist(), sizes, ids)
-                yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["segment"])
+            start, ends = 0, np.cumsum(batch.column(1).to_numpy())
+            while start < batch.num_rows:
+                done = int(ends[start - 1]) if start else 0
+                stop = min(batch.num_rows, max(start + 1, int(np.searchsorted(ends, done + SEGMENT_IDS - n, "left")) + 1))
+                held.append(batch.slice(start, stop - start))
+                n += int(ends[stop - 1]) - done
+                start = stop
+                if n >= SEGMENT_IDS:
+                    yield put()
+        if held:
+            yield put()
 
-    rows.mapInArrow(of, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").text(path)
+    out = dealt.select("key", "n", "ids").mapInArrow(of, "segment binary").select(F.col("segment").cast("string").alias("value"))
+    out.write.option("compression", "none").option("maxRecordsPerFile", records).text(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """``doc_id, n_tokens, ids_crc32, file, before`` (ids before it in its file) and, ``with_ids``, ``ids``."""
+    """``doc_id, n_tokens, ids_crc32, range, before`` (ids before it in its range) and, ``with_ids``, ``ids``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    names = ["doc_id", "n_tokens", "ids_crc32", "file", "before"]
+    names = ["doc_id", "n_tokens", "ids_crc32", "range", "before"]
 
     def of(batches):
         for batch in batches:
             for raw in batch.column(0):
-                before = 0
-                for number, keys, docs in segments(raw.as_py()):
+                for number, before, keys, docs in segments(raw.as_py()):
                     sizes = np.array([len(x) for x in docs], np.int64)
                     crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in docs]
-                    columns = [pa.array(keys, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array([number] * len(docs), pa.int32()), pa.array(before + np.cumsum(sizes) - sizes)]
+                    columns = [keys, pa.array(sizes), pa.array(crc, pa.int64()), pa.array([number] * len(docs), pa.int32()), pa.array(before + np.cumsum(sizes) - sizes)]
                     if with_ids:
                         columns.append(pa.array([x.astype(np.int64) for x in docs], pa.list_(pa.int64())))
-                    before += int(sizes.sum())
                     yield pa.RecordBatch.from_arrays(columns, [*names, "ids"][: len(columns)])
 
-    return files.mapInArrow(of, "doc_id long, n_tokens long, ids_crc32 long, file int, before long" + ", ids array<long>" * with_ids)
+    return files.mapInArrow(of, "doc_id long, n_tokens long, ids_crc32 long, range int, before long" + ", ids array<long>" * with_ids)
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files; start: ids of all before it."""
     rows = cut(read(spark, path, False))
-    # one row for each file
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    rows = rows.join(F.broadcast(starts), "file")
+    # one row for each range, of which there are as many as tasks wrote
+    totals = rows.groupBy("range").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rows = rows.join(F.broadcast(starts), "range")
     return rows.select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

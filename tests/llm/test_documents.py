@@ -235,12 +235,19 @@ def test_encoder_equals_the_library(special):
             assert got.tolist() == [*e.library.encode(t, add_special_tokens=False).ids, 2], t
 
 
-def test_files_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("small", [False, True])
+def test_files_round_trip(spark, tmp_path, monkeypatch, small):
     import zlib
 
-    docs = odd_rows(spark)
-    simple8b.write(docs, f"{tmp_path}/ids", BPE, files=3)
-    library = simple8b.PieceEncoder(BPE).library
+    from tokenizers import Tokenizer
+
+    docs = odd_rows(spark, [*ODD, *["long text, " * (400 + k) for k in range(30)]])
+    if small:
+        monkeypatch.setattr(simple8b, "SEGMENT_IDS", 1000)
+    simple8b.write(docs, f"{tmp_path}/ids", BPE, file_bytes=8000 if small else 1 << 20)
+    files = list((tmp_path / "ids").glob("part-*"))
+    assert len(files) > 10 if small else len(files) <= 4
+    library = Tokenizer.from_file(BPE)
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, zlib.crc32((r.text or "").encode()), r.text or "") for r in docs.collect()), key=lambda r: r[:3])
     want, start = [], 0
     for real, key, _, text in rows:
@@ -255,6 +262,23 @@ def test_files_round_trip(spark, tmp_path):
     assert simple8b.index(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_equal_rows_are_dealt_over_files(spark, tmp_path):
+    docs = spark.createDataFrame([(5, "one two three")] * 4000 + [(9, "x"), (1, None)], "doc_id long, text string").repartition(3)
+    simple8b.write(docs, f"{tmp_path}/ids", BPE)
+    got = sorted(tuple(r) for r in simple8b.index(spark, f"{tmp_path}/ids").select("doc_id", "start", "n_tokens").collect())
+    assert got == [(1, 0, 1), *[(5, 1 + 4 * k, 4) for k in range(4000)], (9, 16001, 2)]
+    per = simple8b.read(spark, f"{tmp_path}/ids").groupBy("range").count().collect()
+    assert max(r["count"] for r in per) < 2500
+
+
+def test_the_text_writer_keeps_every_byte(spark, tmp_path):
+    raw = [bytes(range(256)) * 3, b"\xff\xfe\n\r\n\x80", bytes(reversed(range(256)))]
+    rows = spark.createDataFrame([(bytearray(x),) for x in raw], "x binary").coalesce(1)
+    rows.select(F.col("x").cast("string").alias("value")).write.text(f"{tmp_path}/raw")
+    (file,) = (tmp_path / "raw").glob("part-*")
+    assert file.read_bytes() == b"".join(x + b"\n" for x in raw)
+
+
 def test_token_ids_of_special_strings_are_the_librarys(spark, tmp_path):
     import zlib
 
