@@ -1,15 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents are summed into cells of source, language and topic. Values without a target are pooled, so the
-number of cells is at most the product of the target tables' lengths plus one each, whatever the input; the
-raking itself is then a few hundred numbers. The weights go back by a broadcast of those cells, and sampling is a
-hash of the key against each document's probability: one pass over the documents and no shuffle of texts.
+Documents are summed into cells of source, language and topic. Values without a target are pooled: their total is
+raked, and single ones among them move with it. So the number of cells is at most the product of the target tables'
+lengths plus one each, whatever the input; the raking itself is then a few hundred numbers. The weights go back by a
+broadcast of those cells, and sampling is a hash of the key against each document's probability: no shuffle of texts.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from soukspark.llm.common import WORD, free_name
 
 #: The pooled value of a dimension: null, and every value without a target.
 OTHER = "(other)"
-PASSES = 30
+#: Raking stops once no marginal is further off than so much of the whole, or after so many passes.
+TOLERANCE, PASSES = 1e-12, 200
 
 
 def tokens(text: str | Column) -> Column:
@@ -29,41 +30,60 @@ def tokens(text: str | Column) -> Column:
 def topic(text: str | Column) -> Column:
     """A coarse topic by the first pattern that fits; null texts have none."""
     text = F.col(text) if isinstance(text, str) else text
-    return (
-        F.when(text.isNull(), None)
-        .when(text.rlike("(?i)licen[sc]e"), "legal")
-        .when(text.rlike("[A-Za-z0-9.]@[A-Za-z0-9]"), "contact")
-        .when(text.rlike("[|]"), "table")
-        .otherwise("prose")
-    )
-
-
-def rake(cells: dict[tuple, float], targets: list[dict[str, float]], passes: int = PASSES) -> dict[tuple, float]:
-    """Weights of cells such that weighted sums meet each marginal, as nearly as the cells allow.
-
-    Targets are shares of the whole; shares of values that no cell has are dealt to the others. Values that
-    a target does not name keep their own total. Cells of no tokens have weight 1.
-    """
+    # a plain search decides most texts before the pattern is tried
+    contact = F.when(text.contains("@"), text.rlike("[A-Za-z0-9.]@[A-Za-z0-9]")).otherwise(False)
+    low = F.lower(text)
+    legal = low.contains("license") | low.contains("licence")
+    return F.when(text.isNull(), None).when(legal, "legal").when(contact, "contact").when(text.contains("|"), "table").otherwise("prose")
+
+
+def aims(own: dict[str, float], share: dict[str, float]) -> dict[str, float]:
+    """The total that each value of a dimension is to have, of their totals: named ones their share of the whole, the
+    others what is left in proportion to their own. Where no other value is there, or nothing is left, the named ones
+    share the whole in proportion to their shares; the others then get nothing only if the named take all."""
+    whole = math.fsum(own.values())
+    own = {v: n for v, n in own.items() if n > 0}
+    named = {v: share[v] for v in own if v in share}
+    rest, others = 1 - math.fsum(named.values()), math.fsum(n for v, n in own.items() if v not in share)
+    if others > 0 and rest > 0:
+        return {v: (named[v] if v in named else rest * n / others) * whole for v, n in own.items()}
+    total = math.fsum(named.values())
+    if total <= 0:
+        return dict(own)
+    return {v: named.get(v, 0.0) / total * whole for v in own}
+
+
+def rake(cells: dict[tuple, float], targets: list[dict[str, float]], tolerance: float = TOLERANCE, passes: int = PASSES) -> tuple[dict[tuple, float], float]:
+    """Weights of cells such that weighted sums meet each marginal, and how far the furthest one is off, as a share
+    of the whole: above ``tolerance`` where the cells that exist do not allow the targets. Cells of no tokens have
+    weight 1."""
     whole = math.fsum(cells.values())
     weight = dict.fromkeys(cells, 1.0)
-    aims = []
+    goals = []
     for k, share in enumerate(targets):
         own: dict[str, float] = {}
         for key, n in sorted(cells.items()):
             own[key[k]] = own.get(key[k], 0.0) + n
-        aim = {v: share.get(v, own[v] / whole if whole else 0.0) for v in own if own[v] > 0}
-        total = math.fsum(aim.values())
-        aims.append({v: x / total * whole for v, x in aim.items()} if total else {})
-    for _ in range(passes):
-        for k, aim in enumerate(aims):
-            now: dict[str, float] = dict.fromkeys(aim, 0.0)
-            for key, n in sorted(cells.items()):
-                if n > 0:
-                    now[key[k]] += n * weight[key]
+        goals.append(aims(own, share))
+
+    def sums(k: int) -> dict[str, float]:
+        now: dict[str, float] = dict.fromkeys(goals[k], 0.0)
+        for key, n in sorted(cells.items()):
+            if n > 0:
+                now[key[k]] += n * weight[key]
+        return now
+
+    off = 0.0
+    for _ in range(passes if whole > 0 else 0):
+        for k, goal in enumerate(goals):
+            now = sums(k)
             for key, n in cells.items():
                 if n > 0:
-                    weight[key] *= aim[key[k]] / now[key[k]] if now[key[k]] > 0 else 0.0
-    return weight
+                    weight[key] *= goal[key[k]] / now[key[k]] if now[key[k]] > 0 else 0.0
+        off = max(abs(x - goal[v]) / whole for k, goal in enumerate(goals) for v, x in sums(k).items())
+        if off <= tolerance:
+            break
+    return weight, off
 
 
 def unit(key: str | Column, seed: int) -> Column:
@@ -73,49 +93,54 @@ def unit(key: str | Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
 
 
-def mix(
-    docs: DataFrame, dims: list[str], targets: list[dict[str, float]], size: str, key: str = "doc_id", rate: float | None = None, seed: int = 0, passes: int = PASSES
-) -> DataFrame:
-    """``docs`` with ``mix_weight``, ``mix_probability`` and ``mix_sampled`` (underscores in front where a name
-    is taken). Every row gives one row.
-
-    ``rate``: expected tokens of the sample as a share of all; probabilities are then weights times a factor
-    and at most 1, with the rest dealt over the cells below 1. None: the largest sample that holds the raked
-    proportions exactly (the largest weight gets probability 1). Null dimensions are pooled; a null or
-    negative size counts as none; a document of no size has its cell's probability. Rows of one key are
-    sampled together. An empty table gives an empty table.
-    """
-    weight, probability, sampled = (free_name(docs, x) for x in ("mix_weight", "mix_probability", "mix_sampled"))
+def _cells(docs: DataFrame, dims: list[str], targets: list[dict[str, float]], size: str) -> tuple[list[Column], dict[tuple, float]]:
     names = [free_name(docs, f"cell{k}") for k in range(len(dims))]
     cell = [F.when(F.col(d).isin(list(t)), F.col(d)).otherwise(OTHER).alias(n) for d, t, n in zip(dims, targets, names, strict=True)]
     # at most (targets + 1) of each dimension multiplied: bounded by the parameters
     sums = docs.groupBy(*cell).agg(F.sum(F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("double")).alias("n")).collect()
-    cells = {tuple(r)[:-1]: r[-1] for r in sums}
-    weights = rake(cells, targets, passes)
-    chance = calibrate(cells, weights, rate)
-    schema = ", ".join(f"`{n}` string" for n in names) + f", `{weight}` double, `{probability}` double"
-    table = docs.sparkSession.createDataFrame([(*k, weights[k], chance[k]) for k in cells], schema)
-    marked = docs.select("*", *cell).join(F.broadcast(table), names, "left").drop(*names)
-    return marked.withColumn(sampled, unit(key, seed) < F.col(probability))
-
-
-def calibrate(cells: dict[tuple, float], weights: dict[tuple, float], rate: float | None) -> dict[tuple, float]:
-    top = max(weights.values(), default=0)
-    if top <= 0:
-        return dict.fromkeys(cells, 0.0)
-    if rate is None:
-        return {k: min(1.0, w / top) for k, w in weights.items()}
-    aim, full = rate * math.fsum(cells.values()), set()
-    factor = 0.0
-    for _ in range(len(cells) + 1):
-        rest = math.fsum(n * weights[k] for k, n in sorted(cells.items()) if k not in full)
-        factor = max(0.0, aim - math.fsum(n for k, n in sorted(cells.items()) if k in full)) / rest if rest > 0 else 0.0
-        more = {k for k in cells if k not in full and weights[k] * factor >= 1}
-        if not more:
-            break
-        full |= more
-    return {k: 1.0 if k in full else min(1.0, weights[k] * factor) for k in cells}
+    return cell, {tuple(r)[:-1]: r[-1] for r in sums}
+
 
+def mix(
+    docs: DataFrame, dims: list[str], targets: list[dict[str, float]], size: str, key: str = "doc_id", rate: float | None = None, seed: int = 0, repeats: bool = False, names: tuple[str, str, str] | None = None
+) -> DataFrame:
+    """``docs`` with ``mix_weight``, ``mix_expected`` and ``mix_copies`` (``names``; by default with underscores in front
+    where a name is taken): the raked weight, how often the row is to be in the sample, and how often it is. Every row
+    gives one row. ``docs`` is read twice.
 
-def all_cells(targets: list[dict[str, float]]) -> list[tuple]:
-    return list(itertools.product(*[[*t, OTHER] for t in targets]))
+    ``rate``: expected tokens of the sample as a share of all. With ``repeats`` rows are expected weight times rate times,
+    so that any target is met by rows that come more than once. Without, a row comes once at most: the rate is lowered
+    until the largest weight gets 1, so the sample is smaller but keeps the raked proportions. None: as large as that
+    allows. Targets that the cells cannot meet raise a warning that names how far off they are.
+
+    Null dimensions are pooled with values that have no target; a null or negative size counts as none; a document of
+    no size has its cell's chance. Rows of one key and cell are sampled together. An empty table gives an empty table.
+    """
+    weight, expected, copies = names or tuple(free_name(docs, x) for x in ("mix_weight", "mix_expected", "mix_copies"))
+    cell, cells = _cells(docs, dims, targets, size)
+    weights, off = rake(cells, targets)
+    if off > 1e-6:
+        warnings.warn(f"a target is missed by {off:.2%} of all tokens: no cells allow it", stacklevel=2)
+    top = max((w for k, w in weights.items() if cells[k] > 0), default=1.0)
+    factor = rate if repeats and rate is not None else min(1 / top, rate if rate is not None else math.inf)
+    own = [c for c in (free_name(docs, f"cell{k}") for k in range(len(dims)))]
+    schema = ", ".join(f"`{n}` string" for n in own) + f", `{weight}` double, `{expected}` double"
+    table = docs.sparkSession.createDataFrame([(*k, w, w * factor if repeats else min(1.0, w * factor)) for k, w in weights.items()], schema)
+    marked = docs.select("*", *cell).join(F.broadcast(table), own, "left").drop(*own)
+    whole = F.floor(expected)
+    return marked.withColumn(copies, (whole + (unit(key, seed) < F.col(expected) - whole).cast("int")).cast("int"))
+
+
+def report(docs: DataFrame, dims: list[str], targets: list[dict[str, float]], size: str) -> DataFrame:
+    """``dim, value, own, target, reached``: of each value with a target and of the others together the share of tokens
+    now, the share aimed at, and the share under the raked weights. A row for each target and dimension."""
+    _, cells = _cells(docs, dims, targets, size)
+    weights, _ = rake(cells, targets)
+    whole = math.fsum(cells.values()) or 1.0
+    rows = []
+    for k, (dim, share) in enumerate(zip(dims, targets, strict=True)):
+        own = {v: math.fsum(n for c, n in cells.items() if c[k] == v) for v in sorted({c[k] for c in cells})}
+        goal = aims(own, share)
+        for v in own:
+            rows.append((dim, v, own[v] / whole, goal.get(v, 0.0) / whole, math.fsum(n * weights[c] for c, n in cells.items() if c[k] == v) / whole))
+    return docs.sparkSession.createDataFrame(rows, "dim string, value string, own double, target double, reached double")

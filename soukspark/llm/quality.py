@@ -136,14 +136,14 @@ FIELDS = {
 _DDL = "n_words: long, word_chars: long, n_symbols: long, n_dup_lines: long, n_repeat_words: long, base_failed: boolean, failed_rules: array<string>, kept: boolean"
 
 
-def quality(docs: DataFrame, text: str = "text", rules: RepetitionRules = RepetitionRules()) -> DataFrame:
-    """``docs`` with a struct column ``quality`` (``_quality`` and so on where that name is taken) of the
-    measures and the verdict.
+def quality(docs: DataFrame, text: str = "text", rules: RepetitionRules = RepetitionRules(), name: str | None = None) -> DataFrame:
+    """``docs`` with a struct column ``name`` (by default ``quality``, or ``_quality`` and so on where that name is taken)
+    of the measures and the verdict.
 
     Every row gives one row. A null or empty text has no words and fails. Other columns, nulls, repeated
     rows and an empty table pass through. Words end at ASCII white space; no text is cut.
     """
-    out = free_name(docs, "quality")
+    out = name or free_name(docs, "quality")
     schema = widened(docs, f"`{out}` struct<{_DDL}>")
     at = docs.columns.index(text)
 

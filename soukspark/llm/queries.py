@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soukspark.llm import ann, licenses, mixing, quality, sentencepieces, sharding, simhash, simple8b, urlfilter, warc
-from soukspark.llm.common import table
+from soukspark.llm.common import cut, table
 
 SHARDS = 40
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Shares of tokens; sources, languages and topics that are not named keep their own.
-TARGETS = [{"src0": 0.25}, {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, {"prose": 0.9, "legal": 0.03}]
-MIX_DIMS, MIX_SEED, MIX_PASSES = ["source", "lang", "topic"], 11, 12
+#: Shares of tokens; sources, languages and topics that are not named share what is left.
+TARGETS = [{"src0": 0.25}, {"en": 0.54, "de": 0.15, "fr": 0.15, "es": 0.15}, {"prose": 0.9, "legal": 0.03}]
+MIX_DIMS, MIX_SEED, MIX_RATE = ["source", "lang", "topic"], 11, 0.5
 SP_ALPHA, SP_SEED = 1.0, 3
 WARC_DATE, WARC_RECORDS = "2024-01-01T00:00:00Z", 1000
 
@@ -79,10 +79,11 @@ def mix_input(docs: DataFrame) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mix_input(table(spark, sf_dir, "documents"))
-    out = mixing.mix(docs, MIX_DIMS, TARGETS, "n_tokens", rate=0.5, seed=MIX_SEED, passes=MIX_PASSES)
-    rounded = [F.round(f"mix_{c}", 6).alias(c) for c in ("weight", "probability")]
-    return out.select("doc_id", "topic", "n_tokens", *rounded, F.col("mix_sampled").alias("sampled"))
+    """Half as many tokens as there are, at the target shares; rare documents come more than once."""
+    docs = cut(mix_input(table(spark, sf_dir, "documents")))  # texts are read once
+    out = mixing.mix(docs, MIX_DIMS, TARGETS, "n_tokens", rate=MIX_RATE, seed=MIX_SEED, repeats=True)
+    rounded = [F.round(f"mix_{c}", 6).alias(c) for c in ("weight", "expected")]
+    return out.select("doc_id", "topic", "n_tokens", *rounded, F.col("mix_copies").alias("copies"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,6 +177,7 @@ def oracle_sql() -> dict:
 
 
 def _op10_sql() -> str:
+    """Raking unrolled to a dozen passes, after which it stands still."""
     names = lambda t: ", ".join(f"'{v}'" for v in t)
     cell = [f"case when {d} in ({names(t)}) then {d} else '{mixing.OTHER}' end c{k}" for k, (d, t) in enumerate(zip(MIX_DIMS, TARGETS, strict=True))]
     sql = [f"""a as (select doc_id, source, lang, case when text is null then null when regexp_matches(text, '(?i)licen[sc]e') then 'legal'
@@ -184,19 +186,14 @@ def _op10_sql() -> str:
         f"b as (select *, {', '.join(cell)} from a)",
         "w0 as (select c0, c1, c2, sum(n_tokens)::double n, 1.0::double w from b group by all)"]
     for k, t in enumerate(TARGETS):
-        share = "case " + " ".join(f"when c{k} = '{v}' then {x!r}::double" for v, x in t.items()) + " else n / whole end"
-        sql.append(f"o{k} as (select c{k}, sum(n) n, (select sum(n) from w0) whole from w0 group by c{k} having sum(n) > 0)")
-        sql.append(f"s{k} as (select c{k}, {share} x, whole from o{k})")
-        sql.append(f"t{k} as (select c{k}, x / sum(x) over () * whole aim from s{k})")
+        share = "case " + " ".join(f"when c{k} = '{v}' then {x!r}::double" for v, x in t.items()) + " end"
+        sql.append(f"o{k} as (select c{k}, sum(n) n, {share} x, (select sum(n) from w0) whole from w0 group by c{k} having sum(n) > 0)")
+        sql.append(f"r{k} as (select coalesce(sum(x), 0) named, 1 - coalesce(sum(x), 0) rest, coalesce(sum(n) filter (x is null), 0) others from o{k})")
+        sql.append(f"t{k} as (select c{k}, whole * case when others > 0 and rest > 0 then coalesce(x, rest * n / others) when named > 0 then coalesce(x, 0) / named else n / whole end aim from o{k}, r{k})")
     at = 0
-    for _ in range(MIX_PASSES):
+    for _ in range(12):
         for k in range(len(TARGETS)):
             sql.append(f"w{at + 1} as materialized (select c0, c1, c2, n, case when n > 0 then w * (select aim from t{k} where t{k}.c{k} = w{at}.c{k}) / sum(n * w) over (partition by c{k}) else w end w from w{at})")
             at += 1
-    sql.append(f"p0 as (select *, false f, (select 0.5 * sum(n) from w{at}) aim from w{at})")
-    for j in range(1, 7):
-        rest = f"greatest(0, aim - coalesce(sum(n) filter (f) over (), 0)) / nullif(sum(n * w) filter (not f) over (), 0)"
-        sql.append(f"p{j} as (select c0, c1, c2, n, w, f or coalesce(w * {rest} >= 1, false) f, aim from p{j - 1})")
-    sql.append("q as (select c0, c1, c2, w, case when f then 1.0 else least(1.0, w * coalesce(greatest(0, aim - coalesce(sum(n) filter (f) over (), 0)) / nullif(sum(n * w) filter (not f) over (), 0), 0)) end p from p6)")
     u = f"('0x' || substr(md5('{MIX_SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint / 4294967296.0"
-    return "with " + ",\n".join(sql) + f"\nselect doc_id, topic, n_tokens, round(w, 6) weight, round(p, 6) probability, {u} < p sampled from b join q using (c0, c1, c2)"
+    return "with " + ",\n".join(sql) + f"\nselect doc_id, topic, n_tokens, round(w, 6) weight, round(w * {MIX_RATE}, 6) expected, (floor(w * {MIX_RATE}) + ({u} < w * {MIX_RATE} - floor(w * {MIX_RATE}))::int)::int copies from b join w{at} using (c0, c1, c2)"

@@ -406,33 +406,96 @@ def test_rake_meets_marginals():
     rng = np.random.default_rng(1)
     cells = {(a, b): float(rng.integers(1, 100)) for a in "xyz" for b in "pq"}
     targets = [{"x": 0.5, "y": 0.3, "z": 0.2}, {"p": 0.9, "q": 0.1}]
-    w = mixing.rake(cells, targets, 200)
+    w, off = mixing.rake(cells, targets)
     whole = sum(cells.values())
+    assert off <= mixing.TOLERANCE
     for k, t in enumerate(targets):
         for v, share in t.items():
             assert sum(n * w[c] for c, n in cells.items() if c[k] == v) == pytest.approx(share * whole)
 
 
 def test_rake_with_missing_values():
-    assert mixing.rake({}, [{"a": 1.0}]) == {}
-    assert mixing.rake({("a",): 0.0}, [{"a": 1.0}]) == {("a",): 1.0}
-    w = mixing.rake({("a",): 10.0, (mixing.OTHER,): 30.0}, [{"a": 0.5, "gone": 0.25}])
-    assert w[("a",)] * 10 == pytest.approx(16) and w[(mixing.OTHER,)] * 30 == pytest.approx(24)
+    assert mixing.rake({}, [{"a": 1.0}]) == ({}, 0.0)
+    assert mixing.rake({("a",): 0.0}, [{"a": 1.0}]) == ({("a",): 1.0}, 0.0)
+    other = (mixing.OTHER,)
+    w, _ = mixing.rake({("a",): 10.0, other: 30.0}, [{"a": 0.5, "gone": 0.25}])  # what is not named shares what is left
+    assert w[("a",)] * 10 == pytest.approx(20) and w[other] * 30 == pytest.approx(20)
+    w, _ = mixing.rake({("a",): 10.0, ("b",): 30.0}, [{"a": 0.5, "b": 0.1}])  # nothing else is there
+    assert w[("a",)] * 10 == pytest.approx(40 * 5 / 6)
+
+
+def test_targets_that_cells_do_not_allow_are_reported(spark):
+    docs = spark.createDataFrame([(k, "a" if k % 2 else "b", "p" if k % 2 else "q", 10) for k in range(100)], "doc_id long, source string, lang string, n long")
+    targets = [{"a": 0.9}, {"p": 0.2}]
+    with pytest.warns(UserWarning, match="missed"):
+        mixing.mix(docs, ["source", "lang"], targets, "n")
+    got = {(r.dim, r.value): (r.own, r.target) for r in mixing.report(docs, ["source", "lang"], targets, "n").collect()}
+    assert got[("source", "a")] == (0.5, 0.9) and got[("lang", mixing.OTHER)] == (0.5, 0.8)
+    fine = mixing.report(docs, ["source"], [{"a": 0.9}], "n").where("value = 'a'").first()
+    assert fine.reached == pytest.approx(0.9)
 
 
 def test_sample_is_calibrated(spark):
     docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("source"), (F.col("id") % 7 + 1).alias("n"))
-    out = mixing.mix(docs, ["source"], [{"hot": 0.2, "cold": 0.8}], "n", rate=0.3)
-    got = out.groupBy("source").agg(F.sum(F.when(F.col("mix_sampled"), F.col("n"))).alias("t")).collect()
-    t = {r.source: r.t for r in got}
     whole = docs.agg(F.sum("n")).first()[0]
-    assert t["hot"] / (t["hot"] + t["cold"]) == pytest.approx(0.2, abs=0.02)
-    assert (t["hot"] + t["cold"]) / whole == pytest.approx(0.3, abs=0.02)
-    top = mixing.mix(docs, ["source"], [{"hot": 0.2, "cold": 0.8}], "n")
-    assert top.agg(F.max("mix_probability")).first()[0] == 1.0
+
+    def sample(share, **how):
+        out = mixing.mix(docs, ["source"], [{"hot": share}], "n", **how)
+        t = {r.source: r.t for r in out.groupBy("source").agg(F.sum(F.col("mix_copies") * F.col("n")).alias("t")).collect()}
+        return t["hot"] / sum(t.values()), sum(t.values()) / whole, out.agg(F.max("mix_copies")).first()[0]
+
+    part, rate, most = sample(0.2, rate=0.3)
+    assert part == pytest.approx(0.2, abs=0.02) and rate == pytest.approx(0.3, abs=0.02) and most == 1
+    # hot rows are a third: at nine tenths of the sample it holds 0.37 of all tokens at most, unless rows repeat
+    part, rate, most = sample(0.9, rate=0.8)
+    assert part == pytest.approx(0.9, abs=0.02) and rate == pytest.approx(1 / 2.7, abs=0.02) and most == 1
+    part, rate, most = sample(0.9, rate=0.8, repeats=True)
+    assert part == pytest.approx(0.9, abs=0.02) and rate == pytest.approx(0.8, abs=0.02) and most == 3
+    assert sample(0.2)[1] == pytest.approx(1 / 1.2, abs=0.02)
 
 
 def test_mix_odd_rows(spark):
     out = mixing.mix(odd_rows(spark), ["lang", "source"], [{"en": 1.0}, {"s": 0.5}], "sp_ids")
     assert out.count() == len(ODD) + 3 and "_mix_weight" in out.columns
     assert mixing.mix(odd_rows(spark).limit(0), ["lang"], [{"en": 1.0}], "sp_ids").count() == 0
+
+
+def test_topics(spark):
+    texts = [None, "", "under LICENCE x", "my License", "lisense", "a@b", "a @ b", "a|b", "x"]
+    got = [r.t for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").orderBy("k").select(mixing.topic("text").alias("t")).collect()]
+    assert got == [None, "prose", "legal", "legal", "prose", "contact", "prose", "table", "prose"]
+
+
+# -- the pipeline's stages on odd tables ---------------------------------------------------------------------------
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, quality string, topic string, n_tokens string, mix_copies boolean, mix_sampled boolean, component_id string, key string, cell0 string, sp_ids string"
+
+
+def odd_table(spark):
+    """Odd rows and real ones, with columns of every name that a stage uses."""
+    good = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(30)]
+    texts = [*ODD, *good, good[0], good[1] + " more"]
+    rows = [(k, t, "en" if k % 2 else None, "src0" if k % 3 else "other", 1, "q", "t", "n", False, False, "c", "k", "z", "i") for k, t in enumerate(texts)]
+    rows += [rows[20], (None, good[5], None, None, None, *rows[0][5:]), (None, None, None, None, None, *rows[0][5:])]
+    return spark.createDataFrame(rows, CLASH)
+
+
+def test_stages_keep_to_their_columns(spark):
+    import corpus_pipeline
+
+    docs = odd_table(spark)
+    before = Counter(tuple(r) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = Counter(tuple(r) for r in out.collect())
+        assert rows and not rows - before, name
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+    kept = corpus_pipeline.quality_rules(spark, docs, "")
+    want = Counter(r.doc_id for r in docs.collect() if len(words(r.text)) >= 10 and quality.measure(r.text, quality.RepetitionRules())["kept"])
+    assert Counter(r.doc_id for r in kept.collect()) == want
+    sampled = corpus_pipeline.mix_sources(spark, docs, "").count()
+    assert 0 < sampled < docs.count()
+    last = corpus_pipeline.encode_pieces(spark, docs, "")
+    assert last.columns == ["doc_id", "source", "lang", "sp_ids", "sp_lossless"] and last.count() == docs.count()
+    assert last.where("not sp_lossless").count() == 0
