@@ -39,18 +39,26 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of all pages against a replica in which the last byte of some records' bodies was lost to a zero."""
+    """Records of all pages against a replica in which the last byte of some records' bodies was lost to a zero, some
+    records are gone and some come twice; a copy too many has a row
+    of its own, without offset (-1), length and digest."""
     pages = table(spark, sf_dir, "pages")
     files = max(1, -(-pages.count() // WARC_RECORDS))
     whole = F.col("record").cast("binary")
     damaged = F.concat(F.expr("left(record, length(record) - 5)"), F.lit("\0"), F.lit(warc.END)).cast("binary")
-    hit = warc.bucket("page_id", 97) == 0
+    hit = warc.bucket("page_id", 97)
     rows = pages.select("page_id", warc.record("url", "html", WARC_DATE, "page_id").alias("record"))
-    rows = rows.select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2(whole, 256).alias("digest"), F.when(hit, F.sha2(damaged, 256)).otherwise(F.sha2(whole, 256)).alias("copy"))
+    rows = rows.select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2(whole, 256).alias("digest"), F.when(hit == 0, F.sha2(damaged, 256)).otherwise(F.sha2(whole, 256)).alias("copy"))
     rows = warc.cut(warc.placed(rows, files, "page_id"))
-    faults = warc.audit(rows, rows.select("file", "offset", F.col("copy").alias("digest")))
-    out = rows.join(faults, ["file", "offset"], "left")
-    return out.select("page_id", "file", "offset", "length", "digest", F.coalesce("fault", F.lit("ok")).alias("status"))
+    # the replica's records keep their order; of two copies the second lies right behind the first
+    twice = F.explode(F.when(hit == 1, F.array().cast("array<int>")).when(hit == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    replica = rows.select("page_id", "file", (F.col("offset") * 2).alias("offset"), F.col("copy").alias("digest"), twice.alias("k"))
+    replica = replica.select("page_id", "file", (F.col("offset") + F.col("k")).alias("offset"), "digest")
+    faults = cut(warc.audit(rows, replica, "page_id"))
+    out = rows.join(faults.where("fault <> 'extra'").drop("page_id"), ["file", "offset"], "left")
+    out = out.select("page_id", "file", "offset", "length", "digest", F.coalesce("fault", F.lit("ok")).alias("status"))
+    more = faults.where("fault = 'extra'").select(F.col("page_id").cast(dict(pages.dtypes)["page_id"]), "file", F.lit(-1).cast("long"), F.lit(0).cast("long"), F.lit(""), "fault")
+    return out.unionAll(more)
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,14 +114,17 @@ def _op5_sql() -> str:
     eol = "chr(13) || chr(10)"
     return f"""
     with a as (select *, md5({key}) m, coalesce(html, '') body, (select greatest(1, ceil(count(*) / {WARC_RECORDS}.0)) from pages)::bigint files from pages),
-    b as (select page_id, ('0x' || substr(m, 1, 8))::bigint h, files,
+    b as (select page_id, ('0x' || substr(m, 1, 8))::bigint % 97 hit, files,
         'WARC/1.0' || {eol} || 'WARC-Type: resource' || {eol}
         || coalesce('WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || {eol}, '')
         || 'WARC-Record-ID: <urn:uuid:' || {uuid} || '>' || {eol} || 'WARC-Date: {WARC_DATE}' || {eol}
         || 'Content-Type: text/html' || {eol} || 'Content-Length: ' || strlen(body) || {eol} || {eol} || body || {eol} || {eol} r from a),
-    c as (select page_id, h % files as file, h, strlen(r) as length, sha256(r) as digest from b)
-    select page_id, file, coalesce(sum(length) over (partition by file order by page_id nulls first, digest rows between unbounded preceding and 1 preceding), 0)::bigint as offset,
-        length, digest, case when h % 97 = 0 then 'changed' else 'ok' end as status from c"""
+    c as (select page_id, hit, files, strlen(r) as length, sha256(r) as digest from b),
+    d as (select *, row_number() over (partition by page_id, digest) - 1 rn, ('0x' || substr(md5({key} || ':' || digest), 1, 8))::bigint % files h from c),
+    e as (select *, (h + rn // {warc.TOGETHER}) % files as file from d),
+    f as (select *, coalesce(sum(length) over (partition by file order by page_id nulls first, digest, rn rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from e)
+    select page_id, file, "offset", length, digest, case hit when 0 then 'changed' when 1 then 'missing' else 'ok' end as status from f
+    union all select page_id, file, -1, 0, '', 'extra' from f where hit = 2"""
 
 
 def _op8_sql() -> str:

@@ -256,6 +256,57 @@ def test_audit_of_unequal_replicas(spark):
     assert warc.audit(a, make([])).count() == 120
 
 
+def test_audit_names_records_lost_and_gained_in_the_middle(spark):
+    """Against sets: files of other lengths, one file too many, and more records than a node covers."""
+    rng = np.random.default_rng(3)
+    a, b, want = [], [], set()
+    for f in range(5):
+        at = at_b = 0
+        for k in range(700 if f < 4 else 3):
+            record, n = f"{f}-{k % 600}", int(rng.integers(1, 50))
+            a.append((f, at, f"d{record}", record))
+            luck = rng.integers(0, 60)
+            if luck == 0:
+                want.add((f, at, "missing", record))
+            elif luck == 1:
+                b.append((f, at_b, "other", record))
+                want.add((f, at, "changed", record))
+                at_b += n
+            else:
+                b.append((f, at_b, f"d{record}", record))
+                at_b += n
+            if luck == 2:
+                b.append((f, at_b, "gained", f"new{k}"))
+                want.add((f, at_b, "extra", f"new{k}"))
+                at_b += n
+            at += n
+    # ids that repeat are matched in their order, so their faults may name another of the same id
+    once = {r for r in want if r[3].startswith("new") or int(r[3].split("-")[1]) >= 100}
+    b += [(300, 0, "x", "y")]
+    make = lambda r: spark.createDataFrame(r, "file long, offset long, digest string, id string")
+    got = {tuple(r) for r in warc.audit(make(a), make(b), "id").collect()}
+    assert once | {(300, 0, "extra", "y")} <= got and {r[3] for r in got} == {r[3] for r in want} | {"y"}
+    assert warc.audit(make(a), make(a), "id").count() == 0 and warc.audit(make([]), make([]), "id").count() == 0
+
+
+def test_common_records_are_dealt_over_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TOGETHER", 10)
+    rows = [(1, 5, "same", "clash")] * 95 + [(1, 7, f"d{k}", "clash") for k in range(50)] + [(None, 3, "x", None)]
+    df = spark.createDataFrame(rows, "page_id long, length long, digest string, file string")
+    got = warc.placed(df, 8, "page_id").collect()
+    assert sorted((r.page_id or 0, r.length, r.digest) for r in got) == sorted((r[0] or 0, *r[1:3]) for r in rows)
+    by_file = {}
+    for r in got:
+        by_file.setdefault(r._file, []).append(r)
+    assert len(by_file) == 8 and max(map(len, by_file.values())) < 60
+    for records in by_file.values():
+        at = 0
+        for r in sorted(records, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+    assert warc.placed(df.limit(0), 8, "page_id").count() == 0
+
+
 # -- components ----------------------------------------------------------------------------------------------------
 
 
