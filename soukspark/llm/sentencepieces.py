@@ -1,19 +1,21 @@
 """SentencePiece encoding by forward filtering and backward sampling over the piece lattice.
 
-Pieces do not cross the word mark, so a text's lattice falls apart into words, and equal words share one forward
-pass. Forward sums of all distinct words of a batch are filled position by position together; backward draws of all
-words of a batch are made together, one piece a step. A draw is a hash of the row's key, the seed and the place in
-the text, so a row's segmentation is the same however rows are batched. Every text decodes to itself.
+Pieces have word marks at their front only, so a text's lattice falls apart into words, each with the run of spaces
+before it, and equal words share one forward pass. Long words, such as text without spaces, fall apart further, at
+characters that no piece has side by side. Forward sums of all distinct words of a batch are filled position by
+position together; backward draws of all words of a batch are made together, one piece a step. A draw is a hash of
+the row's key, the seed and the place in the text, so a row's segmentation is the same however rows are batched.
+Every text decodes to itself.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 from soukspark.llm.common import free_name, widened
@@ -45,8 +47,8 @@ class Lattice:
         scores = {k: sp.get_score(k) for k in usual}
         ranks = all(float(x).is_integer() and x <= 0 for x in scores.values())
         self.weight = {k: math.exp(alpha * (-math.log(2 - x) if ranks else x)) for k, x in scores.items()}
-        # a piece with the mark inside would let two words share it
-        self.ids = {self.names[k]: k for k in usual if MARK not in self.names[k][1:]}
+        # a piece with a mark after another character would let two words share it
+        self.ids = {self.names[k]: k for k in usual if MARK not in self.names[k].lstrip(MARK)}
         self.longest = max((len(x) for x in self.ids), default=1)
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if not all(sp.is_byte(k) for k in self.byte):
@@ -82,6 +84,7 @@ class Lattice:
         for c, k in kinds.items():
             self.kind[ord(c)] = k
         self.piece, self.kinds = np.array(piece, np.int64), len(kinds) + 1
+        self.pairs = np.array(sorted({kinds[a] * self.kinds + kinds[b] for name in self.ids for a, b in zip(name, name[1:])}), np.int64)
         self.bits = max(16, (8 * len(edges)).bit_length())
         self.key, self.node = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int64)
         edge = np.array(edges, np.int64).reshape(-1, 3)
@@ -135,6 +138,14 @@ class Lattice:
         order = np.argsort(place, kind="stable")
         return place[order], code[order]
 
+    def parts(self, word: str) -> list[str]:
+        """A word cut between characters that no piece has side by side; no segmentation crosses such a place."""
+        chars = self.kind[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        pair = chars[:-1] * self.kinds + chars[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), max(0, len(self.pairs) - 1))
+        cut = np.flatnonzero(self.pairs[at] != pair) + 1 if len(self.pairs) else np.arange(1, len(word))
+        return [word[a:b] for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(word)], strict=True)]
+
     def learn(self, words: list[str]) -> None:
         """Adds the forward sums of new words."""
         if not words:
@@ -199,7 +210,7 @@ def _noise(row: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def seed_of(key, seed: int) -> int:
-    return zlib.crc32(repr(key).encode()) << 32 | zlib.crc32(f"{seed}:{key!r}".encode())
+    return xxhash.xxh64_intdigest(f"{seed}:{key!r}".encode())
 
 
 def sample(lattice: Lattice, word: np.ndarray, row: np.ndarray, place: np.ndarray) -> list[tuple]:
@@ -253,20 +264,50 @@ def sample_long(lattice: Lattice, word: str, row: np.uint64, place: int) -> tupl
     return out_e, out_k
 
 
-def encode(lattice: Lattice, texts: pa.Array, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of non-null texts one after another, and how many each text has."""
+def units(lattice: Lattice, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of non-null texts, each with the marks before it, or parts of long ones; which of them come one
+    after another in all texts; and the text of each."""
     # a word stands for a space before it too; marks in the text get a sign before them
     split = pc.split_pattern(pc.replace_substring(texts, MARK, "\0" + MARK), " ")
     offsets = np.asarray(split.offsets).astype(np.int64)
     coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets -= offsets[0]
-    code = coded.indices.to_numpy(zero_copy_only=False)
-    words = [MARK + w.replace("\0" + MARK, _OWN_MARK) for w in coded.dictionary.to_pylist()]
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    names = coded.dictionary.to_pylist()
+    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    words = [MARK + w.replace("\0" + MARK, _OWN_MARK) for w in names]
+    if "" in names:
+        # nothing between two spaces: one more mark for the next word of the text, or for the last nothing
+        empty = code == names.index("")
+        last = np.zeros(len(code), bool)
+        last[offsets[1:][np.diff(offsets) > 0] - 1] = True
+        end = np.flatnonzero(~empty | last)
+        more = np.diff(end, prepend=-1) - 1
+        code, text = more * len(words) + code[end], text[end]
+        kinds, code = np.unique(code, return_inverse=True)
+        words = [MARK * (k // len(words)) + words[k % len(words)] for k in kinds.tolist()]
+    long = [k for k, w in enumerate(words) if len(w) > TOGETHER]
+    if long:
+        known = {w: k for k, w in enumerate(words)}
+        flat, count = [], np.ones(len(words), np.int64)
+        of = {k: [known.setdefault(p, len(known)) for p in lattice.parts(words[k])] for k in long}
+        for k in range(len(words)):
+            flat += of.get(k, [k])
+            count[k] = len(of[k]) if k in of else 1
+        start, n = np.cumsum(count) - count, count[code]
+        at = np.repeat(start[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        code, text, words = np.array(flat, np.int64)[at], np.repeat(text, n), list(known)
+    return words, code, text
+
+
+def encode(lattice: Lattice, texts: pa.Array, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of non-null texts one after another, and how many each text has."""
+    words, code, text = units(lattice, texts)
     sizes = np.fromiter(map(len, words), np.int32, len(words))
-    n = np.diff(offsets)
-    text = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    n = np.bincount(text, minlength=len(texts))
+    first = np.cumsum(n) - n
     place = np.cumsum(sizes[code], dtype=np.int32) - sizes[code]
-    place -= np.repeat(place[offsets[:-1]], n)
+    place -= np.repeat(place[np.minimum(first, max(0, len(place) - 1))], n)
     row = seeds[text]
     if len(lattice.known) > REMEMBERED:
         lattice.forget()

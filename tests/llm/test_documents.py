@@ -313,6 +313,69 @@ def test_pieces_decode_to_the_text_and_repeat(spark):
     assert sentencepieces.encoded(odd_rows(spark).limit(0), SP).count() == 0
 
 
+def plain_sampler(lattice, text, row):
+    """Forward sums over the whole text in logarithms, then draws from its end, one place after another."""
+    mark, own = sentencepieces.MARK, sentencepieces._OWN_MARK
+    chars = (mark + text.replace(mark, own).replace(" ", mark)) if text is not None else None
+    n, most = len(chars), lattice.longest
+    arcs, total = [[] for _ in range(n + 1)], [0.0] + [-math.inf] * n
+    for e in range(1, n + 1):
+        found = [(m, lattice.ids[chars[e - m : e]]) for m in range(1, min(e, most) + 1) if chars[e - m : e] in lattice.ids]
+        if not found or found[0][0] != 1:
+            found = [(1, None), *found]
+        arcs[e] = [(m, k, total[e - m] + math.log(lattice.unknown if k is None else lattice.weight[k])) for m, k in found]
+        top = max(x for _, _, x in arcs[e])
+        total[e] = top + math.log(math.fsum(math.exp(x - top) for _, _, x in arcs[e]))
+    out, e = [], n
+    while e:
+        u, run = float(sentencepieces._noise(np.array([row], np.uint64), np.array([e]))[0]), 0.0
+        for j, (m, k, x) in enumerate(arcs[e]):
+            run += math.exp(x - total[e])
+            if u < run or j + 1 == len(arcs[e]):
+                break
+        c = chars[e - 1]
+        out.append([k] if k is not None else [lattice.byte[b] for b in (mark if c == own else c).encode()])
+        e -= m
+    return [k for x in reversed(out) for k in x]
+
+
+def test_rows_equal_a_plain_sampler(spark, monkeypatch):
+    """Whole texts, with spaces in runs, marks, characters without a piece and long words, at two kinds of lattice."""
+    texts = ["Thing the theatre  in   London", "  lead and trail  ", "▁own ▁▁ marks▁", "日本語のテキスト、長い文です。" * 6, "aGVsbG8gd29ybGQ" * 8, "é🚚\tTabs\nlines", " ", "", "x" * 90, "    ", "a" + " " * 40 + "b", "naïve Straße — done"]
+    for alpha in (0.3, 1.0):
+        lattice = sentencepieces.Lattice(SP, alpha)
+        seeds = np.array([sentencepieces.seed_of(k, 9) for k in range(len(texts))], np.uint64)
+        for together in (40, 6):
+            monkeypatch.setattr(sentencepieces, "TOGETHER", together)
+            lattice.forget()
+            ids, count = sentencepieces.encode(lattice, pa.array(texts), seeds)
+            for t, s, got in zip(texts, seeds, np.split(ids, np.cumsum(count)[:-1]), strict=True):
+                assert got.tolist() == plain_sampler(lattice, t, s), t
+            assert sentencepieces.lossless(lattice, pa.array(texts), ids, count).all()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.sp_ids for r in sentencepieces.encoded(rows, SP, seed=9).collect()}
+    lattice = sentencepieces.Lattice(SP, 1.0)
+    assert all(got[k] == plain_sampler(lattice, t, np.uint64(sentencepieces.seed_of(k, 9))) for k, t in enumerate(texts))
+
+
+def test_pieces_of_spaces_take_part():
+    lattice = sentencepieces.Lattice(SP, 0.05)
+    assert sum(set(x) == {sentencepieces.MARK} for x in lattice.ids) > 10
+    seen = set()
+    for k in range(300):
+        ids, _ = sentencepieces.encode(lattice, pa.array(["a" + " " * 16 + "b"]), np.array([k * 7919], np.uint64))
+        seen |= {lattice.names[i] for i in ids}
+    assert sum(set(x) == {sentencepieces.MARK} and len(x) > 1 for x in seen) >= 5
+
+
+def test_seeds_of_keys_differ():
+    """Keys do not share noise, and another seed is no shift of the first."""
+    a = [sentencepieces.seed_of(k, 3) for k in range(20_000)]
+    b = [sentencepieces.seed_of(k, 4) for k in range(20_000)]
+    assert len({x >> 32 for x in a}) > 19_990 and len(set(a)) == 20_000
+    assert len({x ^ y for x, y in zip(a, b, strict=True)}) == 20_000
+
+
 @pytest.mark.parametrize("long", [False, True])
 def test_sampling_follows_the_lattice(long, monkeypatch):
     lattice = sentencepieces.Lattice(SP, 0.5)
