@@ -424,7 +424,8 @@ def j13_backdrop_slots(spark: SparkSession, d: str) -> DataFrame:
     return listings.free_slots(w.select("id", F.concat(base, F.lit("#c0")).alias("url")), taken, 4, 3, 6)
 
 
-@query()
+@query(f"""with {_M}, x as (select product, (pos % 100000)::int i, ('0x' || substr(md5(image), 1, 8))::bigint h from m where image is not null)
+  select product, i, case h % 3 when 0 then 'cover' when 1 then 'dimension' else 'skip' end as role, h // 3 % 4 = 0 needs_clean from x""")
 def x5_classified_images(spark: SparkSession, d: str) -> DataFrame:
     pool = _models(spark, d).where("image is not null").select("product", (F.col("pos") % 100_000).cast("int").alias("i"), F.col("image").alias("url"))
     return hooks.classify(listings.batches(pool), hooks.stub_classifier)
@@ -497,9 +498,9 @@ def a23_template_medians(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with i as ({plain(adapters.ITEMS)}) select ord, {_SOLD} sold, {_SELL.format('price')} sell, cast(ceil(greatest(price * 1.5, price + 24) / 5) * 5 as bigint) floor_price,
-  {_SELL.format('price')} / greatest(price, 0.01) markup, repeat('#', floor(reviews / 400.0::double * 30 + 0.5)::int) bar from i where reviews >= 0""")
+  {_SELL.format('price')} / greatest(price, 0.01) markup, repeat('#', greatest(0, floor(reviews / 400.0::double * 30 + 0.5))::int) bar from i""")
 def fn1_fn9_numbers(spark: SparkSession, d: str) -> DataFrame:
-    rows = _items(spark, d).where("reviews >= 0")
+    rows = _items(spark, d)
     return rows.select("ord", num.sold_to_number("sold_text").alias("sold"), num.sell_price("price").alias("sell"), num.margin_floor("price").alias("floor_price"), num.markup("price").alias("markup"), num.text_bar("reviews", F.lit(400), 30).alias("bar"))
 
 
@@ -520,15 +521,19 @@ def a15_a16_costs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("product", "cost", num.sell_price("cost").alias("sell"), F.array_min(F.transform("models", lambda m: m["price"])).alias("least"))
 
 
-@query("""with x as (select doc_id, list_transform(string_split(text, '. '), lambda s: trim(s)) s from documents), y as (select doc_id, array_to_string(s, ' | ') t from x),
+_BANNED = " or ".join(f"contains(lower(t), '{w}')" for w in config.BANNED_TITLE_WORDS)
+
+
+@query(f"""with x as (select doc_id, list_transform(string_split(text, '. '), lambda s: trim(s)) s from documents), y as (select doc_id, array_to_string(s, ' | ') t from x),
   z as (select doc_id, t, list_filter(list_transform(string_split(t, '|'), lambda s: trim(s)), lambda s: s <> '') g from y)
-  select doc_id, len(g)::int segs, length(t)::int chars, regexp_matches(t, '(?i)\\d+\\s*(cm|mm|x\\s*\\d+)') has_dim, (len(g) - len(list_distinct(list_transform(g, lambda s: lower(s)))))::int repeated from z""")
+  select doc_id, len(g)::int segs, length(t)::int chars, regexp_matches(t, '(?i)\\d+\\s*(cm|mm|x\\s*\\d+)') has_dim, concat_ws(',', case when len(g) < 8 then 'few-segments' end, case when len(g) > 10 then 'many-segments' end,
+    case when length(t) > 225 then 'long' end, case when len(g) > len(list_distinct(list_transform(g, lambda s: lower(s)))) then 'repeats' end, case when {_BANNED} then 'banned-word' end,
+    case when regexp_matches(t, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]') then 'emoji' end, case when regexp_matches(t, '[!@#$%*&]') then 'symbol' end) issues from z""")
 def fs26_title_lint(spark: SparkSession, d: str) -> DataFrame:
     docs = view(spark, d, "select doc_id, text from {documents}")
     title = F.array_join(F.transform(F.split("text", r"\. "), lambda s: F.trim(s)), " | ")
-    seg = F.filter(F.transform(F.split("t", r"\|"), lambda s: F.trim(s)), lambda s: s != "")
-    out = docs.select("doc_id", title.alias("t")).select("doc_id", text.title_issues("t").alias("x"), (F.size(seg) - F.size(F.array_distinct(F.transform(seg, F.lower)))).alias("repeated"))
-    return out.select("doc_id", "x.segs", "x.chars", "x.has_dim", "repeated")
+    out = docs.select("doc_id", title.alias("t")).select("doc_id", text.title_issues("t").alias("x"))
+    return out.select("doc_id", "x.segs", "x.chars", "x.has_dim", F.array_join("x.issues", ",").alias("issues"))
 
 
 @query(f"""with {_M}, s as (select product, 'src' || (product % 11) src from m group by 1), a as (select product, pos % 100000 i, case when pos % 3 = 0 then 'skip' else 'cover' end as role, pos % 4 = 0 needs_clean, image url from m),

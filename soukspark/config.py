@@ -22,6 +22,13 @@ SG_TITLE = ("sg", "hdb", "bto")
 SG_TITLE_PARTS = ("singapore", "local stock", "ready stock", "sg stock")
 DELIVERY = "🚚 Free Doorstep Delivery"
 PAYMENT = "💳 PayNow / PayLah / Bank Transfer / Credit & Debit Card / Carousell Buy Button accepted 🙂"
+OPENING = "\nBrand new and unused, delivered straight to your door."
+OPTIONS = "\n📦 Options available: "
+CLOSING = ("\n💬 Message us to order or check stock", "\n🛡️ Pay with the Buy button and Carousell protects you — refunded if the item is not as described.")
+SIZES_LINE = r"(?i)^📦\s*(Sizes|Finishes|Colours|Colors)\s+available"
+DIMENSIONS = r"(?i)\d+\s*[x*×]\s*\d+(?:\s*[x*×]\s*\d+)?\s*(?:cm|mm)?"
+#: Segments of a title, at least and at most, and its characters at most.
+SEGMENTS, TITLE_LENGTH = (8, 10), 225
 LEASE_HOURS, RETENTION_DAYS, LEAD_TIME_DAYS = 4, 30, 14
 
 

@@ -67,6 +67,23 @@ def new_hashes(hashes, gallery) -> Column:
     return F.array_except(F.array_distinct(col(hashes)), col(gallery))
 
 
+def description_images(rich, found) -> Column:
+    """Images of the description's own value, then those found in its page, each once."""
+    return F.array_distinct(F.concat(F.coalesce(col(rich), _none()), F.coalesce(col(found), _none())))
+
+
+def priced_models(models, page: bool) -> Column:
+    """Models with a price: in a page's data one that is there at all, in an item's answer one above 0."""
+    return F.filter(col(models), lambda m: m["price"].isNotNull() if page else F.coalesce(m["price"] > 0, F.lit(False)))
+
+
+def dimension_image(answers, pool) -> Column:
+    """The first image that an answer (``i, role``) calls a dimension drawing; answers out of range are passed over."""
+    p = col(pool)
+    kept = F.filter(col(answers), lambda a: (a["role"] == "dimension") & (a["i"] >= 0) & (a["i"] < F.size(p)))
+    return F.element_at(p, (F.try_element_at(F.transform(kept, lambda a: a["i"]), F.lit(1)) + 1).cast("int"))
+
+
 def review_images(ratings) -> Column:
     """Images of each rating before its videos' covers, distinct, sixty at most."""
     each = F.transform(col(ratings), lambda r: F.concat(F.coalesce(r["images"], _none()), F.coalesce(r["covers"], _none())))

@@ -97,6 +97,36 @@ def shop_id_of(x):
     return first_number(_load(x), "shopid")
 
 
+OFFER = T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("price", T.DoubleType())]))
+_AMOUNT = re.compile(r"[\d,.]+")
+_NUMBER = re.compile(r"\d*\.?\d+|\d+\.")
+
+
+def offers(value) -> list[tuple[str, float]]:
+    """``title, price`` of objects at any depth that have a title and a price above 0, in the order in which they are
+    met; each pair once, titles cut to 90 characters."""
+    seen: dict[tuple[str, float], str] = {}
+    todo = [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += reversed(x)
+        elif isinstance(x, dict):
+            raw = next((x[k] for k in ("price", "priceFormatted", "price_formatted") if x.get(k)), None)
+            digits = _AMOUNT.search(str(raw)) if x.get("title") and raw is not None else None
+            number = _NUMBER.match(digits[0].replace(",", "")) if digits else None
+            if number and float(number[0]) > 0:
+                seen.setdefault((str(x["title"]), float(number[0])), str(x["title"])[:90])
+            todo += reversed(list(x.values()))
+    return [(short, price) for (_, price), short in seen.items()]
+
+
+@F.udf(returnType=OFFER, useArrow=True)
+def offers_of(x):
+    """``title, price`` of the offers in a JSON string; none of no JSON, or null."""
+    return offers(_load(x))
+
+
 CHANNEL = "array<struct<channel_delivery_info: struct<is_fastest_edt_channel: boolean, estimated_delivery_time_min: int, estimated_delivery_time_max: int>>>"
 
 

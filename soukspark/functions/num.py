@@ -59,8 +59,21 @@ def two_places(x) -> Column:
 
 
 def text_bar(n, total, width: int) -> Column:
+    """A bar of so many signs as the share of the total asks for; none below 0."""
     share = col(n) / F.greatest(col(total), F.lit(1)) * width
-    return F.repeat(F.lit("#"), half_up(share).cast("int"))
+    return F.repeat(F.lit("#"), F.greatest(half_up(share), F.lit(0)).cast("int"))
+
+
+def fixed(x, places: int) -> Column:
+    """With so many decimals, halves away from 0; an exact decimal is rounded, not its binary form."""
+    return F.round(col(x).cast("decimal(30, 10)"), places).cast(f"decimal(30, {places})").cast("string")
+
+
+def padded(x, width: int, left: bool = False) -> Column:
+    """Filled up with spaces at the end, or in front; what is longer stays whole."""
+    t = col(x).cast("string")
+    n = F.greatest(F.length(t), F.lit(width))
+    return F.lpad(t, n, " ") if left else F.rpad(t, n, " ")
 
 
 def clamp_batch(x, default: int = 20, most: int = 50) -> Column:

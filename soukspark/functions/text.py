@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from soukspark.config import BANNED_TITLE_WORDS, COLOUR_WORDS, DELIVERY, PAYMENT, TITLE_TAGS
+from soukspark.config import BANNED_TITLE_WORDS, CLOSING, COLOUR_WORDS, DELIVERY, DIMENSIONS, OPENING, OPTIONS, PAYMENT, SEGMENTS, SIZES_LINE, TITLE_LENGTH, TITLE_TAGS
 from soukspark.functions.num import col
 
 #: Word boundaries as ASCII sees them; Java's take accented letters for parts of words.
@@ -16,6 +16,16 @@ def word(pattern: str) -> str:
     return f"{LEFT}(?:{pattern}){RIGHT}"
 
 
+def let(x: Column, f) -> Column:
+    """``f(x)`` with x computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def stripped(x) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(col(x), r"^\s+|\s+$", "")
+
+
 def before(x, mark: str) -> Column:
     return F.substring_index(col(x), mark, 1)
 
@@ -73,7 +83,7 @@ def rotate_title(title, k) -> Column:
     return F.concat(tag, F.lit(" "), F.when(n < 1, F.coalesce(t, F.lit(""))).otherwise(F.array_join(whole, " | ")))
 
 
-def cut_title(title, most: int = 225) -> Column:
+def cut_title(title, most: int = TITLE_LENGTH) -> Column:
     """Segments from the front as far as they fit; always the first."""
     def add(acc, x):
         longer = F.concat(acc["t"], F.lit(" | "), x)
@@ -87,7 +97,7 @@ def cut_title(title, most: int = 225) -> Column:
 
 
 def first_line(x) -> Column:
-    return F.trim(F.element_at(F.split(F.trim(col(x)), "\n"), 1))
+    return stripped(F.element_at(F.split(stripped(x), "\n"), 1))
 
 
 def product_name(ai_title, title) -> Column:
@@ -104,7 +114,7 @@ def colour_key(name) -> Column:
 
 def variant_label(name) -> Column:
     n = col(name)
-    dims = F.regexp_extract(n, r"(?i)\d+\s*[x*×]\s*\d+(?:\s*[x*×]\s*\d+)?\s*(?:cm|mm)?", 0)
+    dims = F.regexp_extract(n, DIMENSIONS, 0)
     return F.left(F.trim(F.regexp_replace(F.when(dims != "", dims).otherwise(n), r"\s+", " ")), F.lit(40))
 
 
@@ -122,35 +132,41 @@ def delivery_line(low, high) -> Column:
 
 def _trimmed(lines: Column, front: bool) -> Column:
     """Without blank lines at the front or the end."""
-    full = F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i))
-    at = F.array_min(full) if front else F.array_max(full)
-    none = F.slice(lines, 1, 0)
-    kept = F.slice(lines, at + 1, F.size(lines) - at) if front else F.slice(lines, 1, at + 1)
-    return F.when(at.isNull(), none).otherwise(kept)
+    def kept(x: Column) -> Column:
+        full = F.transform(x, lambda line, i: F.when(F.trim(line) != "", i))
+        at = F.array_min(full) if front else F.array_max(full)
+        return let(F.struct(x.alias("x"), at.alias("at")), lambda s: F.when(s["at"].isNull(), F.slice(s["x"], 1, 0)).otherwise(
+            F.slice(s["x"], s["at"] + 1, F.size(s["x"]) - s["at"]) if front else F.slice(s["x"], 1, s["at"] + 1)))
+
+    return let(lines, kept)
 
 
 def normal_description(text, delivery) -> Column:
     """Delivery line first, payment line last, in place of whatever stood for them."""
     lines = F.filter(F.split(col(text), "\n"), lambda x: ~(x.contains("🚚") | x.contains("FREE Local Delivery")))
     lines = F.concat(F.array(col(delivery), F.lit("")), _trimmed(lines, True))
-    pay = F.array_min(F.transform(lines, lambda x, i: F.when(x.contains("💳") | x.contains("PayNow"), i)))
-    lines = F.filter(lines, lambda x, i: pay.isNull() | (i != pay))
-    lines = F.concat(_trimmed(lines, False), F.array(F.lit(""), F.lit(PAYMENT)))
+
+    def unpaid(x: Column) -> Column:
+        first = F.array_min(F.transform(x, lambda line, i: F.when(line.contains("💳") | line.contains("PayNow"), i)))
+        return let(F.struct(x.alias("x"), first.alias("at")), lambda s: F.filter(s["x"], lambda line, i: s["at"].isNull() | (i != s["at"])))
+
+    lines = F.concat(_trimmed(let(lines, unpaid), False), F.array(F.lit(""), F.lit(PAYMENT)))
     return F.when(F.coalesce(col(text), F.lit("")) == "", col(text)).otherwise(F.array_join(lines, "\n"))
 
 
 def fixed_description(delivery, names) -> Column:
-    kept = F.filter(F.coalesce(col(names), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
-    n = F.size(kept)
-    more = F.when(n > 12, F.concat(F.lit(", and "), (n - 12).cast("string"), F.lit(" more"))).otherwise("")
-    options = F.when(n > 0, F.concat(F.lit("\n📦 Options available: "), F.array_join(F.slice(kept, 1, 12), ", "), more))
-    tail = ["\n💬 Message us to order or check stock", "\n🛡️ Pay with the Buy button and Carousell protects you — refunded if the item is not as described.", f"\n{PAYMENT}"]
-    return F.concat_ws("\n", col(delivery), F.lit("\nBrand new and unused, delivered straight to your door."), options, *map(F.lit, tail))
+    """The delivery line, the fixed lines, and between them the names of options, twelve at most."""
+    def options(kept: Column) -> Column:
+        n = F.size(kept)
+        more = F.when(n > 12, F.concat(F.lit(", and "), (n - 12).cast("string"), F.lit(" more"))).otherwise("")
+        return F.when(n > 0, F.concat(F.lit(OPTIONS), F.array_join(F.slice(kept, 1, 12), ", "), more))
+
+    named = F.filter(F.coalesce(col(names), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    return F.concat_ws("\n", col(delivery), F.lit(OPENING), let(named, options), *map(F.lit, (*CLOSING, f"\n{PAYMENT}")))
 
 
 def without_sizes(text) -> Column:
-    pattern = r"(?i)^📦\s*(Sizes|Finishes|Colours|Colors)\s+available"
-    return F.array_join(F.filter(F.split(col(text), "\n"), lambda x: ~F.trim(x).rlike(pattern)), "\n")
+    return F.array_join(F.filter(F.split(col(text), "\n"), lambda x: ~F.trim(x).rlike(SIZES_LINE)), "\n")
 
 
 def product_text(*parts) -> Column:
@@ -176,7 +192,14 @@ def review_status(n_images, status, timed_out) -> Column:
 
 
 def unfenced(x) -> Column:
-    return F.trim(F.regexp_replace(col(x), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
+    return stripped(F.regexp_replace(stripped(x), r"(?s)^```(?:json)?\s*|\s*```$", ""))
+
+
+def unwrapped(x) -> Column:
+    """Plain text of an answer: without fences, and of a JSON object its description, if it has one."""
+    t = unfenced(x)
+    inner = F.nullif(F.when(t.startswith("{"), F.get_json_object(t, "$.description")), F.lit(""))
+    return F.coalesce(inner, t)
 
 
 def verdict_good(x) -> Column:
@@ -184,22 +207,22 @@ def verdict_good(x) -> Column:
 
 
 def title_issues(title) -> Column:
-    """``segs, chars, has_dim, issues`` of a listing title."""
+    """``segs, chars, has_dim, issues``: a listing title's figures and the codes of what is wrong with it, in the order
+    of the rules below."""
     t = F.coalesce(col(title), F.lit(""))
-    seg = F.filter(F.transform(F.split(t, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-    low = F.lower(t)
-    dupes = F.size(seg) - F.size(F.array_distinct(F.transform(seg, F.lower)))
-    banned = F.filter(F.array(*map(F.lit, BANNED_TITLE_WORDS)), lambda b: low.contains(b))
-    issues = F.array(
-        F.when(F.size(seg) < 8, F.format_string("only %d segments", F.size(seg))),
-        F.when(F.size(seg) > 10, F.format_string("%d segments (max 10)", F.size(seg))),
-        F.when(F.length(t) > 225, F.format_string("%d chars (max 225)", F.length(t))),
-        F.when(dupes > 0, F.format_string("%d repeated segment(s)", dupes)),
-        F.when(F.size(banned) > 0, F.concat(F.lit("banned: "), F.array_join(banned, ","))),
-        F.when(t.rlike(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"), "emoji"),
-        F.when(t.rlike(r"[!@#$%*&]"), "bad symbol"),
-    )
-    return F.struct(F.size(seg).alias("segs"), F.length(t).alias("chars"), t.rlike(r"(?i)\d+\s*(cm|mm|x\s*\d+)").alias("has_dim"), F.filter(issues, lambda x: x.isNotNull()).alias("issues"))
+    every = F.filter(F.transform(F.split(t, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def judged(seg: Column) -> Column:
+        low = F.lower(t)
+        rules = {
+            "few-segments": F.size(seg) < SEGMENTS[0], "many-segments": F.size(seg) > SEGMENTS[1], "long": F.length(t) > TITLE_LENGTH,
+            "repeats": F.size(F.array_distinct(F.transform(seg, F.lower))) < F.size(seg), "banned-word": F.exists(F.array(*map(F.lit, BANNED_TITLE_WORDS)), lambda b: low.contains(b)),
+            "emoji": t.rlike(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"), "symbol": t.rlike(r"[!@#$%*&]"),
+        }
+        issues = F.array(*[F.when(bad, code) for code, bad in rules.items()])
+        return F.struct(F.size(seg).alias("segs"), F.length(t).alias("chars"), t.rlike(r"(?i)\d+\s*(cm|mm|x\s*\d+)").alias("has_dim"), F.filter(issues, lambda x: x.isNotNull()).alias("issues"))
+
+    return let(every, judged)
 
 
 def trigrams(x) -> Column:
@@ -219,10 +242,6 @@ def ascii_preview(x) -> Column:
     return F.regexp_replace(col(x), r"[^\x00-\x7F]", "?")
 
 
-def via_other_account(why) -> Column:
-    return F.concat(F.coalesce(col(why), F.lit("rejected")), F.lit(" [via another account]"))
-
-
 def shop_username(url) -> Column:
     name = F.regexp_extract(col(url), r"^https?://[^/]+/([^/?#]+)", 1)
     return F.when((name != "") & ~name.isin("shop", "product", "search", "mall"), name)
@@ -232,10 +251,17 @@ def download_name(stem, n, content_type) -> Column:
     return F.concat_ws("", col(stem), F.lit("-"), col(n).cast("string"), F.when(F.coalesce(col(content_type), F.lit("")).contains("png"), ".png").otherwise(".jpg"))
 
 
-def fill_template(template: str, values: dict) -> Column:
+def fill_template(template: str, values: dict, once: tuple[str, ...] = ()) -> Column:
+    """The template with its marks in braces filled in turn, null as nothing: every place of a mark, or, of marks in
+    ``once``, the first alone."""
     out = F.lit(template)
     for name, x in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(col(x).cast("string"), F.lit("")))
+        mark, own = F.lit("{" + name + "}"), F.coalesce(col(x).cast("string"), F.lit(""))
+        at = F.locate("{" + name + "}", out) if name in once else None
+        filled = F.replace(out, mark, own)
+        if at is not None:
+            filled = F.when(at > 0, F.concat(F.left(out, at - 1), own, F.substring(out, at + len(name) + 2, F.length(out)))).otherwise(out)
+        out = filled
     return out
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from soukspark.config import LEAD_TIME_DAYS
 from soukspark.functions import arrays, num, text
+from soukspark.operators.load import insert_ignore
 
 
 def outcome(inbox: DataFrame) -> DataFrame:
@@ -77,6 +78,38 @@ def by_cover(products: DataFrame, covers: DataFrame, dims: DataFrame) -> DataFra
     )
 
 
+KEPT = ("assigned_worker_id", "own_account", "ai_title", "ai_description", "images", "guard_warnings", "source_cost", "sell_price")
+
+
+def refreshed(listings: DataFrame, scraped: DataFrame) -> DataFrame:
+    """The snapshot after products were scraped again: a live listing takes over the staff member, texts, images, warnings
+    and prices of the row that names it, nulls too (``changed``). In: ``existing_id`` and ``KEPT`` with ``action`` (of
+    ``fuzzy.existing``) and ``ord``; of rows for one listing the last by ``ord`` counts."""
+    rows = scraped.where("action = 'refresh' and existing_id is not null")
+    last = rows.groupBy(F.col("existing_id").alias("id")).agg(F.max_by(F.struct(*KEPT), "ord").alias("_new"))
+    out = listings.join(last, "id", "left").withColumn("changed", F.col("_new").isNotNull())
+    return out.withColumns({c: F.when(F.col("changed"), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in KEPT}).drop("_new")
+
+
+def fresh(listings: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows whose URL no live listing has, of equal URLs the one of least ``ord``: what an insert adds. After it, the same
+    rows add none. Rows without a URL are always added."""
+    return insert_ignore(listings.where("status <> 'deleted'"), rows, ["listing_url"])
+
+
+def of_worker(listings: DataFrame, worker: str | None = None) -> DataFrame:
+    """A staff member's active listings, or everybody's, oldest first, as they may be shown: without what a product costs."""
+    rows = listings.where((F.col("status") == "active") & (F.col("assigned_worker_id") == worker if worker else F.lit(True)))
+    return rows.drop("source_cost").orderBy("assigned_worker_id", "created_at", "id")
+
+
+def chats(rows: DataFrame, most: int = 50) -> DataFrame:
+    """The first chats of each capture (``capture, ord, href``), each link once."""
+    first = rows.groupBy("capture", "href").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("capture", "href")]), "ord").alias("x")).select("capture", "href", "x.*")
+    rank = F.row_number().over(Window.partitionBy("capture").orderBy("ord"))  # stops at ``most`` of a capture
+    return first.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+
 def free_slots(sources: DataFrame, listings: DataFrame, backdrops: int, angles: int, want: int) -> DataFrame:
     """``id, slot, backdrop, angle``: the first free shots of each source listing (``id, url``), backdrops changing
     fastest. A slot is taken by a live listing of the base URL with ``#v{id}-{slot}``."""
@@ -102,8 +135,9 @@ def by_backdrop(sources: DataFrame, shots: DataFrame) -> DataFrame:
 
 def batches(pool: DataFrame, size: int = 20) -> DataFrame:
     """``pool`` (``product, i``) with ``batch``: each product's images dealt round over as many batches as it needs."""
-    n = F.ceil(F.count("*").over(Window.partitionBy("product")) / size).cast("int")
-    return pool.withColumn("batch", F.pmod(F.col("i"), F.greatest(n, F.lit(1))))
+    n = pool.groupBy("product").agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
+    out = pool.join(n, pool["product"].eqNullSafe(n["product"])).drop(n["product"])
+    return out.withColumn("batch", F.pmod(F.col("i"), F.greatest("_n", F.lit(1)))).drop("_n")
 
 
 def colours(models: DataFrame) -> DataFrame:

@@ -43,6 +43,7 @@ def excluded_by_band(judged: DataFrame, low: float, high: float) -> DataFrame:
 
 def presets(flags: Flags) -> list[tuple]:
     own = (flags.min_sold, flags.min_reviews, flags.min_rating)
+    # Fixed values, but for the current ones.
     return [
         ("strict", 1000, 200, 4.5, 25, 110), ("current", *own, flags.min_price, flags.max_price), ("relaxed", 500, 100, 4.3, 20, 150),
         ("loose", 100, 50, 4.0, 15, 200), ("any price", *own, 0, 1e9), ("no filter", 0, 0, 0, 0, 1e9),

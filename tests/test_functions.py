@@ -98,7 +98,7 @@ def test_title_lint(spark):
     good = " | ".join(f"Segment {k}" for k in range(8))
     got = values(spark, [(good,), ("Cheap 120 cm! | 🚚 | A | a",), (None,)], "t string", text.title_issues("t"))
     assert got[0]["issues"] == [] and got[0]["segs"] == 8
-    assert got[1]["issues"] == ["only 4 segments", "1 repeated segment(s)", "banned: cheap", "emoji", "bad symbol"] and got[1]["has_dim"]
+    assert got[1]["issues"] == ["few-segments", "repeats", "banned-word", "emoji", "symbol"] and got[1]["has_dim"]
 
 
 def test_similarity(spark):
@@ -163,3 +163,14 @@ def test_html(spark):
     got = values(spark, [(page,), (ld,), ("",), (None,)], "h string", html.product("h", "Mart City", "mart", cdn))
     assert (got[0]["title"], got[0]["description"], got[0]["images"]) == ("Thing", "Desc here", ["https://img.mart/a.jpg", "https://cdn.x/file/h1"])
     assert (got[1]["title"], got[1]["description"]) == ("N", "D") and got[2] is None and got[3] is None
+
+
+def test_offers_and_answers(spark):
+    found = jsons.offers({"title": "A", "price": 0, "x": [{"title": "A", "price": "S$1,234.50"}, {"title": "A", "priceFormatted": "1234.5"}], "y": {"title": "B" * 95, "price": 3}})
+    assert found == [("A", 1234.5), ("B" * 90, 3.0)]
+    assert jsons.offers(None) == [] and jsons.offers([{"title": "A", "price": "..."}, {"price": 3}]) == []
+    rows = [("\n ```json\n{\"description\": \"d\"}\n```",), ('{"a": 1}',), ("{not json",), (None,)]
+    assert values(spark, rows, "a string", text.unwrapped("a")) == ["d", '{"a": 1}', "{not json", None]
+    assert values(spark, [("p",)], "a string", text.fill_template("{A}{A} {B}{B}", {"A": "a", "B": "a"}, once=("A",))) == ["p{A} pp"]
+    assert values(spark, [(0.5,), (1.005,), (None,), (-2.345,)], "a double", num.fixed("a", 2)) == ["0.50", "1.01", None, "-2.35"]
+    assert values(spark, [("abcdef",), ("a",), (None,)], "a string", num.padded("a", 3)) == ["abcdef", "a  ", None]

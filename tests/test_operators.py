@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from soukspark import catalogue_queries
+from soukspark import catalogue_queries, function_queries  # noqa: F401  the latter registers with the former
 from soukspark.config import Flags
 from soukspark.operators import fuzzy, hooks, listings, load, queue, sourcing
 from soukspark.plans import adapters, ratio_band
@@ -366,3 +366,28 @@ def test_regeneration_and_copy(spark):
     assert made[0].ai_title == "Title one" and made[0].ai_description.startswith("🚚 Free Doorstep Delivery | 4-5 Working Days")
     shots = spark.createDataFrame([(1, "u"), (1, None)], "id long, shot_url string")
     assert tuple(hooks.shot_counts(shots, 3).first()) == (1, 1, 2)
+
+
+def test_inserting_twice_adds_nothing(spark):
+    old = spark.createDataFrame([("u1", "active"), ("u2", "deleted")], "listing_url string, status string")
+    rows = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u3"), (4, "u3"), (5, None)], "ord int, listing_url string")
+    new = listings.fresh(old, rows)
+    assert sorted(r.ord for r in new.collect()) == [2, 3, 5]
+    after = old.unionByName(new.select("listing_url", F.lit("active").alias("status")))
+    assert [r.ord for r in listings.fresh(after, rows).collect()] == [5]
+    assert listings.fresh(old, rows.limit(0)).count() == 0
+
+
+def test_a_refresh_takes_over_nulls_too(spark):
+    row = "existing_id int, action string, ord int, assigned_worker_id string, own_account string, ai_title string, ai_description string, images array<string>, guard_warnings array<string>, source_cost double, sell_price double"
+    held = spark.createDataFrame([(1, "t", "w0", "a", "x", "d", ["i"], ["g"], 1.0, 2.0), (2, "u", "w0", "a", "x", "d", ["i"], None, 1.0, 2.0)], "id int, title string, assigned_worker_id string, own_account string, ai_title string, ai_description string, images array<string>, guard_warnings array<string>, source_cost double, sell_price double")
+    new = spark.createDataFrame([(1, "refresh", 1, "w1", None, "y", None, None, None, None, 9.0), (1, "refresh", 2, "w2", None, None, None, ["j"], None, None, 8.0), (2, "block", 1, "w1", None, "y", None, None, None, None, 9.0), (7, "refresh", 1, "w1", None, "y", None, None, None, None, 9.0)], row)
+    got = {r.id: r for r in listings.refreshed(held, new).collect()}
+    assert (got[1].title, got[1].assigned_worker_id, got[1].ai_title, got[1].images, got[1].guard_warnings, got[1].sell_price, got[1].changed) == ("t", "w2", None, ["j"], None, 8.0, True)
+    assert (got[2].assigned_worker_id, got[2].changed) == ("w0", False) and len(got) == 2
+
+
+def test_chats_are_capped_for_each_capture(spark):
+    rows = spark.createDataFrame([(c, k, f"h{k % 70}") for c in range(2) for k in range(200)], "capture int, ord int, href string")
+    got = listings.chats(rows).collect()
+    assert sorted((r.capture, r.ord) for r in got) == [(c, k) for c in range(2) for k in range(50)]
