@@ -31,8 +31,10 @@ def before(x, mark: str) -> Column:
 
 
 def _pair(url: Column, pattern: str) -> Column:
-    a, b = (F.regexp_extract(url, pattern, k) for k in (1, 2))
-    return F.when(a != "", F.concat_ws(".", a, b))
+    """Two numbers of a URL with a dot between; the pattern is tried only where its first letters are there at all."""
+    mark = pattern.split(r"(")[0].replace("\\", "")
+    found = F.regexp_replace(F.nullif(F.regexp_substr(url, F.lit(pattern)), F.lit("")), f"(?s)^{pattern}$", "$1.$2")
+    return F.when(url.contains(mark), found)
 
 
 def product_id(url) -> Column:

@@ -11,41 +11,47 @@ from soukspark.plans.ratio_band import within_share
 SHARE, THRESHOLD = 0.1, 0.6
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """``side, id, cost, grams`` with ``by``: each set's grams, rarest first."""
-    each = rows.select("side", "id", "cost", "grams", F.explode("grams").alias("gram"))
-    often = each.groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = each.join(often, "gram").groupBy("side", "id", "cost", "grams").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("by"))
-    return ranked.select("side", "id", "cost", "grams", F.transform("by", lambda x: x["gram"]).alias("by"))
-
-
 def pairs(probe: DataFrame, listings: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
     """``probe_id, id, score`` of listings within a share of the probe's cost whose title is similar enough.
 
     In: ``id, title, cost``. Rows that repeat an id count as one of them a title and cost. Null or empty titles and
     costs not above 0 match none. Equal titles give all their pairs; ``links`` does not.
     """
-    one = lambda df, k: df.select(F.lit(k).alias("side"), "id", "cost", trigrams("title").alias("grams"))
-    return _pairs(one(probe, 0).unionAll(one(listings, 1)).where(F.size("grams") > 0), threshold, share)
+    def one(df: DataFrame) -> DataFrame:
+        grams = trigrams("title")
+        key = F.md5(F.concat_ws("\n", F.col("id").cast("string"), F.col("cost").cast("string"), F.array_join(F.array_sort(grams), "\n")).cast("binary"))
+        return df.select(key.alias("row"), "id", "cost", grams.alias("grams")).where(F.size("grams") > 0).dropDuplicates(["row"])
+
+    a, b = one(probe), one(listings)
+    found = _pairs(a, b, threshold, share)
+    ids = lambda df, row, name: df.select(F.col("row").alias(row), F.col("id").alias(name))
+    return found.join(ids(a, "probe", "probe_id"), "probe").join(ids(b, "other", "id"), "other").select("probe_id", "id", "score")
 
 
-def _pairs(rows: DataFrame, threshold: float, share: float) -> DataFrame:
-    """``probe_id, id, score`` between rows of side 0 and 1 (``side, id, cost, grams``).
+def _pairs(probe: DataFrame, other: DataFrame, threshold: float, share: float) -> DataFrame:
+    """``probe, other, score`` between rows (``row, cost, grams``, of which ``row`` is distinct).
 
     Of each set, as many of its rarest grams are taken as must hold one that a similar set's hold too (prefix
-    filtering). Rows meet in a hash join on such a gram and a logarithmic bucket of the cost, and a pair counts at the
-    first one that both have; sizes that rule it out are compared before the sets.
+    filtering). Rows meet in a hash join on such a gram and a logarithmic bucket of the cost, as keys and numbers alone;
+    their sizes and the gram's places in both sets rule most pairs out. Sets are joined back to the pairs that are left.
     """
-    size = F.size("by")
-    least = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
-    sets = _sets(rows).withColumn("rare", F.slice("by", F.lit(1), least))
-    side = lambda k, a: sets.where(F.col("side") == k).select(*[F.col(c).alias(f"{a}_{c}") for c in ("id", "cost", "grams", "rare")], F.explode("rare").alias(f"{a}_gram"))
+    each = lambda df, k: df.select(F.lit(k).alias("side"), "row", "cost", F.explode("grams").alias("gram"))
+    grams = each(probe, 0).unionAll(each(other, 1))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    ranked = grams.join(often, "gram").groupBy("side", "row").agg(F.first("cost").alias("cost"), F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("by"))
+    n = F.size("by")
+    prefix = F.transform(F.slice("by", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1), lambda x: x["gram"])
+    ranked = ranked.select("side", "row", "cost", n.alias("n"), F.posexplode(prefix).alias("at", "gram"))
+    side = lambda k, a: ranked.where(F.col("side") == k).select(*[F.col(c).alias(f"{a}_{c}") for c in ("row", "cost", "n", "at", "gram")])
     met = within_share(side(0, "probe"), side(1, "other"), "probe_cost", "other_cost", share, [("probe_gram", "other_gram")])
-    a, b = F.size("probe_grams"), F.size("other_grams")
-    first = F.element_at(F.array_intersect("probe_rare", "other_rare"), 1)
-    met = met.where((F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9) & (F.col("probe_gram") == first))
-    score = similarity("probe_grams", "other_grams")
-    return met.select("probe_id", F.col("other_id").alias("id"), score.alias("score")).where(F.col("score") >= threshold)
+    a, b = F.col("probe_n"), F.col("other_n")
+    # at the first gram that both have, all that they share are still to come
+    most = F.least(a - F.col("probe_at"), b - F.col("other_at"))
+    fits = (F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9) & (most >= (a + b) * (threshold / (1 + threshold)) - 1e-9)
+    met = met.where(fits).select(F.col("probe_row").alias("probe"), F.col("other_row").alias("other")).distinct()
+    sets = lambda df, row, name: df.select(F.col("row").alias(row), F.col("grams").alias(name))
+    met = met.join(sets(probe, "probe", "g"), "probe").join(sets(other, "other", "h"), "other")
+    return met.select("probe", "other", similarity("g", "h").alias("score")).where(F.col("score") >= threshold)
 
 
 def links(rows: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
@@ -62,11 +68,11 @@ def links(rows: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -
     key = F.md5(F.concat_ws("\n", F.col("cost").cast("string"), F.array_join("grams", "\n")).cast("binary"))  # grams hold no line feed
     real = real.withColumn("key", key)
     classes = real.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("members"), F.first("cost").alias("cost"), F.first("grams").alias("grams"))
-    sides = classes.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.col("key").alias("id"), "cost", "grams")
-    found = _pairs(sides, threshold, share).join(classes.select(F.col("key").alias("id"), "least", "members"), "id")
-    other = F.col("probe_id") != F.col("id")
+    sets = classes.select(F.col("key").alias("row"), "cost", "grams")
+    found = _pairs(sets, sets, threshold, share).join(classes.select(F.col("key").alias("other"), "least", "members"), "other")
+    other = F.col("probe") != F.col("other")
     most = F.max(F.when(other, F.struct("score", (-F.col("least")).alias("neg"))))
-    per = found.groupBy(F.col("probe_id").alias("key")).agg(F.sum("members").alias("n"), most.alias("most"))
+    per = found.groupBy(F.col("probe").alias("key")).agg(F.sum("members").alias("n"), most.alias("most"))
     # the least id of a class after its first, for that first
     at = real.select("id", "key").join(classes.select("key", "least"), "key")
     second = at.groupBy("key").agg(F.min(F.when(F.col("id") > F.col("least"), F.col("id"))).alias("second"))

@@ -16,14 +16,30 @@ from soukspark.functions import num, text
 REASONS = ("mock", "blocked", "not-local", "no-url", "duplicate", "zero-reviews", "sold", "reviews", "rating", "price-min", "price-max")
 
 
+def _lower(c: str) -> Column:
+    return F.lower(F.coalesce(c, F.lit("")))
+
+
+def _has(low: Column, parts) -> Column:
+    """Whether a lower-cased text holds any of the parts: plain searches, which cost less than a pattern."""
+    out = F.lit(False)
+    for p in parts:
+        out = out | low.contains(p)
+    return out
+
+
 def abroad(flags: Flags) -> Column:
-    return F.trim(F.coalesce("location", F.lit(""))).rlike(f"(?iu){OVERSEAS[flags.near_abroad]}")
+    return _has(_lower("location"), OVERSEAS[flags.near_abroad].split("|"))
 
 
 def claims_local(flags: Flags) -> Column:
-    near = F.trim(F.coalesce("location", F.lit(""))).rlike(f"(?iu){NEAR[flags.near_abroad]}")
-    title = F.coalesce("name", F.lit("")).rlike("(?iu)" + "|".join([*map(text.word, SG_TITLE), *SG_TITLE_PARTS]))
-    shop = F.coalesce("shop_name", F.lit("")).rlike(rf"(?iu)\.sg{text.RIGHT}|{text.word('sg')}|singapore")
+    """Words are looked for by pattern only where their letters are there at all."""
+    where = F.trim(_lower("location"))
+    whole, *parts = NEAR[flags.near_abroad].split("|")
+    near = (where == whole.strip("^$")) | _has(where, parts)
+    word = lambda c, words, pattern: F.when(_has(_lower(c), words), F.col(c).rlike(f"(?i){pattern}")).otherwise(False)
+    title = _has(_lower("name"), SG_TITLE_PARTS) | word("name", SG_TITLE, "|".join(map(text.word, SG_TITLE)))
+    shop = _lower("shop_name").contains("singapore") | word("shop_name", ["sg"], rf"\.sg{text.RIGHT}|{text.word('sg')}")
     return near | title | shop
 
 
