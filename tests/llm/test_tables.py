@@ -397,3 +397,100 @@ def test_queries_over_small_tables(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").count()
     for q in (queries.op5_warc, queries.op8_url_filter):
         assert q(spark, SMALL).count() == pages, q.__name__
+
+
+# -- whole tables --------------------------------------------------------------------------------------------------
+
+
+def test_op1_over_a_whole_table(spark):
+    import zlib
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = queries.op1_sharding(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(rows) and {r.law for r in got} == {"key"}
+    text = {r.doc_id: (r.text or "").encode() for r in rows}
+    slots: dict[int, list] = {}
+    for r in got:
+        assert (r.size, r.text_crc32) == (len(text[r.doc_id]) + 16, zlib.crc32(text[r.doc_id]))
+        assert r.grown_shard in (r.shard, 40)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(40))
+
+
+def common_words(a, b):
+    """The length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_op4_over_a_whole_table(spark):
+    """Every notice that stands in a text word for word is found, and every find is as good as it says."""
+    from soukspark.llm import licenses
+    from soukspark.llm.common import WORD
+
+    plain = lambda t: [p for w in re.findall(WORD, t) if (p := licenses.plain(w))]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    found: dict[int, list] = {}
+    for r in queries.op4_licenses(spark, "/root/testdata/sf0.01").collect():
+        found.setdefault(r.doc_id, []).append(r)
+        template = plain(licenses.TEMPLATES[r.license])
+        span = plain(texts[r.doc_id][r.start : r.end])
+        assert r.matched_words == common_words(span, template) >= licenses.COVERAGE * len(template) and r.coverage == r.matched_words / len(template)
+    exact = 0
+    for doc, t in texts.items():
+        line = f" {' '.join(plain(t))} "
+        for name, template in licenses.TEMPLATES.items():
+            n = line.count(f" {' '.join(plain(template))} ")
+            exact += n
+            # a longer notice may hold a shorter one
+            assert n <= sum(r.license == name or len(plain(licenses.TEMPLATES[r.license])) > len(plain(template)) for r in found.get(doc, [])), (doc, name)
+    assert exact > 10
+
+
+def test_quality_stage_keeps_what_the_sql_keeps(spark):
+    import duckdb
+
+    import corpus_pipeline
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SMALL}/documents.parquet')")
+    want = sorted(r[0] for r in con.execute(f"select doc_id from ({queries.oracle_sql()['op9_quality']}) where kept").fetchall())
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, SMALL).collect()) == want
+
+
+def test_near_dedup_loses_no_pair_of_the_given_documents(spark):
+    """Components against all pairs by exact similarity, over the documents of sf0.01."""
+    from soukspark.llm import simhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = [frozenset(simhash.shingle_hashes(r.text, 5).tolist()) for r in rows]
+    by_shingle: dict[int, list[int]] = {}
+    for i, s in enumerate(sets):
+        for h in s:
+            by_shingle.setdefault(h, []).append(i)
+    met = {(i, j) for x in by_shingle.values() for a, i in enumerate(x) for j in x[:a]}
+    links = [(i, j) for i, j in met if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    lost = sum(got[rows[i].doc_id] != got[rows[j].doc_id] for i, j in links)
+    assert len(links) > 50 and lost == 0
+    label = list(range(len(rows)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    none = [i for i, s in enumerate(sets) if not s]
+    for i, j in [*links, *zip(none, none[1:], strict=False)]:
+        label[root(i)] = root(j)
+    least: dict[int, int] = {}
+    for i, r in enumerate(rows):
+        least[root(i)] = min(r.doc_id, least.get(root(i), r.doc_id))
+    assert got == {r.doc_id: least[root(i)] for i, r in enumerate(rows)}
