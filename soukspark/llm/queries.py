@@ -21,7 +21,7 @@ WARC_DATE, WARC_RECORDS = "2024-01-01T00:00:00Z", 1000
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = sharding.assign(docs, SHARDS, "doc_id", ["doc_id", "text_crc32"])
+    out = sharding.assign(docs, SHARDS, "doc_id", ["text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

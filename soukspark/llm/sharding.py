@@ -7,7 +7,7 @@ takes; there is no ring table, and only the key and the shard count decide.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soukspark.llm.common import free_name
@@ -56,7 +56,8 @@ def assign(docs: DataFrame, n_shards: int, key: str = "doc_id", ties: list[str]
     Keys that are whole numbers are hashed as they are, others by XXH64; a null key counts as 0. Rows of one key
     share a shard, whose numbering is dealt over parts by all of ``ties`` (default: every column that can be
     ordered), so that a key with many rows does not make one window; among rows that are equal in ``ties``,
-    any order may hold. An empty table gives an empty table.
+    any order may hold. Where key and ties are all columns there are, rows that are equal are counted before they are
+    numbered and make no window either; otherwise they share one. An empty table gives an empty table.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
@@ -71,12 +72,18 @@ def assign(docs: DataFrame, n_shards: int, key: str = "doc_id", ties: list[str]
     out = out.withColumn(part, F.pmod(F.xxhash64(key, *ties), F.lit(PARTS)).cast("int"))
     # PARTS rows for each shard, whatever the input
     counts = out.groupBy(shard, part).agg(F.count("*").alias(base))
-    from pyspark.sql import Window
-
     before = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)).cast("long"))
     inside = Window.partitionBy(shard, part).orderBy(key, *ties)
-    out = out.withColumn(slot, F.row_number().over(inside).cast("long") - 1)
+    if {key, *ties} == set(docs.columns):
+        # rows that are equal are one row of the window, with their number
+        n, step = free_name(docs, "n"), free_name(docs, "step")
+        out = out.groupBy(*out.columns).agg(F.count("*").alias(n))
+        first = F.coalesce(F.sum(n).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+        out = out.withColumn(slot, first).withColumn(step, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+        out = out.withColumn(slot, F.col(slot) + F.col(step))
+    else:
+        out = out.withColumn(slot, F.row_number().over(inside).cast("long") - 1)
     out = out.join(F.broadcast(counts), [shard, part])
     return out.select(*docs.columns, shard, grown, (F.col(slot) + F.col(base)).alias(slot))
 

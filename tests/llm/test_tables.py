@@ -494,3 +494,15 @@ def test_near_dedup_loses_no_pair_of_the_given_documents(spark):
     for i, r in enumerate(rows):
         least[root(i)] = min(r.doc_id, least.get(root(i), r.doc_id))
     assert got == {r.doc_id: least[root(i)] for i, r in enumerate(rows)}
+
+
+def test_equal_rows_are_numbered_without_a_window_of_their_own(spark):
+    rows = [(7, "same")] * 5000 + [(7, f"t{k}") for k in range(300)] + [(None, None)] * 3 + [(k, "x") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, slot string").repartition(5)
+    got = sharding.assign(docs, 9, "doc_id", ["slot"])
+    by_shard: dict[int, list] = {}
+    for r in got.collect():
+        by_shard.setdefault(r.shard, []).append(r._slot)
+    assert sum(map(len, by_shard.values())) == len(rows)
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+    assert sorted((r.doc_id or 0, r.slot or "") for r in got.collect()) == sorted((k or 0, t or "") for k, t in rows)
