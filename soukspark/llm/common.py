@@ -42,10 +42,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of this application's own in the shared folder; ``clear`` removes them all."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application stored in the shared folder. To be called once its results are written: DataFrames
+    that read from there cannot be computed any more. Checkpoints are Spark's own; it deletes those that are no longer
+    referenced where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}-{name}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

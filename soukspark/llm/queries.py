@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soukspark.llm import ann, licenses, mixing, quality, sentencepieces, sharding, simhash, simple8b, urlfilter, warc
-from soukspark.llm.common import cut, table
+from soukspark.llm.common import cut, scratch, table
 
 SHARDS = 40
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -62,7 +62,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = simple8b.scratch(spark, "token-ids")
+    path = scratch(spark, "token-ids")
     simple8b.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return simple8b.index(spark, path)
 

@@ -506,3 +506,17 @@ def test_equal_rows_are_numbered_without_a_window_of_their_own(spark):
     assert sum(map(len, by_shard.values())) == len(rows)
     assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
     assert sorted((r.doc_id or 0, r.slot or "") for r in got.collect()) == sorted((k or 0, t or "") for k, t in rows)
+
+
+def test_stored_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from soukspark.llm import common
+
+    df = common.stored(spark.range(5).toDF("x"), "five")
+    assert df.count() == 5
+    where = Path(common.scratch(spark, "y")).parent
+    assert any(where.iterdir())
+    common.clear(spark)
+    assert not where.exists()
+    common.clear(spark)
