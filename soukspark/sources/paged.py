@@ -1,6 +1,6 @@
 """Paged listings as a Python data source: a partition for each page.
 
-Options: ``pages`` (at most), ``size``, ``fetch`` (``module:function``, called with page and size, giving a list of
+Options: ``pages`` (at most; ratings come as six pages of fifty), ``size``, ``fetch`` (``module:function``, called with page and size, giving a list of
 rows as dicts). A page that fails or is empty gives no rows. Nothing is fetched from a network here.
 """
 
