@@ -88,20 +88,20 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", key:
     base = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host(url).alias("host"), path(url).alias("path"))
     rule, verdict = rule_of("host", "path", rules)
     base = base.withColumns({"rule": rule, "said": verdict})
-    # equal URLs are scored once
-    distinct = base.groupBy("url").agg(F.count("*").alias("n"), F.first("said").alias("said")).withColumn("text", folded("url"))
+    # equal URLs are scored once; a boolean, unlike a string, stays in a hash aggregate
+    distinct = base.groupBy("url").agg(F.max(F.col("said") == "allow").alias("accepted")).withColumn("text", folded("url"))
     digest = F.conv(F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
     distinct = distinct.withColumn("held", digest % FOLDS == 0)
-    taught = grams(distinct.where("said is not null and not held"), "text", ["said"])
+    taught = grams(distinct.where("accepted is not null and not held"), "text", ["accepted"])
     # at most ALPHABET^(ORDER + 1) rows of a few bytes: bounded by the alphabet, not by the input
-    known = F.broadcast(model(taught.select("gram", (F.col("said") == "allow").alias("accepted"))))
-    wanted = distinct.where("said is null or held")
-    summed = grams(wanted, "text", ["url", "said"]).join(known, "gram", "left").groupBy("url").agg(F.avg(F.coalesce("delta", F.lit(0.0))).alias("score"), F.first("said").alias("said"))
-    summed = cut(summed)
-    held = summed.where("said is not null").groupBy("said").agg(F.avg("score").alias("m"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("s"))
-    limits = {r.said: r for r in held.collect()}  # two rows at most
-    limit = threshold(limits.get("allow"), limits.get("block"))
-    scores = summed.where("said is null").select(F.col("url").alias("u"), "score")
+    known = F.broadcast(model(taught.select("gram", "accepted")))
+    wanted = distinct.where("accepted is null or held")
+    scored = grams(wanted, "text", ["url", "accepted"]).join(known, "gram", "left")
+    summed = cut(scored.groupBy("url").agg(F.avg(F.coalesce("delta", F.lit(0.0))).alias("score"), F.max("accepted").alias("accepted")))
+    held = summed.where("accepted is not null").groupBy("accepted").agg(F.avg("score").alias("m"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("s"))
+    limits = {r.accepted: r for r in held.collect()}  # two rows at most
+    limit = threshold(limits.get(True), limits.get(False))
+    scores = summed.where("accepted is null").select(F.col("url").alias("u"), "score")
     out = base.join(scores, F.col("url").eqNullSafe(F.col("u")), "left").drop("u")
     method = F.when(F.coalesce("score", F.lit(0.0)) < limit, "block").otherwise("allow") if limit is not None else F.lit("allow")
     score = F.when(F.col("said").isNull(), F.coalesce("score", F.lit(0.0)))
