@@ -108,6 +108,40 @@ def queries() -> dict:
 _SPACE_CLASS = "[\\x09-\\x0D ]"
 
 
+def _op1_sql() -> str:
+    """CRC-32 bit by bit, the jumps as a recursion, and XXH64 of key, checksum and size for the parts that number a shard."""
+    full, turned = 1 << 64, lambda x, n: f"(({x} << {n}) & {(1 << 64) - 1}::uhugeint) | ({x} >> {64 - n})"
+    times = lambda x, y: f"({x} * {y}::uhugeint & {full - 1}::uhugeint)"
+    unsigned = lambda x: f"(({x}::hugeint + {full}) % {full})::uhugeint"
+    crc = "c >> 8"
+    for k in range(8):
+        bit = 1 << k
+        for _ in range(8):
+            bit = bit >> 1 ^ (0xEDB88320 if bit & 1 else 0)
+        crc = f"xor({crc}, (xor(c, x) >> {k} & 1) * {bit})"
+    state = f"(s * 2862933555777941757::uhugeint + 1::uhugeint & {full - 1}::uhugeint)"
+    jump = f"floor((j + 1)::double * (2147483648::double / (({state} >> 33) + 1::uhugeint)::double))::bigint"
+    sql = [
+        "a as (select doc_id, encode(coalesce(text, '')) t from documents)",
+        f"b as (select doc_id, octet_length(t)::bigint + 16 size, xor({(1 << 32) - 1}, list_reduce(list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::bigint), lambda c, x: {crc}, {(1 << 32) - 1}::bigint)) text_crc32 from a)",
+        f"k as (select distinct doc_id, {unsigned('coalesce(doc_id, 0)')} s from b)",
+        f"w as (select doc_id, s, 0::bigint j from k union all select doc_id, {state}, {jump} from w where {jump} <= {SHARDS})",
+        f"j as (select doc_id, max(j) filter (j < {SHARDS})::int shard, max(j)::int grown_shard from w group by doc_id)",
+        "h0 as (select b.*, shard, grown_shard, 42::uhugeint h from b join j on b.doc_id is not distinct from j.doc_id)",
+    ]
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    steps = []
+    for c in ("doc_id", "text_crc32", "size"):  # a null is passed over, as h0's seed stays
+        word = times(unsigned(c), p2)
+        steps.append(f"xor(h + {p5 + 8}::uhugeint & {full - 1}::uhugeint, {times(f'({turned(word, 31)})', p1)})")
+        steps.append(f"{times('(' + turned('h', 27) + ')', p1)} + {p4}::uhugeint & {full - 1}::uhugeint")
+        steps += [times("xor(h, h >> 33)", p2), times("xor(h, h >> 29)", p3), "xor(h, h >> 32)"]
+        steps[-5:] = [f"case when {c} is null then h else {x} end" for x in steps[-5:]]
+    sql += [f"h{k + 1} as (select * exclude (h), {x} h from h{k})" for k, x in enumerate(steps)]
+    order = f"(h & {sharding.PARTS - 1}::uhugeint), doc_id nulls first, text_crc32, size"
+    return "with recursive " + ",\n".join(sql) + f"\nselect doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by {order}) - 1 as slot, grown_shard from h{len(steps)}"
+
+
 def _op5_sql() -> str:
     key = "coalesce(cast(page_id as varchar), '')"
     uuid = " || '-' || ".join(f"substr(m, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
@@ -184,7 +218,7 @@ def _op9_sql() -> str:
 
 
 def oracle_sql() -> dict:
-    return {"op5_warc": _op5_sql(), "op8_url_filter": _op8_sql(), "op9_quality": _op9_sql(), "op10_mixing": _op10_sql()}
+    return {"op1_sharding": _op1_sql(), "op5_warc": _op5_sql(), "op8_url_filter": _op8_sql(), "op9_quality": _op9_sql(), "op10_mixing": _op10_sql()}
 
 
 def _op10_sql() -> str:

@@ -412,6 +412,21 @@ def test_op1_over_a_whole_table(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(40))
 
 
+def test_op1_equals_its_sql_on_odd_rows(spark, tmp_path):
+    """Null and negative ids, null, empty, wide and long texts, repeated rows and a further column."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [(None, "a"), (None, None), (None, "a"), (-1, ""), (-(2**63), "é中🙂"), (2**63 - 1, "x" * 5000), *[(7, "same")] * 50, *[(k, f"text {k}") for k in range(200)]]
+    pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows], "shard": ["clash"] * len(rows)}), tmp_path / "documents.parquet")
+    got = queries.op1_sharding(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet')")
+    want = con.execute(f"select {', '.join(got.columns)} from ({queries.oracle_sql()['op1_sharding']})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) == len(rows)
+
+
 def common_words(a, b):
     """The length of the longest common subsequence."""
     row = [0] * (len(b) + 1)
