@@ -7,6 +7,7 @@ Words outside the templates cannot be in a shared fingerprint, so only runs of k
 from __future__ import annotations
 
 import re
+from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -133,10 +134,11 @@ def scan_words(index: Index, words: np.ndarray, offsets: np.ndarray) -> list[tup
                 out.setdefault(d, []).append((n, -(b - a), -a, -t, a, b))
     rows = []
     for d, all_ in out.items():
-        taken: list[tuple] = []
+        taken: list[tuple] = []  # disjoint spans in order, so only the neighbours can overlap
         for n, _, _, t, a, b in sorted(all_, reverse=True):
-            if all(b < x or a > y for x, y in taken):
-                taken.append((a, b))
+            k = bisect(taken, (a, b))
+            if (not k or taken[k - 1][1] < a) and (k == len(taken) or b < taken[k][0]):
+                taken.insert(k, (a, b))
                 rows.append((d, -t, n, a, b))
     return sorted(rows, key=lambda r: (r[0], r[3]))
 
