@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soukspark.llm import ann, licenses, mixing, quality, sentencepieces, sharding, simhash, simple8b, urlfilter, warc
+from soukspark.llm import ann, centroids, licenses, mixing, quality, sentencepieces, sharding, simhash, simple8b, urlfilter, warc
 from soukspark.llm.common import cut, scratch, table
 
 SHARDS = 40
@@ -14,6 +16,7 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 #: Shares of tokens; sources, languages and topics that are not named share what is left.
 TARGETS = [{"src0": 0.25}, {"en": 0.54, "de": 0.15, "fr": 0.15, "es": 0.15}, {"prose": 0.9, "legal": 0.03}]
 MIX_DIMS, MIX_SEED, MIX_RATE = ["source", "lang", "topic"], 11, 0.5
+CLUSTERS, CLUSTER_ROUNDS, CLUSTER_DIM, CLUSTER_SCALE = 40, 5, 64, 256
 SP_ALPHA, SP_SEED = 1.0, 3
 WARC_DATE, WARC_RECORDS = "2024-01-01T00:00:00Z", 1000
 
@@ -94,6 +97,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "topic", "n_tokens", *rounded, F.col("mix_copies").alias("copies"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five rounds over the whole table from 40 vectors; what takes part and how ties fall is said in ``centroids``."""
+    rows, final = centroids.cluster(table(spark, sf_dir, "embeddings"), CLUSTERS, CLUSTER_ROUNDS, dim=CLUSTER_DIM, scale=CLUSTER_SCALE, salt="2:")
+    names = [(k, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for k, c in enumerate(final)]
+    named = spark.createDataFrame(names, "cluster int, centroid_sha256 string")  # one row for each centroid
+    return centroids.inertia(cut(rows)).join(F.broadcast(named), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +112,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_sharding, op2_simhash, op3_ann, op4_licenses, op5_warc, op6_token_ids, op7_sentencepiece, op8_url_filter, op9_quality, op10_mixing, pipeline]
+    found = [op1_sharding, op2_simhash, op3_ann, op4_licenses, op5_warc, op6_token_ids, op7_sentencepiece, op8_url_filter, op9_quality, op10_mixing, op12_centroids, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -218,7 +229,7 @@ def _op9_sql() -> str:
 
 
 def oracle_sql() -> dict:
-    return {"op1_sharding": _op1_sql(), "op5_warc": _op5_sql(), "op8_url_filter": _op8_sql(), "op9_quality": _op9_sql(), "op10_mixing": _op10_sql()}
+    return {"op1_sharding": _op1_sql(), "op5_warc": _op5_sql(), "op8_url_filter": _op8_sql(), "op9_quality": _op9_sql(), "op10_mixing": _op10_sql(), "op12_centroids": _op12_sql()}
 
 
 def _op10_sql() -> str:
@@ -242,3 +253,23 @@ def _op10_sql() -> str:
             at += 1
     u = f"('0x' || substr(md5('{MIX_SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint / 4294967296.0"
     return "with " + ",\n".join(sql) + f"\nselect doc_id, topic, n_tokens, round(w, 6) weight, round(w * {MIX_RATE}, 6) expected, (floor(w * {MIX_RATE}) + ({u} < w * {MIX_RATE} - floor(w * {MIX_RATE}))::int)::int copies from b join w{at} using (c0, c1, c2)"
+
+
+def _op12_sql() -> str:
+    """Every vector against every centroid; a vector's cluster is the smallest of distance times 64 plus number."""
+    x = "x::double"
+    sql = [
+        f"v as materialized (select row_number() over () id, vec_id, list_transform(embedding, lambda x: floor({CLUSTER_SCALE} * {x})::bigint) v from embeddings where len(embedding) = {CLUSTER_DIM} and len(list_filter(embedding, lambda x: x is not null and isfinite({x}))) = {CLUSTER_DIM})",
+        f"c0 as materialized (select row_number() over (order by sha256('2:' || vec_id) nulls last, v) - 1 k, v c from v qualify k < {CLUSTERS})",
+    ]
+    for r in range(CLUSTER_ROUNDS + 1):
+        d = f"list_sum(list_transform(range(1, {CLUSTER_DIM + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::bigint"
+        sql.append(f"a{r} as materialized (select id, any_value(vec_id) vec_id, any_value(v) v, min({d} * 64 + k) m from v, c{r} group by id)")
+        if r < CLUSTER_ROUNDS:
+            sql.append(f"s{r} as (select m % 64 k, i, sum(v[i])::hugeint s, count(*) n from a{r}, range(1, {CLUSTER_DIM + 1}) t(i) group by all)")
+            sql.append(f"l{r} as (select k, list(((s - (s % n + n) % n) // n)::bigint order by i) l from s{r} group by k)")
+            sql.append(f"c{r + 1} as materialized (select k, coalesce(l, c) c from c{r} left join l{r} using (k))")
+    last = CLUSTER_ROUNDS
+    return "with " + ",\n".join(sql) + f"""
+    select vec_id, k::int as cluster, (m // 64)::bigint distance, (sum(m // 64) over (partition by k))::bigint cluster_inertia, (sum(m // 64) over ())::bigint inertia,
+      sha256(array_to_string(list_transform(c, lambda x: x::varchar), ',')) centroid_sha256 from a{last} join c{last} on k = m % 64"""
