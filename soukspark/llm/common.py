@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 #: The ASCII whitespace that separates words: space and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES_PATTERN = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soukspark.llm import ann, centroids, licenses, mixing, quality, sentencepieces, sharding, simhash, simple8b, urlfilter, warc
-from soukspark.llm.common import cut, scratch, table
+from soukspark.llm import ann, centroids, licenses, mixing, quality, sentencepieces, sharding, simhash, simple8b, substrings, urlfilter, warc
+from soukspark.llm.common import SPACES_PATTERN, cut, scratch, table
 
 SHARDS = 40
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -17,6 +17,7 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 TARGETS = [{"src0": 0.25}, {"en": 0.54, "de": 0.15, "fr": 0.15, "es": 0.15}, {"prose": 0.9, "legal": 0.03}]
 MIX_DIMS, MIX_SEED, MIX_RATE = ["source", "lang", "topic"], 11, 0.5
 CLUSTERS, CLUSTER_ROUNDS, CLUSTER_DIM, CLUSTER_SCALE = 40, 5, 64, 256
+WINDOW = 35
 SP_ALPHA, SP_SEED = 1.0, 3
 WARC_DATE, WARC_RECORDS = "2024-01-01T00:00:00Z", 1000
 
@@ -105,6 +106,14 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.inertia(cut(rows)).join(F.broadcast(named), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; ``kept_sha256`` is that of the words left, or of all words where nothing went."""
+    whole = F.sha2(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES_PATTERN, " ")).cast("binary"), 256)
+    out = substrings.dedup(table(spark, sf_dir, "documents"), size=WINDOW, also={"whole_sha256": whole})
+    left = F.coalesce(F.sha2(F.col("kept").cast("binary"), 256), "whole_sha256")
+    return out.select("doc_id", "n_words", "n_removed", left.alias("kept_sha256"), "longest")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_sharding, op2_simhash, op3_ann, op4_licenses, op5_warc, op6_token_ids, op7_sentencepiece, op8_url_filter, op9_quality, op10_mixing, op12_centroids, pipeline]
+    found = [op1_sharding, op2_simhash, op3_ann, op4_licenses, op5_warc, op6_token_ids, op7_sentencepiece, op8_url_filter, op9_quality, op10_mixing, op12_centroids, op13_substrings, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -229,7 +238,7 @@ def _op9_sql() -> str:
 
 
 def oracle_sql() -> dict:
-    return {"op1_sharding": _op1_sql(), "op5_warc": _op5_sql(), "op8_url_filter": _op8_sql(), "op9_quality": _op9_sql(), "op10_mixing": _op10_sql(), "op12_centroids": _op12_sql()}
+    return {"op1_sharding": _op1_sql(), "op5_warc": _op5_sql(), "op8_url_filter": _op8_sql(), "op9_quality": _op9_sql(), "op10_mixing": _op10_sql(), "op12_centroids": _op12_sql(), "op13_substrings": _op13_sql()}
 
 
 def _op10_sql() -> str:
@@ -273,3 +282,27 @@ def _op12_sql() -> str:
     return "with " + ",\n".join(sql) + f"""
     select vec_id, k::int as cluster, (m // 64)::bigint distance, (sum(m // 64) over (partition by k))::bigint cluster_inertia, (sum(m // 64) over ())::bigint inertia,
       sha256(array_to_string(list_transform(c, lambda x: x::varchar), ',')) centroid_sha256 from a{last} join c{last} on k = m % 64"""
+
+
+def _op13_sql() -> str:
+    """Windows as MD5 of their words; doubled lengths are tried at marked words whose window of the length before repeats."""
+    w = WINDOW
+    sql = [
+        f"a as materialized (select row_number() over () id, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE_CLASS}+'), lambda x: x <> '') w from documents)",
+        f"i as (select id, w, unnest(range(1, len(w) - {w - 2})) p from a where len(w) >= {w})",
+        f"g as (select id, p, starts_with(md5(w[p]), '0') mark, count(*) over (partition by md5(array_to_string(w[p:p + {w - 1}], ' '))) n from i)",
+        "r0 as materialized (select id, p, mark from g where n > 1)",
+        f"c as (select distinct id, p + k p from r0, range({w}) t(k))",
+        "l as (select id, count(*) n_removed, list(p) gone from c group by id)",
+    ]
+    levels = [f"select id, {w} len from r0"]
+    for k in range(1, 11):
+        n = w << k
+        rows = f"select a.id, p, w from a join r{k - 1} using (id) where p + {n - 1} <= len(w)" + " and mark" * (k == 1)
+        sql.append(f"r{k} as materialized (select id, p from (select id, p, count(*) over (partition by md5(array_to_string(w[p:p + {n - 1}], ' '))) n from ({rows})) where n > 1)")
+        levels.append(f"select id, {n} from r{k}")
+    sql.append(f"m as (select id, max(len)::bigint longest from ({' union all '.join(levels)}) group by id)")
+    left = "case when n_removed is null then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: not list_contains(gone, x[2])), lambda x: x[1]) end"
+    return "with " + ",\n".join(sql) + f"""
+    select doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(array_to_string({left}, ' ')) kept_sha256, coalesce(longest, 0)::bigint longest
+      from a left join l using (id) left join m using (id)"""

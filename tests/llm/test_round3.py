@@ -6,7 +6,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from soukspark.llm import centroids, queries
+from soukspark.llm import centroids, queries, substrings
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -67,3 +67,76 @@ def test_the_query_over_a_whole_table(spark):
     sha = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in c]
     full = [(i, k, d, total[k], sum(total.values()), sha[k]) for i, k, d in want]
     assert sort(queries.op12_centroids(spark, SMALL).collect()) == sort(full)
+
+
+# -- substring dedup -----------------------------------------------------------------------------------------------
+
+
+def plain_substrings(texts, size):
+    words = [(t or "").encode().split() for t in texts]
+    n = {}
+    for w in words:
+        for p in range(len(w) - size + 1):
+            n[tuple(w[p : p + size])] = n.get(tuple(w[p : p + size]), 0) + 1
+    out = []
+    for w in words:
+        gone = np.zeros(len(w), bool)
+        for p in range(len(w) - size + 1):
+            if n[tuple(w[p : p + size])] > 1:
+                gone[p : p + size] = True
+        out.append((len(w), int(gone.sum()), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    long, k = [size if g else 0 for _, g, _ in out], 2 * size
+    while True:
+        n = {}
+        starts = [[p for p in range(len(w) - k + 1) if substrings.marked(w[p])] for w in words]
+        for w, ps in zip(words, starts, strict=True):
+            for p in ps:
+                n[tuple(w[p : p + k])] = n.get(tuple(w[p : p + k]), 0) + 1
+        hit = [any(n[tuple(w[p : p + k])] > 1 for p in ps) for w, ps in zip(words, starts, strict=True)]
+        if not any(hit):
+            return [(*r, x) for r, x in zip(out, long, strict=True)]
+        long, k = [k if h else x for h, x in zip(hit, long, strict=True)], 2 * k
+
+
+def odd_texts(seed):
+    rng = np.random.default_rng(seed)
+
+    def prose(n):
+        return " ".join(f"w{x}" for x in rng.integers(0, 900, n))
+
+    shared, line = prose(50), prose(12)
+    texts = [None, "", " \n\t", "a", "a " * 34, "b " * 36, "one two " * 400, prose(9000), shared, f"{shared}\n{prose(40)}", f"{prose(7)} {shared.replace(' ', '  ')}"]
+    texts += [f"{prose(30)} {line} {prose(30)}" for _ in range(20)] + [prose(300)] * 3 + [prose(35)] * 2 + [prose(34)] * 2
+    base = prose(400).split()
+    for _ in range(12):
+        near = list(base)
+        for p in rng.integers(0, len(near), 4):
+            near[p] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(near))
+    return texts + [f"{prose(20)} {' '.join(base[:60])} {prose(20)} {' '.join(base[:60])}", "é ü " * 50, "z\x0by\x0cx " * 30]
+
+
+def test_substrings_equal_brute_force(spark, monkeypatch):
+    for seed, size in ((0, 35), (1, 35), (2, 8), (3, 1), (4, 2)):
+        monkeypatch.setattr(substrings, "ASK", 300 if seed % 2 else 1 << 20)
+        texts = odd_texts(seed)
+        df = spark.createDataFrame([(k % 40 if k % 7 else None, t, "c") for k, t in enumerate(texts)], "doc_id long, text string, digest string").repartition(5)
+        rows = substrings.dedup(df, size=size, also={"own": F.col("text")}).collect()
+        got = {}
+        for r in rows:
+            removed = [x for s in r.spans for x in range(s.start, s.start + s.words)]
+            words = (r.own or "").encode().split()
+            assert len(removed) == r.n_removed and (r.kept is None) == (not removed)
+            kept = b" ".join(w for k, w in enumerate(words) if k not in set(removed)).decode()
+            assert r.kept in (None, kept)
+            got.setdefault(r.own, []).append((r.n_words, r.n_removed, kept, r.longest))
+        want = {}
+        for t, r in zip(texts, plain_substrings(texts, size), strict=True):
+            want.setdefault(t, []).append(r)
+        assert got == want
+    assert substrings.dedup(df.limit(0)).count() == 0
+
+
+def test_no_window_repeats(spark):
+    df = spark.createDataFrame([(1, " ".join(map(str, range(100)))), (2, None)], "doc_id long, text string")
+    assert sorted(map(tuple, substrings.dedup(df).select("doc_id", "n_words", "n_removed", "longest").collect())) == [(1, 100, 0, 0), (2, 0, 0, 0)]
