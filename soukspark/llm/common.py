@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The ASCII whitespace that separates words: space and \x09-\x0D.
@@ -64,6 +65,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """``left`` joined with ``right``, which has every key once and in ``weight`` how many rows of ``left`` have it.
+
+    Keys with more than a thousandth of all rows are broadcast, so a thousand at most; the others meet by a shuffle, in
+    which no key is large. ``left`` is read twice."""
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = right.where(F.col(weight) * 1000 > total)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(weight) * 1000 <= total), on)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soukspark.llm import ann, centroids, licenses, mixing, quality, sentencepieces, sharding, simhash, simple8b, substrings, urlfilter, warc
+from soukspark.llm import ann, centroids, licenses, mixing, prefixtree, quality, sentencepieces, sharding, simhash, simple8b, substrings, urlfilter, warc
 from soukspark.llm.common import SPACES_PATTERN, cut, scratch, table
 
 SHARDS = 40
@@ -18,6 +18,7 @@ TARGETS = [{"src0": 0.25}, {"en": 0.54, "de": 0.15, "fr": 0.15, "es": 0.15}, {"p
 MIX_DIMS, MIX_SEED, MIX_RATE = ["source", "lang", "topic"], 11, 0.5
 CLUSTERS, CLUSTER_ROUNDS, CLUSTER_DIM, CLUSTER_SCALE = 40, 5, 64, 256
 WINDOW = 35
+HEADS, TOGETHER = 6, 100
 SP_ALPHA, SP_SEED = 1.0, 3
 WARC_DATE, WARC_RECORDS = "2024-01-01T00:00:00Z", 1000
 
@@ -98,6 +99,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "topic", "n_tokens", *rounded, F.col("mix_copies").alias("copies"))
 
 
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Every conversation c as the first crc32(c) % 6 turns of conversation c - c % 100 and its own turns after as many."""
+    turns, first = cut(turns), F.crc32(F.col("conv").cast("string").cast("binary")) % HEADS
+    heads = turns.where((F.col("conv") % TOGETHER == 0) & (F.col("place") < HEADS - 1)).groupBy(F.col("conv").alias("of"))
+    heads = heads.agg(F.sort_array(F.collect_list(F.struct("place", "digest", "chars"))).alias("head"))  # HEADS - 1 turns at most
+    convs = turns.select("conv").distinct().withColumns({"of": F.col("conv") - F.col("conv") % TOGETHER, "h": first.cast("int")}).join(heads, "of", "left")
+    convs = cut(convs.select("conv", F.expr("slice(coalesce(head, array()), 1, h)").alias("head")))
+    new = convs.select("conv", F.explode_outer("head").alias("t")).select("conv", F.col("t.place").cast("long").alias("place"), "t.digest", "t.chars")
+    own = turns.where(F.col("place") >= first).join(convs.select("conv", F.size("head").alias("n")), "conv")
+    return new.unionAll(own.select("conv", (F.col("place") - first + F.col("n")).alias("place"), "digest", "chars"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations; what nulls, ties and repeated rows do is said in ``prefixtree``."""
+    return prefixtree.tree(rebuilt(prefixtree.turns(table(spark, sf_dir, "conversations"))))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five rounds over the whole table from 40 vectors; what takes part and how ties fall is said in ``centroids``."""
     rows, final = centroids.cluster(table(spark, sf_dir, "embeddings"), CLUSTERS, CLUSTER_ROUNDS, dim=CLUSTER_DIM, scale=CLUSTER_SCALE, salt="2:")
@@ -121,29 +139,34 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_sharding, op2_simhash, op3_ann, op4_licenses, op5_warc, op6_token_ids, op7_sentencepiece, op8_url_filter, op9_quality, op10_mixing, op12_centroids, op13_substrings, pipeline]
+    found = [op1_sharding, op2_simhash, op3_ann, op4_licenses, op5_warc, op6_token_ids, op7_sentencepiece, op8_url_filter, op9_quality, op10_mixing, op11_prefix_trie, op12_centroids, op13_substrings, pipeline]
     return {f.__name__: f for f in found}
 
 
 _SPACE_CLASS = "[\\x09-\\x0D ]"
 
 
-def _op1_sql() -> str:
-    """CRC-32 bit by bit, the jumps as a recursion, and XXH64 of key, checksum and size for the parts that number a shard."""
-    full, turned = 1 << 64, lambda x, n: f"(({x} << {n}) & {(1 << 64) - 1}::uhugeint) | ({x} >> {64 - n})"
-    times = lambda x, y: f"({x} * {y}::uhugeint & {full - 1}::uhugeint)"
-    unsigned = lambda x: f"(({x}::hugeint + {full}) % {full})::uhugeint"
+def _crc32_sql(data: str) -> str:
+    """CRC-32 of a blob, bit by bit."""
     crc = "c >> 8"
     for k in range(8):
         bit = 1 << k
         for _ in range(8):
             bit = bit >> 1 ^ (0xEDB88320 if bit & 1 else 0)
         crc = f"xor({crc}, (xor(c, x) >> {k} & 1) * {bit})"
+    return f"xor({(1 << 32) - 1}, list_reduce(list_transform(regexp_extract_all(hex({data}), '..'), lambda x: ('0x' || x)::bigint), lambda c, x: {crc}, {(1 << 32) - 1}::bigint))"
+
+
+def _op1_sql() -> str:
+    """CRC-32 bit by bit, the jumps as a recursion, and XXH64 of key, checksum and size for the parts that number a shard."""
+    full, turned = 1 << 64, lambda x, n: f"(({x} << {n}) & {(1 << 64) - 1}::uhugeint) | ({x} >> {64 - n})"
+    times = lambda x, y: f"({x} * {y}::uhugeint & {full - 1}::uhugeint)"
+    unsigned = lambda x: f"(({x}::hugeint + {full}) % {full})::uhugeint"
     state = f"(s * 2862933555777941757::uhugeint + 1::uhugeint & {full - 1}::uhugeint)"
     jump = f"floor((j + 1)::double * (2147483648::double / (({state} >> 33) + 1::uhugeint)::double))::bigint"
     sql = [
         "a as (select doc_id, encode(coalesce(text, '')) t from documents)",
-        f"b as (select doc_id, octet_length(t)::bigint + 16 size, xor({(1 << 32) - 1}, list_reduce(list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::bigint), lambda c, x: {crc}, {(1 << 32) - 1}::bigint)) text_crc32 from a)",
+        f"b as (select doc_id, octet_length(t)::bigint + 16 size, {_crc32_sql('t')} text_crc32 from a)",
         f"k as (select distinct doc_id, {unsigned('coalesce(doc_id, 0)')} s from b)",
         f"w as (select doc_id, s, 0::bigint j from k union all select doc_id, {state}, {jump} from w where {jump} <= {SHARDS})",
         f"j as (select doc_id, max(j) filter (j < {SHARDS})::int shard, max(j)::int grown_shard from w group by doc_id)",
@@ -238,7 +261,7 @@ def _op9_sql() -> str:
 
 
 def oracle_sql() -> dict:
-    return {"op1_sharding": _op1_sql(), "op5_warc": _op5_sql(), "op8_url_filter": _op8_sql(), "op9_quality": _op9_sql(), "op10_mixing": _op10_sql(), "op12_centroids": _op12_sql(), "op13_substrings": _op13_sql()}
+    return {"op1_sharding": _op1_sql(), "op5_warc": _op5_sql(), "op8_url_filter": _op8_sql(), "op9_quality": _op9_sql(), "op10_mixing": _op10_sql(), "op11_prefix_trie": _op11_sql(), "op12_centroids": _op12_sql(), "op13_substrings": _op13_sql()}
 
 
 def _op10_sql() -> str:
@@ -306,3 +329,24 @@ def _op13_sql() -> str:
     return "with " + ",\n".join(sql) + f"""
     select doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(array_to_string({left}, ' ')) kept_sha256, coalesce(longest, 0)::bigint longest
       from a left join l using (id) left join m using (id)"""
+
+
+def _op11_sql() -> str:
+    """Every prefix of every rebuilt conversation; subtrees by the paths of nodes' smallest members."""
+    empty = hashlib.sha256().hexdigest()
+    key = "strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')"
+    return f"""
+    with t as materialized (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, md5({key})) - 1 k, md5({key}) d, length(coalesce(text, ''))::bigint chars from conversations where conv_id is not null),
+    h as materialized (select c, {_crc32_sql('encode(c::varchar)')} % {HEADS} h from (select distinct c from t)),
+    b as (select h.c, t.k, d, chars from h join t on t.c = h.c - h.c % {TOGETHER} and t.k < h),
+    nb as (select h.c, h, count(b.k) n from h left join b on b.c = h.c group by all),
+    r as (select * from b union all select c, n + k - h, d, chars from nb join t using (c) where k >= h),
+    p as materialized (select c, 0 as depth, '' id, '' up, 0 chars from h
+      union all select c, depth, md5(s) id, case depth when 1 then '' else md5(left(s, 32 * (depth - 1)::int)) end up, chars from (select c, k + 1 as depth, chars, string_agg(d, '') over (partition by c order by k) s from r)),
+    n as materialized (select depth, id, up, chars, count(*) n, min(c) least from p group by all),
+    kids as (select depth - 1 as depth, up id, count(*) kids from n where depth > 0 group by all),
+    m as materialized (select n.*, coalesce(kids, 0) kids from n left join kids using (depth, id)),
+    sub as (select p.depth, p.id, sum((n - 1) * m.chars) saved, count(*) filter (kids = 0) leaves from m join p on p.c = m.least and p.depth <= m.depth group by all),
+    e as (select depth, id, sha256(string_agg(c::varchar, ',' order by c)) ends from (select c, max(depth) as depth, arg_max(id, depth) id from p group by c) group by all)
+    select m.least conv_id, m.depth::bigint as depth, u.least parent_conv_id, m.n n_convs, m.kids n_children, leaves n_leaves, saved::bigint saved_tokens, coalesce(ends, '{empty}') ends_sha256
+      from m join sub using (depth, id) left join e using (depth, id) left join m u on u.depth = m.depth - 1 and u.id = m.up"""

@@ -2,11 +2,12 @@
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from soukspark.llm import centroids, queries, substrings
+from soukspark.llm import centroids, prefixtree, queries, substrings
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -140,3 +141,72 @@ def test_substrings_equal_brute_force(spark, monkeypatch):
 def test_no_window_repeats(spark):
     df = spark.createDataFrame([(1, " ".join(map(str, range(100)))), (2, None)], "doc_id long, text string")
     assert sorted(map(tuple, substrings.dedup(df).select("doc_id", "n_words", "n_removed", "longest").collect())) == [(1, 100, 0, 0), (2, 0, 0, 0)]
+
+
+# -- conversation trie ---------------------------------------------------------------------------------------------
+
+
+def plain_rebuilt(rows):
+    own = {}
+    for c, n, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((n is not None, n or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(v, key=lambda t: (t[:2], hashlib.md5(f"{len(t[2].encode())}:{t[2]}{t[3]}".encode()).digest()))] for c, v in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = own.get(c - int(math.fmod(c, 100)), [])[:h] + turns[h:]
+    return out
+
+
+def plain_trie(convs):
+    members = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    kids = {}
+    for p in members:
+        if p:
+            kids.setdefault(p[:-1], []).append(p)
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        below = kids.get(p, [])
+        leaves[p] = sum(leaves[x] for x in below) if below else 1
+        saved[p] = sum(saved[x] for x in below) + ((len(members[p]) - 1) * len(p[-1][1]) if p else 0)
+    out = []
+    for p, m in members.items():
+        ends = ",".join(str(c) for c in sorted(c for c in m if len(convs[c]) == len(p)))
+        out.append((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(kids.get(p, [])), leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def trie_of(spark, rows):
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, depth int")
+    return prefixtree.tree(queries.rebuilt(prefixtree.turns(df.repartition(3))))
+
+
+def test_trie_equals_brute_force_on_odd_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["", None, "hi", "é" * 5, "long " * 30]
+    rows = []
+    for c in [*range(60), 100, 101, 205, 206, 305, -5, -100, 10**12]:
+        for n in range(int(rng.integers(0, 12))):
+            rows.append((int(c), n if rng.random() < 0.9 else None, ["user", "bot", None][rng.integers(0, 3)], words[rng.integers(0, 5)] if n else "same start"))
+    rows += [(7, 3, "user", "again")] * 3 + [(None, 1, "user", "x")] + [(500, n * 3000, "user", f"{n % 3}") for n in range(40)] + [(501, n, "user", f"{n % 3}") for n in range(40)]
+    for segment in (4096, 5):
+        monkeypatch.setattr(prefixtree, "SEGMENT", segment)
+        assert sort(trie_of(spark, rows).collect()) == sort(plain_trie(plain_rebuilt(rows)))
+
+
+def test_tries_without_turns(spark):
+    assert trie_of(spark, [(None, 0, "a", "b")]).count() == 0
+    # crc32("3") % 6 is 5 and there is no conversation 0: nothing is left of its one turn
+    none = hashlib.sha256(b"3").hexdigest()
+    h = zlib.crc32(b"3") % 6
+    got = list(map(tuple, trie_of(spark, [(3, 0, "a", "b")]).collect()))
+    assert h > 0 and got == [(3, 0, None, 1, 0, 1, 0, none)]
+
+
+def test_the_trie_of_a_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert sort(queries.op11_prefix_trie(spark, SMALL).collect()) == sort(plain_trie(plain_rebuilt(rows)))
