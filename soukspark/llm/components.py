@@ -14,8 +14,9 @@ from soukspark.llm.common import cut
 
 
 def _mark(edges: DataFrame) -> tuple:
+    """What tells one set of edges from another; the sums of 20 bits each leave room for 2^43 edges."""
     h = F.xxhash64("a", "b")
-    row = edges.agg(F.count("*"), F.sum(F.pmod(h, F.lit(1 << 40))), F.sum(F.pmod(h, F.lit((1 << 39) - 7)))).first()
+    row = edges.agg(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64("b", "a")), F.sum(F.pmod(h, F.lit(1 << 20)))).first()
     return tuple(row)
 
 

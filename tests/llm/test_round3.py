@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from soukspark.llm import centroids, prefixtree, queries, substrings
+from soukspark.llm import centroids, components, prefixtree, queries, substrings
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -210,3 +210,13 @@ def test_tries_without_turns(spark):
 def test_the_trie_of_a_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sort(queries.op11_prefix_trie(spark, SMALL).collect()) == sort(plain_trie(plain_rebuilt(rows)))
+
+
+# -- components ----------------------------------------------------------------------------------------------------
+
+
+def test_the_mark_of_many_edges_does_not_overflow(spark):
+    """As many edges as made a sum of 40 bits each overflow."""
+    edges = spark.range(20_000_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components._mark(edges)
+    assert got[0] == 20_000_000 and got == components._mark(edges) and got != components._mark(edges.where("a <> 77"))

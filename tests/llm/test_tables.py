@@ -105,13 +105,20 @@ def test_neighbours_odd_vectors(spark):
 
 
 def test_neighbours_of_repeated_queries(spark):
-    """Equal query rows are one query; each candidate row counts once; another vector under a key is another query."""
+    """A row is not its own neighbour, but an equal row is, and so is another vector under its key."""
     rows = [(0, [0.0, 1.0])] * 2 + [(k, [float(k), 1.0]) for k in range(1, 30)] + [(100, [5.0, 1.0]), (100, [20.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("query", F.lit("clash")).withColumn("cell", F.lit(1))
     got = sorted(tuple(r) for r in ann.search(df, df.where("vec_id = 0")).collect())
-    assert got == [(0, k, k, float(k)) for k in (1, 2, 3, 4)] + [(0, 5, 5, 5.0), (0, 6, 100, 5.0)] + [(0, k + 1, k, float(k)) for k in (6, 7, 8, 9)]
+    one = [(0, k + 1, k, float(k)) for k in range(6)] + [(0, 7, 100, 5.0)] + [(0, k + 2, k, float(k)) for k in (6, 7, 8)]
+    assert got == sorted(one * 2)
     two = sorted((r.rank, r.vec_id) for r in ann.search(df, df.where("vec_id = 100"), 2).collect())
     assert two == [(1, 5), (1, 20), (2, 4), (2, 19)]
+    few = spark.createDataFrame([(100, [5.0, 1.0]), (100, [20.0, 1.0]), (1, [50.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.search(few, few.where("vec_id % 100 = 0"), 10).collect())
+    assert got == [(100, 1, 100, 15.0), (100, 1, 100, 15.0), (100, 2, 1, 30.0), (100, 2, 1, 45.0)]
+    # more equal rows of smaller keys than neighbours asked for
+    tied = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(20)], "vec_id long, embedding array<double>")
+    assert sorted(r.vec_id for r in ann.search(tied, tied.where("vec_id = 19"), 10).collect()) == list(range(10))
 
 
 def test_neighbours_of_one_component_and_of_huge_ones(spark):
@@ -123,13 +130,15 @@ def test_neighbours_of_one_component_and_of_huge_ones(spark):
     assert got == [(0, 1, 2, 2.0), (0, 2, 4, 4.0), (0, 3, 1, math.inf), (9, 1, 10, 0.0), (9, 2, 0, math.inf), (9, 3, 1, math.inf)]
 
 
-def test_neighbours_over_many_groups_and_packs(spark, monkeypatch):
-    """A cell with a third of all vectors is dealt over groups; queries are dealt over packs."""
+def test_neighbours_over_many_groups(spark, monkeypatch):
+    """A cell with a third of all vectors is dealt over groups; however many queries there are, entries go there once."""
     rng = np.random.default_rng(2)
     x = np.concatenate((np.tile(rng.normal(size=6), (300, 1)), rng.normal(size=(600, 6))))
     df = spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     monkeypatch.setattr(ann, "GROUP", 50)
-    monkeypatch.setattr(ann, "PACK", 30)
+    monkeypatch.setattr(ann, "QUERIES", 30)
+    shipped, met = [], ann.met_in_groups
+    monkeypatch.setattr(ann, "met_in_groups", lambda entries, *a: shipped.append(entries) or met(entries, *a))
     got = {}
     for r in ann.search(df, df.where("vec_id % 7 = 0"), recall=1.0, centroids=6).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
@@ -141,6 +150,7 @@ def test_neighbours_over_many_groups_and_packs(spark, monkeypatch):
         assert len(found) == 10
         right += len(set(found) & set(want))
     assert right >= 0.98 * 10 * len(got)
+    assert shipped[0].count() == 900
 
 
 def test_cells_in_groups():
