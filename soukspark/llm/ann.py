@@ -6,9 +6,9 @@ entries, and those are reranked by exact distance. How many are enough is measur
 queries is answered by brute force, and the walk goes as far as their neighbours need for the recall asked for.
 
 Codebooks grow with the root of the number of vectors, so a pair of centroids holds about as many entries at every
-size. Cells lie in groups of consecutive cells; a cell that holds more than a group is dealt over several. A task is
-one group and one pack of queries: entries are shipped once for each pack, and a query once for each group that its
-walk enters, with the cells of the walk there.
+size. Cells lie in groups of consecutive cells; a cell that holds more than a group is dealt over several. A task holds
+the entries of one group, which are shipped once, and lets the queries whose walks enter it stream by, each with the
+cells of its walk there.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from soukspark.llm.common import cut, partitions
 SAMPLE, CALIBRATION = 20_000, 64
 #: Centroids of a half, at least and at most, and entries of a pair that they are chosen for.
 CENTROIDS, OCCUPANCY, ROUNDS = (16, 512), 16, 10
-#: Entries of a group, queries of a pack, and of both compared at once.
-GROUP, PACK, ENTRIES, QUERIES = 1 << 20, 1 << 13, 1024, 1024
+#: Entries of a group, at most, and entries and queries compared at once.
+GROUP, ENTRIES, QUERIES = 1 << 17, 1024, 1024
 
 
 def codebook(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -80,10 +80,10 @@ def walk(d1: np.ndarray, d2: np.ndarray, held: np.ndarray, enough: float) -> lis
 
 
 class Nearest:
-    """The k nearest entries seen so far of each of a pack of queries, with a number that comes with each entry."""
+    """The k nearest entries seen so far of each of some queries, with a number that comes with each entry."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q, k
+    def __init__(self, q: np.ndarray, k: int):
+        self.q, self.k = q, k
         with np.errstate(over="ignore"):
             self.square = (q**2).sum(1)
         self.limit = np.full(len(q), np.inf)
@@ -94,9 +94,7 @@ class Nearest:
         """Entries; ``asked``: which queries (rows) want which of them."""
         for at in range(0, len(self.q), QUERIES):
             part = slice(at, at + QUERIES)
-            want = self.ids[part, None] != ids[None]
-            if asked is not None:
-                want &= asked[part]
+            want = np.ones((len(self.q[part]), len(ids)), bool) if asked is None else asked[part]
             self._add(at, want, ids, x, mark)
 
     def _add(self, at: int, want: np.ndarray, ids: np.ndarray, x: np.ndarray, mark: np.ndarray) -> None:
@@ -158,11 +156,13 @@ def _sample(rows: DataFrame, total: int, most: int, seed: int) -> list:
 
 
 def _brute(entries: DataFrame, queries: list, k: int) -> dict[int, list[int]]:
-    """Cells of the k nearest entries of a bounded number of queries, by comparison with every entry in blocks."""
-    qid, q = np.array([r.id for r in queries], np.int64), np.array([r.v for r in queries], np.float64)
+    """Cells of the k nearest entries of a bounded number of queries but the query's own, by comparison with every entry
+    in blocks."""
+    q = np.array([r.v for r in queries], np.float64)
+    own = {(i, r.id) for i, r in enumerate(queries)}
 
     def of(batches):
-        got = Nearest(qid, q, k)
+        got = Nearest(q, k)
         for batch in batches:
             for at in range(0, batch.num_rows, ENTRIES):
                 part = batch.slice(at, ENTRIES)
@@ -173,7 +173,8 @@ def _brute(entries: DataFrame, queries: list, k: int) -> dict[int, list[int]]:
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))  # k rows of each task
     out: dict[int, list[int]] = {}
     for r in near.withColumn("r", rank).where(F.col("r") <= k).collect():  # calibration queries times k
-        out.setdefault(r.q, []).append(r.cell)
+        if r.d or (r.q, r.id) not in own:
+            out.setdefault(r.q, []).append(r.cell)
     return out
 
 
@@ -194,13 +195,14 @@ def grouped(counts: dict[int, int], per: int) -> list[tuple[int, int, int]]:
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", embedding: str = "embedding", recall: float = 0.95, centroids: int | None = None, seed: int = 7
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each query the k nearest of ``vectors`` that were found, but rows of the
-    query's own key; score is the Euclidean distance, ties go to the smaller key.
+    """``query_id, rank, vec_id, score``: for each row of ``queries`` the k nearest rows of ``vectors`` that were found, but
+    its own; score is the Euclidean distance, ties go to the smaller key.
 
-    Vectors with a null key, null, of another length than the commonest, all zero, or with null or non-finite components
-    take no part, nor do queries of another length than theirs. Vectors that repeat a row each count; query rows of
-    equal key and vector are one query, of equal key and other vectors queries of their own. Fewer than k other rows:
-    all of them. No vectors or no queries: no rows. Other columns are not read.
+    A query's own row is one of its key and vector. Where rows repeat key and vector, each is a query with rows of its own,
+    and the others are its neighbours at distance 0; rows of its key with another vector are its neighbours too. Vectors
+    with a null key, null, of another length than the commonest, all zero, or with null or non-finite components take no
+    part, nor do queries of another length than theirs. Fewer than k other rows: all of them. No vectors or no queries: no
+    rows. Other columns are not read.
 
     ``centroids``: of each half; None: the root of a ``OCCUPANCY``-th of the number of vectors, within ``CENTROIDS``.
     The work is queries times the share of entries that a walk needs: where vectors have no structure, recall asks for a
@@ -233,10 +235,10 @@ def search(
     held = np.zeros(shape, np.int64)
     for cell, m in counts.items():
         held[cell // shape[1], cell % shape[1]] = m
-    asked = cut(asked.distinct())
-    enough = _enough(entries, _sample(asked, asked_n, CALIBRATION, seed), k, recall, books, held)
-    packs, tasks = -(-asked_n // PACK), partitions(spark)
-    groups = grouped(counts, max(1, min(GROUP, -(-n * packs // tasks))))
+    asked = cut(asked.withColumn("query", F.xxhash64("id", "v")))
+    enough = _enough(entries, _sample(asked.select("id", "v"), asked_n, CALIBRATION, seed), k, recall, books, held)
+    tasks = partitions(spark)
+    groups = grouped(counts, max(1, min(GROUP, -(-n // tasks))))
     n_groups = groups[-1][1] + groups[-1][2]
     spans = np.zeros((2, shape[0] * shape[1]), np.int64)  # of each cell its first group and their number
     for cell, first, span in groups:
@@ -256,63 +258,73 @@ def search(
                 into, starts = np.unique(group, return_index=True)
                 out = one.take(pa.array(np.zeros(len(into), np.int64)))
                 lists = pa.ListArray.from_arrays(pa.array([*starts.tolist(), len(cells)], pa.int32()), pa.array(cells))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(into.astype(np.int32)), lists], ["id", "v", "grp", "cells"])
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(into.astype(np.int32)), lists], ["id", "v", "query", "grp", "cells"])
 
-    sent = asked.repartition(tasks, "id", "v").mapInArrow(probes, "id long, v array<double>, grp int, cells array<int>")
-    query = F.xxhash64("id", "v")
-    sent = sent.select("grp", F.pmod(query, F.lit(packs)).cast("int").alias("pack"), F.lit(0).alias("side"), "id", "v", "cells", query.alias("query"))
+    # rows that are equal are searched for once
+    once = asked.groupBy("id", "v").agg(F.first("query").alias("query")).repartition(tasks, "query")
+    sent = once.mapInArrow(probes, "id long, v array<double>, query long, grp int, cells array<int>")
+    sent = sent.select("grp", F.lit(1).alias("side"), "id", "v", "cells", "query")
     where = spark.createDataFrame(groups, "cell int, first int, span int")  # bounded by the codebooks
     # rows of a checkpoint, whose numbers stay the same if a task runs again
     placed = entries.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(where), "cell")
     salt = F.pmod(F.xxhash64("row"), F.col("span")).cast("int")
-    placed = placed.select((F.col("first") + salt).alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack"), F.lit(1).alias("side"), "id", "v", F.array("cell").alias("cells"), F.lit(0).cast("long").alias("query"))
-    met = sent.unionAll(placed).withColumn("task", F.expr(f"grp * {packs} + pack"))
-    met = met.repartitionById(n_groups * packs, F.col("task")).sortWithinPartitions("task", "side", "cells")
+    placed = placed.select((F.col("first") + salt).alias("grp"), F.lit(0).alias("side"), "id", "v", F.array("cell").alias("cells"), F.lit(0).cast("long").alias("query"))
+    met = met_in_groups(placed, sent, n_groups)
+    most = k + 1  # the query's own row among them
 
     def rerank(batches):
-        task, near, asked = None, None, []
-
-        def rows_of(near):
-            columns = [near.ids[near.row], names[near.row], near.name, near.near]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "query", "vec_id", "score"])
+        """Of each group's queries the nearest entries there; its entries come first and are held."""
+        group, parts, entries = None, [], None
+
+        def found(part):
+            ids, x, cell, blocks = entries
+            near, wanted = Nearest(matrix(part.column(3)), most), by_cell(part.column(4))
+            for at, of in blocks:
+                here = [c for c in of if c in wanted]
+                if here:
+                    some = slice(at, at + ENTRIES)
+                    mask = np.zeros((part.num_rows, len(ids[some])), bool)
+                    for c in here:
+                        mask[np.ix_(wanted[c], np.flatnonzero(cell[some] == c))] = True
+                    near.add(ids[some], x[some], np.zeros(len(ids[some]), np.int64), mask)
+            asked, names = part.column(2).to_numpy(), part.column(5).to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (asked[near.row], names[near.row], near.name, near.near)], ["query_id", "query", "vec_id", "score"])
 
         for batch in batches:
-            of_task, side = batch.column(7).to_numpy(), batch.column(2).to_numpy()
-            edges = np.flatnonzero(np.diff(of_task * 2 + side)) + 1
+            of_group, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.diff(of_group * 2 + side)) + 1
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
                 part = batch.slice(a, b - a)
-                if of_task[a] != task:
-                    if near is not None:
-                        yield rows_of(near)
-                    task, near, asked = of_task[a], None, []
+                if of_group[a] != group:
+                    group, parts, entries = of_group[a], [], None
                 if not side[a]:
-                    asked.append(part)
+                    parts.append((part.column(2).to_numpy(), matrix(part.column(3)), part.column(4).flatten().to_numpy()))
                     continue
-                if near is None and asked:
-                    held_rows = pa.Table.from_batches(asked).combine_chunks()
-                    near = Nearest(held_rows.column("id").to_numpy(), matrix(held_rows.column("v")), k)
-                    names, wanted = held_rows.column("query").to_numpy(), by_cell(held_rows.column("cells"))
-                    asked = []
-                if near is None:
-                    continue  # no walk enters this group
-                for at in range(0, part.num_rows, ENTRIES):
-                    some = part.slice(at, ENTRIES)
-                    cell = some.column(5).flatten().to_numpy()
-                    mask = np.zeros((len(near.q), len(cell)), bool)
-                    for c in np.unique(cell).tolist():
-                        if c in wanted:
-                            mask[np.ix_(wanted[c], np.flatnonzero(cell == c))] = True
-                    if mask.any():
-                        near.add(some.column(3).to_numpy(), matrix(some.column(4)), np.zeros(len(cell), np.int64), mask)
-        if near is not None:
-            yield rows_of(near)
+                if entries is None:
+                    if not parts:
+                        continue  # a cell's share of no entries
+                    ids, x, cell = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    entries, parts = (ids, x, cell, [(at, np.unique(cell[at : at + ENTRIES]).tolist()) for at in range(0, len(ids), ENTRIES)]), []
+                for at in range(0, part.num_rows, QUERIES):
+                    yield found(part.slice(at, QUERIES))
 
     found = met.mapInArrow(rerank, "query_id long, query long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("score", "vec_id"))  # k rows of each group
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    by = Window.partitionBy("query_id", "query")  # k + 1 rows of each group
+    found = found.withColumn("rank", F.row_number().over(by.orderBy("score", "vec_id"))).where(F.col("rank") <= most)
+    own = F.min(F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0), F.col("rank"))).over(by)
+    found = found.withColumn("own", F.coalesce(own, F.lit(most))).where("rank <> own")
+    found = found.select("query_id", "query", F.when(F.col("rank") > F.col("own"), F.col("rank") - 1).otherwise(F.col("rank")).cast("int").alias("rank"), "vec_id", "score")
+    # a row for each row that asks
+    rows = asked.select(F.col("id").alias("query_id"), "query")
+    return rows.join(found, ["query_id", "query"]).select("query_id", "rank", "vec_id", "score")
+
+
+def met_in_groups(entries: DataFrame, queries: DataFrame, n_groups: int) -> DataFrame:
+    """Rows of both by group, entries (by cell) before queries; each entry comes once."""
+    return entries.unionAll(queries).repartitionById(n_groups, F.col("grp")).sortWithinPartitions("grp", "side", "cells")
 
 
-def by_cell(cells: pa.ChunkedArray) -> dict[int, np.ndarray]:
+def by_cell(cells: pa.Array) -> dict[int, np.ndarray]:
     """The queries (rows) that want each cell."""
     row = np.repeat(np.arange(len(cells)), pc.list_value_length(cells).to_numpy())
     flat = pc.list_flatten(cells).to_numpy().astype(np.int64)
@@ -328,7 +340,7 @@ def _enough(entries: DataFrame, queries: list, k: int, recall: float, books: tup
         return 0
     need = []
     d1, d2 = halves(np.array([r.v for r in queries], np.float64), books)
-    for i, found in _brute(entries, queries, k).items():
+    for i, found in _brute(entries, queries, k + 1).items():
         passed, total = {}, 0
         for a, b in walk(d1[i], d2[i], held, math.inf):
             passed[a * held.shape[1] + b] = total + 1  # the walk stops once it holds as many as before and one
