@@ -253,7 +253,7 @@ def k6_listings_inserted(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"with {_L} select id, assigned_worker_id, title, row_number() over (partition by assigned_worker_id order by created_at, id)::int place from l where status = 'active'")
-def o8_listings_of_workers(spark: SparkSession, d: str) -> DataFrame:
+def o8_listings_of_staff(spark: SparkSession, d: str) -> DataFrame:
     """Each staff member's active listings; places are read off the order in which they come."""
     from pyspark.sql import Window
 

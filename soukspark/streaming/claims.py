@@ -1,0 +1,272 @@
+"""The work queue as a stream with state: commands go in, and what they did to rows comes out.
+
+The state is held for each catalogue (``source``), since a rejection reaches the rows of one product on all accounts at
+once. Commands wait in the state until the watermark has passed them and are then applied in the order of their time, so
+what comes out does not depend on the order in which they came in. Leases are event-time timers: when one ends, its row
+can be claimed again, while its holder may still finish it until somebody does.
+
+Commands (``COMMAND``): ``add`` (id, account, url, times_listed), ``claim`` (worker, account, n), ``complete`` and ``reject``
+(worker, id), ``release`` (worker), ``tick`` (only moves time on). Times count in milliseconds.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from soukspark.config import LEASE_HOURS
+
+COMMAND = "source string, ts timestamp, seq long, action string, worker string, account string, id long, url string, times_listed int, n int"
+OUT = "source string, ms long, action string, worker string, account string, id long, url string, ok boolean, state string, attempts int"
+_WAITING = "ms long, seq long, action string, worker string, account string, id long, url string, times_listed int, n int"
+_ROW = "account string, url string, times_listed int, state string, holder string, since long, attempts int"
+_Out = Row(*[c.split()[0] for c in OUT.split(", ")])
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def place(account: str, times_listed: int, number: int) -> str:
+    """Sorts rows of an account as they are to be claimed: most listed first, then by id."""
+    return f"{account}\0{10**10 - times_listed:011d}{number + (1 << 63):020d}"
+
+
+class Touched:
+    """What a batch reads and changes of a state map; ``flush`` writes the changes, each once."""
+
+    def __init__(self, of):
+        self.of, self.seen, self.changed = of, {}, set()
+
+    def get(self, key):
+        if key not in self.seen:
+            got = self.of.getValue((key,))
+            self.seen[key] = None if got is None else tuple(got)
+        return self.seen[key]
+
+    def put(self, key, value: tuple | None) -> None:
+        """None removes the key."""
+        self.seen[key] = value
+        self.changed.add(key)
+
+    def ids(self, key) -> list[int]:
+        got = self.get(key)
+        return [] if got is None else list(got[0])
+
+    def put_ids(self, key, ids: list[int]) -> None:
+        self.put(key, (ids,) if ids else None)
+
+    def flush(self) -> None:
+        for key in self.changed:
+            if self.seen[key] is not None:
+                self.of.updateValue((key,), self.seen[key])
+            elif self.of.containsKey((key,)):
+                self.of.removeKey((key,))
+
+
+class Queue(StatefulProcessor):
+    """One catalogue's rows. Maps: rows by id; places of rows that can be claimed; ids by URL, by holder and by the time
+    at which their leases end."""
+
+    def __init__(self, hours: int = LEASE_HOURS):
+        self.lease = hours * 3_600_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.maps = {
+            "rows": handle.getMapState("rows", "id long", _ROW),
+            "free": handle.getMapState("free", "place string", "id long"),
+            "urls": handle.getMapState("urls", "url string", "ids array<long>"),
+            "held": handle.getMapState("held", "worker string", "ids array<long>"),
+            "ends": handle.getMapState("ends", "ms long", "ids array<long>"),
+        }
+        self.waiting = handle.getListState("waiting", _WAITING)
+        self.until = handle.getValueState("until", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        got = [tuple(r[c] for c in ("ms", "seq", "action", "worker", "account", "id", "url", "times_listed", "n")) for r in rows]
+        self.waiting.appendList(got)
+        for ms in {r[0] for r in got}:
+            self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """The first of a batch's timers does what is due up to the watermark; the others find it done."""
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.until.exists() and self.until.get()[0] >= now:
+            return
+        self.until.update((now,))
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((tuple(c) for c in held if c[0] <= now), key=lambda c: c[:2])
+        if due:
+            rest = [tuple(c) for c in held if c[0] > now]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        ends = [k[0] for k in self.maps["ends"].keys() if k[0] <= now]  # noqa: SIM118  the state's map is no dict
+        heapq.heapify(ends)
+        self.heads = self._heads(due)
+        touched = {n: Touched(m) for n, m in self.maps.items()}
+        self.rows, self.free, self.urls, self.held, self.ends = touched.values()
+        out = []
+        for c in due:
+            self._expire(ends, c[0], out)
+            self._apply(c, ends, out)
+        self._expire(ends, now, out)
+        for t in touched.values():
+            t.flush()
+        for o in out:
+            yield _Out(key[0], *o)
+
+    def _heads(self, due: list) -> dict[str, list[str]]:
+        """The first places of accounts that claim, as many as they ask for: what one pass over the free places needs to
+        keep, however many there are."""
+        want: dict[str, int] = {}
+        for c in due:
+            if c[2] == "claim" and c[4] is not None:
+                want[c[4]] = want.get(c[4], 0) + max(0, c[8] or 0)
+        if not want:
+            return {}
+        # each of these may take a place away: a row's own, or one on every account
+        more = sum(c[2] in ("complete", "reject") for c in due)
+        want = {a: n + more for a, n in want.items()}
+        heads: dict[str, list[str]] = {a: [] for a in want}
+        for (p,) in self.maps["free"].keys():  # noqa: SIM118
+            account = p.partition("\0")[0]
+            if account in want:
+                heads[account].append(p)
+                if len(heads[account]) > 2 * want[account] + 64:
+                    heads[account] = heapq.nsmallest(want[account], heads[account])
+        for h in heads.values():
+            heapq.heapify(h)
+        return heads
+
+    def _open(self, number: int, row: tuple) -> None:
+        if row[0] is not None:
+            p = place(row[0], row[2], number)
+            self.free.put(p, (number,))
+            if row[0] in self.heads:
+                heapq.heappush(self.heads[row[0]], p)
+
+    def _put(self, number: int, row: tuple, **new) -> tuple:
+        names = [c.split()[0] for c in _ROW.split(", ")]
+        row = tuple(new.get(n, v) for n, v in zip(names, row, strict=True))
+        self.rows.put(number, row)
+        return row
+
+    def _let_go(self, number: int, holder: str) -> None:
+        self.held.put_ids(holder, [x for x in self.held.ids(holder) if x != number])
+
+    def _expire(self, ends: list, now: int, out: list) -> None:
+        while ends and ends[0] <= now:
+            ms = heapq.heappop(ends)
+            for number in self.ends.ids(ms):
+                row = self.rows.get(number)
+                # unless the lease ended before, or the row was claimed again
+                if row[3] == "claimed" and row[5] + self.lease + 1 == ms:
+                    self._open(number, row)
+                    out.append((ms, "expire", row[4], row[0], number, row[1], True, row[3], row[6]))
+            self.ends.put_ids(ms, [])
+
+    def _apply(self, c: tuple, ends: list, out: list) -> None:
+        ms, _, action, worker, account, number, url, times, n = c
+        if action == "claim":
+            out.extend(self._claim(ms, worker, account, n or 0, ends))
+        elif action == "release":
+            for x in self.held.ids(worker):
+                row = self._put(x, self.rows.get(x), state="pending", holder=None, since=None)
+                self._open(x, row)
+                out.append((ms, action, worker, row[0], x, row[1], True, row[3], row[6]))
+            self.held.put_ids(worker, [])
+        elif action == "add":
+            same = self.urls.ids(url) if url is not None else []
+            if self.rows.get(number) is not None or any(self.rows.get(x)[0] == account for x in same):
+                out.append((ms, action, worker, account, number, url, False, None, None))
+                return
+            row = (account, url, times or 0, "pending", None, None, 0)
+            self.rows.put(number, row)
+            if url is not None:
+                self.urls.put_ids(url, [*same, number])
+            self._open(number, row)
+            out.append((ms, action, worker, account, number, url, True, "pending", 0))
+        elif action in ("complete", "reject"):
+            row = self.rows.get(number)
+            if row is None or row[3] != "claimed" or row[4] != worker:
+                out.append((ms, action, worker, row and row[0], number, row and row[1], False, row and row[3], row and row[6]))
+                return
+            self._close(number, row)
+            self._let_go(number, worker)
+            row = self._put(number, row, state="done" if action == "complete" else "rejected")
+            out.append((ms, action, worker, row[0], number, row[1], True, row[3], row[6]))
+            for x in self.urls.ids(row[1]) if action == "reject" and row[1] is not None else ():
+                other = self.rows.get(x)
+                if other[3] == "pending":
+                    self._close(x, other)
+                    other = self._put(x, other, state="rejected")
+                    out.append((ms, "sibling", worker, other[0], x, other[1], True, other[3], other[6]))
+
+    def _close(self, number: int, row: tuple) -> None:
+        """The row can't be claimed any more; its place in the heads is passed over there."""
+        if row[0] is not None:
+            self.free.put(place(row[0], row[2], number), None)
+
+    def _claim(self, ms: int, worker: str, account: str | None, n: int, ends: list) -> list[tuple]:
+        head, out = self.heads.get(account, []), []
+        while head and len(out) < n:
+            p = heapq.heappop(head)
+            while head and head[0] == p:
+                heapq.heappop(head)
+            if (at := self.free.get(p)) is None:
+                continue
+            number, row = at[0], self.rows.get(at[0])
+            self.free.put(p, None)
+            if row[4] is not None:
+                self._let_go(number, row[4])
+            row = self._put(number, row, state="claimed", holder=worker, since=ms, attempts=row[6] + 1)
+            self.held.put_ids(worker, [*self.held.ids(worker), number])
+            out.append((ms, "claim", worker, account, number, row[1], True, row[3], row[6]))
+        if out:
+            end = ms + self.lease + 1
+            if not (had := self.ends.ids(end)):
+                heapq.heappush(ends, end)
+                self.handle.registerTimer(end)
+            self.ends.put_ids(end, [*had, *[o[4] for o in out]])
+        else:
+            out.append((ms, "claim", worker, account, None, None, False, None, None))
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def addressed(commands: DataFrame, staff: DataFrame) -> DataFrame:
+    """Claims with the account of their worker (``staff``: ``id, own_account``), whatever they came with; a worker without
+    one claims nothing."""
+    own = staff.select(F.col("id").alias("worker"), "own_account")
+    out = commands.join(own, "worker", "left")
+    account = F.when(F.col("action") == "claim", F.col("own_account")).otherwise(F.col("account"))
+    return out.withColumn("account", account).select(*[c.split()[0] for c in COMMAND.split(", ")])
+
+
+def outcomes(commands: DataFrame, late: str = "10 minutes", hours: int = LEASE_HOURS) -> DataFrame:
+    """``OUT`` for a stream of ``COMMAND``: a row for each row that a claim or release took, one for each other command, and
+    one (``expire``, ``sibling``) for each row that a lease's end or a rejection elsewhere changed. Commands later than the
+    watermark by more than ``late`` are lost, as Spark drops them."""
+    rows = commands.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    return rows.groupBy("source").transformWithState(Queue(hours), OUT, "append", "eventTime")
+
+
+def snapshot(log: DataFrame) -> DataFrame:
+    """``id, state, attempts, worker``: each row's last outcome in a log of outcomes."""
+    last = F.max_by(F.struct("state", "attempts", F.when((F.col("state") != "pending") & (F.col("action") != "sibling"), F.col("worker")).alias("worker")), F.struct("ms", F.when(F.col("action") == "expire", 0).otherwise(1), "attempts", F.col("action") != "claim"))
+    return log.where("ok and id is not null").groupBy("id").agg(last.alias("r")).select("id", "r.*")
+
+
+def run(commands: DataFrame, path: str, checkpoint: str, **how):
+    """Starts the stream that appends outcomes to a folder, up to what is there now. The session must keep state in
+    RocksDB (``use_store``)."""
+    return outcomes(commands, **how).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def use_store(spark: SparkSession) -> None:
+    """State stores that maps and timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
