@@ -13,7 +13,7 @@ from soukspark import catalogue_queries, function_queries  # noqa: F401  the lat
 from soukspark.config import Flags
 from soukspark.operators import fuzzy, hooks, listings, load, queue, sourcing
 from soukspark.plans import adapters, ratio_band
-from soukspark.sources import paged, readers, sinks
+from soukspark.sources import readers, sinks
 from soukspark.streaming import inbox, leases
 
 SMALL = "/root/testdata/sf0.001"
@@ -268,12 +268,6 @@ def test_readers(spark, tmp_path):
     assert readers.data_uris(spark, f"{tmp_path}/p.png").first().uri == "data:image/png;base64,AQI="
 
 
-def test_paged_source(spark):
-    spark.dataSource.register(paged.PagedListing)
-    rows = spark.read.format("paged_listing").options(pages=4, size=3, fetch="tests.pages:fetch").load()
-    assert sorted((r.page, r.itemid) for r in rows.collect()) == [(0, 0), (0, 1), (0, 2), (1, 3), (1, 4), (1, 5)]
-
-
 def test_writers(spark, tmp_path):
     judged = sourcing.cascade(spark.createDataFrame([c[0] for c in CASES], ITEM))
     sinks.queue_csv(sourcing.kept(judged), f"{tmp_path}/q")
