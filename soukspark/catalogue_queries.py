@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soukspark import config
+from soukspark import config, scratch
 from soukspark.config import Flags
 from soukspark.functions import arrays, jsons, num, text
 from soukspark.functions import html as page
-from soukspark.operators import fuzzy, hooks, listings, load, queue, reports, sourcing
+from soukspark.operators import facts, fuzzy, hooks, listings, load, queue, reports, sourcing
 from soukspark.plans import adapters
 from soukspark.plans.adapters import NOW, plain, view
+from soukspark.sources import keyed
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -69,18 +70,29 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_judged(Flags())} select ord, pid product_id, price, sold, reviews, rating, {_SELL.format('price')} sell from judged where reason is null")
 def p1_sourcing_kept(spark: SparkSession, d: str) -> DataFrame:
-    out = sourcing.cascade(_items(spark, d)).where("reason is null").orderBy(F.desc("sold"), F.desc("reviews_n"), "ord")
-    return out.select("ord", "product_id", "price", "sold", "reviews", "rating", "sell")
+    out = sourcing.judged(_items(spark, d)).where("reason is null").orderBy(F.desc("sold"), F.desc("reviews_n"), "ord")
+    return out.select("ord", "product_id", F.col("price_n").alias("price"), "sold", F.col("reviews_n").cast("long").alias("reviews"), F.col("rating_n").alias("rating"), num.sell_price("price_n").alias("sell"))
+
+
+@query(f"with {_judged(PRICED)} select ord, pid product_id, reason from judged")
+def p1_sourcing_kept_up_to_date(spark: SparkSession, d: str) -> DataFrame:
+    """Every item's verdict after two exports, the second judged against what was known after the first."""
+    items, known = _items(spark, d), facts.Facts(PRICED)
+    # numbers are those of orders: half of them come first
+    half = items.approxQuantile("ord", [0.5], 0.01)[0]
+    known.add(items.where(F.col("ord") <= half))
+    known.add(items.where(F.col("ord") > half))
+    return known.verdicts.select("ord", "product_id", "reason")
 
 
 @query(f"with {_judged(PRICED)} select ord, pid product_id, reason from judged where reason is not null")
 def o2_sourcing_rejects(spark: SparkSession, d: str) -> DataFrame:
-    return sourcing.rejects(sourcing.cascade(_items(spark, d), PRICED)).select("ord", "product_id", "reason")
+    return sourcing.rejects(sourcing.judged(_items(spark, d), PRICED)).select("ord", "product_id", "reason")
 
 
 @query(f"with {_judged(PRICED)} select reason, count(*) n, min(ord) first_ord from judged where reason is not null group by 1")
 def a3_reason_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return reports.reasons(sourcing.cascade(_items(spark, d), PRICED))
+    return reports.reasons(sourcing.judged(_items(spark, d), PRICED))
 
 
 _BANDS = ", ".join(f"({k}, {a}::double, {b}::double, {min(b, a * 2 + 50)}::double)" for k, (a, b) in enumerate(config.COST_BANDS))
@@ -89,13 +101,13 @@ _BANDS = ", ".join(f"({k}, {a}::double, {b}::double, {min(b, a * 2 + 50)}::doubl
 @query(f"""with {_judged(PRICED)}, bands(band, lo, hi, top) as (values {_BANDS}) select band::int band, count(*) n, lo low, {_SELL.format('lo')} sell_low, {_SELL.format('top')} sell_high,
   lo >= {PRICED.min_price} and hi <= {PRICED.max_price} + 1 in_queue from judged join bands on price >= lo and price < hi where good group by band, lo, hi, top""")
 def a4_price_spread(spark: SparkSession, d: str) -> DataFrame:
-    return reports.cost_bands(sourcing.cascade(_items(spark, d), PRICED), PRICED)
+    return reports.cost_bands(sourcing.judged(_items(spark, d), PRICED), PRICED)
 
 
 @query(f"""with {_judged(PRICED)} select count(*) filter (price < 20 or price > 300) excluded, count(*) total,
   cast(floor(coalesce(count(*) filter (price < 20 or price > 300) * 100.0 / nullif(count(*), 0), 0) + 0.5) as bigint) percent from judged where good""")
 def a7_price_band_excluded(spark: SparkSession, d: str) -> DataFrame:
-    return reports.excluded_by_band(sourcing.cascade(_items(spark, d), PRICED), 20, 300)
+    return reports.excluded_by_band(sourcing.judged(_items(spark, d), PRICED), 20, 300)
 
 
 _COPIES = f"""i0 as ({plain(adapters.ITEMS)}), copies as (select pid, sold, reviews, rating, price from (select split_part({_ID}, '?', 1) pid, {_SOLD} sold, reviews, rating, price,
@@ -261,6 +273,26 @@ def t2_queue_claim(spark: SparkSession, d: str) -> DataFrame:
     return _shown(queue.claim(_q(spark, d), view(spark, d, adapters.STAFF), WORKER, 20, NOW), "taken")
 
 
+def _table_in_place(spark: SparkSession, d: str) -> keyed.KeyedTable:
+    table = keyed.KeyedTable(spark, scratch.folder(spark, "queue"), buckets=8)
+    table.create(_q(spark, d))
+    return table
+
+
+@query(_SQL["t2_queue_claim"])
+def t2_queue_claim_in_place(spark: SparkSession, d: str) -> DataFrame:
+    table = _table_in_place(spark, d)
+    taken = keyed.claim(table, view(spark, d, adapters.STAFF), WORKER, 20, NOW).select("id", F.lit(True).alias("_t"))
+    return _shown(table.rows().join(taken, "id", "left").withColumn("taken", F.coalesce("_t", F.lit(False))), "taken")
+
+
+@query(_SQL["k4_reprice_applied"])
+def k4_reprice_in_place(spark: SparkSession, d: str) -> DataFrame:
+    table = _table_in_place(spark, d)
+    keyed.reprice(table, view(spark, d, adapters.RANKED))
+    return table.rows().select("id", "price")
+
+
 @query(f"with {_Q} select id, account, r::int \"rank\" from (select *, row_number() over (partition by account order by times_listed desc, id) r from q where {_FREE}) where r <= 10")
 def w4_queue_claim_each_account(spark: SparkSession, d: str) -> DataFrame:
     return queue.claim_all(_q(spark, d), 10, NOW).select("id", "account", "rank")
@@ -507,6 +539,7 @@ def fn1_fn9_numbers(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""with {_judged(Flags())} select ord, abroad, claims, local_shop, proven, bs::int bar_sold, br::int bar_reviews, bg::double bar_rating, need::bigint needed from d""")
 def p2_p6_bars_and_places(spark: SparkSession, d: str) -> DataFrame:
     rows = sourcing.prepared(_items(spark, d), Flags()).withColumn("bar", sourcing.bar(Flags()))
+    rows = rows.join(sourcing.shop_facts(rows, Flags()), F.col("shop_id") == F.col("_shop"))
     return rows.select("ord", "abroad", "claims", "local_shop", F.col("proven_shop").alias("proven"), F.col("bar.sold").alias("bar_sold"), F.col("bar.reviews").alias("bar_reviews"), F.col("bar.rating").alias("bar_rating"), sourcing.reviews_needed(F.col("rating_n"), F.col("bar.reviews")).cast("long").alias("needed"))
 
 

@@ -53,7 +53,7 @@ _FAR = _judged(Flags()).replace(f"'{config.OVERSEAS[0]}'", f"'{config.OVERSEAS[1
 @query(f"with {_FAR} select ord, reason from judged where reason is not null")
 def p4_near_abroad(spark: SparkSession, d: str) -> DataFrame:
     """The cascade where the neighbouring country counts as abroad."""
-    return sourcing.cascade(view(spark, d, adapters.ITEMS), Flags(near_abroad=True)).where("reason is not null").select("ord", "reason")
+    return sourcing.judged(view(spark, d, adapters.ITEMS), Flags(near_abroad=True)).where("reason is not null").select("ord", "reason")
 
 
 @query(f"with i as ({plain(adapters.ITEMS)}) select item_id, min(ord) ord from i group by 1")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from soukspark.config import COST_BANDS, SHOP_BANDS, Flags
 from soukspark.functions import num
+from soukspark.operators import medians
+from soukspark.scratch import cut
 
 
 def reasons(judged: DataFrame) -> DataFrame:
@@ -89,16 +91,18 @@ def band_tally(shop: DataFrame) -> DataFrame:
 
 def shop_summary(shop: DataFrame) -> DataFrame:
     """Medians, cheap shares and markups of a shop's items and of its winners."""
-    rows = shop.withColumns({"win": winners(), "mult": num.markup("price")})
-    med = lambda x: F.coalesce(num.upper_median(x), F.lit(0.0))
-    win_price, win_mult = "case when win then price end", "case when win then mult end"
+    rows = cut(shop.select("price", winners().alias("win"), num.markup("price").alias("mult")))
     cheap = lambda c: F.count_if(c & (F.col("price") < 15))
     share = lambda a, b: num.half_up(F.try_divide(F.col(a) * 100.0, F.greatest(F.col(b), F.lit(1))))
-    out = rows.agg(
-        F.count("*").alias("n"), F.count_if("win").alias("n_win"), med("price").alias("median_all"), med(win_price).alias("median_win"),
-        cheap(F.lit(True)).alias("_ca"), cheap(F.col("win")).alias("_cw"), med(win_mult).alias("median_markup"),
+    counts = rows.agg(
+        F.count("*").alias("n"), F.count_if("win").alias("n_win"), cheap(F.lit(True)).alias("_ca"), cheap(F.col("win")).alias("_cw"),
         F.count_if(F.col("win") & (F.col("mult") > 3)).alias("over_3x"), F.count_if(F.col("win") & F.col("price").between(15, 300)).alias("sweet"),
     )
+    own = F.struct(F.lit("median_win").alias("of"), F.col("price").alias("v")), F.struct(F.lit("median_markup").alias("of"), F.col("mult").alias("v"))
+    every = F.array(F.struct(F.lit("median_all").alias("of"), F.col("price").alias("v")))
+    values = rows.select(F.explode(F.when(F.col("win"), F.concat(every, F.array(*own))).otherwise(every)).alias("x")).select("x.*")
+    got = {r.of: r.median for r in medians.upper(values, ["of"], "v").collect()}  # three rows
+    out = counts.withColumns({c: F.lit(float(got.get(c, 0.0))) for c in ("median_all", "median_win", "median_markup")})
     return out.select("*", share("_ca", "n").alias("cheap_pct"), share("_cw", "n_win").alias("cheap_pct_win")).drop("_ca", "_cw")
 
 
@@ -109,7 +113,8 @@ def top_sold(shop: DataFrame, n: int = 20, sweet: bool = False) -> DataFrame:
 
 def competitor_stats(rows: DataFrame, cost: float | None = None) -> DataFrame:
     """Count, least, upper median and a price just under the least, never under the margin's floor."""
-    out = rows.agg(F.count("*").alias("n"), F.min("price").alias("least"), num.upper_median("price").alias("median"))
+    median = medians.upper(rows, [], "price").first()
+    out = rows.agg(F.count("*").alias("n"), F.min("price").alias("least")).withColumn("median", F.lit(median and median[0]).cast("double"))
     under = F.greatest(F.col("least") - 1, F.lit(0.0))
     return out.withColumn("undercut", F.greatest(under, num.margin_floor(F.lit(cost)).cast("double")) if cost and cost > 0 else under)
 
@@ -132,4 +137,6 @@ def attribution(sales: DataFrame, listings: DataFrame) -> DataFrame:
 
 def template_medians(listings: DataFrame, template: str = "template") -> DataFrame:
     """Group size and upper median price of listings that share a title template."""
-    return listings.groupBy(template).agg(F.count("*").alias("times_listed"), num.upper_median("price").alias("price"))
+    sizes = listings.groupBy(template).agg(F.count("*").alias("times_listed"))
+    median = medians.upper(listings, [template], "price").withColumnsRenamed({template: "_t", "median": "price"})
+    return sizes.join(median, F.col(template).eqNullSafe(F.col("_t")), "left").drop("_t")

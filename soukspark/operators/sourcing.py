@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from soukspark.config import LOW_RATING_FACTOR, NEAR, OVERSEAS, PRICE_BARS, RATING_NEEDS, SG_TITLE, SG_TITLE_PARTS, Flags
 from soukspark.functions import num, text
+from soukspark.scratch import cut
 
 REASONS = ("mock", "blocked", "not-local", "no-url", "duplicate", "zero-reviews", "sold", "reviews", "rating", "price-min", "price-max")
 
@@ -61,51 +62,81 @@ def reviews_needed(rating: Column, reviews: Column) -> Column:
 
 
 def prepared(items: DataFrame, flags: Flags) -> DataFrame:
-    """Items with numbers, product ids and what is known of their shops."""
-    out = items.withColumns({
+    """Items with numbers, product ids and what they say of their place."""
+    return items.withColumns({
         "url_clean": F.coalesce(text.before("url", "?"), F.lit("")),
         "sold": num.sold_to_number("sold_text"), "reviews_n": num.number_or_zero("reviews"),
         "rating_n": num.number_or_zero("rating"), "price_n": num.number_or_zero("price"),
-        "abroad": abroad(flags), "claims": claims_local(flags),
-    }).withColumn("product_id", text.product_id("url_clean"))
+        "abroad": abroad(flags), "claims": claims_local(flags), "mock": F.coalesce("is_mock", F.lit(False)), "listed": F.coalesce("blocked", F.lit(False)),
+    }).withColumns({"product_id": text.product_id("url_clean"), "linked": F.col("url_clean") != ""})
+
+
+#: What verdicts are made of; texts take no part.
+NARROW = ["ord", "shop_id", "product_id", "sold", "reviews_n", "rating_n", "price_n", "abroad", "claims", "mock", "listed", "linked"]
+
+
+def narrow(items: DataFrame, flags: Flags) -> DataFrame:
+    return prepared(items, flags).select(*NARROW)
+
+
+def shop_facts(rows: DataFrame, flags: Flags, shop: str = "shop_id") -> DataFrame:
+    """``_shop, local_shop, proven_shop``: whether a shop has a row that claims to be local, or one that clears the flat bar."""
     clears = (F.col("sold") >= flags.min_sold) & (F.col("reviews_n") >= flags.min_reviews) & (F.col("rating_n") >= flags.min_rating)
-    real = ~F.coalesce("is_mock", F.lit(False))
-    facts = out.groupBy(F.col("shop_id").alias("_shop")).agg(F.bool_or(real & ~F.col("abroad") & F.col("claims")).alias("local_shop"), F.bool_or(real & clears).alias("proven_shop"))
-    # an unknown shop is one shop
-    return out.join(facts, F.col("shop_id").eqNullSafe(F.col("_shop")), "left").drop("_shop")
+    real = ~F.col("mock")
+    return rows.groupBy(F.col(shop).alias("_shop")).agg(F.bool_or(real & ~F.col("abroad") & F.col("claims")).alias("local_shop"), F.bool_or(real & clears).alias("proven_shop"))
 
 
-def cascade(items: DataFrame, flags: Flags = Flags()) -> DataFrame:
-    """Items with ``reason`` (null: kept), ``good`` (passed quality, whatever its price) and ``sell``.
+def _early(flags: Flags) -> Column:
+    local = ~F.col("abroad") & (F.col("claims") | F.col("local_shop")) if flags.local_only else F.lit(True)
+    return F.when(F.col("mock"), "mock").when(F.col("listed"), "blocked").when(~local, "not-local").when(~F.col("linked"), "no-url")
 
-    A copy of a product is a duplicate only after an earlier one that passed quality: copies that failed do not
-    count, those that only their price excluded do. Null flags count as false, null and unreadable numbers as 0.
-    """
-    rows = prepared(items, flags).withColumn("bar", bar(flags))
+
+def _quality(flags: Flags) -> Column:
     vouched = F.lit(flags.trust_shops) & F.col("proven_shop") & (F.col("reviews_n") >= flags.trust_reviews)
-    local = ~F.col("abroad") & (F.col("claims") | F.col("local_shop")) if flags.local_only else F.lit(True)
-    early = F.coalesce(
-        F.when(F.coalesce("is_mock", F.lit(False)), "mock"), F.when(F.coalesce("blocked", F.lit(False)), "blocked"),
-        F.when(~local, "not-local"), F.when(F.col("url_clean") == "", "no-url"),
-    )
-    quality = F.coalesce(
+    need = bar(flags)
+    return F.coalesce(
         F.when(F.col("reviews_n") < 1, "zero-reviews"),
         F.when(~vouched, F.coalesce(
-            F.when(F.col("sold") < F.col("bar.sold"), "sold"),
-            F.when(F.col("reviews_n") < reviews_needed(F.col("rating_n"), F.col("bar.reviews")), "reviews"),
-            F.when(F.col("rating_n") < F.col("bar.rating"), "rating"),
+            F.when(F.col("sold") < need["sold"], "sold"),
+            F.when(F.col("reviews_n") < reviews_needed(F.col("rating_n"), need["reviews"]), "reviews"),
+            F.when(F.col("rating_n") < need["rating"], "rating"),
         )),
     )
+
+
+def passing(rows: DataFrame, flags: Flags) -> DataFrame:
+    """Rows (narrow, with their shop's facts) that pass all but price and duplicates."""
+    return rows.where(_early(flags).isNull() & _quality(flags).isNull())
+
+
+def verdict(rows: DataFrame, firsts: DataFrame, flags: Flags) -> DataFrame:
+    """``rows`` (narrow, with their shop's facts) with ``reason`` and ``good``; ``firsts``: ``_id, _first``."""
+    rows = rows.join(firsts, F.col("product_id") == F.col("_id"), "left")
     price = F.coalesce(F.when(F.col("price_n") < flags.min_price, "price-min"), F.when(F.col("price_n") > flags.max_price, "price-max"))
-    rows = rows.withColumns({"_early": early, "_quality": quality, "_price": price})
-    passes = F.col("_early").isNull() & F.col("_quality").isNull()
-    first = rows.where(passes).groupBy(F.col("product_id").alias("_id")).agg(F.min("ord").alias("_first"))
-    rows = rows.join(first, F.col("product_id") == F.col("_id"), "left")
-    late = F.when(F.col("ord") > F.col("_first"), "duplicate")
-    reason = F.coalesce("_early", late, "_quality", "_price")
-    good = F.col("_early").isNull() & late.isNull() & F.col("_quality").isNull()
-    out = rows.withColumns({"reason": reason, "good": good, "sell": num.sell_price("price_n")})
-    return out.drop("_early", "_quality", "_price", "_id", "_first", "bar")
+    rows = rows.withColumns({"_early": _early(flags), "_quality": _quality(flags), "_late": F.when(F.col("ord") > F.col("_first"), "duplicate")})
+    good = F.col("_early").isNull() & F.col("_late").isNull() & F.col("_quality").isNull()
+    return rows.withColumns({"reason": F.coalesce("_early", "_late", "_quality", price), "good": good}).drop("_early", "_quality", "_late", "_id", "_first")
+
+
+def judged(items: DataFrame, flags: Flags = Flags()) -> DataFrame:
+    """The narrow rows of ``items`` with ``reason`` and ``good``. The items are read once: shops' facts, first copies and
+    verdicts are all taken from the narrow rows, which are kept in between."""
+    rows = cut(narrow(items, flags))
+    # an unknown shop is one shop
+    rows = cut(rows.join(shop_facts(rows, flags), F.col("shop_id").eqNullSafe(F.col("_shop")), "left").drop("_shop"))
+    firsts = passing(rows, flags).groupBy(F.col("product_id").alias("_id")).agg(F.min("ord").alias("_first"))
+    return verdict(rows, firsts, flags)
+
+
+def cascade(items: DataFrame, flags: Flags = Flags()) -> DataFrame:
+    """Items with ``reason`` (null: kept), ``good`` (passed quality, whatever its price) and ``sell``.
+
+    A copy of a product is a duplicate only after an earlier one that passed quality: copies that failed do not
+    count, those that only their price excluded do. Null flags count as false, null and unreadable numbers as 0.
+    ``ord`` must be distinct.
+    """
+    said = judged(items, flags).select("ord", "reason", "good")
+    return prepared(items, flags).join(said, "ord").withColumn("sell", num.sell_price("price_n")).drop("mock", "listed", "linked")
 
 
 def kept(judged: DataFrame) -> DataFrame:
