@@ -11,6 +11,7 @@ Every text decodes to itself.
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ MARK = "▁"
 _OWN_MARK = "\ud800"
 #: Characters of a word up to which words are handled together; longer ones go one by one.
 TOGETHER = 40
+#: Characters of a long part that noise is drawn for at once.
+_BLOCK = 1 << 16
 #: Bytes of text handled at once, words whose forward sums are made at once, and how many a worker remembers.
 AT_ONCE, LEARNED, REMEMBERED = 1 << 21, 10_000, 250_000
 
@@ -184,20 +187,11 @@ class Lattice:
         chance = run - np.concatenate(([0.0], run))[first][place]
         return base, size, first, count, chance, code
 
-    def arcs(self, word: str) -> tuple[list, list, list]:
-        """End, length and id of each piece in a word; id -1: the character in bytes."""
-        get, n, most = self.ids.get, len(word), self.longest
-        ends, sizes, ids = [], [], []
-        for e in range(1, n + 1):
-            found = False
-            for m in range(1, min(e, most) + 1):
-                k = get(word[e - m : e])
-                if k is not None:
-                    ends.append(e), sizes.append(m), ids.append(k)
-                    found = found or m == 1
-            if not found:
-                ends.append(e), sizes.append(1), ids.append(-1)
-        return ends, sizes, ids
+    def ending(self, word: str, e: int) -> list[tuple[int, int]]:
+        """Length and id of each piece of a word that ends at a place, shortest first; id -1: the character in bytes."""
+        get = self.ids.get
+        out = [(m, k) for m in range(1, min(e, self.longest) + 1) if (k := get(word[e - m : e])) is not None]
+        return out if out and out[0][0] == 1 else [*out, (1, -1)]
 
 
 def _noise(row: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -236,32 +230,30 @@ def sample(lattice: Lattice, word: np.ndarray, row: np.ndarray, place: np.ndarra
     return out
 
 
-def sample_long(lattice: Lattice, word: str, row: np.uint64, place: int) -> tuple[list, list]:
-    """The same for one word of any length, in memory in proportion to it: sums are rescaled on the way."""
-    ends, sizes, ids = lattice.arcs(word)
+def sample_long(lattice: Lattice, word: str, row: np.uint64, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one word of any length: ends and ids of its pieces, last first. Held for each character are its sum, with
+    a scale, and one piece; the lattice's arcs are looked up where they are needed, and noise is drawn a block at a time."""
     n = len(word)
-    by_end: list[list] = [[] for _ in range(n + 1)]
-    total, scale = np.zeros(n + 1), np.zeros(n + 1)  # of the sum up to here: total * exp(scale)
-    total[0] = 1.0
-    for e, m, k in zip(ends, sizes, ids, strict=True):
-        by_end[e].append((m, k))
+    total, scale = array("d", [1.0]), array("d", [0.0])  # of the sum up to here: total * exp(scale)
     for e in range(1, n + 1):
-        base = scale[e - 1]
-        s = 0.0
-        for m, k in by_end[e]:
+        base, s = scale[-1], 0.0
+        for m, k in lattice.ending(word, e):
             s += total[e - m] * math.exp(scale[e - m] - base) * (lattice.unknown if k < 0 else lattice.weight[k])
-        total[e], scale[e] = 1.0, base + math.log(s)
-    out_e, out_k, e = [], [], n
-    noise = _noise(np.full(n + 1, row, np.uint64), place + np.arange(n + 1))
+        total.append(1.0), scale.append(base + math.log(s))
+    out_e, out_k, e, low = array("q"), array("q"), n, n + 1
     while e > 0:
-        w = [math.exp(scale[e - m] - scale[e]) * (lattice.unknown if k < 0 else lattice.weight[k]) for m, k in by_end[e]]
-        u, k = noise[e] * math.fsum(w), 0
+        if e < low:
+            low = max(0, e - _BLOCK)
+            noise = _noise(np.full(e - low + 1, row, np.uint64), place + np.arange(low, e + 1))
+        arcs = lattice.ending(word, e)
+        w = [math.exp(scale[e - m] - scale[e]) * (lattice.unknown if k < 0 else lattice.weight[k]) for m, k in arcs]
+        u, k = noise[e - low] * math.fsum(w), 0
         while k + 1 < len(w) and u >= w[k]:
             u -= w[k]
             k += 1
-        out_e.append(e), out_k.append(by_end[e][k][1])
-        e -= by_end[e][k][0]
-    return out_e, out_k
+        out_e.append(e), out_k.append(arcs[k][1])
+        e -= arcs[k][0]
+    return np.frombuffer(out_e, np.int64), np.frombuffer(out_k, np.int64)
 
 
 def units(lattice: Lattice, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -317,7 +309,7 @@ def encode(lattice: Lattice, texts: pa.Array, seeds: np.ndarray) -> tuple[np.nda
     steps = [(short[live], end, ids, k) for k, (live, end, ids) in enumerate(sample(lattice, learned[short], row[short], place[short]))]
     for k in np.flatnonzero(learned < 0):
         ends, ids = sample_long(lattice, words[code[k]], row[k], int(place[k]))
-        steps.append((np.full(len(ids), k), np.array(ends, np.int64), np.array(ids, np.int64), np.arange(len(ids))))
+        steps.append((np.full(len(ids), k), ends, ids, np.arange(len(ids))))
     pieces = np.zeros(len(code), np.int32)
     for at, _, _, step in steps:
         if np.ndim(step):

@@ -2,12 +2,15 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from soukspark.llm import centroids, components, prefixtree, queries, substrings
+import public_tokenizers
+from soukspark.llm import centroids, components, prefixtree, queries, sentencepieces, substrings
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -220,3 +223,29 @@ def test_the_mark_of_many_edges_does_not_overflow(spark):
     edges = spark.range(20_000_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components._mark(edges)
     assert got[0] == 20_000_000 and got == components._mark(edges) and got != components._mark(edges.where("a <> 77"))
+
+
+# -- long parts in SentencePiece sampling --------------------------------------------------------------------------
+
+
+def test_a_long_run_of_one_letter_is_sampled_in_little_memory():
+    lattice = sentencepieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    text, seeds = "a" * 300_000, np.array([5], np.uint64)
+    tracemalloc.start()
+    ids, count = sentencepieces.encode(lattice, pa.array([text]), seeds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    names = {k: n for n, k in lattice.ids.items()}
+    assert "".join(names[k] for k in ids.tolist()) == sentencepieces.MARK + text and count[0] == len(ids)
+    # under 80 bytes a character, so 5 million of them stay under 400 MB
+    assert peak < 80 * len(text)
+    # blocks of noise of any length draw alike
+    short, block = text[:5000], sentencepieces._BLOCK
+    try:
+        drawn = []
+        for size in (7, block):
+            sentencepieces._BLOCK = size
+            drawn.append(sentencepieces.encode(lattice, pa.array([short]), seeds)[0].tolist())
+    finally:
+        sentencepieces._BLOCK = block
+    assert drawn[0] == drawn[1]
