@@ -3,38 +3,100 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow.fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from soukspark.functions import text
 
 
-def classify(pool: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """``product, i, role, needs_clean`` of images (``product, i, url, batch``). The model gets many batches at once, and
-    if that fails one after another: a batch whose own call fails gives no rows, and the others theirs. Answers for
-    places that were not asked are dropped."""
-    out = ["product", "i", "role", "needs_clean"]
+#: Images of a product that are asked about, at most; calls of a task that are under way at once.
+CEILING, IN_FLIGHT = 200, 8
 
-    def tried(part: pd.DataFrame) -> pd.DataFrame | None:
-        try:
-            return model(part).merge(part[["product", "i"]].drop_duplicates(), on=["product", "i"])[out]
-        except (OSError, ValueError, TimeoutError):
-            return None
+
+def classify(pool: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], answers: str | None = None) -> DataFrame:
+    """``product, i, role, needs_clean`` of images (``product, i, url, batch``), the first ``CEILING`` of a product.
+
+    A call is one batch of a product; a task has ``IN_FLIGHT`` of them under way, since a hosted model's answers are waited
+    for. A batch whose call fails gives no rows, and the others theirs. Answers for places that were not asked are dropped.
+
+    ``answers``: a folder that all executors reach, where each call's answer is kept under a digest of its URLs as soon as it
+    is there. A task that runs again, or a later run with the same batches, asks only for what is not there.
+    """
+    out = ["product", "i", "role", "needs_clean"]
 
     def of(frames: Iterator[pd.DataFrame]):
+        kept = Answers(answers) if answers else None
+
+        def asked(part: pd.DataFrame) -> list[tuple]:
+            places = part["i"].tolist()
+            name = hashlib.sha256("\n".join(part["url"].fillna("").tolist()).encode()).hexdigest()
+            got = kept.get(name) if kept else None
+            try:
+                if got is None:
+                    # places within the call, so that an answer holds for any product with these images
+                    said, at = model(part), {i: k for k, i in enumerate(places)}
+                    said = zip(said["i"].tolist(), said["role"].tolist(), said["needs_clean"].tolist(), strict=True)
+                    got = [(at[i], role, bool(clean)) for i, role, clean in said if i in at]
+                    if kept:
+                        kept.put(name, got)
+            except (OSError, ValueError):
+                return []
+            product = part["product"].iloc[0]
+            return [(product, places[k], role, clean) for k, role, clean in got if 0 <= k < len(places)]
+
+        with ThreadPoolExecutor(IN_FLIGHT) as calls:
+            for f in frames:
+                got = calls.map(asked, [part for _, part in f.groupby(["product", "batch"], sort=False)])
+                yield pd.DataFrame([r for rows in got for r in rows], columns=out)
+
+    # a call's images in one task; a product's calls over many
+    first = F.row_number().over(Window.partitionBy("product").orderBy("i"))
+    asked = pool.withColumn("_nth", first).where(F.col("_nth") <= CEILING).drop("_nth").repartition("product", "batch")
+    return asked.sortWithinPartitions("product", "batch", "i").mapInPandas(_whole(of, ["product", "batch"]), "product long, i int, role string, needs_clean boolean")
+
+
+def _whole(of: Callable, keys: list[str]) -> Callable:
+    """Lets ``of`` see frames that end where a group of rows ends, so that no call is split over two."""
+
+    def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
         for f in frames:
-            got = tried(f)
-            if got is not None:
-                yield got
-                continue
-            for _, part in f.groupby(["product", "batch"], sort=False):
-                if (one := tried(part)) is not None:
-                    yield one
-
-    return pool.mapInPandas(of, "product long, i int, role string, needs_clean boolean")
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            last = f[keys].eq(f[keys].iloc[-1]).all(axis=1)
+            rest = f[last]
+            if not last.all():
+                yield f[~last]
+        if rest is not None and len(rest):
+            yield rest
+
+    return lambda frames: of(held(frames))
+
+
+class Answers:
+    """Answers in a folder of any file system that Arrow reads, one small file each; a file appears whole or not at all."""
+
+    def __init__(self, path: str):
+        self.fs, self.path = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+        self.fs.create_dir(self.path)
+
+    def get(self, name: str) -> list | None:
+        if self.fs.get_file_info(f"{self.path}/{name}").type == pyarrow.fs.FileType.NotFound:
+            return None
+        with self.fs.open_input_stream(f"{self.path}/{name}") as f:
+            return json.loads(f.read())
+
+    def put(self, name: str, answer: list) -> None:
+        own = f"{self.path}/{name}.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(own) as f:
+            f.write(json.dumps(answer).encode())
+        self.fs.move(own, f"{self.path}/{name}")
 
 
 def stub_classifier(part: pd.DataFrame) -> pd.DataFrame:
