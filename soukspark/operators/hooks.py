@@ -105,6 +105,11 @@ def stub_classifier(part: pd.DataFrame) -> pd.DataFrame:
     return part.assign(role=h.map(lambda x: ("cover", "dimension", "skip")[x % 3]), needs_clean=h.map(lambda x: x // 3 % 4 == 0))
 
 
+def stub_cleaner(urls: pd.Series) -> pd.Series:
+    """A cleaned image for each URL but those whose number is a multiple of five."""
+    return urls.where(urls.str.extract(r"(\d+)$")[0].astype(float) % 5 != 0) + "#clean"
+
+
 def copy_text(rows: DataFrame, model: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
     """``rows`` with ``ai_title`` and ``ai_description``. Title by the model (a stand-in: the title), first line, cut to
     whole segments; description from the template. In: ``title, edt_min, edt_max, variant_names``."""

@@ -6,9 +6,13 @@ import threading
 import time
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from soukspark.config import Flags
-from soukspark.operators import facts, hooks, listings, medians, queue, sourcing
+from soukspark.functions.text import trigrams
+from soukspark.operators import facts, fuzzy, hooks, listings, medians, queue, sourcing, title_index
 from soukspark.sources import keyed
+from soukspark.streaming import inbox
 
 QUEUE = "id long, account string, listing_url string, times_listed int, state string, holder string, held_since timestamp, attempts int, refusal string, done_at timestamp, done_url string, price double"
 
@@ -126,3 +130,48 @@ def test_calls_are_in_flight_together_and_answers_kept(spark, tmp_path):
     again = hooks.classify(pool, model, seen).collect()
     assert len(again) == 400 and set(map(tuple, got)) < set(map(tuple, again))
     assert len(Path(log).read_text().split("\n")[:-1]) == 23  # the failed call alone was made again
+
+
+def test_the_index_of_titles(spark, tmp_path):
+    """Lookups equal the pairs found from scratch, and move the probes to the index, not the index."""
+    rng = random.Random(3)
+    words = ["oak", "table", "large", "small", "desk", "lamp", "été", "台灯"]
+    rows = [(k, " ".join(rng.choices(words, k=5)), float(rng.choice([10, 10.5, 12, 99, 0]))) for k in range(200)] + [(7, "oak desk lamp", 10.0), (8, None, 10.0), (9, "", 10.0)]
+    df = spark.createDataFrame(rows, "id long, title string, cost double")
+    index = title_index.TitleIndex(spark, "test_titles", f"{tmp_path}/index", buckets=3)
+    index.build(df.where("id < 150"))
+    index.append(df.where("id >= 150"))
+    index.append(df.where("id = 160"))  # once more
+    probes = df.where("id % 3 = 0 or id in (7, 8)")
+    same = sorted(set(map(tuple, fuzzy.pairs(probes, df).collect())))
+    assert sorted(set(map(tuple, index.similar(probes).collect()))) == same and len(same) > 60
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = index.similar(probes)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda x: max(x.find("+-"), x.find(":-"))
+    for part in ("entries", "sets"):
+        at = next(k for k, x in enumerate(plan) if f"test_titles_{part}" in x)
+        above, low = [], depth(plan[at])
+        for x in reversed(plan[:at]):
+            if -1 < depth(x) < low:
+                above.append(x)
+                low = depth(x)
+                if "Join" in x:
+                    break
+        assert "Join" in above[-1] and not any("Exchange" in x for x in above), above
+    index.register("test_similar")
+    asked = probes.select(F.col("id").alias("probe_id"), F.array_sort(trigrams("title")).alias("g"), "cost")
+    got = spark.sql("select distinct probe_id, s.id, s.score from {p} p, lateral test_similar(p.g, p.cost) s", p=asked).collect()
+    assert sorted(map(tuple, got)) == same
+    index.drop()
+
+
+def test_three_files_a_batch(spark, tmp_path):
+    spark.range(0, 70, 1, 7).selectExpr("cast(id as string) item_id", "timestamp '2024-06-01' created_at", "'t' title", "0 tries", "'ok' outcome").write.parquet(f"{tmp_path}/in")
+    rows = inbox.source(spark, f"{tmp_path}/in", "item_id string, created_at timestamp, title string, tries int, outcome string")
+    inbox.write_outcomes(inbox.attempts(inbox.first_seen(rows)), f"{tmp_path}/ok", f"{tmp_path}/dead", f"{tmp_path}/state").awaitTermination()
+    sizes = [spark.read.parquet(str(p)).count() for p in sorted(Path(f"{tmp_path}/ok").glob("batch=*"))]
+    assert [s for s in sizes if s] == [30, 30, 10]
