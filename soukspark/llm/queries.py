@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from soukspark.llm import ann, centroids, licenses, mixing, prefixtree, quality, sentencepieces, sharding, simhash, simple8b, substrings, urlfilter, warc
@@ -45,7 +45,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all pages against a replica in which the last byte of some records' bodies was lost to a zero, some
-    records are gone and some come twice; a copy too many has a row
+    records are gone and some come twice, and what comes after these lies elsewhere; a copy too many has a row
     of its own, without offset (-1), length and digest."""
     pages = table(spark, sf_dir, "pages")
     files = max(1, -(-pages.count() // WARC_RECORDS))
@@ -53,12 +53,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = F.concat(F.expr("left(record, length(record) - 5)"), F.lit("\0"), F.lit(warc.END)).cast("binary")
     hit = warc.bucket("page_id", 97)
     rows = pages.select("page_id", warc.record("url", "html", WARC_DATE, "page_id").alias("record"))
-    rows = rows.select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2(whole, 256).alias("digest"), F.when(hit == 0, F.sha2(damaged, 256)).otherwise(F.sha2(whole, 256)).alias("copy"))
+    copy = F.when(hit == 0, damaged).otherwise(whole)
+    rows = rows.select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2(whole, 256).alias("digest"), F.sha2(copy, 256).alias("copy"), F.octet_length(copy).cast("long").alias("size"))
     rows = warc.cut(warc.placed(rows, files, "page_id"))
     # the replica's records keep their order; of two copies the second lies right behind the first
     twice = F.explode(F.when(hit == 1, F.array().cast("array<int>")).when(hit == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    replica = rows.select("page_id", "file", (F.col("offset") * 2).alias("offset"), F.col("copy").alias("digest"), twice.alias("k"))
-    replica = replica.select("page_id", "file", (F.col("offset") + F.col("k")).alias("offset"), "digest")
+    replica = rows.select("page_id", "file", "offset", F.col("size").alias("length"), F.col("copy").alias("digest"), twice.alias("k"))
+    before = Window.partitionBy("file").orderBy("offset", "k").rowsBetween(Window.unboundedPreceding, -1)  # one file's records
+    replica = replica.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("k")
     faults = cut(warc.audit(rows, replica, "page_id"))
     out = rows.join(faults.where("fault <> 'extra'").drop("page_id"), ["file", "offset"], "left")
     out = out.select("page_id", "file", "offset", "length", "digest", F.coalesce("fault", F.lit("ok")).alias("status"))
@@ -196,11 +198,12 @@ def _op5_sql() -> str:
         || coalesce('WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || {eol}, '')
         || 'WARC-Record-ID: <urn:uuid:' || {uuid} || '>' || {eol} || 'WARC-Date: {WARC_DATE}' || {eol}
         || 'Content-Type: text/html' || {eol} || 'Content-Length: ' || strlen(body) || {eol} || {eol} || body || {eol} || {eol} r from a),
-    c as (select page_id, hit, files, strlen(r) as length, sha256(r) as digest from b),
+    c as (select page_id, hit, files, strlen(r) as length, sha256(r) as digest, case hit when 0 then strlen(left(r, length(r) - 5)) + 5 else strlen(r) end as size from b),
     d as (select *, row_number() over (partition by page_id, digest) - 1 rn, ('0x' || substr(md5({key} || ':' || digest), 1, 8))::bigint % files h from c),
     e as (select *, (h + rn // {warc.TOGETHER}) % files as file from d),
-    f as (select *, coalesce(sum(length) over (partition by file order by page_id nulls first, digest, rn rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from e)
-    select page_id, file, "offset", length, digest, case hit when 0 then 'changed' when 1 then 'missing' else 'ok' end as status from f
+    f as (select *, coalesce(sum(length) over (partition by file order by page_id nulls first, digest, rn rows between unbounded preceding and 1 preceding), 0)::bigint as "offset",
+      coalesce(sum(case hit when 1 then 0 when 2 then 2 * size else size end) over (partition by file order by page_id nulls first, digest, rn rows between unbounded preceding and 1 preceding), 0)::bigint as there from e)
+    select page_id, file, "offset", length, digest, case when hit = 0 then 'changed' when hit = 1 then 'missing' when there <> "offset" then 'moved' else 'ok' end as status from f
     union all select page_id, file, -1, 0, '', 'extra' from f where hit = 2"""
 
 

@@ -1,11 +1,11 @@
 """WARC files and a Merkle fixity audit of replicas.
 
-A record's leaf is the SHA-256 of its bytes. Leaves are numbered by file and by offset within it, and a node covers
-256 consecutive numbers of the level below; its digest is that of its children's numbers and digests. Trees of two
-replicas are built in one pass and to one height. They are compared from the root down, and only children of nodes that
-differ are looked at. Under the lowest differing nodes, records are matched by their id, so a record that was lost or
-gained in the middle of a file is named, and those after it are not. Texts are hashed where they are read; only
-digests are shuffled.
+A record's leaf is the hash of where it lies (offset and length) and of its bytes' SHA-256. Leaves are numbered by file and
+by offset within it, and a node covers 256 consecutive numbers of the level below: an ordered range of offsets. Its digest
+is that of the range's ends and of its children's numbers and digests. Trees of two replicas are built in one pass and to
+one height. They are compared from the root down, and only children of nodes that differ are looked at. Under the lowest
+differing nodes, records are matched by their id, so a record that was lost or gained in the middle of a file is named,
+and those after it are told apart as moved. Texts are hashed where they are read; only digests are shuffled.
 """
 
 from __future__ import annotations
@@ -75,12 +75,16 @@ def placed(records: DataFrame, files: int, key: str) -> DataFrame:
 
 
 def _tree(leaves: DataFrame, height: int) -> list[DataFrame]:
-    """Levels of ``(side, node, digest)`` above the leaves, from the lowest to the root."""
-    levels, below = [], leaves.select("side", "node", "digest")
+    """Levels of ``(side, node, lo, hi, digest)`` above the leaves, from the lowest to the root; lo and hi: where the range of
+    offsets begins and ends."""
+    own = F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "digest").cast("binary"), 256)
+    levels, below = [], leaves.select("side", "node", F.col("offset").alias("lo"), (F.col("offset") + F.col("length")).alias("hi"), own.alias("digest"))
     for _ in range(height):
         pairs = F.array_sort(F.collect_list(F.struct("node", "digest")))  # 2^FAN children at most
         text = F.array_join(F.transform(pairs, lambda x: F.concat_ws(":", x["node"].cast("string"), x["digest"])), ",")
-        below = cut(below.groupBy("side", F.shiftright("node", FAN).alias("up")).agg(F.sha2(text.cast("binary"), 256).alias("digest")).withColumnRenamed("up", "node"))
+        whole = F.concat_ws("-", F.min("lo").cast("string"), F.max("hi").cast("string"), text)
+        up = below.groupBy("side", F.shiftright("node", FAN).alias("up")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sha2(whole.cast("binary"), 256).alias("digest"))
+        below = cut(up.withColumnRenamed("up", "node"))
         levels.append(below)
     return levels
 
@@ -92,15 +96,15 @@ def _differing(level: DataFrame) -> DataFrame:
 
 
 def audit(a: DataFrame, b: DataFrame, key: str | None = None) -> DataFrame:
-    """``file, offset, fault`` of records on which two replicas (``file, offset, digest``) differ, and ``key`` if given.
+    """``file, offset, fault`` of records on which two replicas (``file, offset, length, digest``) differ, and ``key`` if given.
 
     With ``key``, the id of a record, records of one file are matched by it, equal ids in the order of their offsets: one
-    whose bytes differ is ``changed``, one that b lacks ``missing``, one that only b has ``extra`` (offset in b, else in
-    a). Without, they are matched by their place in the file. Offsets of a file must differ. A null key matches a null
-    one. Equal replicas, empty ones included, give no rows; records that merely lie elsewhere in their file are no fault.
+    whose bytes differ is ``changed``, one that only lies elsewhere ``moved``, one that b lacks ``missing``, one that only b
+    has ``extra`` (offset in b, else in a). Without, they are matched by their place in the file. Offsets of a file must
+    differ. A null key matches a null one. Equal replicas, empty ones included, give no rows.
     """
     own = F.col(key).cast("string") if key else F.lit("")
-    side = lambda df, s: df.select(F.lit(s).alias("side"), F.col("file").cast("long"), F.col("offset").cast("long"), "digest", own.alias("id"))
+    side = lambda df, s: df.select(F.lit(s).alias("side"), F.col("file").cast("long"), F.col("offset").cast("long"), F.col("length").cast("long"), "digest", own.alias("id"))
     n = F.row_number().over(Window.partitionBy("side", "file").orderBy("offset")).cast("long") - 1  # one file's records
     rows = cut(side(a, 0).unionAll(side(b, 1)).withColumn("n", n))
     most = rows.agg(F.max("n").alias("n"), F.max("file").alias("f")).first()
@@ -120,9 +124,9 @@ def audit(a: DataFrame, b: DataFrame, key: str | None = None) -> DataFrame:
     else:
         nth = F.col("n")
     found = found.withColumn("nth", nth)
-    one = lambda s: F.max(F.when(F.col("side") == s, F.struct("digest", "offset")))
-    pairs = found.groupBy("file", "id", "nth").agg(one(0).alias("x"), one(1).alias("y")).where(~F.col("x.digest").eqNullSafe(F.col("y.digest")))
-    fault = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").otherwise("changed")
+    one = lambda s: F.max(F.when(F.col("side") == s, F.struct("digest", "length", "offset")))
+    pairs = found.groupBy("file", "id", "nth").agg(one(0).alias("x"), one(1).alias("y")).where("not (x <=> y)")
+    fault = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").when((F.col("x.digest") == F.col("y.digest")) & (F.col("x.length") == F.col("y.length")), "moved").otherwise("changed")
     return pairs.select("file", F.coalesce("x.offset", "y.offset").alias("offset"), fault.alias("fault"), *([F.col("id").alias(key)] if key else []))
 
 

@@ -256,14 +256,17 @@ def test_warc_files_and_audit(spark, tmp_path):
 
 
 def test_audit_of_unequal_replicas(spark):
-    rows = [(f, 10 * k, f"{f}-{k}") for f in range(3) for k in range(40)]
-    make = lambda r: spark.createDataFrame(r, "file long, offset long, digest string")
+    rows = [(f, 10 * k, 10, f"{f}-{k}") for f in range(3) for k in range(40)]
+    make = lambda r: spark.createDataFrame(r, "file long, offset long, length long, digest string")
     a = make(rows)
     assert {tuple(r) for r in warc.audit(a, make([r for r in rows if r[:2] != (1, 390)])).collect()} == {(1, 390, "missing")}
-    assert {tuple(r) for r in warc.audit(a, make([*rows, (2, 400, "new")])).collect()} == {(2, 400, "extra")}
+    assert {tuple(r) for r in warc.audit(a, make([*rows, (2, 400, 10, "new")])).collect()} == {(2, 400, "extra")}
     assert warc.audit(make([]), make([])).count() == 0
-    assert {tuple(r) for r in warc.audit(make([(0, 0, "x")]), make([])).collect()} == {(0, 0, "missing")}
+    assert {tuple(r) for r in warc.audit(make([(0, 0, 1, "x")]), make([])).collect()} == {(0, 0, "missing")}
     assert warc.audit(a, make([])).count() == 120
+    # the same bytes elsewhere, and a length that the digest doesn't tell of
+    assert {tuple(r) for r in warc.audit(a, make([(f, at + (f == 1 and at > 380), n, d) for f, at, n, d in rows])).collect()} == {(1, 390, "moved")}
+    assert {tuple(r) for r in warc.audit(a, make([(f, at, n + (f == 0 and at == 50), d) for f, at, n, d in rows])).collect()} == {(0, 50, "changed")}
 
 
 def test_audit_names_records_lost_and_gained_in_the_middle(spark):
@@ -274,26 +277,28 @@ def test_audit_names_records_lost_and_gained_in_the_middle(spark):
         at = at_b = 0
         for k in range(700 if f < 4 else 3):
             record, n = f"{f}-{k % 600}", int(rng.integers(1, 50))
-            a.append((f, at, f"d{record}", record))
+            a.append((f, at, n, f"d{record}", record))
             luck = rng.integers(0, 60)
             if luck == 0:
                 want.add((f, at, "missing", record))
             elif luck == 1:
-                b.append((f, at_b, "other", record))
+                b.append((f, at_b, n, "other", record))
                 want.add((f, at, "changed", record))
                 at_b += n
             else:
-                b.append((f, at_b, f"d{record}", record))
+                b.append((f, at_b, n, f"d{record}", record))
+                if at != at_b:
+                    want.add((f, at, "moved", record))
                 at_b += n
             if luck == 2:
-                b.append((f, at_b, "gained", f"new{k}"))
+                b.append((f, at_b, n, "gained", f"new{k}"))
                 want.add((f, at_b, "extra", f"new{k}"))
                 at_b += n
             at += n
     # ids that repeat are matched in their order, so their faults may name another of the same id
     once = {r for r in want if r[3].startswith("new") or int(r[3].split("-")[1]) >= 100}
-    b += [(300, 0, "x", "y")]
-    make = lambda r: spark.createDataFrame(r, "file long, offset long, digest string, id string")
+    b += [(300, 0, 1, "x", "y")]
+    make = lambda r: spark.createDataFrame(r, "file long, offset long, length long, digest string, id string")
     got = {tuple(r) for r in warc.audit(make(a), make(b), "id").collect()}
     assert once | {(300, 0, "extra", "y")} <= got and {r[3] for r in got} == {r[3] for r in want} | {"y"}
     assert warc.audit(make(a), make(a), "id").count() == 0 and warc.audit(make([]), make([]), "id").count() == 0
