@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from soukspark.scratch import spread
+
 NOW = "2024-06-01 12:00:00"
 
 ITEMS = """
@@ -82,7 +84,7 @@ class _Names(dict):
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
+    frames = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(sql, **frames)
 
 

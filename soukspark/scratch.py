@@ -1,4 +1,4 @@
-"""Where intermediate tables go: the folder that driver and executors share."""
+"""Where intermediate tables go (the folder that driver and executors share), and small tables dealt over all cores."""
 
 from __future__ import annotations
 
@@ -38,3 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, computed once, as a reliable checkpoint."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+#: Bytes of a table up to which it is looked at how many files it has.
+SMALL = 1 << 30
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of files as it is, unless it is small and has fewer files than there are cores: a file of one row group is
+    read by one task, whatever is asked of it, so its rows are dealt round first. The columns that are not used later
+    take no part in that."""
+    tasks = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(tasks) if size < SMALL and len(table.inputFiles()) < tasks else table

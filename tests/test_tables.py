@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from soukspark import scratch
 from soukspark.config import Flags
 from soukspark.functions.text import trigrams
 from soukspark.operators import facts, fuzzy, hooks, listings, medians, queue, sourcing, title_index
@@ -175,3 +176,11 @@ def test_three_files_a_batch(spark, tmp_path):
     inbox.write_outcomes(inbox.attempts(inbox.first_seen(rows)), f"{tmp_path}/ok", f"{tmp_path}/dead", f"{tmp_path}/state").awaitTermination()
     sizes = [spark.read.parquet(str(p)).count() for p in sorted(Path(f"{tmp_path}/ok").glob("batch=*"))]
     assert [s for s in sizes if s] == [30, 30, 10]
+
+
+def test_small_tables_of_few_files_are_dealt_over_the_cores(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    for files in (1, cores):
+        spark.range(0, 1000, 1, files).write.parquet(f"{tmp_path}/{files}")
+        table = scratch.spread(spark.read.parquet(f"{tmp_path}/{files}"))
+        assert table.count() == 1000 and ("RepartitionByExpression" in (plan := str(table._jdf.queryExecution().logical())) or "Repartition" in plan) == (files < cores)
