@@ -273,6 +273,8 @@ def encoder(path: str, special_as_text: bool) -> PieceEncoder:
 FILE_BYTES, SEGMENT_IDS = 1 << 27, 1 << 19
 #: Rows that the bounds of ranges are drawn from, at most.
 SAMPLE = 200_000
+#: Rows of the sample for each range, at least, unless the session asks for more tasks.
+EACH = 20
 
 
 def sortable(keys: pa.Array, ties: np.ndarray) -> np.ndarray:
@@ -288,15 +290,16 @@ def sortable(keys: pa.Array, ties: np.ndarray) -> np.ndarray:
 def bounds(rows: DataFrame, file_bytes: int) -> np.ndarray:
     """The first (key, tie) of each range but the first, from a bounded sample of ``key, text``; bounds may repeat where
     many rows are equal."""
-    total = rows.count()
+    total = rows.count()  # of files' footers
     tie = F.crc32(F.col("text").cast("binary"))
-    drawn = rows.select("key", tie.alias("tie"), F.octet_length("text").alias("n"))
-    drawn = (drawn if 2 * total <= SAMPLE else drawn.sample(SAMPLE / 2 / total, 5)).toArrow()  # a binomial number of rows
+    drawn = rows if 2 * total <= SAMPLE else rows.sample(SAMPLE / 2 / total, 5)  # a binomial number of rows
+    drawn = drawn.select("key", tie.alias("tie"), F.octet_length("text").alias("n")).toArrow()
     if not len(drawn):
         return np.zeros(0, "S13")
     # an id stands for about two bytes of text at least and takes up two in a file
     size = drawn.column("n").to_numpy().astype(np.float64) + 1
-    ranges = max(partitions(rows.sparkSession), int(size.sum() * total / len(drawn) / file_bytes))
+    # a range is a task and may come to several files; each is to have rows of the sample enough to be even
+    ranges = max(partitions(rows.sparkSession), min(int(size.sum() * total / len(drawn) / file_bytes), len(drawn) // EACH))
     order = np.argsort(names := sortable(drawn.column("key").combine_chunks(), drawn.column("tie").to_numpy()), kind="stable")
     share = np.cumsum(size[order])
     at = np.searchsorted(share, share[-1] * np.arange(1, ranges) / ranges)
