@@ -118,25 +118,31 @@ def verdict(rows: DataFrame, firsts: DataFrame, flags: Flags) -> DataFrame:
     return rows.withColumns({"reason": F.coalesce("_early", "_late", "_quality", price), "good": good}).drop("_early", "_quality", "_late", "_id", "_first")
 
 
+def _judged(rows: DataFrame, narrow_rows: DataFrame, flags: Flags) -> DataFrame:
+    """``rows``, of which ``narrow_rows`` are the narrow form, with what their shops' facts and products' first copies make
+    of them."""
+    facts = cut(shop_facts(narrow_rows, flags))
+    # an unknown shop is one shop
+    known = lambda df: df.join(facts, F.col("shop_id").eqNullSafe(F.col("_shop")), "left").drop("_shop")
+    firsts = cut(passing(known(narrow_rows), flags).groupBy(F.col("product_id").alias("_id")).agg(F.min("ord").alias("_first")))
+    return verdict(known(rows), firsts, flags)
+
+
 def judged(items: DataFrame, flags: Flags = Flags()) -> DataFrame:
-    """The narrow rows of ``items`` with ``reason`` and ``good``. The items are read once: shops' facts, first copies and
-    verdicts are all taken from the narrow rows, which are kept in between."""
+    """The narrow rows of ``items`` with ``reason`` and ``good``. The items are read once."""
     rows = cut(narrow(items, flags))
-    # an unknown shop is one shop
-    rows = cut(rows.join(shop_facts(rows, flags), F.col("shop_id").eqNullSafe(F.col("_shop")), "left").drop("_shop"))
-    firsts = passing(rows, flags).groupBy(F.col("product_id").alias("_id")).agg(F.min("ord").alias("_first"))
-    return verdict(rows, firsts, flags)
+    return _judged(rows, rows, flags)
 
 
 def cascade(items: DataFrame, flags: Flags = Flags()) -> DataFrame:
-    """Items with ``reason`` (null: kept), ``good`` (passed quality, whatever its price) and ``sell``.
+    """Items with ``reason`` (null: kept), ``good`` (passed quality, whatever its price) and ``sell``. They are read twice,
+    once in narrow form.
 
     A copy of a product is a duplicate only after an earlier one that passed quality: copies that failed do not
     count, those that only their price excluded do. Null flags count as false, null and unreadable numbers as 0.
-    ``ord`` must be distinct.
     """
-    said = judged(items, flags).select("ord", "reason", "good")
-    return prepared(items, flags).join(said, "ord").withColumn("sell", num.sell_price("price_n")).drop("mock", "listed", "linked")
+    said = _judged(prepared(items, flags), cut(narrow(items, flags)), flags)
+    return said.withColumn("sell", num.sell_price("price_n")).drop("mock", "listed", "linked")
 
 
 def kept(judged: DataFrame) -> DataFrame:
