@@ -292,14 +292,15 @@ def bounds(rows: DataFrame, file_bytes: int) -> np.ndarray:
     many rows are equal."""
     total = rows.count()  # of files' footers
     tie = F.crc32(F.col("text").cast("binary"))
-    drawn = rows if 2 * total <= SAMPLE else rows.sample(SAMPLE / 2 / total, 5)  # a binomial number of rows
+    every = 2 * total <= SAMPLE
+    drawn = rows if every else rows.sample(SAMPLE / 2 / total, 5)  # a binomial number of rows
     drawn = drawn.select("key", tie.alias("tie"), F.octet_length("text").alias("n")).toArrow()
     if not len(drawn):
         return np.zeros(0, "S13")
     # an id stands for about two bytes of text at least and takes up two in a file
     size = drawn.column("n").to_numpy().astype(np.float64) + 1
     # a range is a task and may come to several files; each is to have rows of the sample enough to be even
-    ranges = max(partitions(rows.sparkSession), min(int(size.sum() * total / len(drawn) / file_bytes), len(drawn) // EACH))
+    ranges = max(partitions(rows.sparkSession), min(int(size.sum() * total / len(drawn) / file_bytes), len(drawn) // (1 if every else EACH)))
     order = np.argsort(names := sortable(drawn.column("key").combine_chunks(), drawn.column("tie").to_numpy()), kind="stable")
     share = np.cumsum(size[order])
     at = np.searchsorted(share, share[-1] * np.arange(1, ranges) / ranges)
