@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from soukspark.llm.common import SPACES, free_name, widened
+from soukspark.llm.common import SPACES, free_name, lean, widened
 
 SYMBOLS = "#*$%&|<>"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -153,4 +153,4 @@ def quality(docs: DataFrame, text: str = "text", rules: RepetitionRules = Repeti
             got = pa.array([measure(x.as_py(), rules) for x in batch.column(at)], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, out])
 
-    return docs.mapInArrow(judge, schema)
+    return docs.mapInArrow(lean(judge), schema)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
-from soukspark.llm.common import free_name, widened
+from soukspark.llm.common import free_name, lean, widened
 
 MARK = "▁"
 #: Stands for a mark in the text itself, which has to be spelled in bytes; no text can hold this character.
@@ -412,7 +412,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id"
                     columns.append(pa.array(lossless(lattice, texts, got, count), mask=null))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.fieldNames())
 
-    return docs.mapInArrow(of, schema)
+    return docs.mapInArrow(lean(of), schema)
 
 
 def decoded(rows: DataFrame, model: str, ids: str = "sp_ids") -> DataFrame:
@@ -426,4 +426,4 @@ def decoded(rows: DataFrame, model: str, ids: str = "sp_ids") -> DataFrame:
             texts = [None if x is None else decode(lattice, np.array(x, np.int64)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.fieldNames())
 
-    return rows.mapInArrow(of, schema)
+    return rows.mapInArrow(lean(of), schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soukspark.llm.common import cut, free_name, partitions, widened
+from soukspark.llm.common import cut, free_name, lean, partitions, widened
 from soukspark.llm.components import components
 
 SEED = 42
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, text: str, words: int, bits: int, distinct: bo
                 sizes.append(len(h))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(hexes, pa.string()), pa.array(sizes, pa.int64())], schema.fieldNames())
 
-    return docs.select(*keep, F.col(text).alias("_of_text")).mapInArrow(of, schema)
+    return docs.select(*keep, F.col(text).alias("_of_text")).mapInArrow(lean(of), schema)
 
 
 class Forest:
@@ -256,7 +256,7 @@ def links(items: DataFrame, bits: int, radius: int, similarity: float | None = N
         if held:
             yield meet(held[1], None)
 
-    return sides.mapInArrow(every, "a string, b string")
+    return sides.mapInArrow(lean(every), "a string, b string")
 
 
 def near_duplicates(
@@ -297,7 +297,7 @@ def classes(docs: DataFrame, words: int, bits: int) -> DataFrame:
                 sets.append(xxhash.xxh128_hexdigest(h.tobytes(), SEED))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.string()), pa.array(sizes, pa.int64()), pa.array(sets, pa.string())], schema.fieldNames())
 
-    return rows.mapInArrow(of, schema)
+    return rows.mapInArrow(lean(of), schema)
 
 
 def alike(sets: list[np.ndarray], first: int, similarity: float) -> np.ndarray:
@@ -358,7 +358,7 @@ def checked(members: DataFrame, similarity: float) -> DataFrame:
         if held and (out := meet(held, done)) is not None:
             yield out
 
-    return met.mapInArrow(every, "a string, b string, done boolean")
+    return met.mapInArrow(lean(every), "a string, b string, done boolean")
 
 
 def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, bits: int = 256, similarity: float = 0.8) -> DataFrame:
@@ -389,7 +389,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
             out = [np.unique(shingle_hashes(x.as_py(), words)).tobytes() for x in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], ["root", "block", "blocks", "set", "hashes"])
 
-    sets = found.mapInArrow(hashes, "root string, block int, blocks int, set string, hashes binary")
+    sets = found.mapInArrow(lean(hashes), "root string, block int, blocks int, set string, hashes binary")
     edges = cut(checked(sets, similarity))
     same = edges.where("done").select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(components(edges.where("not done")))
     named = items.join(same, items.set == same.node, "left").select("set", "least", F.coalesce("root", "set").alias("root"))
