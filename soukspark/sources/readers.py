@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXPORT = """itemId string, shopId string, shopName string, name string, url string, price double, historicalSoldEstimated string,
@@ -15,15 +18,23 @@ def exports(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Items of JSON exports, each an array or an object with ``items``, with ``ord``: the file's place in ``paths``
     above the item's place in the file."""
     kind = f"array<struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in EXPORT.split(','))}>>"
-    parts = []
-    for k, path in enumerate(paths):
-        raw = spark.read.text(path, wholetext=True)
-        body = F.coalesce(F.when(F.ltrim("value").startswith("["), F.col("value")), F.get_json_object("value", "$.items"))
-        parts.append(raw.select(F.posexplode(F.from_json(body, kind)).alias("pos", "x")).select((F.lit(k << 40) + F.col("pos")).alias("ord"), "x.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # one scan of all paths, however many; a file is told by its own path or by a folder's that it lies in
+    at = spark.createDataFrame([(_bare(path), k) for k, path in enumerate(paths)], "_at string, _k long")
+    body = F.coalesce(F.when(F.ltrim("value").startswith("["), F.col("value")), F.get_json_object("value", "$.items"))
+    parts = F.split(_local(F.col("_metadata.file_path")), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    files = spark.read.text(sorted(set(paths)), wholetext=True).select(above.alias("_above"), body.alias("_body"))
+    known = files.select("_body", F.explode("_above").alias("_at")).join(F.broadcast(at), "_at")
+    return known.select("_k", F.posexplode(F.from_json("_body", kind)).alias("pos", "x")).select((F.shiftleft("_k", 40) + F.col("pos")).alias("ord"), "x.*")
+
+
+def _local(path: Column) -> Column:
+    """A path without escapes, and without the scheme and authority that not everybody writes."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
+def _bare(path: str) -> str:
+    return re.sub(r"/+", "/", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:|/", path) else os.path.abspath(path))).rstrip("/")
 
 
 def as_items(export: DataFrame, blocked: DataFrame) -> DataFrame:

@@ -413,3 +413,14 @@ def test_chats_are_capped_for_each_capture(spark):
     rows = spark.createDataFrame([(c, k, f"h{k % 70}") for c in range(2) for k in range(200)], "capture int, ord int, href string")
     got = listings.chats(rows).collect()
     assert sorted((r.capture, r.ord) for r in got) == [(c, k) for c in range(2) for k in range(50)]
+
+
+def test_exports_of_many_paths_are_one_scan(spark, tmp_path):
+    paths = []
+    for k in range(12):
+        (tmp_path / f"x={k} +%").mkdir()
+        (tmp_path / f"x={k} +%" / "part.json").write_text('[{"itemId": "%d"}]' % k)
+        paths.append(f"{tmp_path}/x={k} +%")
+    got = readers.exports(spark, paths)
+    assert {r.itemId: r.ord for r in got.collect()} == {str(k): k << 40 for k in range(12)}
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
