@@ -16,6 +16,8 @@ TRIES = 3
 ATTEMPT = "worker_id string, item_id string, ms long, seq long, visible boolean, payload string"
 OUT = "worker_id string, item_id string, ms long, seq long, payload string, unloaded boolean"
 KEY = ["worker_id", "item_id"]
+#: Milliseconds that event time is ahead of attempts' own: Spark drops what is not after time zero as late.
+AHEAD = 1 << 45
 _Out = Row(*[c.split()[0] for c in OUT.split(", ")])
 
 
@@ -45,8 +47,8 @@ class Tries(StatefulProcessor):
                 yield _Out(*key, r["ms"], r["seq"], r["payload"], r["payload"] is None)
         if ends != before:
             if before is not None:
-                self.handle.deleteTimer(before)
-            self.handle.registerTimer(ends)
+                self.handle.deleteTimer(before + AHEAD)
+            self.handle.registerTimer(ends + AHEAD)
             self.seen.update((sent, n, ends))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -61,7 +63,7 @@ def streamed(attempts: DataFrame, tries: int = TRIES, hours: int = 24, late: str
     """``OUT`` for a stream of ``ATTEMPT``: at most one row for each session and item, until it is forgotten. Attempts of one
     batch count in the order of their time; those of a later batch after them. Needs RocksDB as state store
     (``claims.use_store``)."""
-    rows = attempts.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", late)
+    rows = attempts.withColumn("ts", F.timestamp_millis(F.col("ms") + AHEAD)).withWatermark("ts", late)
     return rows.groupBy(*KEY).transformWithState(Tries(tries, hours), OUT, "append", "eventTime")
 
 

@@ -169,3 +169,13 @@ def test_tries_are_counted_over_restarts_and_forgotten(spark, store, tmp_path):
     assert got == want and any(r[5] for r in want) and len(want) > 24
     batch = tries.sent(spark.createDataFrame(rows[:350], tries.ATTEMPT))
     assert sorted(map(tuple, batch.collect())) == plain_tries(rows[:350], 10**6)
+
+
+def test_attempts_at_time_zero_and_before_count(spark, store, tmp_path):
+    rows = [("w", "a", 0, 0, True, "p0"), ("w", "a", 5000, 5, True, "p5"), ("w", "b", -1000, 1, True, "p1"), ("w", "b", 7000, 7, True, "p7"), ("w", "c", 40 * 86_400_000, 9, True, "p9")]
+    df = spark.createDataFrame(rows, tries.ATTEMPT)
+    df.write.parquet(f"{tmp_path}/in")
+    out = tries.streamed(spark.readStream.schema(tries.ATTEMPT).parquet(f"{tmp_path}/in"))
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.schema(tries.OUT).parquet(f"{tmp_path}/out").collect()))
+    assert got == sorted(map(tuple, tries.sent(df).collect())) and [r[4] for r in got] == ["p0", "p1", "p9"]
