@@ -199,3 +199,26 @@ def test_lookups_join_no_candidates_back(spark, tmp_path):
     plan = index.similar(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 2 and "array_intersect" in next(x for x in plan.split("\n") if "Join" in x and "bit_count" in x)
     index.drop()
+
+
+def test_a_model_that_answers_by_row_takes_many_batches_at_once(spark, tmp_path):
+    pool = spark.range(900).selectExpr("id div 3 as product", "cast(id % 3 as int) as i", "concat('u', id) as url", "cast(0 as int) as batch").coalesce(1)
+    log = f"{tmp_path}/sizes"
+
+    def model(part):
+        with open(log, "a") as f:
+            f.write(f"{len(part)}\n")
+        if len(part) <= 3 and part["url"].iloc[0] == "u30" or len(part) > 3 and (part["url"] == "u30").any():
+            raise ValueError("refused")
+        return hooks.stub_classifier(part)
+
+    want = {(k // 3, k % 3) for k in range(900)} - {(10, 0), (10, 1), (10, 2)}
+    assert {(r.product, r.i) for r in hooks.classify(pool, model).collect()} == want
+    calls = len(Path(log).read_text().split())
+    assert calls >= 300
+    plain = sorted(map(tuple, hooks.classify(pool.where("product <> 10"), model).collect()))
+    model.rowwise = True
+    Path(log).unlink()
+    assert sorted(map(tuple, hooks.classify(pool.where("product <> 10"), model).collect())) == plain
+    assert len(Path(log).read_text().split()) < 30
+    assert {(r.product, r.i) for r in hooks.classify(pool, model).collect()} == want
