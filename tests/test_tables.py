@@ -222,3 +222,13 @@ def test_a_model_that_answers_by_row_takes_many_batches_at_once(spark, tmp_path)
     assert sorted(map(tuple, hooks.classify(pool.where("product <> 10"), model).collect())) == plain
     assert len(Path(log).read_text().split()) < 30
     assert {(r.product, r.i) for r in hooks.classify(pool, model).collect()} == want
+
+
+def test_sourcing_keeps_its_rows_as_parquet(spark):
+    """Narrow rows and facts are columns on disk, not checkpoints of whole rows."""
+    row = (1, "1.2", 3, "Shop", "desk SG stock", "https://shop.example/product/1/2", 50.0, "1k+", 90, 4.9, "Singapore", False, False)
+    df = spark.createDataFrame([row], "ord long, item_id string, shop_id long, shop_name string, name string, url string, price double, sold_text string, reviews long, rating double, location string, is_mock boolean, blocked boolean")
+    got = sourcing.judged(df)
+    assert got.first().reason is None
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "ExistingRDD" not in plan
