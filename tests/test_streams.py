@@ -133,6 +133,41 @@ def test_workers_without_an_account_claim_nothing(spark):
     assert {(r.action, r.worker == "w1", r.account) for r in got} == {("add", False, "z"), ("claim", True, "a"), ("claim", False, None)}
 
 
+def test_state_is_read_and_written_by_the_block():
+    """A thousand rows near together are a handful of calls to the store, and come back as they were put."""
+    held, calls = {}, []
+
+    class Store:
+        def getValue(self, key):
+            calls.append(key)
+            return held.get(key)
+
+        def updateValue(self, key, value):
+            calls.append(key)
+            held[key] = value
+
+        def containsKey(self, key):
+            return key in held
+
+        def removeKey(self, key):
+            del held[key]
+
+    of = lambda: claims.Touched(Store(), lambda k: k >> claims.NEAR)
+    first = of()
+    for k in range(1000):
+        first.put(k, (f"u{k}", [k, None]))
+    first.flush()
+    assert len(calls) <= 8
+    again = of()
+    assert [again.get(k) for k in range(1001)] == [(f"u{k}", [k, None]) for k in range(1000)] + [None]
+    for k in range(300):
+        again.put(k, None)
+    again.flush()
+    assert len(calls) <= 16 and of().get(299) is None and of().get(300) == ("u300", [300, None]) and len(held) == 3
+    places = [claims.place(a, n, k) for a in ("a", "b") for n in (9, 2) for k in (-70000, 5, 70000)]
+    assert sorted(places, key=lambda p: (claims._near(p), p)) == sorted(places)
+
+
 # -- attempts ------------------------------------------------------------------------------------------------------
 
 
