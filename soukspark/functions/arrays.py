@@ -20,9 +20,14 @@ def with_review_photos(images, reviews) -> Column:
     return F.when(F.size(x) > 0, F.concat(F.slice(x, 1, 1), extra, F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))))).otherwise(x)
 
 
+def sold_models(models) -> Column:
+    """Models that have a price and a name."""
+    return F.filter(F.coalesce(col(models), F.array()), lambda m: (m["price"] > 0) & (m["name"] != ""))
+
+
 def variant_groups(models) -> Column:
     """``price, label, image, name`` of each priced and named model; null if there are fewer than two."""
-    good = F.filter(F.coalesce(col(models), F.array()), lambda m: (m["price"] > 0) & (m["name"] != ""))
+    good = sold_models(models)
     one = lambda m: F.struct(m["price"].alias("price"), variant_label(F.trim(m["name"])).alias("label"), F.nullif(m["image"], F.lit("")).alias("image"), F.trim(m["name"]).alias("name"))
     return F.when(F.size(good) >= 2, F.transform(good, one))
 

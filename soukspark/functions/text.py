@@ -111,13 +111,13 @@ def colour_key(name) -> Column:
     """The first colour word, else the whole name marked as such."""
     n = F.coalesce(col(name), F.lit(""))
     found = F.lower(F.regexp_extract(n, f"(?i){LEFT}({'|'.join(COLOUR_WORDS)}){RIGHT}", 1))
-    return F.when(found != "", found).otherwise(F.concat(F.lit("x:"), F.lower(F.trim(n))))
+    return let(found, lambda f: F.when(f != "", f).otherwise(F.concat(F.lit("x:"), F.lower(F.trim(n)))))
 
 
 def variant_label(name) -> Column:
     n = col(name)
     dims = F.regexp_extract(n, DIMENSIONS, 0)
-    return F.left(F.trim(F.regexp_replace(F.when(dims != "", dims).otherwise(n), r"\s+", " ")), F.lit(40))
+    return F.left(F.trim(F.regexp_replace(let(dims, lambda d: F.when(d != "", d).otherwise(n)), r"\s+", " ")), F.lit(40))
 
 
 def variant_title(ai_title, label) -> Column:

@@ -27,20 +27,23 @@ def outcome(inbox: DataFrame) -> DataFrame:
 def by_variant(products: DataFrame) -> DataFrame:
     """One row for each priced model of products that have two or more. Two photos: the first of its colour, and the
     next other colour's; without a photo of its colour, the product's first two."""
-    rows = products.withColumn("groups", arrays.variant_groups("models")).where("groups is not null")
-    one = rows.select("*", F.posexplode("groups").alias("k", "g")).withColumn("colour", text.colour_key("g.name"))
+    rows = products.where(F.size(arrays.sold_models("models")) >= 2)  # not by the groups, which the filter would build again
+    rows = rows.select("product", "url", "title", "ai_title", "ai_description", "images", arrays.variant_groups("models").alias("groups"))
+    # what holds for the whole product is found once, before it becomes rows; each name's colour once, too
+    rows = rows.withColumn("groups", F.transform("groups", lambda g: g.withField("colour", text.colour_key(g["name"]))))
     # first photo of each colour, in the order in which colours with a photo first appear
-    shots = F.transform(F.filter("groups", lambda g: g["image"].isNotNull()), lambda g: F.struct(text.colour_key(g["name"]).alias("colour"), g["image"].alias("image")))
-    one = one.withColumn("_shots", shots)
-    first = F.aggregate("_shots", F.array().cast("array<struct<colour:string,image:string>>"), lambda acc, x: F.when(F.exists(acc, lambda a: a["colour"] == x["colour"]), acc).otherwise(F.concat(acc, F.array(x))))
-    one = one.withColumn("_first", first)
-    own = F.try_element_at(F.transform(F.filter("_first", lambda a: a["colour"] == F.col("colour")), lambda a: a["image"]), F.lit(1))
-    one = one.withColumn("_own", own).withColumn("_palette", F.array_distinct(F.transform("_first", lambda a: a["image"])))
+    rows = rows.withColumn("_shots", F.transform(F.filter("groups", lambda g: g["image"].isNotNull()), lambda g: F.struct(g["colour"].alias("colour"), g["image"].alias("image"))))
+    first = F.filter("_shots", lambda s, i: F.array_position(F.col("_shots.colour"), s["colour"]) == i + 1)
+    rows = rows.withColumn("_first", first).withColumn("_palette", F.array_distinct(F.transform("_first", lambda a: a["image"])))
+    rows = rows.withColumn("ai_description", text.without_sizes("ai_description")).drop("_shots")
+    one = rows.select("*", F.posexplode_outer("groups").alias("k", "g"))  # never empty; a plain one is given a filter that builds the groups again
+    own = F.try_element_at(F.transform(F.filter("_first", lambda a: a["colour"] == F.col("g.colour")), lambda a: a["image"]), F.lit(1))
+    one = one.withColumn("_own", own)
     pair = F.filter(F.array("_own", arrays.second_photo("_palette", "_own", "k")), lambda x: x.isNotNull())
     images = F.when(F.col("_own").isNotNull(), pair).otherwise(F.slice(F.coalesce("images", F.array().cast("array<string>")), 1, 2))
     return one.select(
         "product", F.concat("url", F.lit("#"), text.encode_component("g.name")).alias("listing_url"), "title", text.variant_title("ai_title", "g.label").alias("ai_title"),
-        text.without_sizes("ai_description").alias("ai_description"), F.col("g.price").alias("source_cost"), num.sell_price("g.price").alias("sell_price"), images.alias("images"),
+        "ai_description", F.col("g.price").alias("source_cost"), num.sell_price("g.price").alias("sell_price"), images.alias("images"),
     )
 
 

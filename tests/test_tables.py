@@ -265,3 +265,17 @@ def test_sourcing_keeps_its_rows_as_parquet(spark):
     assert got.first().reason is None
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" in plan and "ExistingRDD" not in plan
+
+
+def test_variants_are_grouped_once_a_product(spark):
+    """The words that tell a colour are looked for in one place of the plan, before products become rows."""
+    models = [("Oak 120 x 60 cm", 10.0, "a"), ("Navy", 12.0, None), ("Oak large", 9.0, "b"), ("Navy two", 3.0, "c"), ("", 5.0, "d")]
+    ddl = "product long, url string, title string, ai_title string, ai_description string, cost double, models array<struct<name: string, price: double, image: string>>, images array<string>"
+    rows = [(1, "u1", "t", "T", "d", 12.0, models, ["g"]), (2, "u2", "t", "T", "d", 5.0, models[3:], ["g"])]
+    got = listings.by_variant(spark.createDataFrame(rows, ddl))
+    assert [(r.listing_url, r.ai_title, r.images) for r in got.collect()] == [
+        ("u1#Oak%20120%20x%2060%20cm", "T | 120 x 60 cm", ["a", "c"]), ("u1#Navy", "T | Navy", ["c", "a"]), ("u1#Oak%20large", "T | Oak large", ["a", "c"]), ("u1#Navy%20two", "T | Navy two", ["c", "a"]),
+    ]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = [k for k, x in enumerate(plan) if "walnut" in x]
+    assert len(at) == 1 and at[0] > next(k for k, x in enumerate(plan) if "Generate" in x)
