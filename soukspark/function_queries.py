@@ -200,7 +200,7 @@ def fj1_fj7_s8_s9_json(spark: SparkSession, d: str) -> DataFrame:
     """Every walk and path over JSON built around the events' own properties."""
     k = F.get_json_object("props", "$.k")
     of = lambda s: F.concat(*[k if p == "K" else F.lit(p) for p in s.split("~")])
-    rows = view(spark, d, "select event_id, props from {events}").select(
+    rows = view(spark, d, "select event_id, props from {events}", piece=1 << 18).select(
         "event_id", k.alias("k"),
         of('{"text": "T~K~", "a": [{"image_url": "https://x/~K~"}, {"Photo": "abcdefgh_12345678", "img": "short"}], "b": {"paragraph": "in ~K~", "title": "no"}}').alias("rich"),
         of('{"a": [{"x": {"shopid": 0}}, {"shopid": ~K~}]}').alias("shop"),

@@ -83,8 +83,8 @@ class _Names(dict):
         return name
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    frames = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES if "{" + t + "}" in sql}
+def view(spark: SparkSession, sf_dir: str, sql: str, piece: int | None = None) -> DataFrame:
+    frames = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet"), piece) for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(sql, **frames)
 
 

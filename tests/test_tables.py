@@ -279,3 +279,14 @@ def test_variants_are_grouped_once_a_product(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
     at = [k for k, x in enumerate(plan) if "walnut" in x]
     assert len(at) == 1 and at[0] > next(k for k, x in enumerate(plan) if "Generate" in x)
+
+
+def test_long_work_is_dealt_into_pieces_of_a_table(spark, tmp_path):
+    """Tasks become more as the table grows, not longer; rows stay as they are."""
+    cores = spark.sparkContext.defaultParallelism
+    for n in (1000, 400_000):
+        spark.range(0, n, 1, 1).selectExpr("id", "md5(cast(id as string)) as x").write.parquet(f"{tmp_path}/{n}")
+        table = scratch.spread(spark.read.parquet(f"{tmp_path}/{n}"), 1 << 20)
+        size = sum(p.stat().st_size for p in Path(f"{tmp_path}/{n}").glob("*.parquet"))
+        assert table.count() == n and table.rdd.getNumPartitions() == max(cores, -(-size // (1 << 20)))
+    assert size > 8 << 20
