@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soukspark import config
+from soukspark import config, scratch
 from soukspark.catalogue_queries import _Q, _judged, _q, query
 from soukspark.config import Flags
 from soukspark.functions import arrays, jsons, num, text
@@ -295,11 +295,12 @@ def j15_merged_copies(spark: SparkSession, d: str) -> DataFrame:
 @query("""with m as (select l_orderkey product, l_linenumber n, l_linenumber % 4 t from lineitem) select product, n::int n, case when n % 2 = 0 then 'own' || n when t < 3 then 's' || t end image from m""")
 def j14_swatches(spark: SparkSession, d: str) -> DataFrame:
     """Models whose image is missing take that of the option at their place, of options of one name the last."""
-    rows = view(spark, d, "select l_orderkey as product, l_linenumber as n from {lineitem}")
+    parts = scratch.parts(spark.read.parquet(f"{d}/lineitem.parquet"), 250_000)
+    rows = view(spark, d, "select l_orderkey as product, l_linenumber as n from {lineitem}").repartition(parts, "product")
     models = rows.select("product", _tag("m", "n").alias("name"), "n", F.when(F.col("n") % 2 == 0, _tag("own", "n")).alias("image"), (F.col("n") % 4).alias("tier_index"))
     options = rows.select("product").distinct().select("product", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"))
     options = options.withColumn("images", F.when(F.col("pos") == 1, _strings("s0", "s1", "s2")).otherwise(_strings("old", "old", "old")))
-    return listings.swatches(models, options).select("product", F.col("n").cast("int").alias("n"), "image")
+    return listings.swatches(models, options, parts).select("product", F.col("n").cast("int").alias("n"), "image")
 
 
 @query("""with r as (select l_orderkey capture, l_linenumber * 1000000 + l_partkey o, l_partkey % 5 h from lineitem), f as (select capture, 'c' || h href, min(o)::int ord from r group by 1, 2) select * from f qualify row_number() over (partition by capture order by ord) <= 3""")

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import random
+import re
 import threading
 import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from soukspark import scratch
+from soukspark import function_queries, scratch
 from soukspark.config import Flags
 from soukspark.functions.text import trigrams
 from soukspark.operators import facts, fuzzy, hooks, listings, medians, queue, sourcing, title_index
@@ -290,3 +291,16 @@ def test_long_work_is_dealt_into_pieces_of_a_table(spark, tmp_path):
         size = sum(p.stat().st_size for p in Path(f"{tmp_path}/{n}").glob("*.parquet"))
         assert table.count() == n and table.rdd.getNumPartitions() == max(cores, -(-size // (1 << 20)))
     assert size > 8 << 20
+
+
+def test_swatches_are_dealt_by_the_rows_of_the_table(spark, tmp_path):
+    """The tasks that sort become more as the table grows, not larger; each model gets the image that it got."""
+    for n in (1000, 1_500_000):
+        spark.range(0, n, 1, 1).selectExpr("id div 4 as l_orderkey", "cast(id % 5 + 1 as int) as l_linenumber").write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        out = function_queries.j14_swatches(spark, f"{tmp_path}/{n}")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        want = max(spark.sparkContext.defaultParallelism, -(-n // 250_000))
+        assert {int(x) for x in re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan)} == {want}
+        image = F.expr("case when n % 2 = 0 then 'own' || n when n % 4 < 3 then 's' || n % 4 end")
+        assert out.count() == n and out.where(~image.eqNullSafe(F.col("image"))).isEmpty()
+    assert want == 6
