@@ -141,6 +141,20 @@ def test_substrings_equal_brute_force(spark, monkeypatch):
     assert substrings.dedup(df.limit(0)).count() == 0
 
 
+def test_longest_repeats_at_every_word(spark, monkeypatch):
+    """A repeat of 80 words without a marked word; with all words looked at, ``longest`` is that of brute force."""
+    plain = [w for w in (f"p{k}" for k in range(400)) if not substrings.marked(w.encode())]
+    texts = [*odd_texts(5), " ".join(plain[:80]), " ".join([*plain[100:110], *plain[:80]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = {r.doc_id: r.longest for r in substrings.dedup(df).collect()}
+    rows = {r.doc_id: (r.n_words, r.n_removed, r.longest) for r in substrings.dedup(df, mark=None).collect()}
+    monkeypatch.setattr(substrings, "marked", lambda word: True)
+    want = plain_substrings(texts, 35)
+    assert rows == {k: (n, gone, long) for k, (n, gone, _, long) in enumerate(want)}
+    last = len(texts) - 1
+    assert (some[last], rows[last][2]) == (35, 70)
+
+
 def test_no_window_repeats(spark):
     df = spark.createDataFrame([(1, " ".join(map(str, range(100)))), (2, None)], "doc_id long, text string")
     assert sorted(map(tuple, substrings.dedup(df).select("doc_id", "n_words", "n_removed", "longest").collect())) == [(1, 100, 0, 0), (2, 0, 0, 0)]
