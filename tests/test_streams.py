@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import zlib
 
+import pandas as pd
 import pytest
 
 from soukspark.streaming import claims, tries
@@ -168,6 +170,108 @@ def test_state_is_read_and_written_by_the_block():
     assert sorted(places, key=lambda p: (claims._near(p), p)) == sorted(places)
 
 
+class Held:
+    """A catalogue's state in dicts, and how often it was asked."""
+
+    def __init__(self):
+        self.maps, self.calls = {}, 0
+
+    def getMapState(self, name, key, value):
+        return self.maps.setdefault(name, HeldMap(self))
+
+    def getValueState(self, name, kind):
+        return self.maps.setdefault(name, HeldValue())
+
+    def registerTimer(self, ms):
+        pass
+
+
+class HeldMap(dict):
+    def __init__(self, of):
+        self.of = of
+
+    def getValue(self, key):
+        self.of.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.of.calls += 1
+        self[key] = value
+
+    def containsKey(self, key):
+        return key in self
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class HeldValue:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def drained(batches, held):
+    """Outcomes of batches of one catalogue's commands, each with the time up to which they are due."""
+    out = []
+    for commands, now in batches:
+        q = claims.Queue()
+        q.init(held)
+        df = pd.DataFrame([c | {"has": c["id"] is not None, "id": c["id"] or 0, "hu": zlib.crc32((c["url"] or "").encode()), "ha": zlib.crc32((c["account"] or "").encode()), "times_listed": c["times_listed"] or 0, "n": c["n"] or 0} for c in commands])
+        list(q.handleInputRows(("s",), iter([df[:7], df[7:]]), None))
+        for got in q.handleExpiredTimer(("s",), type("T", (), {"getCurrentWatermarkInMs": lambda _, now=now: now})(), None):
+            out.extend(got.itertuples(index=False))
+    return out
+
+
+def one(ms, seq, action, **c):
+    return {"source": "s", "ms": ms, "seq": seq, "action": action, "worker": None, "account": None, "id": None, "url": None, "times_listed": None, "n": None} | c
+
+
+def test_adds_that_clash_in_one_run_are_taken_one_by_one():
+    """Of rows with an id or URL that others have, too, the first counts, and what was refused stands in nobody's way."""
+    rng, adds = random.Random(3), [(1, "a", "u"), (1, "a", "v"), (2, "a", "v"), (3, "a", "v"), (4, "b", "v"), (5, None, "v"), (6, None, "v"), (7, "a", None), (8, "a", None), (2, "b", "x"), (-5, "a", "y")]
+    adds += [(rng.randrange(-9000, 9000), rng.choice(["a", "b", None]), rng.choice([None, f"u{rng.randrange(300)}"])) for _ in range(1500)]
+    commands = [one(0, k, "add", id=i, account=a, url=u, times_listed=k % 3) for k, (i, a, u) in enumerate(adds)]
+    later = [one(5, k, "claim", worker=f"w{k}", account="ab"[k % 2], n=50) for k in range(4)] + [one(9, k, "add", id=i, account=a, url=u) for k, (i, a, u) in enumerate(adds[:900:7])]
+    _, want = plain_queue(commands + later)
+    got = drained([(commands, 1), (later, 20)], Held())
+    assert sorted(((r.source, r.ms, r.action, r.id, r.ok) for r in got), key=repr) == want
+
+
+def test_rows_claimed_again_at_the_same_time_end_once():
+    commands = [one(0, k, "add", id=k, account="a", url=f"u{k}", times_listed=1) for k in range(3)]
+    for k in range(2):
+        commands += [one(10, 2 * k, "claim", worker="w", account="a", n=2), one(10, 2 * k + 1, "release", worker="w")]
+    commands += [one(10, 9, "claim", worker="w", account="a", n=2), one(LEASE + 11, 0, "claim", worker="v", account="a", n=9)]
+    got = drained([(commands, LEASE + 20)], Held())
+    assert [r.id for r in got if r.action == "expire"] == [0, 1]
+    assert sorted(r.id for r in got if r.worker == "v") == [0, 1, 2]
+
+
+def test_a_large_catalogue_is_few_calls_to_the_store():
+    """50,000 rows, of which 6,000 are claimed and a third of these finished, some of them by rejections of other rows' URLs."""
+    n, held = 50_000, Held()
+    commands = [one(0, k, "add", id=k, account=f"a{k % 3}", url=f"u{k // 3}", times_listed=k % 50) for k in range(n)]
+    commands += [one(60_000 + k, k, "claim", worker=f"w{k}", account=f"a{k % 3}", n=3) for k in range(2000)]
+    got = drained([(commands, 100_000)], held)
+    took = {r.id: r.worker for r in got if r.action == "claim"}
+    assert len(took) == 6000 and held.calls < 12_000
+    want = {x for a in range(3) for x in sorted((k for k in range(n) if k % 3 == a), key=lambda k: (-(k % 50), k))[: 3 * sum(w % 3 == a for w in range(2000))]}
+    assert set(took) == want
+    ends = [one(200_000, k, "reject" if k % 2 else "complete", worker=w, id=x) for k, (x, w) in enumerate(took.items()) if k % 3 == 0]
+    got += drained([(ends, LEASE + 300_000)], held)
+    assert sum(r.action == "expire" for r in got) == 6000 - len(ends) and all(r.ok for r in got)
+    assert any(r.action == "sibling" for r in got)
+
+
 # -- attempts ------------------------------------------------------------------------------------------------------
 
 
