@@ -104,6 +104,36 @@ def test_exports_one_after_another_equal_one_run_over_all(spark):
     assert {r.ord: r.reason for r in sourcing.cascade(df, flags).collect()} == {k: v[0] for k, v in want.items()}
 
 
+def test_each_exports_rows_and_verdicts_are_stored_once(spark, monkeypatch):
+    """Two exports of 300 rows that share no shop: twice 600 rows are stored, beside shops and first copies, and what came of
+    the first ones can still be read later."""
+    df = spark.range(600).selectExpr("id ord", "null item_id", "id div 3 shop_id", "'Shop' shop_name", "'Desk hdb' name", "concat('https://x/product/1/', id) url", "50D price", "'10k+' sold_text", "90L reviews", "4.9D rating", "'Singapore' location", "false is_mock", "false blocked")
+    kept, known = [], facts.Facts(Flags())
+    monkeypatch.setattr(facts, "stored", lambda rows, name: kept.append((name, t := scratch.stored(rows, name))) or t)
+    first = known.add(df.where("ord < 300"))
+    n = {name: t.count() for name, t in kept}
+    known.add(df.where("ord >= 300"))
+    n |= {f"{name} again": t.count() for name, t in kept[len(n) :] if name not in ("shops", "firsts")}
+    assert sum(v for k, v in n.items() if k not in ("shops", "firsts")) == 1200
+    assert first.count() == 300 and known.verdicts.where("reason is null").count() == 600
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def left():
+        """Files of shuffles, by number."""
+        folder = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+        return {p.name for p in folder.rglob("shuffle_*.data")}
+
+    before = left()
+    held = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count()
+    assert len(scratch.stored(held, "counts").collect()) == 700  # which shuffles nothing
+    deadline = time.time() + 20
+    while (more := left() - before) and time.time() < deadline:
+        time.sleep(0.2)
+    assert not more
+    assert spark.conf.get(scratch._CLEANED, "false") == "false"
+
+
 def _images(spark, products, n):
     rows = spark.range(products * n).selectExpr(f"id div {n} as product", f"cast(id % {n} as int) as i", "concat('u', id) as url")
     return listings.batches(rows)
