@@ -13,7 +13,7 @@ from soukspark import function_queries, scratch
 from soukspark.config import Flags
 from soukspark.functions.text import trigrams
 from soukspark.operators import facts, fuzzy, hooks, listings, medians, queue, sourcing, title_index
-from soukspark.sources import keyed
+from soukspark.sources import keyed, readers, sinks
 from soukspark.streaming import inbox
 
 QUEUE = "id long, account string, listing_url string, times_listed int, state string, holder string, held_since timestamp, attempts int, refusal string, done_at timestamp, done_url string, price double"
@@ -134,6 +134,27 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert spark.conf.get(scratch._CLEANED, "false") == "false"
 
 
+def test_wide_rows_meet_their_verdicts_once(spark, tmp_path):
+    """Also where numbers come twice, with other columns or the same, or are missing; rejects are the same compressed."""
+    rows = [(k // 2 if k % 9 else None, None, k % 5, "Shop", ["Desk", "Desk hdb"][k % 2], f"https://x/product/1/{k % 30}", [40.0, 250.0][k % 7 == 0], ["<100", "10k+"][k % 3 > 0], 60, 4.9, ["", "Singapore", "Mainland China", None][k % 4], k % 11 == 0, k % 13 == 0) for k in range(150)]
+    df = spark.createDataFrame(rows + rows[:20], ITEM).repartition(3)
+    for flags in (Flags(max_price=200), Flags(local_only=False)):
+        want = sorted(((r.ord, r.shop_id, r.product_id, r.price_n, r.reason, r.good) for r in sourcing.judged(df, flags).collect()), key=repr)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            out = sourcing.cascade(df, flags)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert sorted(((r.ord, r.shop_id, r.product_id, r.price_n, r.reason, r.good) for r in out.collect()), key=repr) == want
+        assert plan.count("Exchange hashpartitioning") <= 2
+    for how in ("none", "gzip"):
+        sinks.rejects_csv(sourcing.rejects(out), f"{tmp_path}/{how}", how)
+    assert list(Path(f"{tmp_path}/gzip").glob("*.csv.gz"))
+    read = [sorted(map(tuple, readers.csv(spark, f"{tmp_path}/{how}").drop("ord").collect()), key=repr) for how in ("none", "gzip")]
+    assert read[0] == read[1] and len(read[0]) == sum(w[4] is not None for w in want)
+
+
 def _images(spark, products, n):
     rows = spark.range(products * n).selectExpr(f"id div {n} as product", f"cast(id % {n} as int) as i", "concat('u', id) as url")
     return listings.batches(rows)
